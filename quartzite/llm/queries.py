@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzite.llm import media_ts, simhash_dedup
+from quartzite.llm import class_lm, media_ts, packing, simhash_dedup
 from quartzite.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_ts": lambda spark, d: media_ts.digests(table(spark, d, "documents")),
     "op8_simhash_dedup": lambda spark, d: simhash_dedup.report(table(spark, d, "documents")),
+    "op9_class_lm": lambda spark, d: class_lm.report(table(spark, d, "documents")),
+    "op10_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
 }
 ORACLE_SQL: dict[str, str] = {}
