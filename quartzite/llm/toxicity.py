@@ -237,24 +237,50 @@ def fit_positive(rows: list[np.ndarray], target: np.ndarray, epochs: int = 10, a
     return weights(slice(None)), float(bias)
 
 
+class Scorer:
+    """Scores of a batch of texts; keeps the weight of each word it has met."""
+
+    def __init__(self, model: dict | None):
+        self.model = model
+        self.weight = dict(zip(model["at"].tolist(), model["w"].tolist(), strict=True)) if model else {}
+        self.known: dict[bytes, float] = {}
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        if self.model is None:
+            return np.zeros(len(texts))
+        known, weight, z = self.known, self.weight, []
+        for t in byte_values(texts):
+            words = set(letter_words(t))
+            if len(known) > 1_000_000:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = sum(weight.get(i, 0.0) for i in feature_ids(w.decode("utf-8", "replace").lower()))
+            z.append(sum(sorted(map(known.__getitem__, words))) + self.model["bias"])  # sorted: equal texts, equal sums
+        return sigmoid(np.array(z, np.float64))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns; nothing is shuffled."""
+    model = model_of(docs, labels, key, text)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model)
+        for b in batches:
+            yield b.filter(pa.array(score(b.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: dict | None, key: str, text: str) -> DataFrame:
     """``key, score``."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = dict(zip(model["at"].tolist(), model["w"].tolist(), strict=True)) if model else {}
-        known: dict[bytes, float] = {}
+        score = Scorer(model)
         for b in batches:
-            z = []
-            for t in byte_values(b.column(1)):
-                words = set(letter_words(t))
-                if len(known) > 1_000_000:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = sum(weight.get(i, 0.0) for i in feature_ids(w.decode("utf-8", "replace").lower()))
-                z.append(sum(map(known.__getitem__, words)) + model["bias"] if model else -60.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigmoid(np.array(z, np.float64)) if model else np.zeros(len(z)))], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1)))], ["key", "score"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, score double")
 
