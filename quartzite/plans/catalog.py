@@ -5,6 +5,469 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quartzite.functions import scalars as S
+from quartzite.operators import clones, findings, graphs, history
+from quartzite.plans.bindings import (
+    EDGES_SQL, FOUND_SQL, LINES_SQL, MARKER, RANK_SQL, found, function_lines, lines, nation_edges, table,
+)
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- lines and findings -------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES_SQL} SELECT path AS doc_id, CAST(line AS BIGINT) AS line, trim(text, ' ') AS stmt FROM line WHERE trim(text, ' ') <> ''")
+def lines_explode(spark, d):
+    return clones.statements(lines(spark, d)).select(F.col("path").alias("doc_id"), "line", "stmt")
+
+
+@query(f"WITH {FOUND_SQL} SELECT path AS doc_id, CAST(line AS BIGINT) AS line, rule_id, severity FROM found")
+def regex_findings(spark, d):
+    return found(spark, d).select(F.col("path").alias("doc_id"), "line", "rule_id", "severity")
+
+
+@query(f"""WITH {FOUND_SQL} SELECT path AS doc_id, CAST(line AS BIGINT) AS line, rule_id FROM found
+WHERE NOT (contains(text, '{MARKER}') AND NOT regexp_matches(regexp_extract(text, '{MARKER}(.*)$', 1), '^[ \\t]*[0-9A-Za-z]')
+  AND NOT starts_with(regexp_extract(text, '{MARKER}(.*)$', 1), ':'))""")
+def suppressed_findings(spark, d):
+    f = found(spark, d)
+    return f.where(~S.suppressed(F.col("text"), F.col("rule_id"), MARKER)).select(F.col("path").alias("doc_id"), "line", "rule_id")
+
+
+@query(f"WITH {FOUND_SQL} SELECT source, severity, count(*) AS n, CAST(sum(effort) AS BIGINT) AS minutes FROM found WHERE NOT hotspot GROUP BY ALL")
+def severity_rollup(spark, d):
+    return findings.severity_counts(found(spark, d).where("not hotspot"), "source")
+
+
+@query(f"""WITH {FOUND_SQL} SELECT rule_id, source AS component, CAST(sum(effort) AS BIGINT) AS minutes, count(*) AS n
+FROM found WHERE NOT hotspot GROUP BY GROUPING SETS ((rule_id), (source))""")
+def effort_by_rule_component(spark, d):
+    return findings.effort_by_rule_and_component(found(spark, d).where("not hotspot"), F.col("source"))
+
+
+@query(f"""WITH {FOUND_SQL}
+SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM found WHERE lang = 'en' GROUP BY severity
+UNION ALL SELECT 'lang', lang, count(*) FROM found WHERE severity = 'Minor' GROUP BY lang
+UNION ALL SELECT 'rule_id', rule_id, count(*) FROM found WHERE severity = 'Minor' AND lang = 'en' GROUP BY rule_id""")
+def facet_counts(spark, d):
+    return findings.facets(found(spark, d), {"severity": "Minor", "lang": "en", "rule_id": None})
+
+
+@query(f"""WITH {FOUND_SQL} SELECT path AS doc_id, CAST(line AS BIGINT) AS line, rule_id FROM found WHERE severity = 'Minor'
+ORDER BY path DESC, line DESC, rule_id DESC LIMIT 20 OFFSET 20""")
+def issue_page(spark, d):
+    order = [F.desc("path"), F.desc("line"), F.desc("rule_id")]
+    return findings.page(found(spark, d).where("severity = 'Minor'"), order, 2, 20).select(F.col("path").alias("doc_id"), "line", "rule_id")
+
+
+@query(f"""WITH {FOUND_SQL} SELECT path AS doc_id, CAST(count(*) AS BIGINT) AS issue_total, CAST(count(*) FILTER (severity = 'Blocker') AS BIGINT) AS blocker,
+CAST(count(*) FILTER (severity = 'Critical') AS BIGINT) AS critical, max({RANK_SQL}) AS worst_rank FROM found WHERE NOT hotspot GROUP BY path""")
+def file_measures(spark, d):
+    return found(spark, d).where("not hotspot").groupBy(F.col("path").alias("doc_id")).agg(
+        F.count("*").alias("issue_total"), F.count_if(F.col("severity") == "Blocker").alias("blocker"), F.count_if(F.col("severity") == "Critical").alias("critical"),
+        F.max(S.severity_rank(F.col("severity"))).alias("worst_rank"),
+    )
+
+
+@query(f"""WITH {FOUND_SQL}, worst AS (SELECT max(CASE WHEN issue_type = 'Bug' THEN {RANK_SQL} END) AS b,
+  max(CASE WHEN issue_type = 'Vulnerability' THEN {RANK_SQL} END) AS v FROM found WHERE NOT hotspot)
+SELECT coalesce(substr('ABCDE', b + 1, 1), 'A') AS reliability, coalesce(substr('ABCDE', v + 1, 1), 'A') AS security FROM worst""")
+def reliability_security(spark, d):
+    return findings.type_ratings(found(spark, d).where("not hotspot"))
+
+
+def _totals(spark, d):
+    total = lines(spark, d).agg(F.count("*").alias("lines"))
+    t = findings.scan_totals(total, found(spark, d))
+    return t.withColumn("files", F.lit(None).cast("long"))
+
+
+TOTALS_SQL = FOUND_SQL + """, total AS (SELECT count(*) FILTER (NOT hotspot AND severity = 'Info') AS info, count(*) FILTER (NOT hotspot AND severity = 'Minor') AS minor,
+  count(*) FILTER (NOT hotspot AND severity = 'Major') AS major, count(*) FILTER (NOT hotspot AND severity = 'Critical') AS critical,
+  count(*) FILTER (NOT hotspot AND severity = 'Blocker') AS blocker, count(*) FILTER (hotspot) AS hotspots,
+  coalesce(sum(effort) FILTER (NOT hotspot), 0) AS minutes, (SELECT count(*) FROM line) AS lines FROM found)"""
+HEALTH_SQL = "CAST(round(greatest(0, 100 - (10.0 * blocker + 5.0 * critical + major + 2.0 * hotspots) / greatest(lines / 1000.0, 1.0))) AS INTEGER)"
+RATIO_SQL = "CASE WHEN lines > 0 THEN minutes / (lines * 30.0) ELSE 0 END"
+DEBT_SQL = "CASE WHEN {r} <= 0.05 THEN 'A' WHEN {r} <= 0.1 THEN 'B' WHEN {r} <= 0.2 THEN 'C' WHEN {r} <= 0.5 THEN 'D' ELSE 'E' END"
+
+
+@query(f"""WITH {TOTALS_SQL} SELECT lines, blocker, critical, major, minor, hotspots, CAST(minutes AS BIGINT) AS minutes, {HEALTH_SQL} AS health,
+{DEBT_SQL.format(r="(" + RATIO_SQL + ")")} AS debt_rating, CASE WHEN blocker > 0 OR critical > 0 THEN 'Failed' ELSE 'Passed' END AS gate FROM total""")
+def scan_health(spark, d):
+    t = _totals(spark, d)
+    health = S.health_score(*(F.col(c) for c in ("blocker", "critical", "major", "hotspots", "lines")), F.lit(0.0))
+    rating = S.debt_rating(S.debt_ratio(F.col("minutes"), F.col("lines")))
+    return t.select(
+        "lines", "blocker", "critical", "major", "minor", "hotspots", F.col("minutes").cast("long").alias("minutes"), health.alias("health"),
+        rating.alias("debt_rating"), F.when((F.col("blocker") > 0) | (F.col("critical") > 0), "Failed").otherwise("Passed").alias("gate"),
+    )
+
+
+@query(f"""WITH {FOUND_SQL}, size AS (SELECT source, count(*) AS lines FROM line GROUP BY source), debt AS (SELECT source, sum(effort) AS minutes FROM found WHERE NOT hotspot GROUP BY source),
+r AS (SELECT source, lines, coalesce(minutes, 0) AS minutes, coalesce(minutes, 0) / (lines * 30.0) AS ratio FROM size LEFT JOIN debt USING (source))
+SELECT source, CAST(lines AS BIGINT) AS lines, CAST(minutes AS BIGINT) AS minutes, round(ratio, 6) AS debt_ratio, {DEBT_SQL.format(r="ratio")} AS rating FROM r""")
+def debt_rating(spark, d):
+    size = lines(spark, d).groupBy("source").agg(F.count("*").alias("lines"))
+    debt = found(spark, d).where("not hotspot").groupBy("source").agg(F.sum(F.col("effort").cast("long")).alias("m"))
+    both = size.join(debt, "source", "left").withColumn("minutes", F.coalesce("m", F.lit(0)).cast("long"))
+    ratio = S.debt_ratio(F.col("minutes"), F.col("lines"))
+    return both.select("source", "lines", "minutes", F.round(ratio, 6).alias("debt_ratio"), S.debt_rating(ratio).alias("rating"))
+
+
+@query(f"""WITH {TOTALS_SQL} SELECT key, CAST(value AS DOUBLE) AS value FROM (SELECT blocker, critical, major, minor, info, hotspots, CAST(minutes AS BIGINT) AS minutes, lines FROM total)
+UNPIVOT (value FOR key IN (blocker, critical, major, minor, info, hotspots, minutes, lines))""")
+def measures_unpivot(spark, d):
+    return findings.measures(_totals(spark, d), ["blocker", "critical", "major", "minor", "info", "hotspots", "minutes", "lines", "files"])
+
+
+GATE = [("blocker", ">", 0.0), ("critical", ">", 10.0), ("parse_failures", ">", 0.0), ("coverage", "<", 80.0), ("minor", ">", 1e9), ("lines", "<", 100.0)]
+
+
+@query(f"""WITH {TOTALS_SQL}, m(metric, value) AS (SELECT 'blocker', blocker FROM total UNION ALL SELECT 'critical', critical FROM total UNION ALL SELECT 'minor', minor FROM total
+  UNION ALL SELECT 'lines', lines FROM total), c(metric, op, threshold) AS (VALUES {", ".join(str(g) for g in GATE)})
+SELECT metric, op, CAST(threshold AS DOUBLE) AS threshold, CAST(value AS DOUBLE) AS value, CASE WHEN value IS NULL THEN 'NoValue'
+  WHEN (op = '>' AND value > threshold) OR (op = '<' AND value < threshold) THEN 'Failed' ELSE 'Passed' END AS status FROM c LEFT JOIN m USING (metric)""")
+def gate_eval(spark, d):
+    m = findings.measures(_totals(spark, d), ["blocker", "critical", "minor", "lines"])
+    return findings.gate(m, spark.createDataFrame(GATE, "metric string, op string, threshold double"))
+
+
+LISTS = [("text:email", "advisory"), ("text:email", "blocking"), ("text:phone", "blocking"), ("text:phone", "escalate"), ("text:license", "advisory"), ("text:shouting", "escalate")]
+
+
+@query(f"""WITH {FOUND_SQL}, l(rule_id, list) AS (VALUES {", ".join(str(x) for x in LISTS)}), o AS (SELECT rule_id, bool_or(list = 'advisory') AS a, bool_or(list = 'blocking') AS b,
+  bool_or(list = 'escalate') AS e FROM l GROUP BY rule_id), v AS (SELECT rule_id, severity, CASE WHEN NOT (coalesce(b, false) OR coalesce(e, false) OR {RANK_SQL} >= 3) THEN NULL
+  WHEN coalesce(a, false) THEN 'Warn' WHEN coalesce(b, false) THEN 'Deny' WHEN coalesce(e, false) THEN 'Escalate' ELSE 'Deny' END AS verdict FROM found LEFT JOIN o USING (rule_id))
+SELECT rule_id, severity, verdict, count(*) AS n FROM v WHERE verdict IS NOT NULL GROUP BY ALL""")
+def policy_precedence(spark, d):
+    lists = spark.createDataFrame(LISTS, "rule_id string, list string")
+    return findings.policy(found(spark, d), lists, 3).groupBy("rule_id", "severity", "verdict").agg(F.count("*").alias("n"))
+
+
+# --- profiles, new code, bags, baselines --------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_brand AS rule_id, min_by(p_type, d) AS severity FROM (SELECT p_brand, p_type, p_size * 1000000 + p_partkey AS d FROM part) GROUP BY p_brand""")
+def profile_effective(spark, d):
+    chain = table(spark, d, "part").select(F.col("p_brand").alias("rule_id"), F.col("p_type").alias("severity"), (F.col("p_size") * 1000000 + F.col("p_partkey")).alias("depth"))
+    return history.effective_profile(chain)
+
+
+@query("""WITH a AS (SELECT p_brand AS rule_id, min(p_type) AS s FROM part WHERE p_size < 10 GROUP BY 1), b AS (SELECT p_brand AS rule_id, min(p_type) AS s FROM part WHERE p_size > 46 GROUP BY 1)
+SELECT rule_id, CASE WHEN b.s IS NULL THEN 'only_a' WHEN a.s IS NULL THEN 'only_b' ELSE 'changed' END AS change FROM a FULL JOIN b USING (rule_id) WHERE a.s IS DISTINCT FROM b.s""")
+def profile_diff(spark, d):
+    side = lambda cond: table(spark, d, "part").where(cond).groupBy(F.col("p_brand").alias("rule_id")).agg(F.min("p_type").alias("severity"))
+    return history.profile_diff(side("p_size < 10"), side("p_size > 46"))
+
+
+EVENT_HALVES = "now AS (SELECT user_id, event_type, props FROM events WHERE event_id % 10 = 1), old AS (SELECT user_id, event_type, props FROM events WHERE event_id % 10 = 2)"
+
+
+def _halves(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "props")
+    return e.where("event_id % 10 = 1").drop("event_id"), e.where("event_id % 10 = 2").drop("event_id")
+
+
+@query(f"""WITH {EVENT_HALVES} SELECT n.user_id, n.event_type, n.props FROM now n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.user_id = n.user_id AND o.event_type = n.event_type)
+AND NOT EXISTS (SELECT 1 FROM old o WHERE o.user_id = n.user_id AND o.props = n.props)""")
+def new_issues(spark, d):
+    now, then = _halves(spark, d)
+    return history.new_rows(now, then, [["user_id", "event_type"], ["user_id", "props"]]).select("user_id", "event_type", "props")
+
+
+@query(f"""WITH {EVENT_HALVES} SELECT o.user_id, o.event_type, o.props FROM old o WHERE NOT EXISTS (SELECT 1 FROM now n WHERE o.user_id = n.user_id AND o.event_type = n.event_type)
+AND NOT EXISTS (SELECT 1 FROM now n WHERE o.user_id = n.user_id AND o.props = n.props) AND o.props IS NOT NULL""")
+def resolved_issues(spark, d):
+    now, then = _halves(spark, d)
+    return history.new_rows(then, now, [["user_id", "event_type"], ["user_id", "props"]]).where("props is not null").select("user_id", "event_type", "props")
+
+
+@query(f"WITH {EVENT_HALVES} SELECT user_id, event_type, count(*) AS n FROM (SELECT user_id, event_type FROM now EXCEPT ALL SELECT user_id, event_type FROM old) GROUP BY ALL")
+def bag_subtract(spark, d):
+    now, then = _halves(spark, d)
+    return history.bag_subtract(now, then, ["user_id", "event_type"]).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 10 DAY GROUP BY user_id""")
+def baseline_asof(spark, d):
+    e = table(spark, d, "events")
+    cutoff = e.agg((F.max("ts") - F.expr("interval 10 days")).alias("cutoff"))
+    return history.as_of(e.join(F.broadcast(cutoff)), F.col("cutoff"), ["user_id"], "ts", "event_id").select("user_id", "event_id")
+
+
+@query("""SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_id FROM events""")
+def previous_analysis(spark, d):
+    from pyspark.sql import Window
+
+    return table(spark, d, "events").select("user_id", "event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("previous_id"))
+
+
+# --- clones -------------------------------------------------------------------------------------------------------------------
+
+CPD_SQL = LINES_SQL + """, stmt AS (SELECT path, line, trim(text, ' ') AS stmt FROM line WHERE trim(text, ' ') <> ''),
+ends AS (SELECT *, lag(stmt) OVER w AS a, lead(stmt) OVER w AS b FROM stmt WINDOW w AS (PARTITION BY path ORDER BY line)),
+kept AS (SELECT path, line, stmt, row_number() OVER (PARTITION BY path ORDER BY line) - 1 AS idx FROM ends WHERE a IS NULL OR b IS NULL OR a <> stmt OR b <> stmt),
+block AS (SELECT path, idx, line AS first, max(line) OVER w AS last, string_agg(stmt, chr(10)) OVER w AS txt, count(*) OVER w AS n FROM kept
+  WINDOW w AS (PARTITION BY path ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+shared AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY txt) AS occurrences FROM block WHERE n = 5) WHERE occurrences > 1)"""
+RUNS_SQL = CPD_SQL + """, run AS (SELECT path, min(first) AS start_line, max(last) AS end_line, count(*) AS blocks FROM
+  (SELECT *, idx - row_number() OVER (PARTITION BY path ORDER BY idx) AS island FROM shared) GROUP BY path, island)"""
+
+
+def _blocks(spark, d):
+    return clones.shared(clones.blocks(clones.collapse(clones.statements(lines(spark, d)))))
+
+
+@query(f"WITH {CPD_SQL} SELECT path AS doc_id, CAST(first AS BIGINT) AS start_line, CAST(last AS BIGINT) AS end_line, occurrences FROM shared")
+def cpd_blocks(spark, d):
+    return _blocks(spark, d).select(F.col("path").alias("doc_id"), F.col("first").alias("start_line"), F.col("last").alias("end_line"), "occurrences")
+
+
+@query(f"WITH {RUNS_SQL} SELECT path AS doc_id, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, blocks FROM run")
+def cpd_runs(spark, d):
+    return clones.runs(_blocks(spark, d)).select(F.col("path").alias("doc_id"), "start_line", "end_line", "blocks")
+
+
+@query(f"""WITH {RUNS_SQL}, dup AS (SELECT path, count(DISTINCT l) AS n FROM (SELECT path, unnest(range(start_line, end_line + 1)) AS l FROM run) GROUP BY path),
+size AS (SELECT path, count(*) AS n FROM line GROUP BY path)
+SELECT s.path AS doc_id, CAST(coalesce(d.n, 0) AS BIGINT) AS duplicated_lines, round(least(100.0, coalesce(d.n, 0) * 100.0 / s.n), 6) AS density FROM size s LEFT JOIN dup d USING (path)""")
+def dup_density(spark, d):
+    dup = clones.duplicated_lines(clones.runs(_blocks(spark, d)))
+    size = lines(spark, d).groupBy("path").agg(F.count("*").alias("n"))
+    n = F.coalesce("duplicated_lines", F.lit(0)).cast("long")
+    return size.join(dup, "path", "left").select(F.col("path").alias("doc_id"), n.alias("duplicated_lines"), F.round(S.density(n, F.col("n")), 6).alias("density"))
+
+
+# --- text -------------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT page_id, unnest(string_split(url, '')) AS ch FROM pages), n AS (SELECT page_id, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY ALL),
+t AS (SELECT page_id, sum(k) AS total FROM n GROUP BY page_id) SELECT page_id, round(-sum(k / total * log2(k / total)), 6) AS entropy FROM n JOIN t USING (page_id) GROUP BY page_id""")
+def entropy(spark, d):
+    return table(spark, d, "pages").select("page_id", F.round(S.entropy(F.col("url")), 6).alias("entropy"))
+
+
+TOKEN = '"([0-9A-Za-z_+/=-]{16,})"'
+
+
+@query(f"""WITH {LINES_SQL}, tok AS (SELECT path, line, unnest(regexp_extract_all(text, '{TOKEN}', 1)) AS token FROM line),
+ch AS (SELECT token, unnest(string_split(token, '')) AS c FROM (SELECT DISTINCT token FROM tok)), n AS (SELECT token, c, count(*) AS k FROM ch WHERE c <> '' GROUP BY ALL),
+e AS (SELECT token, -sum(k / length(token) * log2(k / length(token))) AS bits FROM n GROUP BY token)
+SELECT path AS doc_id, CAST(line AS BIGINT) AS line, token, round(bits, 6) AS bits FROM tok JOIN e USING (token) WHERE round(bits, 6) >= 3.0 AND NOT regexp_matches(token, '^[0-9]+$')""")
+def high_entropy_tokens(spark, d):
+    t = lines(spark, d).select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("token"))
+    bits = F.round(S.entropy(F.col("token")), 6)
+    return t.where(~F.col("token").rlike("^[0-9]+$")).withColumn("bits", bits).where("bits >= 3.0").select(F.col("path").alias("doc_id"), "line", "token", "bits")
+
+
+HTML = {"html-no-lang": "(?i)<html>", "inline-script": "(?i)<script>", "img-no-alt": "(?i)<img [^>]*src=[^>]*>", "relative-link": 'href="/', "inline-style": '(?i) style="', "event-handler": "(?i) on(click|load)="}
+
+
+@query(" UNION ALL ".join(f"SELECT page_id, '{k}' AS rule_id, CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '{p}')" for k, p in HTML.items()))
+def html_findings(spark, d):
+    counts = F.explode(F.array(*(F.struct(F.lit(k).alias("rule_id"), F.regexp_count("html", F.lit(p)).cast("long").alias("n")) for k, p in HTML.items()))).alias("c")
+    return table(spark, d, "pages").select("page_id", counts).select("page_id", "c.rule_id", "c.n").where("n > 0")
+
+
+@query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, count(*) AS n FROM events GROUP BY event_type")
+def props_json(spark, d):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count("*").alias("n"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z \\n]')) AS t FROM documents), k AS (SELECT doc_id, t, regexp_matches(t, '^[A-Za-z]') AS operand FROM w),
+a AS (SELECT doc_id, count(DISTINCT CASE WHEN NOT operand THEN t END) AS n1, count(DISTINCT CASE WHEN operand THEN t END) AS n2, count(*) FILTER (NOT operand) AS t1, count(*) FILTER (operand) AS t2 FROM k GROUP BY doc_id),
+v AS (SELECT *, (t1 + t2) * log2(n1 + n2) AS volume, (n1 / 2.0) * (t2 / greatest(n2, 1)) AS difficulty FROM a)
+SELECT doc_id, round(volume, 4) AS volume, round(difficulty, 4) AS difficulty, round(difficulty * volume / 18.0, 3) AS seconds FROM v""")
+def halstead(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+|[^A-Za-z \n]"), F.lit(0))).alias("t"))
+    operand = F.col("t").rlike("^[A-Za-z]")
+    # tokens are counted by document first, so the distinct counts need no second pass over them
+    each = t.groupBy("doc_id", "t").agg(F.count("*").alias("k"))
+    a = each.groupBy("doc_id").agg(
+        F.count_if(~operand).alias("n1"), F.count_if(operand).alias("n2"), F.sum(F.when(~operand, F.col("k")).otherwise(0)).alias("t1"), F.sum(F.when(operand, F.col("k")).otherwise(0)).alias("t2")
+    )
+    h = S.halstead(F.col("n1"), F.col("n2"), F.col("t1"), F.col("t2"))
+    return a.select("doc_id", F.round(h["volume"], 4).alias("volume"), F.round(h["difficulty"], 4).alias("difficulty"), F.round(h["seconds"], 3).alias("seconds"))
+
+
+# --- coverage, mutation, tests ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT l_orderkey AS fn, count(*) AS cc, 100.0 * count(*) FILTER (l_quantity > 25) / count(*) AS cov FROM lineitem GROUP BY 1)
+SELECT fn, cc AS complexity, round(cov, 6) AS coverage, round(cc * cc * pow(1 - cov / 100.0, 3) + cc, 6) AS crap FROM f WHERE cc * cc * pow(1 - cov / 100.0, 3) + cc > 5.0""")
+def crap_score(spark, d):
+    f = function_lines(spark, d).groupBy("fn").agg(F.count("*").alias("complexity"), (100.0 * F.count_if(F.col("hits") > 0) / F.count("*")).alias("coverage"))
+    crap = S.crap_score(F.col("complexity"), F.col("coverage"))
+    return f.where(crap > 5.0).select("fn", "complexity", F.round("coverage", 6).alias("coverage"), F.round(crap, 6).alias("crap"))
+
+
+@query("""SELECT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) AS line, CAST(max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM lineitem GROUP BY ALL""")
+def coverage_lines(spark, d):
+    return function_lines(spark, d).groupBy("fn", F.col("line").cast("long").alias("line")).agg(F.max("hits").cast("long").alias("hits"))
+
+
+@query("""SELECT o_orderstatus AS status, round(100.0 * count(*) FILTER (l_quantity > 25) / count(*), 6) AS coverage FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY GROUP BY o_orderstatus""")
+def coverage_new_code(spark, d):
+    od = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    last = F.broadcast(od.agg((F.max("o_orderdate") - F.expr("interval 90 days")).alias("since")))
+    changed = od.join(last).where("o_orderdate >= since").select(F.col("o_orderkey").alias("fn"), F.col("o_orderstatus").alias("status"))
+    return function_lines(spark, d).join(changed, "fn").groupBy("status").agg(F.round(S.percent(F.count_if(F.col("hits") > 0), F.count("*")), 6).alias("coverage"))
+
+
+@query("""SELECT user_id, round(100.0 * count(*) FILTER (event_type IN ('click', 'view')) / nullif(count(*) FILTER (event_type IN ('click', 'view', 'error', 'signup')), 0), 6) AS mutation_score FROM events GROUP BY user_id""")
+def mutation_score(spark, d):
+    n = lambda *t: F.count_if(F.col("event_type").isin(*t))
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(S.percent(n("click", "view"), n("click", "view", "error", "signup")), 6).alias("mutation_score"))
+
+
+@query("SELECT user_id, round(100.0 * count(*) FILTER (event_type <> 'error') / nullif(count(*), 0), 6) AS pass_rate FROM events GROUP BY user_id")
+def pass_rate(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(S.percent(F.count_if(F.col("event_type") != "error"), F.count("*")), 6).alias("pass_rate"))
+
+
+@query("""WITH f AS (SELECT l_partkey, l_orderkey, count(*) AS cc, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
+SELECT l_partkey AS file, l_orderkey AS fn, CAST(q AS DOUBLE) AS weight, row_number() OVER (PARTITION BY l_partkey ORDER BY q DESC, l_orderkey) AS rank FROM f QUALIFY rank <= 3""")
+def worst_functions_topk(spark, d):
+    f = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("file"), F.col("l_orderkey").alias("fn")).agg(F.sum("l_quantity").alias("weight"))
+    return history.worst_by_group(f, "file", [F.desc("weight"), F.col("fn")], 3)
+
+
+@query("""SELECT r_name AS region, n_name AS nation, CAST(max(c_custkey % 5) AS BIGINT) AS worst, CAST(count(*) AS BIGINT) AS projects, round(sum(c_acctbal), 2) AS total
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
+def portfolio_rollup(spark, d):
+    joined = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(
+        F.max(F.col("c_custkey") % 5).alias("worst"), F.count("*").alias("projects"), F.round(F.sum("c_acctbal"), 2).alias("total")
+    )
+
+
+# --- sessions -----------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT *, event_type = 'error' AS hit FROM events), g AS (SELECT *, sum(CASE WHEN NOT hit THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM e)
+SELECT event_id, CAST(CASE WHEN hit THEN sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) ELSE 0 END AS BIGINT) AS streak FROM g""")
+def denial_streak(spark, d):
+    return history.streaks(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", F.col("streak").cast("long").alias("streak"))
+
+
+@query("""WITH e AS (SELECT *, coalesce(CAST(event_type <> lag(event_type) OVER w AS INT), 1) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
+SELECT event_id, n AS in_a_row, n >= 3 AS alarm FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS n FROM g)""")
+def loop_alarm(spark, d):
+    return history.repeats(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type")).select("event_id", "in_a_row", (F.col("in_a_row") >= 3).alias("alarm"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS seen_before FROM events")
+def provenance_before(spark, d):
+    return history.seen_before(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "seen_before")
+
+
+@query("""SELECT event_id FROM (SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id
+ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM events) WHERE later = 0""")
+def ledger_pending(spark, d):
+    return history.pending(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase").select("event_id")
+
+
+# --- graphs -------------------------------------------------------------------------------------------------------------------
+
+
+def _edges(spark, d):
+    return graphs.component_edges(nation_edges(spark, d))
+
+
+@query(f"WITH {EDGES_SQL} SELECT src, dst FROM edge")
+def component_edges(spark, d):
+    return _edges(spark, d)
+
+
+CENSUS_SQL = "census AS (SELECT s_nationkey AS component, count(*) AS types, count(*) FILTER (s_acctbal < 3000) AS abstractions FROM supplier GROUP BY 1)"
+MARTIN_SQL = EDGES_SQL + ", " + CENSUS_SQL + """, m0 AS (SELECT component, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, coalesce(types, 0) AS types, coalesce(abstractions, 0) AS abstractions
+  FROM (SELECT src AS component, count(*) AS ce FROM edge GROUP BY 1) FULL JOIN (SELECT dst AS component, count(*) AS ca FROM edge GROUP BY 1) USING (component) FULL JOIN census USING (component)),
+martin AS (SELECT *, CASE WHEN ca + ce > 0 THEN ce / (ca + ce) ELSE 0.5 END AS instability, CASE WHEN types > 0 THEN abstractions / types ELSE 0 END AS abstractness FROM m0)"""
+
+
+def _martin(spark, d):
+    census = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("component")).agg(F.count("*").alias("types"), F.count_if(F.col("s_acctbal") < 3000).alias("abstractions"))
+    return graphs.martin(_edges(spark, d), census)
+
+
+@query(f"""WITH {MARTIN_SQL} SELECT component, ca, ce, types, abstractions, round(instability, 6) AS instability, round(abstractness, 6) AS abstractness,
+round(abs(abstractness + instability - 1), 6) AS distance FROM martin""")
+def martin_metrics(spark, d):
+    return _martin(spark, d).select("component", "ca", "ce", "types", "abstractions", *(F.round(c, 6).alias(c) for c in ("instability", "abstractness", "distance")))
+
+
+@query(f"""WITH {MARTIN_SQL} SELECT src, dst, round(b.instability - a.instability, 6) AS gap FROM edge JOIN martin a ON src = a.component JOIN martin b ON dst = b.component
+WHERE b.instability - a.instability > 0.1""")
+def sdp_violations(spark, d):
+    v = graphs.unstable_dependencies(_edges(spark, d), _martin(spark, d), 0.1)
+    return v.select("src", "dst", F.round(F.col("i_dst") - F.col("i_src"), 6).alias("gap"))
+
+
+NATIONS = "names AS (SELECT n_nationkey AS k, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"""WITH {EDGES_SQL}, {NATIONS}, e AS (SELECT a.path AS src, b.path AS dst FROM edge JOIN names a ON src = a.k JOIN names b ON dst = b.k),
+r(a, b) AS (SELECT min(r_name), max(r_name) FROM region), x(a, b) AS (SELECT max(r_name), min(r_name) FROM region), ok(a, b) AS (SELECT r_name, r_name FROM region)
+SELECT src, dst, CASE WHEN EXISTS (SELECT 1 FROM r WHERE starts_with(src, a || '/') AND starts_with(dst, b || '/')) THEN 'Forbidden' ELSE 'Undeclared' END AS kind FROM e
+WHERE NOT EXISTS (SELECT 1 FROM x WHERE starts_with(src, a || '/') AND starts_with(dst, b || '/'))
+AND (EXISTS (SELECT 1 FROM r WHERE starts_with(src, a || '/') AND starts_with(dst, b || '/')) OR NOT EXISTS (SELECT 1 FROM ok WHERE starts_with(src, a || '/') AND starts_with(dst, b || '/')))""")
+def boundary_violations(spark, d):
+    region = table(spark, d, "region")
+    names = table(spark, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("k"), F.concat("r_name", F.lit("/"), "n_name").alias("p"))
+    e = _edges(spark, d).join(names.select(F.col("k").alias("src"), F.col("p").alias("sp")), "src").join(names.select(F.col("k").alias("dst"), F.col("p").alias("dp")), "dst")
+    named = e.select(F.col("sp").alias("src"), F.col("dp").alias("dst"))
+    ends = region.agg(F.min("r_name").alias("a"), F.max("r_name").alias("b"))
+    return graphs.boundary_violations(named, ends.select(F.col("b").alias("a"), F.col("a").alias("b")), ends, region.select(F.col("r_name").alias("a"), F.col("r_name").alias("b")))
+
+
+DEPTH = 4
+
+
+def _reach_sql(start: str) -> str:
+    return f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT node AS root, node, 0 AS depth FROM ({start}) UNION SELECT root, dst, depth + 1 FROM walk JOIN edge ON node = src WHERE depth < {DEPTH}),
+far AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node)"""
+
+
+@query(_reach_sql("SELECT DISTINCT src AS node FROM edge") + " SELECT root, node, depth FROM far")
+def reachability(spark, d):
+    e = _edges(spark, d)
+    return graphs.reach(e, e.select(F.col("src").alias("node")).distinct(), DEPTH)
+
+
+@query(_reach_sql("SELECT DISTINCT src AS node FROM edge") + """ SELECT a.root AS node, least(min(a.node), a.root) AS scc FROM far a JOIN far b ON a.root = b.node AND a.node = b.root
+WHERE a.root <> a.node GROUP BY a.root""")
+def scc_members(spark, d):
+    return graphs.cycles(_edges(spark, d), DEPTH)
+
+
+@query(f"WITH {EDGES_SQL} SELECT n_nationkey AS node FROM nation WHERE NOT EXISTS (SELECT 1 FROM edge WHERE dst = n_nationkey)")
+def call_roots(spark, d):
+    return graphs.roots(table(spark, d, "nation").select(F.col("n_nationkey").alias("node")), _edges(spark, d))
+
+
+COVER_SQL = "cover AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey % 4 = 1 THEN 0.0 ELSE 50.0 END AS covered FROM nation)"
+
+
+@query(_reach_sql("SELECT n_nationkey AS node FROM nation WHERE NOT EXISTS (SELECT 1 FROM edge WHERE dst = n_nationkey) AND n_nationkey % 4 <> 1") + f""", {COVER_SQL}
+SELECT root, min(depth) AS hops, arg_min(node, (depth, node)) AS node FROM far JOIN cover USING (node) WHERE covered = 0 AND depth > 0 GROUP BY root""")
+def shortest_untested(spark, d):
+    cover = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") % 4 == 1, 0.0).otherwise(50.0).alias("covered"))
+    return graphs.shortest_untested(_edges(spark, d), cover, DEPTH)
