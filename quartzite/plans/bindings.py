@@ -39,7 +39,7 @@ def nation_edges(spark: SparkSession, d: str) -> DataFrame:
     cu = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
     su = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
     joined = li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).join(cu, F.col("o_custkey") == F.col("c_custkey")).join(su, F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.where("src > dst and (src + dst) % 3 <> 0 or src % 10 = 2 and dst % 10 = 5").select("src", "dst")
+    return joined.where("src > dst and (src + dst) % 3 <> 0 or src % 5 = 2 and dst % 5 = 0").select("src", "dst")
 
 
 def function_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -69,5 +69,5 @@ FOUND_SQL = (
 EDGES_SQL = """edge AS (
   SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_linenumber = 7 AND l_quantity >= 49 AND (s_nationkey > c_nationkey AND (s_nationkey + c_nationkey) % 3 <> 0 OR s_nationkey % 10 = 2 AND c_nationkey % 10 = 5) AND s_nationkey <> c_nationkey)"""
+  WHERE l_linenumber = 7 AND l_quantity >= 49 AND (s_nationkey > c_nationkey AND (s_nationkey + c_nationkey) % 3 <> 0 OR s_nationkey % 5 = 2 AND c_nationkey % 5 = 0) AND s_nationkey <> c_nationkey)"""
 RANK_SQL = "CASE severity WHEN 'Info' THEN 0 WHEN 'Minor' THEN 1 WHEN 'Major' THEN 2 WHEN 'Critical' THEN 3 ELSE 4 END"

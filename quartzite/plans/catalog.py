@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
 from quartzite.operators import clones, findings, graphs, history
+from quartzite.sources import reports
 from quartzite.plans.bindings import (
     EDGES_SQL, FOUND_SQL, LINES_SQL, MARKER, RANK_SQL, found, function_lines, lines, nation_edges, table,
 )
@@ -471,3 +472,119 @@ SELECT root, min(depth) AS hops, arg_min(node, (depth, node)) AS node FROM far J
 def shortest_untested(spark, d):
     cover = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") % 4 == 1, 0.0).otherwise(50.0).alias("covered"))
     return graphs.shortest_untested(_edges(spark, d), cover, DEPTH)
+
+
+# --- report readers: reports are written from the tables and read back -----------------------------------------------------------
+
+
+def _hits(spark, d, reports: int = 40):
+    """``report, path, line, hits`` of orders dealt to reports."""
+    f = function_lines(spark, d).groupBy("fn", "line").agg(F.max("hits").alias("hits"))
+    return f.select(F.concat(F.lit("r"), F.col("fn") % reports).alias("report"), F.concat(F.lit("src/f"), "fn", F.lit(".rs")).alias("path"), F.col("line").cast("long").alias("line"), "hits")
+
+
+def _report(rows: DataFrame, line, path, whole, joiner: str = "\n") -> DataFrame:
+    """One text a report: the lines of each path joined and framed, then the paths."""
+    per = rows.groupBy("report", "path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "hits"))), line), joiner).alias("body"))
+    texts = per.groupBy("report").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "body"))), path), joiner).alias("body"))
+    return texts.select("report", whole(F.col("body")).alias("content"))
+
+
+HITS_SQL = """SELECT 'r' || CAST(l_orderkey % 40 AS VARCHAR) AS report, 'src/f' || CAST(l_orderkey AS VARCHAR) || '.rs' AS path, CAST(l_linenumber AS BIGINT) AS line,
+CAST(max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM lineitem GROUP BY ALL"""
+_text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def _lcov_reports(spark, d):
+    return _report(_hits(spark, d), lambda x: _text("DA:", x["line"], ",", x["hits"]), lambda p: _text("SF:", p["path"], "\n", p["body"], "\nend_of_record"), lambda b: b)
+
+
+@query(HITS_SQL)
+def src_lcov(spark, d):
+    return reports.lcov(_lcov_reports(spark, d))[0]
+
+
+@query(f"WITH h AS ({HITS_SQL}) SELECT report, path, CAST(sum(hits) AS BIGINT) AS covered_lines, count(*) AS coverable_lines, CAST(0 AS BIGINT) AS covered_branches, CAST(0 AS BIGINT) AS coverable_branches FROM h GROUP BY report, path")
+def src_lcov_totals(spark, d):
+    return reports.lcov(_lcov_reports(spark, d))[1]
+
+
+@query(HITS_SQL)
+def src_cobertura(spark, d):
+    text = _report(
+        _hits(spark, d), lambda x: _text('<line number="', x["line"], '" hits="', x["hits"], '"/>'), lambda p: _text('<class name="c" filename="', p["path"], '"><lines>', p["body"], "</lines></class>"),
+        lambda b: _text('<?xml version="1.0"?><coverage line-rate="0"><packages>', b, "</packages></coverage>"), "",
+    )
+    return reports.cobertura(text)
+
+
+@query(HITS_SQL)
+def src_jacoco(spark, d):
+    text = _report(
+        _hits(spark, d), lambda x: _text('<line nr="', x["line"], '" mi="1" ci="', x["hits"], '" mb="0" cb="0"/>'), lambda p: _text('<sourcefile name="', p["path"], '">', p["body"], "</sourcefile>"),
+        lambda b: _text('<report name="x"><package name="p">', b, '</package><counter type="LINE" missed="1" covered="2"/></report>'), "",
+    )
+    return reports.jacoco(text)[0]
+
+
+@query(HITS_SQL)
+def src_llvmcov(spark, d):
+    text = _report(
+        _hits(spark, d), lambda x: _text("[", x["line"], ",1,", x["hits"], ",true,true]"), lambda p: _text('{"filename":"', p["path"], '","segments":[', p["body"], "]}"),
+        lambda b: _text('{"data":[{"files":[', b, "]}]}"), ",",
+    )
+    return reports.llvm_cov(text)
+
+
+@query(HITS_SQL)
+def src_istanbul(spark, d):
+    per = _hits(spark, d).groupBy("report", "path").agg(F.sort_array(F.collect_list(F.struct("line", "hits"))).alias("x"))
+    at = F.map_from_entries(F.transform("x", lambda s: F.struct(s["line"].cast("string"), F.struct(F.struct(s["line"].alias("line")).alias("start")))))
+    own = F.struct(at.alias("statementMap"), F.map_from_entries(F.transform("x", lambda s: F.struct(s["line"].cast("string"), s["hits"]))).alias("s"))
+    text = per.groupBy("report").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("path", own)))).alias("content"))
+    return reports.istanbul(text)
+
+
+@query(f"WITH h AS ({HITS_SQL}) SELECT DISTINCT report, 'lcov' AS format FROM h")
+def src_cov_detect(spark, d):
+    return _lcov_reports(spark, d).select("report", reports.detect_format(F.col("content")).alias("format"))
+
+
+@query("""SELECT 'u' || CAST(user_id AS VARCHAR) AS name, count(*) AS tests, count(*) FILTER (event_type = 'error') AS failures, CAST(0 AS BIGINT) AS errors,
+count(*) FILTER (event_type = 'signup') AS skipped, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS passed FROM events GROUP BY user_id""")
+def src_junit(spark, d):
+    case = F.when(F.col("event_type") == "error", '<testcase name="a"><failure message="m">x</failure></testcase>').when(F.col("event_type") == "signup", '<testcase name="a"><skipped/></testcase>').otherwise('<testcase name="a"/>')
+    suite = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.collect_list(case), "\n").alias("b"))
+    text = suite.groupBy((F.col("user_id") % 10).alias("report")).agg(F.array_join(F.collect_list(_text('<testsuite name="u', F.col("user_id"), '" time="1.5">', F.col("b"), "</testsuite>")), "\n").alias("b"))
+    out = reports.junit(text.select("report", _text("<testsuites>", F.col("b"), "</testsuites>").alias("content")))
+    return out.select("name", "tests", "failures", "errors", "skipped", "passed")
+
+
+@query("""SELECT 'm' || CAST(user_id % 20 AS VARCHAR) AS report, count(*) AS total, count(*) FILTER (event_type = 'click') AS killed, count(*) FILTER (event_type = 'error') AS survived,
+round(100.0 * count(*) FILTER (event_type IN ('click', 'view')) / nullif(count(*) FILTER (event_type IN ('click', 'view', 'error', 'signup')), 0), 6) AS score FROM events GROUP BY ALL""")
+def src_mutation(spark, d):
+    status = S.lookup(F.col("event_type"), {"click": "Killed", "view": "Timeout", "error": "Survived", "signup": "NoCoverage", "purchase": "Ignored"})
+    per = table(spark, d, "events").groupBy(_text("m", F.col("user_id") % 20).alias("report")).agg(F.collect_list(F.struct(status.alias("status"))).alias("mutants"))
+    text = per.select("report", F.to_json(F.struct(F.create_map(F.lit("a.ts"), F.struct("mutants")).alias("files"))).alias("content"))
+    return reports.mutation(text).select("report", "total", "killed", "survived", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {FOUND_SQL} SELECT 's' || source AS report, rule_id, CASE severity WHEN 'Blocker' THEN 'Major' WHEN 'Critical' THEN 'Major' WHEN 'Major' THEN 'Minor' WHEN 'Minor' THEN 'Minor' ELSE 'Info' END AS severity,
+'docs/' || CAST(path AS VARCHAR) AS path, CAST(line AS BIGINT) AS line FROM found WHERE NOT hotspot""")
+def src_sarif(spark, d):
+    level = S.lookup(F.col("severity"), {"Blocker": "error", "Critical": "error", "Major": "warning", "Minor": "warning"}, "note")
+    place = F.array(F.struct(F.struct(F.struct(_text("file://./docs/", F.col("path")).alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation")))
+    one = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("rule_id").alias("text")).alias("message"), place.alias("locations"),
+                   F.when(F.col("hotspot"), F.array(F.struct(F.lit("accepted").alias("status")))).alias("suppressions"))
+    per = found(spark, d).groupBy(_text("s", F.col("source")).alias("report")).agg(F.collect_list(one).alias("results"))
+    text = per.select("report", F.to_json(F.struct(F.array(F.struct("results")).alias("runs"))).alias("content"))
+    return reports.sarif(text).select("report", "rule_id", "severity", "path", "line")
+
+
+@query("""SELECT 'd' || CAST(l_orderkey % 40 AS VARCHAR) AS report, 'src/f' || CAST(l_orderkey AS VARCHAR) || '.rs' AS path, CAST(n AS BIGINT) AS line
+FROM (SELECT l_orderkey, h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS h FROM lineitem GROUP BY ALL)) WHERE h = 1""")
+def src_diff(spark, d):
+    rows = _hits(spark, d).withColumn("report", F.regexp_replace("report", "^r", "d"))
+    line = lambda x: F.when(x["hits"] > 0, _text("+new ", x["line"])).otherwise(_text("-gone\n old ", x["line"]))
+    text = _report(rows, line, lambda p: _text("--- a/", p["path"], "\n+++ b/", p["path"], "\n@@ -1,9 +1,9 @@\n", p["body"]), lambda b: b)
+    return reports.changed_lines(text)
