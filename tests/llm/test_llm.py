@@ -321,7 +321,7 @@ def test_packing(spark, edge):
                 assert offset == at
                 at += length
             assert at <= cap
-    assert len(rows) == 500 and len(seqs) <= -(-sum(r.length for r in rows) // 100) + 2
+    assert len(rows) == 500 and len(seqs) <= packing.lower_bound(np.array([r.length for r in rows]), 100) + 2
     assert packing.pack_documents(edge.limit(0)).count() == 0
 
 
