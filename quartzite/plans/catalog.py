@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
-from quartzite.operators import clones, findings, graphs, history
-from quartzite.sources import reports
+from quartzite.operators import clones, code, findings, graphs, history, rules
+from quartzite.sources import python_source, reports
 from quartzite.plans.bindings import (
     EDGES_SQL, FOUND_SQL, LINES_SQL, MARKER, RANK_SQL, found, function_lines, lines, nation_edges, table,
 )
@@ -588,3 +588,44 @@ def src_diff(spark, d):
     line = lambda x: F.when(x["hits"] > 0, _text("+new ", x["line"])).otherwise(_text("-gone\n old ", x["line"]))
     text = _report(rows, line, lambda p: _text("--- a/", p["path"], "\n+++ b/", p["path"], "\n@@ -1,9 +1,9 @@\n", p["body"]), lambda b: b)
     return reports.changed_lines(text)
+
+
+# --- parsed sources: orders are written as Python functions, a branch for each line over 25 and a loop for each other -------------
+
+
+def _sources(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+    body = F.when(F.col("l_quantity") > 25, _text("    if x > ", F.col("l_linenumber"), ":\n        f", F.col("l_orderkey") + 50, "(x)")).otherwise(_text("    for i in range(", F.col("l_linenumber"), "):\n        print(x)"))
+    fns = li.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(body)), "\n").alias("b"))
+    files = fns.groupBy((F.col("l_orderkey") % 50).alias("g")).agg(F.array_join(F.sort_array(F.collect_list(_text("def f", F.col("l_orderkey"), "(x, y=[]):\n", F.col("b")))), "\n\n").alias("content"))
+    return files.select(_text("src/m", F.col("g"), ".py").alias("path"), _text("import os\nfrom m import *\n\n", F.col("content"), "\n").alias("content"))
+
+
+PY_SQL = "py AS (SELECT 'src/m' || CAST(l_orderkey % 50 AS VARCHAR) || '.py' AS path, l_orderkey AS k, count(*) FILTER (l_quantity > 25) AS branches, count(*) FILTER (l_quantity <= 25) AS loops FROM lineitem GROUP BY l_orderkey)"
+
+
+@query(f"WITH {PY_SQL} SELECT path, 'f' || CAST(k AS VARCHAR) AS name, branches, loops, CAST(0 AS BIGINT) AS exceptions, 1 + branches + loops AS cyclomatic FROM py")
+def agg_cyclomatic(spark, d):
+    return code.function_complexity(python_source.nodes(_sources(spark, d))).select("path", "name", "branches", "loops", "exceptions", "cyclomatic")
+
+
+@query(f"WITH {PY_SQL} SELECT path, count(*) AS functions, CAST(0 AS BIGINT) AS classes, CAST(2 * sum(branches + loops) AS BIGINT) AS statements FROM py GROUP BY path")
+def agg_structural_file(spark, d):
+    return code.structure(python_source.nodes(_sources(spark, d)))
+
+
+@query(f"""WITH {PY_SQL} SELECT a.path, 'f' || CAST(a.k AS VARCHAR) AS caller, 'f' || CAST(b.k AS VARCHAR) AS callee FROM py a JOIN py b ON b.k = a.k + 50 WHERE a.branches > 0""")
+def grf_call_graph(spark, d):
+    n = python_source.nodes(_sources(spark, d))
+    names = n.where("kind = 'FunctionDef'").select("path", "node_id", "name")
+    e = code.call_edges(n).join(names.select("path", F.col("node_id").alias("caller"), F.col("name").alias("from_name")), ["path", "caller"])
+    e = e.join(names.select("path", F.col("node_id").alias("callee"), F.col("name").alias("to_name")), ["path", "callee"])
+    return e.select("path", F.col("from_name").alias("caller"), F.col("to_name").alias("callee"))
+
+
+@query(f"""WITH {PY_SQL}, f AS (SELECT path, count(*) AS fns, sum(loops) AS loops FROM py GROUP BY path)
+SELECT path, 'python:mutable-default-argument' AS rule_id, CAST(fns AS BIGINT) AS n FROM f UNION ALL SELECT path, 'python:missing-type-annotations', CAST(fns AS BIGINT) FROM f
+UNION ALL SELECT path, 'python:missing-docstring-on-public-api', CAST(fns AS BIGINT) FROM f UNION ALL SELECT path, 'python:wildcard-import', 1 FROM f
+UNION ALL SELECT path, 'python:print-debug-left-in-code', CAST(loops AS BIGINT) FROM f WHERE loops > 0 UNION ALL SELECT path, 'python:unused-loop-variable', CAST(loops AS BIGINT) FROM f WHERE loops > 0""")
+def python_rules(spark, d):
+    return rules.node_findings(python_source.nodes(_sources(spark, d))).groupBy("path", "rule_id").agg(F.count("*").alias("n"))
