@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
-from quartzite.operators import clones, code, findings, graphs, history, rules
-from quartzite.sources import python_source, reports
+from quartzite.operators import clones, code, findings, fixpoints, flow, graphs, history, rules
+from quartzite.sources import python_source, reports, sinks
+from quartzite.streaming import policy_state
 from quartzite.plans.bindings import (
-    EDGES_SQL, FOUND_SQL, LINES_SQL, MARKER, RANK_SQL, found, function_lines, lines, nation_edges, table,
+    EDGES_SQL, FOUND_SQL, LINES_SQL, MARKER, RANK_SQL, found, function_lines, lines, nation_edges, q, table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,3 +630,99 @@ UNION ALL SELECT path, 'python:missing-docstring-on-public-api', CAST(fns AS BIG
 UNION ALL SELECT path, 'python:print-debug-left-in-code', CAST(loops AS BIGINT) FROM f WHERE loops > 0 UNION ALL SELECT path, 'python:unused-loop-variable', CAST(loops AS BIGINT) FROM f WHERE loops > 0""")
 def python_rules(spark, d):
     return rules.node_findings(python_source.nodes(_sources(spark, d))).groupBy("path", "rule_id").agg(F.count("*").alias("n"))
+
+
+# --- closures, sinks, scalars, scopes ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, pair AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge),
+walk AS (SELECT a AS node, a AS at FROM pair UNION SELECT node, b FROM walk JOIN pair ON at = a) SELECT node, min(at) AS root FROM walk GROUP BY node""")
+def unified_classes(spark, d):
+    return fixpoints.equivalence(_edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT n_nationkey AS name FROM nation WHERE n_regionkey = 4 UNION SELECT dst FROM walk JOIN edge ON src = name) SELECT 'all' AS path, name FROM walk""")
+def taint_reach(spark, d):
+    assigns = _edges(spark, d).select(F.lit("all").alias("path"), F.col("dst").alias("target"), F.col("src").alias("source"))
+    sources = table(spark, d, "nation").where("n_regionkey = 4").select(F.lit("all").alias("path"), F.col("n_nationkey").alias("name"))
+    return fixpoints.tainted(assigns, sources)
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, up AS (SELECT src AS type, max(dst) AS base FROM edge GROUP BY src), walk AS (SELECT type, base AS ancestor FROM up
+UNION SELECT w.type, u.base FROM walk w JOIN up u ON w.ancestor = u.type) SELECT type, ancestor FROM walk WHERE type <> ancestor""")
+def class_ancestors(spark, d):
+    up = _edges(spark, d).groupBy(F.col("src").alias("type")).agg(F.max("dst").alias("base"))
+    return fixpoints.ancestors(up)
+
+
+@query(f"""WITH {EDGES_SQL} SELECT 'flowchart LR' || chr(10) || string_agg(DISTINCT '  "' || src || '" --> "' || dst || '"', chr(10) ORDER BY '  "' || src || '" --> "' || dst || '"') AS chart FROM edge""")
+def mermaid_chart(spark, d):
+    return sinks.mermaid(_edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
+
+
+@query(f"""WITH {FOUND_SQL} SELECT printf('%s:%d [%s] %s: %s', CAST(path AS VARCHAR), line, severity, rule_id, issue_type) AS line FROM found""")
+def text_report(spark, d):
+    f = found(spark, d).select(F.col("path").cast("string").alias("path"), F.col("line").alias("start_line"), "severity", "rule_id", F.col("issue_type").alias("message"))
+    return sinks.text_report(f)
+
+
+@query("""SELECT page_id, CASE WHEN strpos(p, '/') = 0 THEN '(root)' ELSE array_to_string(list_slice(string_split(p, '/'), 1, least(2, len(string_split(p, '/')) - 1)), '/') END AS component
+FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)""")
+def page_components(spark, d):
+    return table(spark, d, "pages").select("page_id", S.component_of(F.regexp_replace("url", "^[a-z]+://", "")).alias("component"))
+
+
+@query("""SELECT CASE WHEN value / 20 >= 9 THEN 'Blocker' WHEN value / 20 >= 7 THEN 'Critical' WHEN value / 20 >= 4 THEN 'Major' WHEN value > 0 THEN 'Minor' ELSE 'Info' END AS severity, count(*) AS n FROM events GROUP BY 1""")
+def cvss_bands(spark, d):
+    return table(spark, d, "events").groupBy(S.cvss_severity(F.col("value") / 20).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES_SQL}, k AS (SELECT regexp_replace(text, '[ \\t\\r\\f]+', '', 'g') AS key, path FROM line) SELECT key AS line_key, count(*) AS n, count(DISTINCT path) AS files
+FROM k WHERE key <> '' GROUP BY key HAVING count(*) > 3""")
+def repeated_lines(spark, d):
+    k = lines(spark, d).select(S.line_key(F.col("text")).alias("line_key"), "path").where("line_key <> ''")
+    per = k.groupBy("line_key", "path").agg(F.count("*").alias("k"))
+    return per.groupBy("line_key").agg(F.sum("k").alias("n"), F.count("*").alias("files")).where("n > 3")
+
+
+@query("""WITH o AS (SELECT user_id % 50 AS project, CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS scope, max(event_id) AS definition FROM events WHERE event_id % 7 = 0 GROUP BY ALL)
+SELECT project, arg_max(definition, scope) AS definition, max(scope) AS scope FROM o GROUP BY project""")
+def override_scope(spark, d):
+    e = table(spark, d, "events").where("event_id % 7 = 0")
+    scope = S.lookup(F.col("event_type"), {"click": 2, "view": 1}, 0)
+    o = e.groupBy((F.col("user_id") % 50).alias("project"), scope.alias("scope")).agg(F.max("event_id").alias("definition"))
+    return o.groupBy("project").agg(F.max_by("definition", "scope").alias("definition"), F.max("scope").alias("scope"))
+
+
+PROVIDER_SQL = " UNION ALL ".join(f"SELECT '{r.rule_id}' AS rule_id, count(*) FILTER (regexp_matches(text, '{q(r.pattern)}')) AS n FROM line" for r in rules.PROVIDERS)
+
+
+@query(f"WITH {LINES_SQL} {PROVIDER_SQL}")
+def provider_secrets(spark, d):
+    counts = F.explode(F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"n{i}").alias("n")) for i, r in enumerate(rules.PROVIDERS)))).alias("c")
+    return lines(spark, d).agg(*(F.count_if(F.col("text").rlike(r.pattern)).alias(f"n{i}") for i, r in enumerate(rules.PROVIDERS))).select(counts).select("c.rule_id", "c.n")
+
+
+@query("""SELECT lang, count(*) AS files, round(least(100.0, sum(n_chars) * 100.0 / (SELECT sum(n_chars) FROM documents)), 6) AS density, CAST(max(n_chars) AS BIGINT) AS largest FROM documents GROUP BY lang""")
+def language_share(spark, d):
+    docs = table(spark, d, "documents")
+    total = docs.agg(F.sum("n_chars").alias("total"))
+    per = docs.groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("n"), F.max("n_chars").alias("largest"))
+    return per.join(F.broadcast(total)).select("lang", "files", F.round(S.density(F.col("n"), F.col("total")), 6).alias("density"), "largest")
+
+
+@query()
+def points_to(spark, d):
+    kind = S.lookup((F.col("src") + F.col("dst")) % 4, {0: "address", 1: "copy", 2: "load", 3: "store"})
+    return fixpoints.points_to(_edges(spark, d).select(kind.alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query()
+def issue_workflow(spark, d):
+    t = S.lookup(F.col("event_type"), {"click": "confirm", "view": "resolve", "error": "reopen", "signup": "unconfirm", "purchase": "close"})
+    return policy_state.issue_states(table(spark, d, "events").select(F.col("user_id").alias("issue"), F.col("event_id").alias("seq"), t.alias("transition")))
+
+
+@query()
+def control_flow_complexity(spark, d):
+    return flow.flow_complexity(flow.control_flow(python_source.nodes(_sources(spark, d))))
