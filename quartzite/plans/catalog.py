@@ -636,7 +636,7 @@ def python_rules(spark, d):
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, pair AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge),
-walk AS (SELECT a AS node, a AS at FROM pair UNION SELECT node, b FROM walk JOIN pair ON at = a) SELECT node, min(at) AS root FROM walk GROUP BY node""")
+walk AS (SELECT a AS node, a AS place FROM pair UNION SELECT node, b FROM walk JOIN pair ON place = a) SELECT node, min(place) AS root FROM walk GROUP BY node""")
 def unified_classes(spark, d):
     return fixpoints.equivalence(_edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
