@@ -25,6 +25,7 @@ WIDTH = 5
 RADIUS = 16
 BLOCKS = 8
 SIMILARITY = 0.8
+WEIGHT_UNIT = 1_000_000
 BROADCAST_ROWS = 100_000  # of two or three longs each: under 5 MB
 
 
@@ -41,15 +42,17 @@ def hashes_of(df: DataFrame, text: str) -> DataFrame:
     return w.select(*df.columns, F.explode(F.array(hashed)).alias("hs"))
 
 
-def _fingerprint(hs: Column, weight: str) -> Column:
-    """Weighted SimHash of an array of structs (h, w): bit b is set if the weight of hashes that have it is over half of all."""
-    total = F.aggregate(hs, F.lit(0.0), lambda a, x: a + x[weight])
-    bit = lambda b: F.aggregate(hs, F.lit(0.0), lambda a, x: a + F.when(F.getbit(x["h"], b) == 1, x[weight]).otherwise(0.0))
-    ones = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(2 * bit(b) > total, 1).otherwise(0))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"),
-        lambda a, b: a.bitwiseOR(F.call_function("shiftleft", F.get(ones, b).cast("long"), b)),
-    )
+def fingerprints(weighed: DataFrame, *by: str) -> DataFrame:
+    """``by, fp, ws``: weighted SimHash of rows (h, w), and the rows themselves. Bit b is set if the weight of the hashes that have it
+    is over half of all; weights are whole numbers, so the sums don't depend on their order."""
+    ones = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("w")).otherwise(0)).alias(f"b{b}") for b in range(64)]
+    sums = weighed.groupBy(*by).agg(F.sum("w").alias("total"), *ones)
+    bits = [F.when(2 * F.col(f"b{b}") > F.col("total"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)]
+    fp = bits[0].cast("long")
+    for b in bits[1:]:
+        fp = fp.bitwiseOR(b.cast("long"))
+    lists = weighed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("ws"))
+    return sums.select(*by, fp.alias("fp")).join(lists, list(by))
 
 
 def _block(fp: Column | str, k: int) -> Column:
@@ -61,10 +64,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     items = materialize(hashes_of(benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("text")), "text").select("item", "hs", F.size("hs").alias("n")), "items")
     placed = items.select("item", "n", F.posexplode("hs").alias("at", "h"))
     n_items = items.count()
-    weights = placed.groupBy("h").agg(F.log(1 + n_items / F.countDistinct("item")).alias("w"))
+    weights = placed.groupBy("h").agg(F.round(WEIGHT_UNIT * F.log(1 + n_items / F.countDistinct("item"))).cast("long").alias("w"))
     n_placed = placed.count()
     small = (lambda d: F.broadcast(d)) if n_placed <= BROADCAST_ROWS else (lambda d: d)
-    fresh = math.log(1 + n_items) if n_items else 1.0
+    fresh = round(WEIGHT_UNIT * math.log(1 + n_items)) if n_items else 1
 
     source = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(15), text).alias("t"))
     hashed = hashes_of(source, "text").select("key", "t", F.posexplode("hs").alias("pos", "h"))
@@ -87,9 +90,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     )
     weighed = (
         sides.select("side", "id", "n", F.explode("part").alias("h")).join(small(weights), "h", "left")
-        .groupBy("side", "id", "n").agg(F.sort_array(F.collect_list(F.struct("h", F.coalesce("w", F.lit(fresh)).alias("w")))).alias("ws"))
+        .select("side", "id", "n", "h", F.coalesce("w", F.lit(fresh).cast("long")).alias("w"))
     )
-    printed = materialize(weighed.withColumn("fp", _fingerprint(F.col("ws"), "w")), "prints")
+    printed = materialize(fingerprints(materialize(weighed, "weighed"), "side", "id", "n"), "prints")
     flips = [0]
     for r in range(1, radius // BLOCKS + 1):
         flips += [sum(1 << b for b in c) for c in combinations(range(8), r)]
@@ -99,7 +102,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     pairs = asked.select("id", "n", F.col("p.b").alias("b"), F.col("p.v").alias("v")).join(posted, ["n", "b", "v"]).select("id", "item").distinct()
     a = printed.where("side = 0").select("id", F.col("fp").alias("fa"), F.col("ws").alias("wa"))
     b = printed.where("side = 1").select(F.col("id").alias("item"), F.col("fp").alias("fb"), F.col("ws").alias("wb"))
-    weight = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, x: s + x["w"])
+    weight = lambda ws: F.aggregate(ws, F.lit(0).cast("long"), lambda s, x: s + x["w"])
     common = weight(F.array_intersect("wa", "wb"))
     verified = (
         pairs.join(a, "id").join(b, "item")
