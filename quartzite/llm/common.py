@@ -17,8 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, else a folder of this machine (tests only)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quartzite-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="quartzite-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
