@@ -21,6 +21,7 @@ MIN_SITES = 3
 MIN_WORDS = 3
 SKETCH_BITS = 12
 BAND = 0.5
+SALTS = 16
 NEWLINE = "\n"
 
 
@@ -43,17 +44,18 @@ def line_table(docs: DataFrame, key: str, text: str, site: str, min_words: int)
 
 def spread(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """``k1, k2, first``: lines on at least ``min_sites`` sites, and where they come first."""
-    ends = lines.groupBy("k1", "k2").agg(F.min("site").alias("a"), F.max("site").alias("b"))
+    # a line's occurrences fold into one row a site before anything meets by line, so a line on every page weighs no more than its sites
+    by_site = materialize(lines.groupBy("k1", "k2", "site").agg(F.min(F.struct("_key", "_qz_text", "pos")).alias("first")), "sites")
+    ends = by_site.groupBy("k1", "k2").agg(F.min("site").alias("a"), F.max("site").alias("b"))
     several = (ends.where("a <> b") if min_sites > 1 else ends).select("k1", "k2")
-    seen = lines.join(several, ["k1", "k2"])
-    sketched = seen.groupBy("k1", "k2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("estimate"), F.min(F.struct("_key", "_qz_text", "pos")).alias("first")
+    parts = by_site.join(several, ["k1", "k2"]).groupBy("k1", "k2", F.pmod("site", F.lit(SALTS)).alias("salt")).agg(
+        F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"), F.min("first").alias("first")
     )
+    sketched = parts.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"), F.min("first").alias("first"))
     sketched = materialize(sketched, "spread")
     margin = max(band, 5 * 1.04 / 2 ** (SKETCH_BITS / 2) * min_sites)
     near = sketched.where(F.abs(F.col("estimate") - min_sites) <= margin)
-    sites = lines.join(near.select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "site").distinct()
-    exact = sites.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("k1", "k2")
+    exact = by_site.join(near.select("k1", "k2"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("k1", "k2")
     sure = sketched.where(F.col("estimate") - min_sites > margin)
     return sure.select("k1", "k2", "first").unionByName(near.join(exact, ["k1", "k2"]).select("k1", "k2", "first"))
 
