@@ -40,6 +40,7 @@ FEATURE_SHARE = 0.002  # of the texts sampled
 MIN_PRECISION = 0.9
 SEED_PRECISION = 0.5
 FEATURES = 1 << 22
+CACHE_WORDS = 150_000
 BEGINNINGS = (3, 4, 5, 6)
 
 #: Seed lexicon: common English words of insult, by group.
@@ -120,7 +121,7 @@ class Voters:
         for w in words:
             own = self.known.get(w)
             if own is None:
-                if len(self.known) > 300_000:
+                if len(self.known) > CACHE_WORDS:
                     self.known.clear()
                 own = self.known[w] = self._hits(w)
             if own:
@@ -195,25 +196,28 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str, text: str,
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.binary()), pa.array(ids, pa.binary())], ["votes", "ids"])
 
     texts = bounded_sample(docs.where(train & F.col(text).isNotNull()), key, unlabelled_rows, 9)
-    got = sorted((bytes(r.ids), bytes(r.votes)) for r in texts.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "votes binary, ids binary").collect())
+    got = [(bytes(r.ids), bytes(r.votes)) for r in texts.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "votes binary, ids binary").toLocalIterator()]
+    got.sort()
     if not got:
         return None
     posterior, _ = label_model(np.array([np.frombuffer(v, np.int8) for _, v in got]), share)
-    rows_at = [np.frombuffer(ids, np.uint32).astype(np.int64) for ids, _ in got]
     # features that are too rare to be learned, or mostly stand in texts that the label model holds clean, are left out
-    count = np.bincount(np.concatenate(rows_at), minlength=FEATURES)
-    toxic = np.bincount(np.concatenate(rows_at), np.repeat(posterior, [len(at) for at in rows_at]), minlength=FEATURES)
-    telling = (count >= max(MIN_SUPPORT, FEATURE_SHARE * len(got))) & (toxic >= SEED_PRECISION * count)
-    rows_at = [at[telling[at]] for at in rows_at]
-    w, bias = fit_positive(rows_at, posterior)
-    some = np.flatnonzero(w)
-    return {"at": some.astype(np.int64), "w": w[some], "bias": bias}
-
-
-def fit_positive(rows: list[np.ndarray], target: np.ndarray, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.01) -> tuple[np.ndarray, float]:
+    rows = [np.frombuffer(ids, np.uint32) for ids, _ in got]
+    count, toxic = np.zeros(FEATURES, np.int32), np.zeros(FEATURES, np.float32)
+    for at, p in zip(rows, posterior, strict=True):  # the features of a text are distinct
+        count[at] += 1
+        toxic[at] += p
+    telling = np.flatnonzero((count >= max(MIN_SUPPORT, FEATURE_SHARE * len(rows))) & (toxic >= SEED_PRECISION * count))
+    del count, toxic
+    kept = [np.searchsorted(telling, at[np.isin(at, telling)]) for at in rows]
+    w, bias = fit_positive(kept, posterior, len(telling))
+    return {"at": telling.astype(np.int64), "w": w, "bias": bias}
+
+
+def fit_positive(rows: list[np.ndarray], target: np.ndarray, features: int, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.01) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features by FTRL-proximal with elastic net and weights of zero or more: a pattern can speak for
     toxicity, only the bias against it."""
-    z, n = np.zeros(FEATURES), np.zeros(FEATURES)
+    z, n = np.zeros(features), np.zeros(features)
     base = float(np.clip(np.mean(target), 1e-3, 1 - 1e-3))
     bias = start = float(np.log(base / (1 - base)))
     bias_z = bias_n = 0.0
@@ -251,7 +255,7 @@ class Scorer:
         known, weight, z = self.known, self.weight, []
         for t in byte_values(texts):
             words = set(letter_words(t))
-            if len(known) > 1_000_000:
+            if len(known) > CACHE_WORDS:
                 known.clear()
             for w in words:
                 if w not in known:
