@@ -321,7 +321,10 @@ def test_packing(spark, edge):
                 assert offset == at
                 at += length
             assert at <= cap
-    assert len(rows) == 500 and len(seqs) <= packing.lower_bound(np.array([r.length for r in rows]), 100) + 2
+    # groups as small as 40 pieces are certified each by itself, which costs more bins than one group does (247 to 228 here)
+    bound = packing.lower_bound(np.array([r.length for r in rows]), 100)
+    assert len(rows) == 500 and len(seqs) <= 1.1 * bound
+    assert packing.pack(parts, 100).select("sequence_id").distinct().count() <= bound + 2
     assert packing.pack_documents(edge.limit(0)).count() == 0
 
 
