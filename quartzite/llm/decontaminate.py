@@ -3,9 +3,9 @@
 Texts and items are normalised to lower-case words and their hashed five-word shingles (fewer words: one shingle). A window is as many
 shingles of a document as an item has; windows are taken wherever a shared shingle lines an item up with the document, because a
 window without any shared shingle has similarity 0. Each window gets a weighted SimHash of 64 bits; items are indexed by their
-fingerprint in ``BLOCKS`` blocks of 8 bits with every block value within ``radius / BLOCKS`` flips, so a window finds every item of its
-size within ``radius`` bits. Candidates are verified by the exact weighted Jaccard similarity of their shingle sets; the weight of a shingle is
-its inverse item frequency.
+fingerprint in ``BLOCKS`` blocks of 8 bits with every block value within ``radius // BLOCKS`` flips, so a window finds every item of its
+size within ``radius`` bits, and more beyond. The exact weighted Jaccard similarity of the shingle sets alone decides on what the index finds;
+the weight of a shingle is its inverse item frequency.
 
 Defined results: null and empty texts match nothing, and neither do empty items; repeated rows and items each match; a null doc_id is
 carried; extra columns are not read; an empty table or benchmark gives an empty table.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quartzite.llm.common import materialize
 
 WIDTH = 5
-RADIUS = 16
+RADIUS = 23  # 8 blocks within 2 flips each: of 8 * 3 - 1 differing bits some block has 2 at most
 BLOCKS = 8
 SIMILARITY = 0.8
 WEIGHT_UNIT = 1_000_000
@@ -43,7 +43,7 @@ def hashes_of(df: DataFrame, text: str) -> DataFrame:
 
 
 def fingerprints(weighed: DataFrame, *by: str) -> DataFrame:
-    """``by, fp, ws``: weighted SimHash of rows (h, w), and the rows themselves. Bit b is set if the weight of the hashes that have it
+    """``by, fp, total, ws``: weighted SimHash of rows (h, w), their weight, and the rows themselves. Bit b is set if the weight of the hashes that have it
     is over half of all; weights are whole numbers, so the sums don't depend on their order."""
     ones = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("w")).otherwise(0)).alias(f"b{b}") for b in range(64)]
     sums = weighed.groupBy(*by).agg(F.sum("w").alias("total"), *ones)
@@ -52,7 +52,7 @@ def fingerprints(weighed: DataFrame, *by: str) -> DataFrame:
     for b in bits[1:]:
         fp = fp.bitwiseOR(b.cast("long"))
     lists = weighed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("ws"))
-    return sums.select(*by, fp.alias("fp")).join(lists, list(by))
+    return sums.select(*by, fp.alias("fp"), "total").join(lists, list(by))
 
 
 def _block(fp: Column | str, k: int) -> Column:
@@ -100,17 +100,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     posted = posted.select(F.col("id").alias("item"), "n", F.col("p.b").alias("b"), F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: F.col("p.v").bitwiseXOR(f))).alias("v"))
     asked = printed.where("side = 0").select("id", "n", "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("b"), _block("fp", k).alias("v")) for k in range(BLOCKS)))).alias("p"))
     pairs = asked.select("id", "n", F.col("p.b").alias("b"), F.col("p.v").alias("v")).join(posted, ["n", "b", "v"]).select("id", "item").distinct()
-    a = printed.where("side = 0").select("id", F.col("fp").alias("fa"), F.col("ws").alias("wa"))
-    b = printed.where("side = 1").select(F.col("id").alias("item"), F.col("fp").alias("fb"), F.col("ws").alias("wb"))
-    weight = lambda ws: F.aggregate(ws, F.lit(0).cast("long"), lambda s, x: s + x["w"])
-    common = weight(F.array_intersect("wa", "wb"))
+    a = printed.where("side = 0").select("id", F.col("fp").alias("fa"), F.col("total").alias("ta"), F.col("ws").alias("wa"))
+    b = printed.where("side = 1").select(F.col("id").alias("item"), F.col("fp").alias("fb"), F.col("total").alias("tb"), F.col("ws").alias("wb"))
+    common = F.aggregate(F.array_intersect("wa", "wb"), F.lit(0).cast("long"), lambda s, x: s + x["w"])
     verified = (
         pairs.join(a, "id").join(b, "item")
-        .withColumn("distance", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))))
-        .where(F.col("distance") <= radius)
-        .withColumn("similarity", common / (weight(F.col("wa")) + weight(F.col("wb")) - common))
+        # pairs without a common shingle, nearly all, have similarity 0; only the others are worth the intersection
+        .withColumn("similarity", F.when(F.arrays_overlap("wa.h", "wb.h"), common / (F.col("ta") + F.col("tb") - common)))
         .where(F.col("similarity") >= similarity - 1e-9)
-        .select("id", "item", "distance", "similarity")
+        .select("id", "item", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"), "similarity")
     )
     found = cut.select("key", "start", F.xxhash64("n", "part").alias("id")).join(verified, "id")
     return found.select("key", "item", "start", "distance", "similarity")

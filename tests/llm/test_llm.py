@@ -137,6 +137,20 @@ def test_decontaminate(spark, edge):
     assert decontaminate.report(edge.limit(0), bench).count() == 0
 
 
+def test_decontaminate_at_the_threshold(spark):
+    """Windows at similarity 0.8 exactly, whose fingerprints differ in up to 20 bits and more, are all found."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    items = [[word() for _ in range(49)] for _ in range(400)]  # 45 shingles; another word in the middle leaves 40 of them
+    texts = [" ".join([*w[:24], word(), *w[25:]]) for w in items]
+    for w, t in zip(items[:20], texts, strict=False):
+        p, q = ({tuple(x[i : i + 5]) for i in range(45)} for x in (w, t.split()))
+        assert len(p & q) / len(p | q) == 0.8
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id int, text string")
+    rows = decontaminate.report(docs(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, i) for i in range(400)} and max(r.distance for r in rows) > 16
+
+
 # 7 --------------------------------------------------------------------------------------------------------------------------
 
 
