@@ -1,9 +1,10 @@
 """Fixpoints over small relations of facts: taint, points-to, equivalence, datalog, ancestors. Each round joins what is new with the
-facts, drops what is known by an anti-join, and cuts its lineage; rounds are bounded."""
+facts, drops what is known by an anti-join, and cuts its lineage, until nothing is new; with a bound on the rounds, more of them raise."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,16 +12,17 @@ from pyspark.sql import functions as F
 from quartzite.operators.shared import cut
 
 
-def close(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], rounds: int = 50) -> DataFrame:
+def close(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], rounds: int | None = None) -> DataFrame:
     """The least relation that holds ``start`` and, with every row, what ``step(new, all)`` derives from it."""
     known = cut(start.distinct())
     new = known
-    for _ in range(rounds):
+    for turn in count(1):
         new = cut(step(new, known).distinct().join(known, known.columns, "left_anti"))
         if not new.limit(1).count():
-            break
+            return known
+        if turn == rounds:
+            raise RuntimeError("the closure did not settle")
         known = cut(known.unionByName(new))
-    return known
 
 
 def tainted(assigns: DataFrame, sources: DataFrame) -> DataFrame:
@@ -50,27 +52,28 @@ def points_to(constraints: DataFrame) -> DataFrame:
     return close(of("address").select(F.col("a").alias("pointer"), F.col("b").alias("target")), step)
 
 
-def equivalence(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def equivalence(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node, root``: unification classes, named by their least member."""
     both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
-    for _ in range(rounds):
+    for turn in count(1):
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("r"))
         after = cut(label.join(near, "node").select("node", F.least("root", "r").alias("root")))
         changed = after.join(label.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
         label = after
         if not changed:
-            break
-    return label
+            return label
+        if turn == rounds:
+            raise RuntimeError("the classes did not settle")
 
 
-def datalog(facts: DataFrame, rules: list[tuple[str, str]], rounds: int = 50) -> DataFrame:
+def datalog(facts: DataFrame, rules: list[tuple[str, str]], rounds: int | None = None) -> DataFrame:
     """Facts ``relation, terms`` closed under rules head <- body of one literal each; the terms are copied as they are."""
     table = facts.sparkSession.createDataFrame(rules, "head string, body string")
     return close(facts.select("relation", "terms"), lambda new, _: new.join(F.broadcast(table.withColumnRenamed("body", "relation")), "relation").select(F.col("head").alias("relation"), "terms"), rounds)
 
 
-def ancestors(parents: DataFrame, rounds: int = 50) -> DataFrame:
+def ancestors(parents: DataFrame, rounds: int | None = None) -> DataFrame:
     """``type, ancestor`` of superclass chains, safe on cycles. ``parents``: type, base."""
     start = parents.select("type", F.col("base").alias("ancestor"))
     up = parents.select(F.col("type").alias("ancestor"), F.col("base").alias("above"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
+from quartzite.operators.fixpoints import close
 from quartzite.operators.shared import cut
 
 
@@ -69,12 +70,51 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def cycles(edges: DataFrame, max_depth: int) -> DataFrame:
-    """``node, scc`` of nodes on a cycle; scc is the least member. Mutual reachability within the depth."""
-    far = reach(edges, edges.select(F.col("src").alias("node")).distinct(), max_depth).where("depth > 0 or root = node")
-    pairs = far.select("root", "node").where("root <> node")
-    mutual = pairs.join(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"])
-    return mutual.groupBy(F.col("root").alias("node")).agg(F.least(F.min("node"), F.col("root")).alias("scc"))
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without a way in or a way out go, again and again."""
+    n = edges.count()
+    while n:
+        ends = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        edges = cut(edges.join(ends[0], "dst", "left_semi").join(ends[1], "src", "left_semi").select("src", "dst"))
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
+def _least_above(edges: DataFrame) -> DataFrame:
+    """``node, root``: the least node that reaches each, itself included."""
+    label = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("root", F.col("node")))
+    while True:
+        near = edges.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("r"))
+        after = cut(label.join(near, "node", "left").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")))
+        label = after.select("node", "root")
+        if not after.where("moved").limit(1).count():
+            return label
+
+
+def cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``node, scc`` of nodes on a cycle; scc is the least member. Whole strongly connected components, or with ``max_depth`` mutual
+    reachability within so many hops. Nodes are coloured by the least node that reaches them; those that reach it in turn are its
+    component and go, and edges between colours with them, until no edge is left. All relations grow with the edges only."""
+    if max_depth is not None:
+        far = reach(edges, edges.select(F.col("src").alias("node")).distinct(), max_depth)
+        pairs = far.select("root", "node").where("root <> node")
+        mutual = pairs.join(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"])
+        return mutual.groupBy(F.col("root").alias("node")).agg(F.least(F.min("node"), F.col("root")).alias("scc"))
+    left = _trimmed(cut(component_edges(edges)))
+    found = left.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
+    while left.limit(1).count():
+        color = _least_above(left)
+        ends = [color.select(F.col("node").alias(end), F.col("root").alias(f"r_{end}")) for end in ("src", "dst")]
+        same = cut(left.join(ends[0], "src").join(ends[1], "dst").where("r_src = r_dst").select("src", "dst", F.col("r_src").alias("scc")))
+        back = same.select("scc", F.col("dst").alias("node"), "src")
+        start = color.where("node = root").select("node", F.col("root").alias("scc"))
+        members = close(start, lambda new, _, back=back: new.join(back, ["scc", "node"]).select(F.col("src").alias("node"), "scc"))
+        found = found.unionByName(members.join(members.where("node <> scc").select("scc").distinct(), "scc", "left_semi").select("node", "scc"))
+        rest = same.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = _trimmed(cut(rest.select("src", "dst")))
+    return found
 
 
 def shortest_untested(edges: DataFrame, coverage: DataFrame, max_depth: int) -> DataFrame:

@@ -457,7 +457,7 @@ def reachability(spark, d):
 @query(_reach_sql("SELECT DISTINCT src AS node FROM edge") + """ SELECT a.root AS node, least(min(a.node), a.root) AS scc FROM far a JOIN far b ON a.root = b.node AND a.node = b.root
 WHERE a.root <> a.node GROUP BY a.root""")
 def scc_members(spark, d):
-    return graphs.cycles(_edges(spark, d), DEPTH)
+    return graphs.cycles(_edges(spark, d))
 
 
 @query(f"WITH {EDGES_SQL} SELECT n_nationkey AS node FROM nation WHERE NOT EXISTS (SELECT 1 FROM edge WHERE dst = n_nationkey)")

@@ -49,6 +49,13 @@ def test_cycles_and_reach(spark):
     assert sorted((r.node, r.depth) for r in far.collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
 
 
+def test_long_cycles_are_whole(spark):
+    ring = [(i, (i + 1) % 11) for i in range(11)]
+    e = spark.createDataFrame([*ring, (3, 20), (20, 21), (21, 22), (22, 20), (22, 30), (30, 31), (31, 31)], "src int, dst int")
+    assert sorted(tuple(r) for r in graphs.cycles(e).collect()) == [(i, 0) for i in range(11)] + [(20, 20), (21, 20), (22, 20)]
+    assert graphs.cycles(e.limit(0)).count() == 0
+
+
 def one(spark, text):
     return spark.createDataFrame([("r", text)], "report string, content string")
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quartzite.operators import code, fixpoints, rules
@@ -116,3 +117,14 @@ def test_sinks(spark):
     assert json.loads(sinks.findings_json(f, m).first().report)["measures"] == {"ncloc": 5.0}
     assert sinks.text_report(f).first().line == "p.py:3 [Blocker] r:x: m"
     assert sinks.mermaid(spark.createDataFrame([("a", "b")], "src string, dst string")).first().chart == 'flowchart LR\n  "a" --> "b"'
+
+
+def test_unfinished_fixpoints_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "type int, base int")
+    assert fixpoints.ancestors(chain, 6).count() == 21
+    with pytest.raises(RuntimeError):
+        fixpoints.ancestors(chain, 3)
+    pairs = chain.toDF("a", "b")
+    assert {r.root for r in fixpoints.equivalence(pairs, 7).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        fixpoints.equivalence(pairs, 3)
