@@ -1,12 +1,12 @@
 """Language-model scores by a class bigram model after Brown et al., with classes from exchange clustering.
 
-Words are bytes between ASCII white space, lower-cased A-Z; every text ends with an end token. Pass 1 finds the frequent words
-(at least 1 in ``2 * frequent`` tokens of some batch, the ``frequent`` commonest of those). Pass 2 turns texts into units: a
-frequent word is a unit of its own, all other words belong to one of ``endings`` units by their ending, so each word has a class
-through its unit. It returns counts of unit bigrams, and postings of the other words packed by word hash. The word counts, which
-grow with the corpus, meet in hash buckets: each bucket sums exact training counts of its words and returns what they add to
-each document. Exchange clustering moves units between classes to the greatest class-bigram likelihood; its input is the
-square table of unit bigrams, of fixed size. The score of a text is the sum of log10 P(class | previous class) and
+Words are bytes between ASCII white space, lower-cased A-Z; every text ends with an end token. Pass 1 counts all training words
+and takes the ``frequent`` commonest. Pass 2 turns texts into units: a frequent word is a unit of its own, all other words belong to
+one of ``endings`` units by their ending. Exchange clustering moves units between classes to the greatest class-bigram likelihood;
+its input is the square table of unit bigrams, of fixed size. Then every other word gets a class of its own: the occurrences of a
+word, with the units before and after, meet in hash buckets, and each learned word takes the class that its neighbours' classes speak
+for, with the class table fixed; only words that aren't learned stay with their ending. Classes and exact counts go back to
+the places of the words, and the class bigrams are counted anew. The score of a text is the sum of log10 P(class | previous class) and
 log10 P(word | class); P(word | class) is (c + 0.5) / (n + 0.5 (v + 1)) over the class's tokens n and distinct words v.
 
 Words are told apart by a 64-bit hash in the buckets. Defined results: null text is empty and has the end token alone; a null
@@ -33,6 +33,8 @@ ENDINGS = 256
 CLASSES = 64
 SWEEPS = 6
 SLICES = 8
+BATCH_ROWS = 4096  # texts met at once
+HELD_WORDS = 200_000  # of a task before it hands its counts on
 END = b""
 
 
@@ -46,18 +48,21 @@ def ending_unit(word: bytes, endings: int) -> int:
 
 
 def frequent_words(docs: DataFrame, count: int) -> list[bytes]:
-    """The commonest words of the training texts, at most ``count``."""
+    """The commonest words of the training texts by their exact counts, at most ``count``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def sums() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
         for b in batches:
-            seen: Counter = Counter()
             for t in byte_values(b.column(0)):
                 seen.update(words_of(t))
-            least = max(1, sum(seen.values()) // (2 * count))
-            often = [(w, n) for w, n in seen.items() if n >= least]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in often], pa.binary()), pa.array([n for _, n in often], pa.int64())], ["word", "n"]
-            )
+                if len(seen) > HELD_WORDS:
+                    yield sums()
+                    seen.clear()
+        yield sums()
 
     found = docs.where("train").select("text").mapInArrow(run, "word binary, n long")
     top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(count)
@@ -77,7 +82,8 @@ def _units(docs: DataFrame, kind: str, frequent: list[bytes], endings: int, buck
         context = TaskContext.get()
         task = context.partitionId() if context else 0
         grams = np.zeros(total * total, np.int64)
-        for turn, b in enumerate(batches):
+        parts = (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+        for turn, b in enumerate(parts):
             batch = task << 24 | turn
             train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             known = dict(own)
@@ -92,6 +98,7 @@ def _units(docs: DataFrame, kind: str, frequent: list[bytes], endings: int, buck
             lengths = np.array(lengths, np.int64)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             rare = list(known)[n_own:]
+            del ids
             unit_of = np.concatenate([np.arange(n_own), n_own + np.fromiter((ending_unit(w, endings) for w in rare), np.int64, len(rare))]).astype(np.int32)
             units = unit_of[flat]
             row = np.repeat(np.arange(len(lengths)), lengths)
@@ -102,30 +109,35 @@ def _units(docs: DataFrame, kind: str, frequent: list[bytes], endings: int, buck
             before = np.r_[np.int32(end_unit), seq[:-1]][: len(seq)]
             used = np.repeat(train, lengths + 1)
             grams += np.bincount((before.astype(np.int64) * total + seq)[used], minlength=total * total)
-            heads = pa.array([b.column(0).to_pylist()], pa.list_(b.schema.field(0).type))
-            yield _rows(kind, "seq", [batch], heads, [train.astype(np.uint8).tobytes()], [lengths.astype("<u4").tobytes()], [seq.astype("<u2").tobytes()], [b""])
-            # postings of the words that are not units
+            # the words that are not units are numbered by bucket, and the sequence row keeps their numbers in the order of the texts
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in rare), np.uint64, len(rare))
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            number = np.empty(len(rare), np.int64)
+            number[order] = np.arange(len(rare))
             mask = flat >= n_own
-            if mask.any():
-                code, tf = np.unique(flat[mask].astype(np.int64) << 32 | row[mask], return_counts=True)
-                word, doc = (code >> 32) - n_own, code & 0xFFFFFFFF
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in rare), np.uint64, len(rare))
-                bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, word, bucket[word]))
-                word, doc, tf = word[order], doc[order], tf[order]
-                cuts = np.flatnonzero(np.r_[True, bucket[word][1:] != bucket[word][:-1], True])
+            numbers, place = number[flat[mask] - n_own], at[mask]
+            del flat, units, row, at, mask, known
+            heads = pa.array([b.column(0).to_pylist()], pa.list_(b.schema.field(0).type))
+            yield _rows(kind, "seq", [batch], heads, [train.astype(np.uint8).tobytes()], [lengths.astype("<u4").tobytes()], [seq.astype("<u2").tobytes()], [numbers.astype("<u4").tobytes()])
+            # postings: how often each of them is learned, and the units before and after each time
+            if len(rare):
+                learned = used[place]
+                by_word = np.argsort(numbers[learned], kind="stable")
+                own_places = place[learned][by_word]
+                times = np.bincount(numbers[learned], minlength=len(rare))
+                ends = np.r_[0, np.cumsum(times)]
+                left, right = before[own_places], seq[own_places + 1]
+                cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
                 out: list[list] = [[], [], [], [], []]
-                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    first = np.flatnonzero(np.r_[True, word[s + 1 : e] != word[s : e - 1]])
-                    learned = np.add.reduceat(np.where(train[doc[s:e]], tf[s:e], 0), first)
-                    own_words = word[s:e][first]
-                    out[0].append(int(bucket[word[s]]) << 40 | 0)
-                    out[1].append(hashes[own_words].astype("<u8").tobytes() + unit_of[n_own + own_words].astype("<u2").tobytes())
-                    out[2].append(learned.astype("<u4").tobytes() + np.diff(np.r_[first, e - s]).astype("<u4").tobytes())
-                    out[3].append(doc[s:e].astype("<u4").tobytes() + tf[s:e].astype("<u4").tobytes())
-                    out[4].append(batch.to_bytes(8, "little"))
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    out[0].append(int(bucket[order[s]]))
+                    out[1].append(hashes[order[s:e]].astype("<u8").tobytes() + unit_of[n_own + order[s:e]].astype("<u2").tobytes())
+                    out[2].append(times[s:e].astype("<u4").tobytes())
+                    out[3].append(left[ends[s] : ends[e]].astype("<u2").tobytes() + right[ends[s] : ends[e]].astype("<u2").tobytes())
+                    out[4].append(batch.to_bytes(8, "little") + s.to_bytes(8, "little"))
                 nothing = pa.nulls(len(out[0]), pa.list_(b.schema.field(0).type))
-                yield _rows(kind, "words", [x >> 40 for x in out[0]], nothing, out[1], out[2], out[3], out[4])
+                yield _rows(kind, "words", out[0], nothing, out[1], out[2], out[3], out[4])
         for k in range(SLICES):
             part = grams[len(grams) * k // SLICES : len(grams) * (k + 1) // SLICES]
             some = np.flatnonzero(part)
@@ -145,37 +157,55 @@ def _units(docs: DataFrame, kind: str, frequent: list[bytes], endings: int, buck
     return docs.mapInArrow(run, schema)
 
 
-def _counts(words: DataFrame, total: int) -> DataFrame:
-    """Per bucket: exact training counts, what they add to each document (rows with a batch), and distinct words by unit (batch -1)."""
+def affinity(table: np.ndarray) -> np.ndarray:
+    """Log ratio of each class bigram's count to what it would be by chance, drawn to 0 where little is expected."""
+    expected = np.outer(table.sum(1), table.sum(0)) / max(1.0, table.sum())
+    return np.log((table + 0.5) / (expected + 0.5))
+
+
+def _classed(words: DataFrame, label: np.ndarray, table: np.ndarray, classes: int) -> DataFrame:
+    """Per bucket: exact training counts and the class of the words of each batch, from the number ``start`` on, and distinct learned
+    words by class (batch -1). A word takes the class that its own neighbours' classes speak for most, the class table being
+    fixed; a word that isn't learned takes that of its ending."""
+    near, free = affinity(table), max(1, classes - 1)
+    after, ahead = near[:, :free], near[:free].T.copy()  # by the class before, by the class that follows
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, units, learned, spans = [], [], [], []
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            n = len(a) // 10
+        hashes, units, times, lefts, rights = [], [], [], [], []
+        for a, b, c in zip(pdf["a"], pdf["b"], pdf["c"], strict=True):
+            n, m = len(a) // 10, len(c) // 4
             hashes.append(np.frombuffer(a, "<u8", n))
             units.append(np.frombuffer(a, "<u2", n, 8 * n))
-            learned.append(np.frombuffer(b, "<u4", n))
-            spans.append(np.frombuffer(b, "<u4", n, 4 * n))
+            times.append(np.frombuffer(b, "<u4", n))
+            lefts.append(np.frombuffer(c, "<u2", m))
+            rights.append(np.frombuffer(c, "<u2", m, 2 * m))
         word, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        c = np.bincount(back, np.concatenate(learned), minlength=len(word)).astype(np.int64)
-        unit = np.concatenate(units)[first]
-        types = np.bincount(unit[c > 0], minlength=total)
-        out = {"batch": [-1], "doc": [b""], "add": [types.astype("<u8").tobytes()], "known": [b""]}
+        own = np.repeat(back, np.concatenate(times))
+        order = np.argsort(own, kind="stable")
+        own, left, right = own[order], label[np.concatenate(lefts)[order]], label[np.concatenate(rights)[order]]
+        c = np.bincount(own, minlength=len(word))
+        chosen = label[np.concatenate(units)[first]]
+        ends = np.r_[0, np.cumsum(c)]
+        for s in range(0, len(word), 4096):
+            some = min(4096, len(word) - s)
+            part = slice(ends[s], ends[s + some])
+            at = (own[part] - s) * classes
+            l, r = (np.bincount(at + x[part], minlength=some * classes).reshape(some, classes).astype(np.float64) for x in (left, right))
+            best = np.argmax(l @ after + r @ ahead, axis=1)
+            chosen[s : s + some] = np.where(c[s : s + some] > 0, best, chosen[s : s + some])
+        types = np.bincount(chosen[c > 0], minlength=classes)
+        out = {"batch": [-1], "start": [0], "class": [types.astype("<u8").tobytes()], "n": [b""]}
         at = 0
-        gain = np.log10(c + 0.5)
-        for n, s, posts, batch in zip(map(len, hashes), spans, pdf["c"], pdf["d"], strict=True):
-            own = np.repeat(back[at : at + n], s)
+        for n, d in zip(map(len, hashes), pdf["d"], strict=True):
+            mine = back[at : at + n]
+            out["batch"].append(int.from_bytes(d[:8], "little"))
+            out["start"].append(int.from_bytes(d[8:], "little"))
+            out["class"].append(chosen[mine].astype("<u2").tobytes())
+            out["n"].append(c[mine].astype("<u4").tobytes())
             at += n
-            m = len(posts) // 8
-            doc, tf = np.frombuffer(posts, "<u4", m), np.frombuffer(posts, "<u4", m, 4 * m)
-            docs, inverse = np.unique(doc, return_inverse=True)
-            out["batch"].append(int.from_bytes(batch, "little"))
-            out["doc"].append(docs.astype("<u4").tobytes())
-            out["add"].append(np.bincount(inverse, gain[own] * tf, minlength=len(docs)).astype("<f8").tobytes())
-            out["known"].append(np.bincount(inverse, np.where(c[own] > 0, tf, 0), minlength=len(docs)).astype("<u4").tobytes())
         return pd.DataFrame(out)
 
-    return words.groupBy("id").applyInPandas(run, "batch long, doc binary, add binary, known binary")
+    return words.groupBy("id").applyInPandas(run, "batch long, start long, class binary, n binary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -240,7 +270,6 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     total = len(own) + endings + 1
     buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = materialize(_units(source, kind, own, endings, buckets), "units")
-    added = materialize(_counts(parts.where("what = 'words'").select("id", "a", "b", "c", "d"), total), "counts")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         size = total * total
@@ -256,58 +285,84 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     grams = grams.reshape(total, total)
     count = grams.sum(0)  # training tokens of each unit
 
-    def add_types(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [sum(np.frombuffer(x, "<u8") for x in pdf["add"]).astype("<u8").tobytes()]})
+    label = exchange(grams, classes, sweeps)
+    member = np.zeros((total, classes))
+    member[np.arange(total), label] = 1
+    added = materialize(_classed(parts.where("what = 'words'").select("id", "a", "b", "c", "d"), label, member.T @ grams @ member, classes), "classed")
+
+    def summed(rows: DataFrame, length: int) -> np.ndarray:
+        """The sum of the arrays of longs in column n, added up in groups first."""
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"n": [sum(np.frombuffer(x, "<u8") for x in pdf["n"]).astype("<u8").tobytes()]})
+
+        out = np.zeros(length, np.int64)
+        for r in rows.withColumn("g", F.expr("pmod(xxhash64(n), 16)")).groupBy("g").applyInPandas(add, "n binary").collect():
+            out += np.frombuffer(bytes(r.n), "<u8").astype(np.int64)
+        return out
 
-    types = np.zeros(total, np.int64)
-    per_bucket = added.where("batch = -1").select("add", F.expr("pmod(xxhash64(add), 16)").alias("g"))
-    for r in per_bucket.groupBy("g").applyInPandas(add_types, "n binary").collect():
-        types += np.frombuffer(bytes(r.n), "<u8").astype(np.int64)
+    types = summed(added.where("batch = -1").select(F.col("class").alias("n")), classes).astype(np.float64)
     single = np.r_[np.arange(len(own)), total - 1]  # units of one word
-    types[single] = count[single] > 0
+    np.add.at(types, label[single], count[single] > 0)
     n_all, v_all = int(count.sum()), int(types.sum())
     base_norm = np.log10(n_all + 0.5 * (v_all + 1))
-    label = exchange(grams, classes, sweeps)
-    member = np.zeros((total, classes))
-    member[np.arange(total), label] = 1
-    table = member.T @ grams @ member
-    class_n, class_v = count @ member, types @ member
-    share = (class_n + 0.5) / (n_all + 0.5 * classes)
-    step = np.log10((table + 20 * share) / (table.sum(1, keepdims=True) + 20))
-    emit = -np.log10(class_n + 0.5 * (class_v + 1))
     gain = np.zeros(total)
     gain[single] = np.log10(count[single] + 0.5)
     seen = np.zeros(total, np.int64)
     seen[single] = count[single] > 0
-    emit_of, label_of = emit[label], label.astype(np.int64)
+    label_of = label.astype("<u2")
 
-    def finish(_: tuple, seqs: pd.DataFrame, adds: pd.DataFrame) -> pd.DataFrame:
+    def settle(_: tuple, seqs: pd.DataFrame, adds: pd.DataFrame) -> pd.DataFrame:
+        """A batch's tokens by their final class, the class-independent part of its texts' scores, and its class bigrams to learn from."""
         outs = []
-        for keys, flags, lens, blob in zip(seqs["keys"], seqs["a"], seqs["b"], seqs["c"], strict=True):
+        for keys, flags, lens, blob, numbers in zip(seqs["keys"], seqs["a"], seqs["b"], seqs["c"], seqs["d"], strict=True):
             n = len(flags)
             lengths = np.frombuffer(lens, "<u4").astype(np.int64) + 1
-            seq = np.frombuffer(blob, "<u2").astype(np.int64)
+            seq, numbers = np.frombuffer(blob, "<u2").astype(np.int64), np.frombuffer(numbers, "<u4")
             row = np.repeat(np.arange(n), lengths)
-            shared = np.bincount(row, gain[seq], minlength=n)
-            known = np.bincount(row, seen[seq], minlength=n).astype(np.int64)
-            cls = label_of[seq]
-            before = np.r_[classes - 1, cls[:-1]][: len(cls)]
-            model = np.bincount(row, step[before, cls] + emit_of[seq], minlength=n)
-            for doc, add, more in zip(adds["doc"], adds["add"], adds["known"], strict=True):
-                d = np.frombuffer(doc, "<u4")
-                shared[d] += np.frombuffer(add, "<f8")
-                known[d] += np.frombuffer(more, "<u4").astype(np.int64)
+            words = int(numbers.max()) + 1 if len(numbers) else 0
+            own_class, own_count = np.zeros(words, "<u2"), np.zeros(words, np.int64)
+            for start, c, k in zip(adds["start"], adds["class"], adds["n"], strict=True):
+                own_class[start : start + len(k) // 4] = np.frombuffer(c, "<u2")
+                own_count[start : start + len(k) // 4] = np.frombuffer(k, "<u4")
+            cls, token_gain, token_seen = label_of[seq], gain[seq], seen[seq]
+            at = (seq >= len(own)) & (seq < total - 1)
+            cls[at], token_gain[at], token_seen[at] = own_class[numbers], np.log10(own_count + 0.5)[numbers], (own_count > 0)[numbers]
+            before = np.r_[classes - 1, cls[:-1]][: len(cls)].astype(np.int64)
+            used = np.repeat(np.frombuffer(flags, np.uint8) > 0, lengths)
+            table = np.bincount((before * classes + cls)[used], minlength=classes * classes)
             outs.append(pd.DataFrame({
-                "key": pd.array(list(keys), dtype="Int64") if kind in ("bigint", "int") else list(keys), "held_out": np.frombuffer(flags, np.uint8) == 0, "n_tokens": lengths, "n_known": known,
-                "train_tokens": n_all, "base_score": shared - lengths * base_norm, "score": shared + model,
-                "perplexity": 10.0 ** (-(shared + model) / lengths),
+                "keys": [keys], "flags": [flags], "lengths": [lengths.astype("<u4").tobytes()], "classes": [cls.tobytes()],
+                "shared": [np.bincount(row, token_gain, minlength=n).astype("<f8").tobytes()], "known": [np.bincount(row, token_seen, minlength=n).astype("<u4").tobytes()],
+                "n": [table.astype("<u8").tobytes()],
             }))
-        return pd.concat(outs) if outs else pd.DataFrame({c: [] for c in ("key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")})
+        return pd.concat(outs) if outs else pd.DataFrame({c: [] for c in ("keys", "flags", "lengths", "classes", "shared", "known", "n")})
+
+    seqs = parts.where("what = 'seq'").select("id", "keys", "a", "b", "c", "d")
+    adds = added.where("batch >= 0").select(F.col("batch").alias("id"), "start", "class", "n")
+    layout = f"keys array<{kind}>, flags binary, lengths binary, classes binary, shared binary, known binary, n binary"
+    settled = materialize(seqs.groupBy("id").cogroup(adds.groupBy("id")).applyInPandas(settle, layout), "settled")
+    table = summed(settled.select("n"), classes * classes).reshape(classes, classes).astype(np.float64)
+    class_n = table.sum(0)
+    share = (class_n + 0.5) / (n_all + 0.5 * classes)
+    step = np.log10((table + 20 * share) / (table.sum(1, keepdims=True) + 20))
+    emit = -np.log10(class_n + 0.5 * (types + 1))
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for keys, flags, lens, blob, shared, known in zip(*(pdf[c] for c in ("keys", "flags", "lengths", "classes", "shared", "known")), strict=True):
+                lengths, cls = np.frombuffer(lens, "<u4").astype(np.int64), np.frombuffer(blob, "<u2").astype(np.int64)
+                shared = np.frombuffer(shared, "<f8")
+                before = np.r_[classes - 1, cls[:-1]][: len(cls)]
+                model = np.bincount(np.repeat(np.arange(len(flags)), lengths), step[before, cls] + emit[cls], minlength=len(flags))
+                yield pd.DataFrame({
+                    "key": pd.array(list(keys), dtype="Int64") if kind in ("bigint", "int") else list(keys), "held_out": np.frombuffer(flags, np.uint8) == 0, "n_tokens": lengths, "n_known": np.frombuffer(known, "<u4").astype(np.int64),
+                    "train_tokens": n_all, "base_score": shared - lengths * base_norm, "score": shared + model,
+                    "perplexity": 10.0 ** (-(shared + model) / lengths),
+                })
 
-    seqs = parts.where("what = 'seq'").select("id", "keys", "a", "b", "c")
-    adds = added.where("batch >= 0").select(F.col("batch").alias("id"), "doc", "add", "known")
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return seqs.groupBy("id").cogroup(adds.groupBy("id")).applyInPandas(finish, schema)
+    return settled.drop("n").mapInPandas(finish, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

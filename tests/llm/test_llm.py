@@ -271,6 +271,23 @@ def test_class_lm_splits_frequent_and_rare_alike(spark):
     assert all(math.isclose(a[k].base_score, b[k].base_score, abs_tol=1e-9) and a[k].n_known == b[k].n_known for k in a)
 
 
+def test_class_lm_frequent_words_are_exact(spark):
+    text = " ".join(["a"] * 400 + ["b"] * 30 + [f"x{i}" for i in range(100)])
+    assert class_lm.frequent_words(spark.createDataFrame([(text, True)], "text string, train boolean"), 2) == [b"a", b"b"]
+
+
+def test_class_lm_rare_words_get_classes_of_their_own(spark):
+    """Nouns and verbs of one ending are told apart by their neighbours as if their endings told them apart."""
+
+    def total(noun, verb):
+        rng = random.Random(8)
+        nouns, verbs = ["cat", "dog"] * 30 + [f"n{i}{noun}" for i in range(60)], ["ran", "sat"] * 30 + [f"v{i}{verb}" for i in range(60)]
+        texts = [" ".join(f"the {rng.choice(nouns)} and he {rng.choice(verbs)} ." for _ in range(30)) for _ in range(40)]
+        return sum(r.score for r in class_lm.score(docs(spark, texts), F.lit(True), frequent=8, classes=7).collect())
+
+    assert math.isclose(total("zzz", "zzz"), total("aaa", "bbb"), rel_tol=0.005)
+
+
 def test_exchange_finds_alternating_classes():
     grams = np.zeros((9, 9), np.int64)
     for a in range(4):
