@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: shared scratch tables and Arrow batch access."""
+"""Helpers shared by the training-data operators: shared scratch tables, names, guarded broadcasts, Arrow batch access."""
 
 from __future__ import annotations
 
@@ -9,21 +9,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
+BROADCAST_ROWS = 1_000_000  # of a few longs each: under 50 MB
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, else a folder of this machine (tests only)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Where it is unset, a local master takes a folder of this machine;
+    a cluster has none that all can reach, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quartzite-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def guarded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast if a count proves it small; beyond that, to be shuffled. ``df`` is best a written table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -1,12 +1,15 @@
 """Best-fit packing of tokenised documents, certified by lower bounds.
 
-Documents are tokenised and cut into pieces of at most one sequence. Pieces are dealt to groups of bounded size and each group
-is packed by best-fit decreasing. Dual feasible functions give a lower bound on each group's bins; a group that meets its bound is
-final. Groups with a gap put the pieces of their bins that aren't full into a common pool, which is dealt anew (so documents
-change groups) and packed again, until every group meets its bound, the pool is one group, or a round saves nothing.
+Documents are tokenised and cut into pieces of at most one sequence. Pieces are dealt to partitions of bounded size, whatever their
+values, and each partition is packed by best-fit decreasing. Dual feasible functions give a lower bound on each partition's bins and, from
+the counts of all lengths, on the bins of the whole. Full bins are final. While partitions have gaps they put the pieces of their other
+bins into a common pool, which is dealt anew (so documents change partitions) and packed again; once that saves no more, certified
+partitions give their part-filled bins too, as long as the whole has a gap to its bound, and the emptiest bins meet in one partition. This ends when the whole meets its bound, when
+the pool is one partition, or when a round saves less than ``LEAST_SAVING`` of the gap to the bound.
 
 Defined results: null text is empty and yields the end token alone; repeated rows each get their pieces; null keys are carried;
-an empty table gives an empty table; extra columns are not read.
+an empty table gives an empty table; extra columns are not read. ``certified`` says whether the partition that packed a piece last met
+its bound.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -24,12 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import byte_values, materialize
+from quartzite.llm.common import byte_values, fresh, materialize
 
 CAPACITY = 2048
 END_ID = 0
-GROUP_ROWS = 32_768
-MAX_ROUNDS = 6
+GROUP_ROWS = 32_768  # about; pieces are dealt by a hash
+LEAST_SAVING = 0.01
+FULL, CERTIFIED, GAP = range(3)  # of a bin: full, part-filled in a partition that meets its bound, part-filled in one that doesn't
+_BIN_BITS, _GROUP_BITS = 24, 30  # of a sequence id; the rest is the round
 CACHE_WORDS = 1_200_000
 
 
@@ -150,9 +156,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The greatest bound that these dual feasible functions give: the identity, the threshold functions (a length over
-    capacity - t counts whole, one under t not at all) and the rounding functions floor((k+1) x) / k."""
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """The greatest bound that these dual feasible functions give on the bins for ``counts`` pieces of each length: the identity, the
+    threshold functions (a length over capacity - t counts whole, one under t not at all) and the rounding functions floor((k+1) x) / k."""
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((counts * size).sum()) // capacity)
     upto, weight = np.cumsum(counts), np.cumsum(counts * size)
@@ -168,10 +177,32 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``parts`` (with a column length) and, for each, sequence_id and offset, and whether its sequence's group met its bound."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
+def _bound(parts: DataFrame, capacity: int) -> int:
+    """The lower bound of all pieces, from the number of pieces of each length."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in parts.groupBy("length").count().collect():  # at most ``capacity`` rows
+        counts[r["length"]] = r["count"]
+    return bound_of_counts(counts, capacity)
+
+
+def _by_room(counts: dict[int, int], group_rows: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(room, first partition, number of partitions) for the pieces of bins of each room, the emptiest bins first, and the number of all."""
+    out, at, held = [], 0, 0
+    for r in sorted(counts, reverse=True):
+        if held and held + counts[r] > group_rows:
+            at, held = at + 1, 0
+        out.append((r, at, max(1, -(-counts[r] // group_rows))))
+        held += counts[r]
+        if held >= group_rows:
+            at, held = at + out[-1][2], 0
+    return out, at + (held > 0)
+
+
+def pack(parts: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, least_saving: float = LEAST_SAVING) -> DataFrame:
+    """``parts`` (with a column length) and, for each, sequence_id and offset, and whether the partition that packed it met its bound."""
     names = parts.columns
+    row, group, state, room = fresh(parts, "row", "group", "state", "room")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + f", sequence_id long, offset long, certified boolean, `{state}` int, `{room}` int"
 
     def packer(turn: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,31 +211,53 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
             gap = count - lower_bound(lengths, capacity)
             fill = np.bincount(bins, lengths, minlength=count)
             out = pdf[names].copy()
-            out["sequence_id"] = (turn << 56) + (pdf["group"].to_numpy(np.int64) << 16) + bins
+            out["sequence_id"] = (turn << _BIN_BITS + _GROUP_BITS) + (pdf[group].to_numpy(np.int64) << _BIN_BITS) + bins
             out["offset"] = offsets
             out["certified"] = gap == 0
-            out["open"] = (gap > 0) & (fill[bins] < capacity)
+            out[state] = np.where(fill[bins] == capacity, FULL, GAP if gap else CERTIFIED)
+            out[room] = capacity - fill[bins]
             return out
 
         return run
 
-    pool, done, before = parts, [], None
-    for turn in range(max_rounds):
-        n = pool.count()
-        groups = max(1, -(-n // group_rows))
-        dealt = pool.withColumn("group", F.pmod(F.xxhash64(F.lit(turn), *(c for c in names)), F.lit(groups)))
-        packed = dealt.groupBy("group").applyInPandas(packer(turn), schema + ", sequence_id long, offset long, certified boolean, open boolean")
-        packed = materialize(packed, "packed")
-        bins = packed.where("open").agg(F.countDistinct("sequence_id")).first()[0]
-        last = groups == 1 or not bins or turn == max_rounds - 1 or bins == before
-        done.append(packed.drop("open") if last else packed.where("not open").drop("open"))
-        if last:
+    bound = _bound(parts, capacity)
+    done: list[DataFrame] = []  # final bins
+    waiting: list[DataFrame] = []  # part-filled bins of certified partitions
+    n_done = n_waiting = turn = 0
+    pool, held, before, with_all = parts, None, None, False
+    while True:
+        # dealt by a number of the row, so that equal rows part; the pool is a written table, which gives a row the same number again
+        numbered = pool.withColumn(row, F.monotonically_increasing_id())
+        if with_all:
+            first, groups = _by_room({r[room]: r["count"] for r in pool.groupBy(room).count().collect()}, group_rows)
+            place = F.broadcast(parts.sparkSession.createDataFrame(first, f"`{room}` int, `{group}` long, `{state}` long"))  # at most ``capacity`` rows
+            numbered = numbered.join(place, room)
+            dealt = numbered.withColumn(group, F.col(group) + F.pmod(F.xxhash64(F.lit(turn), row), F.col(state)))
+        else:
+            groups = max(1, -(-pool.count() // group_rows))
+            dealt = numbered.withColumn(group, F.pmod(F.xxhash64(F.lit(turn), row), F.lit(groups)))
+        packed = materialize(dealt.groupBy(group).applyInPandas(packer(turn), schema), "packed")
+        n = {r[state]: r["count"] for r in packed.where("offset = 0").groupBy(state).count().collect()}  # a bin has one piece at its start
+        total = n_done + n_waiting + sum(n.values())
+        if before is not None and total > before:  # the new packing is worse than the one it came from
+            done += [held, *waiting]
             break
-        before, pool = bins, packed.where("open").select(*names)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        slow = before is not None and before - total < max(1, least_saving * (total - bound))
+        n_done += n.get(FULL, 0)
+        done.append(packed.where(F.col(state) == FULL))
+        part_filled = packed.where(F.col(state) != FULL)
+        if total <= bound or (with_all and slow) or (groups == 1 and not waiting):
+            done += [part_filled, *waiting]
+            break
+        if not with_all and not slow and groups > 1 and n.get(GAP, 0):
+            waiting.append(packed.where(F.col(state) == CERTIFIED))
+            n_waiting += n.get(CERTIFIED, 0)
+            held = packed.where(F.col(state) == GAP)
+        else:
+            held = reduce(DataFrame.unionByName, [part_filled, *waiting])
+            waiting, n_waiting, with_all = [], 0, True
+        pool, before, turn = held.select(*names, room), total, turn + 1
+    return reduce(DataFrame.unionByName, done).drop(state, room)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
