@@ -1,14 +1,17 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Texts and items are normalised to lower-case words and their hashed five-word shingles (fewer words: one shingle). A window is as many
-shingles of a document as an item has; windows are taken wherever a shared shingle lines an item up with the document, because a
-window without any shared shingle has similarity 0. Each window gets a weighted SimHash of 64 bits; items are indexed by their
-fingerprint in ``BLOCKS`` blocks of 8 bits with every block value within ``radius // BLOCKS`` flips, so a window finds every item of its
-size within ``radius`` bits, and more beyond. The exact weighted Jaccard similarity of the shingle sets alone decides on what the index finds;
-the weight of a shingle is its inverse item frequency.
-
-Defined results: null and empty texts match nothing, and neither do empty items; repeated rows and items each match; a null doc_id is
-carried; extra columns are not read; an empty table or benchmark gives an empty table.
+Texts and items are normalised to lower-case words and their hashed five-word shingles (fewer words: one shingle). Items of equal shingles
+are one item under several ids. A window is as many shingles of a document as an item has. Two facts bound the windows to look at: a window
+that starts at a shingle the item hasn't got loses nothing of the item by starting one later, so windows start at shingles of the item;
+and similarity t needs at least t of the item's weight within the window, so windows with less shared weight are passed over. Each
+remaining window gets a weighted SimHash of 64 bits; items are indexed by their fingerprint in ``BLOCKS`` blocks of 8 bits with every block
+value within ``radius // BLOCKS`` flips, so a window finds every item of its size within ``radius`` bits, and more beyond. The exact
+weighted Jaccard similarity of the shingle sets alone decides on what the index finds; the weight of a shingle is its inverse item
+frequency. Texts and shingle lists are told apart by 128 and 64 bits of hashes.
+
+Defined results: null and empty texts match nothing, and neither do empty items; rows equal in all columns read match once, equal texts
+under several ids under each; null keys and null item ids, of any type, are carried; extra columns are not read; an empty table or benchmark
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,17 +19,17 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import materialize
+from quartzite.llm.common import fresh, guarded, materialize
 
 WIDTH = 5
 RADIUS = 23  # 8 blocks within 2 flips each: of 8 * 3 - 1 differing bits some block has 2 at most
 BLOCKS = 8
 SIMILARITY = 0.8
 WEIGHT_UNIT = 1_000_000
-BROADCAST_ROWS = 100_000  # of two or three longs each: under 5 MB
+INDEX_ROWS = 100_000  # shingles of items to broadcast, four longs each: under 5 MB
 
 
 def words_of(text: Column) -> Column:
@@ -59,71 +62,112 @@ def _block(fp: Column | str, k: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255)).cast("int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """``key, item, start, distance, similarity``: the windows of documents that verify, by their first shingle."""
-    items = materialize(hashes_of(benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("text")), "text").select("item", "hs", F.size("hs").alias("n")), "items")
-    placed = items.select("item", "n", F.posexplode("hs").alias("at", "h"))
-    n_items = items.count()
-    weights = placed.groupBy("h").agg(F.round(WEIGHT_UNIT * F.log(1 + n_items / F.countDistinct("item"))).cast("long").alias("w"))
-    n_placed = placed.count()
-    small = (lambda d: F.broadcast(d)) if n_placed <= BROADCAST_ROWS else (lambda d: d)
-    fresh = round(WEIGHT_UNIT * math.log(1 + n_items)) if n_items else 1
-
-    source = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(15), text).alias("t"))
-    hashed = hashes_of(source, "text").select("key", "t", F.posexplode("hs").alias("pos", "h"))
-    windows = hashed.join(small(placed), "h").select("key", "t", "n", (F.col("pos") - F.col("at")).alias("start")).distinct()
-    windows = materialize(windows, "windows")
-    # only documents with a window are read again
-    touched = windows.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("k"), "t").distinct()
-    again = source.withColumn("k", F.coalesce(F.col("key").cast("string"), F.lit(""))).join(touched.hint("shuffle_hash"), ["k", "t"], "left_semi").dropDuplicates(["k", "t"])
-    arrays = hashes_of(again, "text").select("k", "t", "hs")
-    cut = (
-        windows.withColumn("k", F.coalesce(F.col("key").cast("string"), F.lit(""))).join(arrays, ["k", "t"])
-        .withColumn("part", F.array_distinct(F.slice("hs", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(F.least(F.col("start") + F.col("n"), F.size("hs")) - F.greatest(F.col("start"), F.lit(0)), F.lit(0)))))
-        .where(F.size("part") > 0)
-        .select("key", "k", "t", "n", "start", "part")
-    )
-    cut = materialize(cut, "cut")
-    shapes = cut.select(F.xxhash64("n", "part").alias("id"), "n", "part").dropDuplicates(["id"])
-    sides = shapes.select(F.lit(0).alias("side"), "id", "n", "part").unionByName(
-        items.select(F.lit(1).alias("side"), F.col("item").cast("long").alias("id"), "n", F.array_distinct("hs").alias("part"))
-    )
-    weighed = (
-        sides.select("side", "id", "n", F.explode("part").alias("h")).join(small(weights), "h", "left")
-        .select("side", "id", "n", "h", F.coalesce("w", F.lit(fresh).cast("long")).alias("w"))
-    )
-    printed = materialize(fingerprints(materialize(weighed, "weighed"), "side", "id", "n"), "prints")
+def _text_key(text: Column | str) -> list[Column]:
+    return [F.xxhash64(F.lit(15), text).alias("t1"), F.xxhash64(F.lit(16), text).alias("t2")]
+
+
+def item_pairs(printed: DataFrame, radius: int) -> DataFrame:
+    """``id, item``: windows (side 0) and items (side 1) of one size whose fingerprints share a block up to the flips allowed."""
     flips = [0]
     for r in range(1, radius // BLOCKS + 1):
         flips += [sum(1 << b for b in c) for c in combinations(range(8), r)]
-    posted = printed.where("side = 1").select("id", "n", "fp", "ws", F.explode(F.array(*(F.struct(F.lit(k).alias("b"), _block("fp", k).alias("v")) for k in range(BLOCKS)))).alias("p"))
-    posted = posted.select(F.col("id").alias("item"), "n", F.col("p.b").alias("b"), F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: F.col("p.v").bitwiseXOR(f))).alias("v"))
-    asked = printed.where("side = 0").select("id", "n", "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("b"), _block("fp", k).alias("v")) for k in range(BLOCKS)))).alias("p"))
-    pairs = asked.select("id", "n", F.col("p.b").alias("b"), F.col("p.v").alias("v")).join(posted, ["n", "b", "v"]).select("id", "item").distinct()
+    blocks = F.explode(F.array(*(F.struct(F.lit(k).alias("b"), _block("fp", k).alias("v")) for k in range(BLOCKS)))).alias("p")
+    posted = printed.where("side = 1").select(F.col("id").alias("item"), "n", blocks)
+    posted = posted.select("item", "n", F.col("p.b").alias("b"), F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: F.col("p.v").bitwiseXOR(f))).alias("v"))
+    asked = printed.where("side = 0").select("id", "n", blocks).select("id", "n", F.col("p.b").alias("b"), F.col("p.v").alias("v"))
+    return asked.join(posted, ["n", "b", "v"]).select("id", "item").distinct()
+
+
+def verified_windows(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The verified windows ``t1, t2, iid, start, distance, similarity`` by hashes of the text, and the items' names ``item, iid``."""
+    read = hashes_of(benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("text")), "text")
+    read = materialize(read.select("item", F.xxhash64("hs").alias("iid"), "hs"), "items")
+    items = read.dropDuplicates(["iid"]).select("iid", "hs", F.size("hs").alias("n"))
+    n_items = items.count()
+    sets = items.select("iid", "n", F.explode(F.array_distinct("hs")).alias("h"))
+    weights = materialize(sets.groupBy("h").agg(F.round(WEIGHT_UNIT * F.log(1 + n_items / F.count("*"))).cast("long").alias("w")), "weights")
+    index = sets.join(weights, "h")
+    index = materialize(index.join(index.groupBy("iid").agg(F.sum("w").alias("need")), "iid"), "index")
+    n_index = index.count()
+    small = (lambda d: F.broadcast(d)) if n_index <= INDEX_ROWS else (lambda d: d)
+    unmet = round(WEIGHT_UNIT * math.log(1 + n_items)) if n_items else 1
+
+    source = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text")).select("text", *_text_key("text"))
+    placed = hashes_of(source, "text").select("t1", "t2", F.posexplode("hs").alias("pos", "h"))
+    hits = placed.join(small(index), "h").groupBy("t1", "t2", "iid", "n", "need", "pos").agg(F.max("w").alias("w"))  # copies of a text fold
+    # each hit starts a window; the running weight at its end less that at its start is the weight it shares, within one text and item
+    ends = F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("own"), "w"), F.struct((F.col("pos") + F.col("n")).alias("at"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("w")))).alias("e")
+    order = Window.partitionBy("t1", "t2", "iid").orderBy("e.at", "e.own").rowsBetween(Window.unboundedPreceding, 0)
+    running = hits.select("t1", "t2", "iid", "n", "need", "pos", ends).withColumn("c", F.sum("e.w").over(order))
+    shared = F.max(F.when(F.col("e.own") == 0, F.col("c"))) - F.max(F.when(F.col("e.own") == 1, F.col("c") - F.col("e.w")))
+    windows = running.groupBy("t1", "t2", "iid", "n", "need", F.col("pos").alias("start")).agg(shared.alias("shared"))
+    windows = materialize(windows.where(F.col("shared") >= (similarity - 1e-9) * F.col("need")).select("t1", "t2", "iid", "n", "start"), "windows")
+
+    # only texts with a window are read again
+    touched = materialize(windows.select("t1", "t2").distinct(), "touched")
+    again = source.join(guarded(touched), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    cut = windows.join(hashes_of(again, "text").select("t1", "t2", "hs"), ["t1", "t2"])
+    cut = cut.select("t1", "t2", "iid", "n", "start", F.array_distinct(F.slice("hs", F.col("start") + 1, F.col("n"))).alias("part"))
+    cut = materialize(cut.withColumn("id", F.xxhash64("n", "part")), "cut")
+    sides = cut.dropDuplicates(["id"]).select(F.lit(0).alias("side"), "id", "n", F.explode("part").alias("h")).unionByName(sets.select(F.lit(1).alias("side"), F.col("iid").alias("id"), "n", "h"))
+    weighed = sides.join(small(weights), "h", "left").select("side", "id", "n", "h", F.coalesce("w", F.lit(unmet).cast("long")).alias("w"))
+    printed = materialize(fingerprints(materialize(weighed, "weighed"), "side", "id", "n"), "prints")
     a = printed.where("side = 0").select("id", F.col("fp").alias("fa"), F.col("total").alias("ta"), F.col("ws").alias("wa"))
-    b = printed.where("side = 1").select(F.col("id").alias("item"), F.col("fp").alias("fb"), F.col("total").alias("tb"), F.col("ws").alias("wb"))
+    b = printed.where("side = 1").select(F.col("id").alias("iid"), F.col("fp").alias("fb"), F.col("total").alias("tb"), F.col("ws").alias("wb"))
     common = F.aggregate(F.array_intersect("wa", "wb"), F.lit(0).cast("long"), lambda s, x: s + x["w"])
+    asked = cut.select("id", "iid").distinct()
     verified = (
-        pairs.join(a, "id").join(b, "item")
-        # pairs without a common shingle, nearly all, have similarity 0; only the others are worth the intersection
-        .withColumn("similarity", F.when(F.arrays_overlap("wa.h", "wb.h"), common / (F.col("ta") + F.col("tb") - common)))
+        item_pairs(printed, radius).withColumnRenamed("item", "iid").join(asked, ["id", "iid"]).join(a, "id").join(b, "iid")
+        .withColumn("similarity", common / (F.col("ta") + F.col("tb") - common))
         .where(F.col("similarity") >= similarity - 1e-9)
-        .select("id", "item", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"), "similarity")
+        .select("id", "iid", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"), "similarity")
     )
-    found = cut.select("key", "start", F.xxhash64("n", "part").alias("id")).join(verified, "id")
-    return found.select("key", "item", "start", "distance", "similarity")
+    found = cut.select("t1", "t2", "iid", "start", "id").join(verified, ["id", "iid"]).drop("id")
+    return materialize(found, "found"), read.select("item", "iid").distinct()
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The result of query op5: each document and item that it holds, with its best window."""
-    best = F.max(F.struct(F.round("similarity", 6).alias("similarity"), (-F.col("distance")).alias("near"), (-F.col("start")).alias("at"))).alias("best")
-    found = matches(docs, benchmark).groupBy(F.col("key").alias("doc_id"), F.col("item").alias("item_id")).agg(best, F.countDistinct("start").alias("n_windows"))
-    return found.select(
-        "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.near")).alias("distance"), (-F.col("best.at")).alias("start_shingle"), "n_windows"
-    )
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """``key, item, start, distance, similarity``: the windows of documents that verify, by their first shingle."""
+    found, names = verified_windows(docs, benchmark, text, item, item_text, radius, similarity)
+    texts = materialize(found.select("t1", "t2").distinct(), "texts")
+    keyed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), *_text_key(F.col(text).cast("string")))
+    keyed = keyed.join(guarded(texts), ["t1", "t2"], "left_semi").distinct()
+    return keyed.join(found, ["t1", "t2"]).join(names, "iid").select("key", "item", "start", "distance", "similarity")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; null keys are judged by their text."""
-    bad = materialize(matches(docs, benchmark, key, text).select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("_qz_k")).where("_qz_k <> ''").distinct(), "bad")
-    return docs.withColumn("_qz_k", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(bad.hint("shuffle_hash"), "_qz_k", "left_anti").select(*docs.columns)
+def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The result of query op5: each document and item that it holds, with its best window, the first of equals."""
+    best = F.max(F.struct(F.round("similarity", 6).alias("similarity"), (-F.col("start")).alias("at"))).alias("best")
+    found = matches(docs, benchmark).groupBy(F.col("key").alias("doc_id"), F.col("item").alias("item_id")).agg(best, F.countDistinct("start").alias("n_windows"))
+    return found.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.at")).cast("long").alias("start_shingle"), "n_windows")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item. Rows are judged by their text alone, so null and repeated keys are no matter."""
+    found, _ = verified_windows(docs, benchmark, text, item, item_text, RADIUS, SIMILARITY)
+    bad = materialize(found.select("t1", "t2").distinct(), "bad")
+    t1, t2 = fresh(docs, "t1", "t2")
+    marked = docs.withColumns(dict(zip((t1, t2), _text_key(F.col(text).cast("string")), strict=True)))
+    return marked.join(guarded(bad.toDF(t1, t2)), [t1, t2], "left_anti").select(*docs.columns)
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    return f"""SELECT {key}, CASE WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) END AS hs
+  FROM (SELECT {key}, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM {table} WHERE text IS NOT NULL) WHERE w[1] <> ''"""
+
+
+#: Every window that starts at a shingle of the item, by its exact similarity; the fingerprints only save work.
+ORACLE_SQL = f"""
+WITH named AS ({_shingles_sql("benchmark", "item_id")}), item AS (SELECT hs, len(hs) AS n, row_number() OVER () AS iid FROM (SELECT DISTINCT hs FROM named)),
+bag AS (SELECT DISTINCT iid, n, unnest(hs) AS h FROM item), total AS (SELECT count(*) AS items FROM item),
+weight AS (SELECT h, CAST(round({WEIGHT_UNIT} * ln(1 + (SELECT items FROM total) / count(*))) AS BIGINT) AS w FROM bag GROUP BY h),
+need AS (SELECT iid, sum(w) AS tb FROM bag JOIN weight USING (h) GROUP BY iid),
+placed AS (SELECT doc_id, generate_subscripts(hs, 1) - 1 AS pos, unnest(hs) AS h FROM ({_shingles_sql("documents", "doc_id")})),
+hit AS (SELECT doc_id, iid, n, pos FROM placed JOIN bag USING (h)),
+win AS (SELECT DISTINCT s.doc_id, s.iid, s.pos AS start, p.h FROM hit s JOIN placed p ON p.doc_id = s.doc_id AND p.pos >= s.pos AND p.pos < s.pos + s.n),
+sim AS (SELECT doc_id, iid, start, CAST(sum(coalesce(w, round({WEIGHT_UNIT} * ln(1 + (SELECT items FROM total))))) AS BIGINT) AS ta, CAST(sum(CASE WHEN b.h IS NOT NULL THEN w ELSE 0 END) AS BIGINT) AS common
+  FROM win LEFT JOIN weight USING (h) LEFT JOIN bag b USING (iid, h) GROUP BY doc_id, iid, start),
+good AS (SELECT doc_id, iid, start, common / (ta + tb - common) AS similarity FROM sim JOIN need USING (iid) WHERE common / (ta + tb - common) >= {SIMILARITY} - 1e-9)
+SELECT doc_id, item_id, max(round(similarity, 6)) AS similarity, CAST(arg_min(start, (-round(similarity, 6), start)) AS BIGINT) AS start_shingle, count(DISTINCT start) AS n_windows
+FROM good JOIN item USING (iid) JOIN named USING (hs) GROUP BY doc_id, item_id
+"""

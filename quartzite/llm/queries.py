@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_class_lm": lambda spark, d: class_lm.report(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op7_license_scan": license_scan.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op7_license_scan": license_scan.ORACLE_SQL}
