@@ -74,12 +74,23 @@ def test_line_dedup(spark, edge):
     assert out[0] == texts[0] and all(boiler not in out[i] and f"own line {i} here" in out[i] for i in range(1, 6)) and rare in out[1]
     same_site = docs(spark, [boiler] * 4, dict.fromkeys(range(4), "one"))
     assert all(r.text == boiler for r in line_dedup.dedup(same_site).collect())
+    short = docs(spark, ["x\nPrivacy Policy\r\n这是一个在许多网站上重复的长句子"] * 9, {i: f"site{i % 7}" for i in range(9)})
+    assert all(r.text == "x" for r in line_dedup.dedup(short).where("doc_id > 0").collect())
     many = docs(spark, ["\n".join([boiler, *(f"line number {k}" for k in range(300))])] * 3)
     assert sorted(len(r.text) for r in line_dedup.dedup(many).collect())[:2] == [0, 0]
     assert line_dedup.dedup(edge).count() == 7 and line_dedup.dedup(edge.limit(0)).count() == 0
     assert line_dedup.dedup(edge).columns == edge.columns
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["doc", "body", "gone", "removed", "lines", "k1", "K2", "pos", "first", "a.b"]
+    d = spark.createDataFrame([(i, "one line on many sites", f"s{i}", *(f"{n}{i}" for n in names)) for i in range(5)], ["doc_id", "text", "source", *names])
+    out = line_dedup.dedup(d)
+    assert out.columns == d.columns
+    for r in out.collect():
+        assert tuple(r)[3:] == tuple(f"{n}{r.doc_id}" for n in names) and r.text == ("" if r.doc_id else "one line on many sites")
+
+
 # 3, 4, 6 ---------------------------------------------------------------------------------------------------------------------
 
 
