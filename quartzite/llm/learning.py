@@ -24,13 +24,16 @@ def crc_mod(key: Column, n: int) -> Column:
 def bounded_sample(df: DataFrame, key: str, rows: int, salt: int) -> DataFrame:
     """About ``rows`` rows of ``df``, never more than a tenth beyond: those with the least share of hash values. All, if there are no more.
 
-    One count and one filter; the share depends on the row count alone, so the same rows are taken on every run.
+    The share depends on the row count alone, so the same rows are taken on every run. Only where so many rows share a key that a hash
+    can't part them does a limit do it.
     """
     n = df.count()
     if n <= rows:
         return df
     cut = int(rows / n * 1_000_000_007)
-    return df.where(F.pmod(F.xxhash64(F.lit(salt), F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1_000_000_007)) < cut).limit(rows + rows // 10)
+    taken = df.where(F.pmod(F.xxhash64(F.lit(salt), F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1_000_000_007)) < cut)
+    most = rows + rows // 10
+    return taken if taken.count() <= most else taken.limit(most)
 
 
 class Ftrl:

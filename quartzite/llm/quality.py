@@ -14,6 +14,7 @@ score is 0.5 for all; repeated rows each get a row; a null doc_id is never held
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import byte_values
+from quartzite.llm.common import byte_values, materialize
 from quartzite.llm.learning import bounded_sample, crc_mod, sigmoid
 
 SHAPES = 512
@@ -33,6 +34,8 @@ POSITIVES = 4_000
 UNLABELLED = 8_000
 STEPS = 600
 _SHAPE = bytes(48 if 48 <= b <= 57 else 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
+_RUNS = re.compile(rb"(.)\1+", re.DOTALL).sub
+KEPT_BYTES = 256  # shapes beyond are not kept, whatever their number
 #: Upper ends of the bins of each statistic.
 EDGES = {
     "log_tokens": np.linspace(0, 10, BINS - 1),
@@ -56,11 +59,7 @@ class Features:
         self.known: dict[bytes, int] = {}
 
     def _bucket(self, shape: bytes) -> int:
-        out = bytearray()
-        for c in shape[:64]:
-            if not out or out[-1] != c:
-                out.append(c)
-        return xxhash.xxh64_intdigest(bytes(out), 4) % SHAPES
+        return xxhash.xxh64_intdigest(_RUNS(rb"\1", shape), 4) % SHAPES
 
     def row(self, text: bytes) -> np.ndarray:
         x = np.zeros(WIDTH, np.float32)
@@ -73,7 +72,9 @@ class Features:
         for shape, k in Counter(classes.split()).items():
             at = known.get(shape)
             if at is None:
-                at = known[shape] = self._bucket(shape)
+                at = self._bucket(shape)
+                if len(shape) <= KEPT_BYTES:
+                    known[shape] = at
             x[at] += k
         if n:
             x[:SHAPES] = np.sqrt(x[:SHAPES] / n)
@@ -98,7 +99,8 @@ def _rows(df: DataFrame, text: str) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([f.row(t).astype("<f2").tobytes() for t in byte_values(b.column(0))], pa.binary())], ["x"])
 
-    got = sorted(bytes(r.x) for r in df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "x binary").collect())
+    sample = materialize(df.select(F.col(text).cast("string").alias("text")), "sample")  # of bounded rows, written once, so tasks share the work
+    got = sorted(bytes(r.x) for r in sample.mapInArrow(run, "x binary").collect())
     return np.array([np.frombuffer(x, "<f2") for x in got], np.float32).reshape(len(got), WIDTH)
 
 

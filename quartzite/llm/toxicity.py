@@ -1,14 +1,14 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posterior labels.
 
 Voters. A seed lexicon gives one voter for each of its groups. From a bounded sample of labelled training rows, word beginnings and
-whole words that occur in several toxic rows and hardly in others are found in every language; each becomes a voter of its
+whole words that occur in several different toxic texts and hardly in others are found in every language; each becomes a voter of its
 own (the shortest beginning of a family stands for it). Pattern voters look at how many hits a text has and how densely they stand, and clean
 voters speak against toxicity where there is no hit.
 
-Label model. Each voter abstains or votes with an accuracy for either class. EM estimates the accuracies from the voters' agreement
-on unlabelled texts, the class balance being that of the labelled training rows. Correlations of voters, given the class, are
-estimated from the residuals under the posterior; a voter that goes along with others is discounted by the size of its company, and EM is
-run again.
+Label model. Each voter casts its vote or abstains. Given the class, votes are not independent: every voter hangs on one other, its parent,
+by a tree of greatest mutual information given the class. The model's parameters are the chances of a vote given the class and whether the
+parent voted: accuracies and correlations (of either sign) in one table. EM estimates them from the votes on unlabelled texts, first with
+independent voters, then with the tree; the class balance is that of the labelled training rows. A copy of another voter adds nothing.
 
 Classifier. Sparse logistic regression (FTRL, elastic net) on hashed words and word beginnings learns the posterior labels of a bounded sample of
 training texts; a text's score is the sigmoid of the sum over its distinct words. Labels, lang, source and doc_id are not inputs.
@@ -27,19 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import byte_values
+from quartzite.llm.common import byte_values, materialize
 from quartzite.llm.learning import bounded_sample, crc_mod, letter_words, sigmoid
 
 THRESHOLD = 0.3
 LABELLED_ROWS = 8_000
 UNLABELLED_ROWS = 8_000
-MAX_PATTERNS = 300
-MIN_SUPPORT = 4
-SUPPORT_SHARE = 0.012  # of the toxic rows sampled: copies of one text don't make a pattern
-FEATURE_SHARE = 0.002  # of the texts sampled
-MIN_PRECISION = 0.9
+MIN_SUPPORT = 4  # different texts
+MIN_PRECISION = 0.9  # with one clean text more than were seen, if any was
 SEED_PRECISION = 0.5
 FEATURES = 1 << 22
+WHOLE = 1 << 20  # posteriors are summed in these parts
 CACHE_WORDS = 150_000
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -65,14 +63,13 @@ def _distinct(text: bytes) -> set[str]:
 
 def find_patterns(labelled: DataFrame, text: str, label: str) -> tuple[list[str], list[str]]:
     """Word beginnings and words of the sampled labelled rows that mark toxic ones, the commonest first; and the seed words that
-    stand mostly in clean ones (a seed can be an innocent word of another language)."""
+    stand mostly in clean ones (a seed can be an innocent word of another language). Equal texts of one label count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[str, list[int]] = {"": [0, 0]}
+            seen: dict[str, list[int]] = {}
             for t, toxic in zip(byte_values(b.column(0)), b.column(1).to_pylist(), strict=True):
                 k = 1 if toxic else 0
-                seen[""][k] += 1
                 for p in {p for w in _distinct(t) for p in beginnings(w)}:
                     seen.setdefault(p, [0, 0])[k] += 1
             yield pa.RecordBatch.from_arrays(
@@ -80,22 +77,17 @@ def find_patterns(labelled: DataFrame, text: str, label: str) -> tuple[list[str]
                 ["pattern", "clean", "toxic"],
             )
 
-    counts = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).alias("label")).mapInArrow(run, "pattern string, clean long, toxic long")
-    total = counts.groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    seeds = [w for words in LEXICON.values() for w in words]
-    toxic, clean, both = F.col("toxic"), F.col("clean"), F.col("toxic") + F.col("clean")
-    wanted = (F.col("pattern") == "") | F.col("pattern").isin(seeds) | ((toxic >= MIN_SUPPORT) & (toxic >= MIN_PRECISION * both))
-    rows = total.where(wanted).orderBy(F.col("pattern") != "", ~F.col("pattern").isin(seeds), F.desc("toxic"), F.length("pattern"), "pattern").limit(len(seeds) + 4 * MAX_PATTERNS).collect()
-    sampled = next((r.toxic for r in rows if not r.pattern), 0)
-    off = [r.pattern for r in rows if r.pattern in set(seeds) and r.toxic < SEED_PRECISION * (r.toxic + r.clean)]
-    chosen: list[str] = []
-    for r in rows:
-        stem = r.pattern.rstrip("*")
-        if not stem or r.toxic < max(MIN_SUPPORT, SUPPORT_SHARE * sampled) or r.toxic < MIN_PRECISION * (r.toxic + r.clean):
-            continue
-        if not any(c.endswith("*") and stem.startswith(c[:-1]) for c in chosen):
-            chosen.append(r.pattern)
-    return chosen[:MAX_PATTERNS], off
+    once = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).alias("label")).distinct()
+    total = once.mapInArrow(run, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    seeds = {w for words in LEXICON.values() for w in words}
+    toxic, both = F.col("toxic"), F.col("clean") + F.col("toxic")
+    # no more rows than the words of the bounded sample's toxic texts by MIN_SUPPORT
+    rows = total.where(F.col("pattern").isin(*seeds) | ((toxic >= MIN_SUPPORT) & (toxic >= MIN_PRECISION * (both + F.least("clean", F.lit(1)))))).orderBy(F.desc("toxic"), F.length("pattern"), "pattern").collect()
+    off = [r.pattern for r in rows if r.pattern in seeds and r.toxic < SEED_PRECISION * (r.toxic + r.clean)]
+    telling = [r.pattern for r in rows if r.toxic >= MIN_SUPPORT and r.toxic >= MIN_PRECISION * (r.toxic + r.clean + min(r.clean, 1))]
+    stems = {p for p in telling if p.endswith("*")}
+    # a pattern whose shorter beginning is one too says nothing of its own
+    return [p for p in telling if not any(b != p and b in stems for b in beginnings(p.rstrip("*")))], off
 
 
 class Voters:
@@ -138,37 +130,64 @@ class Voters:
         return v
 
 
+def dependence_tree(cast: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """The parent of each voter (the first has none: -1) in the tree of greatest mutual information given the class; ``weights`` has each
+    row's share of either class."""
+    n, m = cast.shape
+    info = np.zeros((m, m))
+    for q in weights:
+        size = q.sum() + 1e-9
+        both = (cast * q[:, None]).T @ cast / size
+        p = np.diag(both).copy()
+        for cell, a, b in ((both, p[:, None], p[None, :]), (p[:, None] - both, p[:, None], 1 - p[None, :]), (p[None, :] - both, 1 - p[:, None], p[None, :]), (1 - p[:, None] - p[None, :] + both, 1 - p[:, None], 1 - p[None, :])):
+            info += size / n * cell * np.log(np.maximum(cell, 1e-12) / np.maximum(a * b, 1e-12))
+    parent, inside = np.full(m, -1), np.zeros(m, bool)
+    best, via = np.full(m, -1.0), np.full(m, -1)
+    at = 0
+    for _ in range(m):
+        inside[at] = True
+        parent[at] = via[at]
+        better = ~inside & (info[at] > best)
+        best[better], via[better] = info[at][better], at
+        at = int(np.argmax(np.where(inside, -2.0, best)))
+    return parent
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, dict]:
-    """P(toxic) of each row of ``votes``, and what the model estimates: the chance of each voter's toxic and clean vote given
-    either class, and the discount for its correlations."""
+    """P(toxic) of each row of ``votes``, and what the model estimates: for each voter its parent and the chance of its vote by class
+    and by whether the parent voted (``[class, parent voted, voter]``)."""
     n, m = votes.shape
-    up, down = (votes > 0).astype(float), (votes < 0).astype(float)
+    cast = (votes != 0).astype(np.float32)
+    against = np.zeros(m, bool) if not n else (votes < 0).any(0)
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
-    balance = np.array([1 - prior, prior])
-    # to start with, nine in ten of the votes of either kind are right, whatever share of texts a voter speaks to
-    right = np.array([[0.1, 0.9], [0.97, 0.03]])
-    start_up, start_down = (np.clip(cast.mean(0)[:, None] * r / balance, 1e-6, 0.99) for cast, r in zip((up, down), right, strict=True))
-    p_up, p_down = start_up.copy(), start_down.copy()
-    weight = np.ones(m)
+    # to start with, nine in ten toxic votes and 97 in 100 clean ones are right, whatever share of texts a voter speaks to
+    right = np.where(against[None, :], np.array([[0.97], [0.03]]), np.array([[0.1], [0.9]]))
+    start = np.clip(cast.mean(0)[None, :] * right / np.array([[1 - prior], [prior]]), 1e-6, 0.99)
+    chance = np.stack([start, start], 1)  # class, parent voted, voter
+    parent = np.full(m, -1)
     posterior = np.full(n, prior)
-    ratio = lambda x: np.clip(np.log(x[:, 1] / x[:, 0]), -8, 8)
     for phase in range(2):
+        beside = np.where(parent[None, :] >= 0, cast[:, np.maximum(parent, 0)], 0).astype(np.float32)
         for _ in range(rounds):
-            # a voter that abstains says nothing
-            score = np.log(prior / (1 - prior)) + up @ (weight * ratio(p_up)) + down @ (weight * ratio(p_down))
-            posterior = sigmoid(score)
-            for k, q in enumerate((1 - posterior, posterior)):
-                p_up[:, k] = (q @ up + 2 * start_up[:, k]) / (q.sum() + 2)
-                p_down[:, k] = (q @ down + 2 * start_down[:, k]) / (q.sum() + 2)
+            # a voter that abstains says nothing; one that votes says what its vote adds to its parent's
+            ratio = np.clip(np.log(chance[1] / chance[0]), -8, 8).astype(np.float32)
+            score = np.log(prior / (1 - prior)) + (cast * (1 - beside)) @ ratio[0] + (cast * beside) @ ratio[1]
+            posterior = sigmoid(score.astype(np.float64))
+            cells = []  # by class: the voter's votes beside its parent's, its silence there, its votes without, its silence without
+            for q in (1 - posterior, posterior):
+                q = q.astype(np.float32)
+                a, parents, votes_of = (x.astype(np.float64) for x in (q @ (cast * beside), q @ beside, q @ cast))
+                cells.append((a, parents - a, votes_of - a, q.sum() - parents - votes_of + a, votes_of, float(q.sum())))
+            # the association is the same in either class (Mantel-Haenszel), so that a class which hardly ever sees the parent vote takes it from the other
+            odds = (sum(a * d / n_k for a, _, _, d, _, n_k in cells) + 1e-3) / (sum(b * c / n_k for _, b, c, _, _, n_k in cells) + 1e-3)
+            for k, (a, b, c, d, both, n_k) in enumerate(cells):
+                alone = np.clip((both + 2 * start[k]) / (n_k + 2), 1e-6, 1 - 1e-6)
+                chance[k, 0] = np.clip((c + 2 * alone) / (c + d + 2), 1e-6, 1 - 1e-6)
+                lean = chance[k, 0] * odds / (1 - chance[k, 0] + chance[k, 0] * odds)
+                chance[k, 1] = np.clip((a + 2 * lean) / (a + b + 2), 1e-6, 1 - 1e-6)
         if phase == 0:
-            value = up - down
-            mean = (p_up - p_down)[:, 1] * posterior[:, None] + (p_up - p_down)[:, 0] * (1 - posterior[:, None])
-            rest = value - mean
-            spread = np.sqrt((rest * rest).mean(0) + 1e-9)
-            corr = np.abs(rest.T @ rest / n / np.outer(spread, spread))
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(1))
-    return posterior, {"toxic_vote": p_up, "clean_vote": p_down, "discount": weight}
+            parent = dependence_tree(cast, [1 - posterior, posterior])
+    return posterior, {"parent": parent, "chance": chance}
 
 
 def feature_ids(word: str) -> list[int]:
@@ -184,34 +203,53 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, key: str, text: str,
     if share is None:
         return None
     patterns, off = find_patterns(rows, text, "_label")
+    # the sample is written once, so each of the three passes over it is shared by tasks
+    texts = materialize(bounded_sample(docs.where(train & F.col(text).isNotNull()), key, unlabelled_rows, 9).select(F.col(text).cast("string").alias("text")), "sample")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Voters(patterns, off)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([v.row(t).tobytes() for t in byte_values(b.column(0))], pa.binary())], ["votes"])
+
+    got = sorted(bytes(r.votes) for r in texts.mapInArrow(cast, "votes binary").toLocalIterator())
+    if not got:
+        return None
+    posterior, _ = label_model(np.array([np.frombuffer(v, np.int8) for v in got]), share)
+    toxic_of = dict(zip(got, posterior.tolist(), strict=True))  # equal votes, equal posterior
+
+    def features(t: bytes) -> np.ndarray:
+        return np.unique(np.array([i for w in _distinct(t) for i in feature_ids(w)], np.uint32))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Voters(patterns, off)
+        n, toxic = np.zeros(FEATURES, np.int32), np.zeros(FEATURES, np.float64)
+        for b in batches:
+            for t in byte_values(b.column(0)):
+                at = features(t)
+                n[at] += 1
+                toxic[at] += round(toxic_of[v.row(t).tobytes()] * WHOLE)  # whole numbers: sums don't depend on their order
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some], pa.int64()), pa.array(toxic[some].astype(np.int64))], ["feature", "n", "toxic"])
+
+    # features too rare to be learned, or mostly of texts that the label model holds clean, are left out; the voters' own always stay
+    own = sorted({int(xxhash.xxh64_intdigest(p, 6) % FEATURES) for p in [*patterns, *Voters(patterns, off).group]})
+    sums = texts.mapInArrow(count, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    chosen = sums.where((F.col("n") >= MIN_SUPPORT) & (F.col("toxic") >= SEED_PRECISION * WHOLE * F.col("n"))).select("feature").collect()
+    telling = np.array(sorted({*own, *(r.feature for r in chosen)}), np.int64)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Voters(patterns, off)
         for b in batches:
             votes, ids = [], []
             for t in byte_values(b.column(0)):
+                at = features(t)
                 votes.append(v.row(t).tobytes())
-                own = [i for w in sorted(_distinct(t)) for i in feature_ids(w)]
-                ids.append(np.unique(np.array(own, np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.binary()), pa.array(ids, pa.binary())], ["votes", "ids"])
+                ids.append(np.searchsorted(telling, at[np.isin(at, telling)]).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(votes, pa.binary())], ["ids", "votes"])
 
-    texts = bounded_sample(docs.where(train & F.col(text).isNotNull()), key, unlabelled_rows, 9)
-    got = [(bytes(r.ids), bytes(r.votes)) for r in texts.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "votes binary, ids binary").toLocalIterator()]
-    got.sort()
-    if not got:
-        return None
-    posterior, _ = label_model(np.array([np.frombuffer(v, np.int8) for _, v in got]), share)
-    # features that are too rare to be learned, or mostly stand in texts that the label model holds clean, are left out
-    rows = [np.frombuffer(ids, np.uint32) for ids, _ in got]
-    count, toxic = np.zeros(FEATURES, np.int32), np.zeros(FEATURES, np.float32)
-    for at, p in zip(rows, posterior, strict=True):  # the features of a text are distinct
-        count[at] += 1
-        toxic[at] += p
-    telling = np.flatnonzero((count >= max(MIN_SUPPORT, FEATURE_SHARE * len(rows))) & (toxic >= SEED_PRECISION * count))
-    del count, toxic
-    kept = [np.searchsorted(telling, at[np.isin(at, telling)]) for at in rows]
-    w, bias = fit_positive(kept, posterior, len(telling))
-    return {"at": telling.astype(np.int64), "w": w, "bias": bias}
+    pairs = sorted((bytes(r.ids), toxic_of[bytes(r.votes)]) for r in texts.mapInArrow(keep, "ids binary, votes binary").toLocalIterator())
+    w, bias = fit_positive([np.frombuffer(ids, "<u4") for ids, _ in pairs], np.array([p for _, p in pairs]), len(telling))
+    return {"at": telling, "w": w, "bias": bias}
 
 
 def fit_positive(rows: list[np.ndarray], target: np.ndarray, features: int, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.01) -> tuple[np.ndarray, float]:

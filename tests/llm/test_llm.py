@@ -124,10 +124,34 @@ def test_label_model_separates_classes():
     votes = np.zeros((4000, 12), np.int8)
     for j in range(8):
         votes[:, j] = np.where(rng.random(4000) < np.where(y, 0.5, 0.001), 1, 0)
-    votes[:, 8] = votes[:, 0]  # a copy: its company is discounted
+    votes[:, 8] = votes[:, 0]  # a copy: given the voter it hangs on, its vote says nothing
     votes[:, 9:] = np.where(votes[:, :8].any(1), 0, -1)[:, None]
     posterior, info = toxicity.label_model(votes, 0.1)
-    assert ((posterior > 0.5) == y).mean() > 0.98 and info["discount"][0] < 0.8
+    assert ((posterior > 0.5) == y).mean() > 0.98
+    child = next(j for j in (0, 8) if info["parent"][j] == 8 - j)
+    added = math.log(info["chance"][1, 1, child] / info["chance"][0, 1, child])
+    alone = math.log(info["chance"][1, 0, 1] / info["chance"][0, 0, 1])
+    assert abs(added) < 0.5 * alone
+
+
+def test_rare_insults_of_a_small_language_count(spark):
+    """An insult in 10 of 3,000 labelled texts becomes a pattern, and its texts are found."""
+    rng = random.Random(21)
+    words = [f"mot{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(3000)]
+    toxic = {i: "zuxor" if i < 40 else "blargon" for i in range(0, 3000, 4)}
+    toxic = {i: w for i, w in toxic.items() if i < 200}
+    texts = [f"{t} {toxic[i]} {toxic[i]}" if i in toxic else t for i, t in enumerate(texts)]
+    lab = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in toxicity.report(docs(spark, texts), lab).collect()}
+    assert all(rows[i].predicted == 1 for i in toxic) and sum(r.predicted for r in rows.values()) == len(toxic)
+
+
+def test_long_tokens_are_read_to_their_end():
+    f = quality.Features()
+    a, b = f.row(b"aB" * 40 + b"1.,;" * 300), f.row(b"aB" * 40 + b"#?!-" * 300)
+    assert not np.array_equal(a[: quality.SHAPES], b[: quality.SHAPES])
+    assert np.array_equal(f.row(b"aaaa1111")[: quality.SHAPES], f.row(b"a1")[: quality.SHAPES])
 
 
 # 5 --------------------------------------------------------------------------------------------------------------------------
