@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-BROADCAST_ROWS = 1_000_000  # of a few longs each: under 50 MB
+BROADCAST_ROWS = 100_000  # of a few longs each: under 10 MB
 
 
 def shared_dir(spark: SparkSession) -> str:
