@@ -130,7 +130,7 @@ def is_uuid(text: Column) -> Column:
 
 def is_test_path(path: Column) -> Column:
     p = F.lower(path)
-    return p.contains(".spec.") | p.contains(".test.") | p.contains("__tests__") | p.contains("tests/") | F.arrays_overlap(
+    return p.contains(".spec.") | p.contains(".test.") | p.contains("__tests__") | p.contains("/tests/") | p.startswith("tests/") | F.arrays_overlap(
         F.split(path, "/"), F.array(F.lit("tests"), F.lit("__tests__"), F.lit("fixtures"))
     )
 

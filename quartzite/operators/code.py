@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartzite.operators.fixpoints import equivalence
+
 #: Kinds that are decision points, statements and control structures.
 BRANCHES = ("if_statement", "case_clause", "conditional_expression", "boolean_operator", "elif_clause", "match_arm", "switch_case")
 LOOPS = ("while_statement", "for_statement", "for_in_statement", "loop_expression", "repeat_statement")
@@ -72,12 +74,10 @@ def wmc(nodes: DataFrame) -> DataFrame:
     return methods(nodes).join(cc, ["path", "method"]).groupBy("path", "cls").agg(F.sum("cyclomatic").alias("wmc"), F.count("*").alias("methods"))
 
 
-def lcom(nodes: DataFrame, rounds: int = 6) -> DataFrame:
-    """Groups of a class's methods connected by shared fields; constructors and methods without fields don't count. The least method
-    spreads over shared fields; a class is small, so a few rounds reach its whole."""
+def lcom(nodes: DataFrame) -> DataFrame:
+    """Groups of a class's methods connected by shared fields; constructors and methods without fields don't count."""
     mf = method_fields(nodes).join(methods(nodes).where("name = '__init__'").select("path", "method"), ["path", "method"], "left_anti").select("path", "cls", "method", "field")
-    label = mf.select("path", "cls", "method").distinct().withColumn("group", F.col("method"))
-    for _ in range(rounds):
-        by_field = mf.join(label, ["path", "cls", "method"]).groupBy("path", "cls", "field").agg(F.min("group").alias("g"))
-        label = mf.join(by_field, ["path", "cls", "field"]).groupBy("path", "cls", "method").agg(F.min("g").alias("group"))
-    return label.groupBy("path", "cls").agg(F.countDistinct("group").alias("lcom"))
+    pairs = mf.select(F.to_json(F.struct("path", "cls", "method")).alias("a"), F.to_json(F.struct("path", "cls", "field")).alias("b"))
+    group = equivalence(pairs)
+    own = mf.select("path", "cls", F.to_json(F.struct("path", "cls", "method")).alias("node")).distinct()
+    return own.join(group, "node").groupBy("path", "cls").agg(F.countDistinct("root").alias("lcom"))

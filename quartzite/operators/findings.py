@@ -18,6 +18,16 @@ class LineRule:
     issue_type: str
     effort: int
     hotspot: bool = False
+    needs: tuple[str, ...] = ()  # texts of which a match must hold one: cheap to look for before the pattern is tried
+
+    def hit(self, text: Column) -> Column:
+        found = text.rlike(self.pattern)
+        if not self.needs:
+            return found
+        some = text.contains(self.needs[0])
+        for n in self.needs[1:]:
+            some |= text.contains(n)
+        return some & found
 
 
 def source_lines(files: DataFrame, path: str = "doc_id", content: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -29,7 +39,7 @@ def source_lines(files: DataFrame, path: str = "doc_id", content: str = "text",
 
 def line_findings(lines: DataFrame, rules: list[LineRule]) -> DataFrame:
     """At most one finding for each rule and line, all rules in one scan."""
-    hits = F.array_compact(F.array(*(F.when(F.col("text").rlike(r.pattern), F.lit(r.rule_id)) for r in rules)))
+    hits = F.array_compact(F.array(*(F.when(r.hit(F.col("text")), F.lit(r.rule_id)) for r in rules)))
     return lines.withColumn("rule_id", F.explode(hits))
 
 
@@ -55,16 +65,17 @@ def effort_by_rule_and_component(issues: DataFrame, component: Column) -> DataFr
 
 
 def facets(issues: DataFrame, filters: dict[str, str]) -> DataFrame:
-    """Counts by each dimension under the filters of the others."""
-    out = None
+    """Counts by each dimension under the filters of the others. The issues are read once: they are counted by all dimensions together,
+    and each of those counts goes to every facet whose filters it passes."""
+    once = issues.groupBy(*(F.col(d).cast("string").alias(d) for d in filters)).agg(F.count("*").alias("n"))
+    parts = []
     for d in filters:
-        own = issues
+        passes = F.lit(True)
         for other, value in filters.items():
             if other != d and value is not None:
-                own = own.where(F.col(other) == value)
-        part = own.groupBy(F.col(d).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(d).alias("facet"), "value", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+                passes &= F.col(other) == value
+        parts.append(F.when(passes, F.struct(F.lit(d).alias("facet"), F.col(d).alias("value"))))
+    return once.select(F.explode(F.array_compact(F.array(*parts))).alias("f"), "n").groupBy("f.facet", "f.value").agg(F.sum("n").alias("n"))
 
 
 def page(issues: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -83,15 +94,21 @@ def type_ratings(issues: DataFrame) -> DataFrame:
     )
 
 
-def scan_totals(lines_total: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: lines, counts by severity, hotspots, minutes."""
-    issue = ~F.col("hotspot")
-    count = lambda s: F.count_if(issue & (F.col("severity") == s)).alias(s.lower())
-    totals = findings.agg(
-        *(count(s) for s in S.SEVERITIES), F.count_if(F.col("hotspot")).alias("hotspots"),
-        F.coalesce(F.sum(F.when(issue, F.col("effort").cast("long"))), F.lit(0)).alias("minutes"),
-    )
-    return totals.join(F.broadcast(lines_total))  # two one-row tables
+def line_totals(lines: DataFrame, rules: list[LineRule], *by: str) -> DataFrame:
+    """``by``, lines, counts by severity, hotspots, minutes: lines and findings in one pass and one aggregation. Without ``by``, one row,
+    and files (by ``path``) too."""
+    t = lines
+    hits = [f"_hit{i}" for i in range(len(rules))]
+    t = t.select(*by, *([] if by else ["path"]), *(r.hit(F.col("text")).cast("int").alias(h) for r, h in zip(rules, hits, strict=True)))
+    total = lambda chosen: sum((F.sum(h) for r, h in zip(rules, hits, strict=True) if chosen(r)), F.lit(0))
+    minutes = sum((F.sum(F.col(h).cast("long") * r.effort) for r, h in zip(rules, hits, strict=True) if not r.hotspot), F.lit(0))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    sums = [n(total(lambda r, s=s: not r.hotspot and r.severity == s)).alias(s.lower()) for s in S.SEVERITIES]
+    own = [F.count("*").alias("lines"), *sums, n(total(lambda r: r.hotspot)).alias("hotspots"), n(minutes).alias("minutes")]
+    if by:
+        return t.groupBy(*by).agg(*own)
+    per_file = t.groupBy("path").agg(*own)
+    return per_file.agg(F.count("*").alias("files"), *(n(F.sum(c)).alias(c) for c in ("lines", *(s.lower() for s in S.SEVERITIES), "hotspots", "minutes")))
 
 
 def measures(totals: DataFrame, names: list[str]) -> DataFrame:

@@ -43,25 +43,30 @@ def points_to(constraints: DataFrame) -> DataFrame:
     copy, load, store = of("copy"), of("load"), of("store")
 
     def step(new: DataFrame, known: DataFrame) -> DataFrame:
-        k = lambda p, t: known.select(F.col("pointer").alias(p), F.col("target").alias(t))
+        """What a new fact yields by each constraint: as the fact of the pointer, or as that of what it points to."""
+        of_ = lambda facts, p, t: facts.select(F.col("pointer").alias(p), F.col("target").alias(t))
         direct = new.join(copy.withColumnRenamed("b", "pointer"), "pointer").select(F.col("a").alias("pointer"), "target")
-        loaded = k("p", "q").join(load, F.col("p") == F.col("b")).join(k("q2", "t"), F.col("q") == F.col("q2")).select(F.col("a").alias("pointer"), F.col("t").alias("target"))
-        stored = k("p", "q").join(store, F.col("p") == F.col("a")).join(k("s", "t"), F.col("b") == F.col("s")).select(F.col("q").alias("pointer"), F.col("t").alias("target"))
-        return direct.union(loaded).union(stored)
+        out = direct
+        for first, second in ((new, known), (known, new)):
+            loaded = of_(first, "b", "q").join(load, "b").join(of_(second, "q", "t"), "q").select(F.col("a").alias("pointer"), F.col("t").alias("target"))
+            stored = of_(first, "a", "q").join(store, "a").join(of_(second, "b", "t"), "b").select(F.col("q").alias("pointer"), F.col("t").alias("target"))
+            out = out.union(loaded).union(stored)
+        return out
 
     return close(of("address").select(F.col("a").alias("pointer"), F.col("b").alias("target")), step)
 
 
 def equivalence(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``node, root``: unification classes, named by their least member."""
+    """``node, root``: unification classes, named by their least member. A node takes the least root beside it, then its root's root."""
     both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     for turn in count(1):
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("r"))
-        after = cut(label.join(near, "node").select("node", F.least("root", "r").alias("root")))
-        changed = after.join(label.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        label = after
-        if not changed:
+        step = cut(label.join(near, "node").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")))
+        above = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        after = cut(step.join(above, "root").select("node", F.least("root", "top").alias("root"), (F.col("moved") | (F.col("top") < F.col("root"))).alias("moved")))
+        label = after.select("node", "root")
+        if not after.where("moved").limit(1).count():
             return label
         if turn == rounds:
             raise RuntimeError("the classes did not settle")
@@ -74,8 +79,11 @@ def datalog(facts: DataFrame, rules: list[tuple[str, str]], rounds: int | None =
 
 
 def ancestors(parents: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``type, ancestor`` of superclass chains, safe on cycles. ``parents``: type, base."""
-    start = parents.select("type", F.col("base").alias("ancestor"))
-    up = parents.select(F.col("type").alias("ancestor"), F.col("base").alias("above"))
-    far = close(start, lambda new, _: new.join(up, "ancestor").select("type", F.col("above").alias("ancestor")), rounds)
-    return far.where("type <> ancestor")
+    """``type, ancestor`` of superclass chains, safe on cycles. Chains are joined to chains, so their length doubles each round.
+    ``parents``: type, base."""
+
+    def step(new: DataFrame, known: DataFrame) -> DataFrame:
+        join = lambda a, b: a.join(b.select(F.col("type").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("type", F.col("above").alias("ancestor"))
+        return join(new, known).union(join(known, new))
+
+    return close(parents.select("type", F.col("base").alias("ancestor")), step, rounds).where("type <> ancestor")

@@ -11,11 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_FORKS = ("if_statement", "for_statement", "while_statement", "try_statement", "match_statement")
-_ENDS = ("return_statement", "raise_statement")
+_LOOPS = ("for_statement", "while_statement")
+_ENDS = {"return_statement": "return", "raise_statement": "raise"}
 
 
-def _body(pdf: pd.DataFrame) -> tuple[dict[int, list[int]], dict[int, pd.Series]]:
+def _body(pdf: pd.DataFrame) -> tuple[dict[int, list[int]], dict[int, object]]:
     rows = {r.node_id: r for r in pdf.sort_values("node_id").itertuples()}
     below: dict[int, list[int]] = {}
     for r in rows.values():
@@ -24,43 +24,112 @@ def _body(pdf: pd.DataFrame) -> tuple[dict[int, list[int]], dict[int, pd.Series]
     return below, rows
 
 
+class _Blocks:
+    """The basic blocks of one function: 0 is the entry, 1 the exit. What follows a jump in its block can't be reached and makes none."""
+
+    def __init__(self, below: dict[int, list[int]], rows: dict[int, object]):
+        self.below, self.rows = below, rows
+        self.edges: list[tuple[int, int, str]] = []
+        self.count = 2
+
+    def fresh(self) -> int:
+        self.count += 1
+        return self.count - 1
+
+    def go(self, at: int | None, to: int, kind: str) -> None:
+        if at is not None:
+            self.edges.append((at, to, kind))
+
+    def arms(self, node: int) -> tuple[list[int], list[int], list[int]]:
+        """Children by their part: the body, what stands under else, what stands under finally."""
+        parts: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for c in self.below.get(node, []):
+            flags = self.rows[c].flags
+            parts[2 if "in:finalbody" in flags else 1 if "in:orelse" in flags else 0].append(c)
+        return parts
+
+    def walk(self, nodes: list[int], block: int | None, loop: tuple[int, int] | None) -> int | None:
+        """The block in which control is after ``nodes``, none if it never gets there. ``loop``: where continue and break go."""
+        for n in nodes:
+            if block is None:
+                return None
+            kind = self.rows[n].kind
+            if kind in _ENDS:
+                self.go(block, 1, _ENDS[kind])
+                return None
+            if loop and kind in ("break_statement", "continue_statement"):
+                self.go(block, loop[kind == "break_statement"], kind.split("_")[0])
+                return None
+            if kind == "if_statement":
+                body, other, _ = self.arms(n)
+                inner, after = self.fresh(), self.fresh()
+                self.go(block, inner, "true")
+                self.go(self.walk(body, inner, loop), after, "join")
+                if other:
+                    inner = self.fresh()
+                    self.go(block, inner, "false")
+                    self.go(self.walk(other, inner, loop), after, "join")
+                else:
+                    self.go(block, after, "false")
+                block = self.reached(after)
+            elif kind in _LOOPS:
+                body, other, _ = self.arms(n)
+                head, inner, after = self.fresh(), self.fresh(), self.fresh()
+                self.go(block, head, "join")
+                self.go(head, inner, "true")
+                self.go(self.walk(body, inner, (head, after)), head, "back")
+                if other:
+                    inner = self.fresh()
+                    self.go(head, inner, "false")
+                    self.go(self.walk(other, inner, loop), after, "join")
+                else:
+                    self.go(head, after, "false")
+                block = self.reached(after)
+            elif kind == "try_statement":
+                body, other, last = self.arms(n)
+                caught = [c for c in body if self.rows[c].kind == "except_clause"]
+                after = self.fresh()
+                for c in caught:
+                    inner = self.fresh()
+                    self.go(block, inner, "except")
+                    self.go(self.walk(self.below.get(c, []), inner, loop), after, "join")
+                end = self.walk([c for c in body if c not in set(caught)] + other, block, loop)
+                self.go(end, after, "join")
+                block = self.walk(last, self.reached(after), loop)
+            elif kind == "match_statement":
+                after, whole = self.fresh(), False
+                for c in self.below.get(n, []):
+                    if self.rows[c].kind == "case_clause":
+                        parts = self.below.get(c, [])
+                        whole = whole or bool(parts) and self.rows[parts[0]].text == "_"
+                        inner = self.fresh()
+                        self.go(block, inner, "case")
+                        self.go(self.walk(self.below.get(c, []), inner, loop), after, "join")
+                if not whole:
+                    self.go(block, after, "false")
+                block = self.reached(after)
+            else:
+                block = self.walk(self.below.get(n, []), block, loop)
+        return block
+
+    def reached(self, block: int) -> int | None:
+        return block if any(e[1] == block for e in self.edges) else None
+
+
 def control_flow(nodes: DataFrame) -> DataFrame:
-    """``path, fn, src, dst, kind`` of edges between basic blocks 0 (entry), 1 (exit) and on. Forks have true and false edges, loops a
-    back edge, returns an edge to the exit."""
+    """``path, fn, src, dst, kind`` of edges between basic blocks 0 (entry), 1 (exit) and on. Forks have an edge to each arm (true, false,
+    except, case), loops a head with a back edge; break and continue leave for the loop's end and head, returns and raises for the exit."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         below, rows = _body(pdf)
         fn = int(pdf["fn"].iloc[0])
-        edges: list[tuple[int, int, str]] = []
-        count = 2
-
-        def fresh() -> int:
-            nonlocal count
-            count += 1
-            return count - 1
-
-        def walk(children: list[int], block: int) -> int:
-            for c in children:
-                kind = rows[c].kind
-                if kind in _ENDS:
-                    edges.append((block, 1, "return"))
-                    block = fresh()  # what follows can't be reached
-                elif kind in _FORKS:
-                    inner, after = fresh(), fresh()
-                    edges.append((block, inner, "true"))
-                    end = walk(below.get(c, []), inner)
-                    edges.append((end, block if kind in ("for_statement", "while_statement") else after, "back" if kind in ("for_statement", "while_statement") else "join"))
-                    edges.append((block, after, "false"))
-                    block = after
-                else:
-                    block = walk(below.get(c, []), block)
-            return block
-
-        edges.append((walk(below.get(fn, []), 0), 1, "join"))
-        return pd.DataFrame([(pdf["path"].iloc[0], fn, *e) for e in edges], columns=["path", "fn", "src", "dst", "kind"])
+        b = _Blocks(below, rows)
+        b.go(b.walk(below.get(fn, []), 0, None), 1, "join")
+        return pd.DataFrame([(pdf["path"].iloc[0], fn, *e) for e in b.edges], columns=["path", "fn", "src", "dst", "kind"])
 
     own = nodes.withColumn("fn", F.coalesce("owner_fn_id", F.when(F.col("kind") == "FunctionDef", F.col("node_id")))).where("fn is not null")
-    return own.select("path", "fn", "node_id", "parent_id", "kind").groupBy("path", "fn").applyInPandas(run, "path string, fn int, src int, dst int, kind string")
+    text = F.when(F.col("kind") == "MatchAs", F.col("text")).alias("text")
+    return own.select("path", "fn", "node_id", "parent_id", "kind", "flags", text).groupBy("path", "fn").applyInPandas(run, "path string, fn int, src int, dst int, kind string")
 
 
 def flow_complexity(edges: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
-from quartzite.operators.fixpoints import close
 from quartzite.operators.shared import cut
 
 
@@ -54,13 +55,13 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """``root, node, depth``: the least number of hops from each start within ``max_depth``. Each round keeps only what is new and
-    is cut off by a checkpoint, so plans stay short."""
+def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``root, node, depth``: the least number of hops from each start, to the end or within ``max_depth``. Each round keeps only what
+    is new and is cut off by a checkpoint, so plans stay short."""
     edges = edges.select("src", "dst").distinct()
     seen = start.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
         step = step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
         front = cut(step)
@@ -83,11 +84,14 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 
 
 def _least_above(edges: DataFrame) -> DataFrame:
-    """``node, root``: the least node that reaches each, itself included."""
+    """``node, root``: the least node that reaches each, itself included. A node takes the least root of those before it and, as that
+    root is reached too, the root of its root: so long chains take few rounds."""
     label = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("root", F.col("node")))
     while True:
         near = edges.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("r"))
-        after = cut(label.join(near, "node", "left").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")))
+        step = cut(label.join(near, "node", "left").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")))
+        above = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        after = cut(step.join(above, "root").select("node", F.least("root", "top").alias("root"), (F.coalesce("moved", F.lit(False)) | (F.col("top") < F.col("root"))).alias("moved")))
         label = after.select("node", "root")
         if not after.where("moved").limit(1).count():
             return label
@@ -108,18 +112,30 @@ def cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
         color = _least_above(left)
         ends = [color.select(F.col("node").alias(end), F.col("root").alias(f"r_{end}")) for end in ("src", "dst")]
         same = cut(left.join(ends[0], "src").join(ends[1], "dst").where("r_src = r_dst").select("src", "dst", F.col("r_src").alias("scc")))
-        back = same.select("scc", F.col("dst").alias("node"), "src")
-        start = color.where("node = root").select("node", F.col("root").alias("scc"))
-        members = close(start, lambda new, _, back=back: new.join(back, ["scc", "node"]).select(F.col("src").alias("node"), "scc"))
+        # a node of a colour reaches the colour's node, the least of all, if that is the least that it reaches at all
+        back = _least_above(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        members = cut(back.join(color.withColumnRenamed("root", "scc"), "node").where("root = scc").select("node", "scc"))
         found = found.unionByName(members.join(members.where("node <> scc").select("scc").distinct(), "scc", "left_semi").select("node", "scc"))
         rest = same.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
         left = _trimmed(cut(rest.select("src", "dst")))
     return found
 
 
-def shortest_untested(edges: DataFrame, coverage: DataFrame, max_depth: int) -> DataFrame:
-    """For each covered root the least hops to a node of coverage exactly 0, ties to the least node; one finding a root."""
+def shortest_untested(edges: DataFrame, coverage: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """For each covered root the least hops to a node of coverage exactly 0, ties to the least node; one finding a root. A root that has
+    found one goes no further."""
+    edges = edges.select("src", "dst").distinct()
     nodes = coverage.select("node")
-    first = roots(nodes, edges).join(coverage, "node").where("covered > 0").select("node")
-    far = reach(edges, first, max_depth).where("depth > 0").join(coverage.where("covered = 0").select("node"), "node")
-    return far.groupBy("root").agg(F.min(F.struct("depth", "node")).alias("m")).select("root", F.col("m.depth").alias("hops"), F.col("m.node").alias("node"))
+    bare = coverage.where("covered = 0").select("node")
+    seen = front = cut(roots(nodes, edges).join(coverage, "node").where("covered > 0").select(F.col("node").alias("root"), "node"))
+    found = front.select("root", F.lit(0).alias("hops"), "node").limit(0)
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+        step = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
+        step = cut(step.join(seen, ["root", "node"], "left_anti"))
+        if not step.limit(1).count():
+            break
+        hit = cut(step.join(bare, "node", "left_semi").groupBy("root").agg(F.min("node").alias("node")).select("root", F.lit(depth).alias("hops"), "node"))
+        found = found.unionByName(hit)
+        front = cut(step.join(hit, "root", "left_anti"))
+        seen = cut(seen.join(hit, "root", "left_anti").unionByName(front))
+    return found

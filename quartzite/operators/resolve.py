@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Extensions in the order in which they are tried.
+#: Extensions of modules.
 TS_EXTENSIONS = ("ts", "tsx", "js", "jsx")
 
 
@@ -25,17 +25,14 @@ def directory(path: Column) -> Column:
 
 
 def ts_candidates(files: DataFrame) -> DataFrame:
-    """``stem, rank, target``: what a file can be imported as; its own stem before its directory, extensions in order."""
-    ext = F.regexp_extract("path", "\\.([^./]+)$", 1)
-    order = F.array_position(F.array(*map(F.lit, TS_EXTENSIONS)), ext)
-    stem = F.regexp_replace("path", "\\.[^./]+$", "")
-    own = files.where(order > 0).select(stem.alias("stem"), order.alias("rank"), F.col("path").alias("target"))
-    index = own.where(F.col("stem").rlike("(^|/)index$")).select(F.regexp_replace("stem", "/?index$", "").alias("stem"), (F.col("rank") + 10).alias("rank"), "target")
-    return own.unionByName(index)
+    """``stem, target``: what a file can be imported as: its path without the extension, and its directory if it is an index."""
+    own = files.where(F.regexp_extract("path", "\\.([^./]+)$", 1).isin(*TS_EXTENSIONS)).select(F.regexp_replace("path", "\\.[^./]+$", "").alias("stem"), F.col("path").alias("target"))
+    return own.unionByName(own.where(F.col("stem").rlike("(^|/)index$")).select(F.regexp_replace("stem", "/?index$", "").alias("stem"), "target"))
 
 
 def resolve_ts(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """``importer, specifier, target`` of relative specifiers and, where none fits, aliases ``prefix, directory`` by the longest prefix."""
+    """``importer, specifier, target`` of relative specifiers and, where none fits, aliases ``prefix, directory`` by the longest prefix;
+    of several files that fit, the first in the order of paths."""
     relative = imports.where(F.col("specifier").startswith(".")).withColumn("stem", normalize(F.concat(directory(F.col("importer")), F.lit("/"), "specifier"))).withColumn("weight", F.lit(0))
     asked = relative
     if aliases is not None:
@@ -45,7 +42,7 @@ def resolve_ts(imports: DataFrame, files: DataFrame, aliases: DataFrame | None =
         asked = relative.unionByName(via.withColumn("stem", stem).withColumn("weight", -F.length("prefix")).select(*relative.columns))
     asked = asked.withColumn("stem", F.regexp_replace("stem", "\\.(ts|tsx|js|jsx)$", ""))
     hits = asked.join(ts_candidates(files), "stem")
-    return hits.groupBy("importer", "specifier").agg(F.min_by("target", F.struct("weight", "rank", "target")).alias("target"))
+    return hits.groupBy("importer", "specifier").agg(F.min_by("target", F.struct("weight", "target")).alias("target"))
 
 
 def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:

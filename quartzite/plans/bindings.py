@@ -1,19 +1,19 @@
-"""The engine's relations on the tables at hand: documents as files, orders as functions, nations as components, users as sessions."""
+"""The engine's relations on the tables at hand: documents as files, orders as functions, customers and nations as components, users as sessions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quartzite.operators import findings as O
 from quartzite.operators.findings import LineRule
 
 RULES = [
-    LineRule("text:credential", "(?i)(token|secret|password|api_key)[\"' ]*[=:]", "Blocker", "Vulnerability", 30),
-    LineRule("text:email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "Critical", "Vulnerability", 15),
+    LineRule("text:credential", "(?i)(token|secret|password|api_key)[\"' ]*[=:]", "Blocker", "Vulnerability", 30, needs=("=", ":")),
+    LineRule("text:email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "Critical", "Vulnerability", 15, needs=("@",)),
     LineRule("text:ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "Minor", "Vulnerability", 5, True),
-    LineRule("text:phone", r"\+[0-9]+ \([0-9]{3}\)", "Major", "Bug", 10),
-    LineRule("text:shouting", "[A-Z]{4,}!!", "Minor", "CodeSmell", 2),
+    LineRule("text:phone", r"\+[0-9]+ \([0-9]{3}\)", "Major", "Bug", 10, needs=("+",)),
+    LineRule("text:shouting", "[A-Z]{4,}!!", "Minor", "CodeSmell", 2, needs=("!!",)),
     LineRule("text:license", "(?i)licensed under|all rights reserved", "Info", "CodeSmell", 1),
 ]
 MARKER = "reserved"
@@ -32,14 +32,26 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     return O.line_findings(lines(spark, d), RULES).join(O.rule_table(spark, RULES), "rule_id")
 
 
+def order_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each order to the same customer's next; the last of every third customer goes back to the first."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    back = F.when(F.col("o_custkey") % 3 == 0, F.first("o_orderkey").over(w))
+    od = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    return od.select(F.col("o_orderkey").alias("src"), F.coalesce(F.lead("o_orderkey").over(w), back).alias("dst")).where("dst is not null")
+
+
+def couplings(spark: SparkSession, d: str) -> DataFrame:
+    """Customer to supplier of every order line, as numbers of one kind of component."""
+    li, od = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("dst")), table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("src"))
+    return li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst")
+
+
 def nation_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier nation to customer nation of large seventh lines, downwards in number but for a few that close cycles."""
-    li = table(spark, d, "lineitem").where("l_linenumber = 7 and l_quantity >= 49").select("l_orderkey", "l_suppkey")
-    od = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    cu = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
-    su = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
-    joined = li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).join(cu, F.col("o_custkey") == F.col("c_custkey")).join(su, F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.where("src > dst and (src + dst) % 3 <> 0 or src % 5 = 2 and dst % 5 = 0").select("src", "dst")
+    """Supplier nation to customer nation of every order line; keys meet before nations do."""
+    pairs = couplings(spark, d).distinct()
+    cu = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("to"))
+    su = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"), F.col("s_nationkey").alias("of"))
+    return pairs.join(cu, "src").join(su, "dst").select(F.col("of").alias("src"), F.col("to").alias("dst"))
 
 
 def function_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -66,8 +78,9 @@ FOUND_SQL = (
     )
     + ")"
 )
-EDGES_SQL = """edge AS (
-  SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_linenumber = 7 AND l_quantity >= 49 AND (s_nationkey > c_nationkey AND (s_nationkey + c_nationkey) % 3 <> 0 OR s_nationkey % 5 = 2 AND c_nationkey % 5 = 0) AND s_nationkey <> c_nationkey)"""
+EDGES_SQL = """edge AS (SELECT src, dst FROM (SELECT o_orderkey AS src, coalesce(lead(o_orderkey) OVER w, CASE WHEN o_custkey % 3 = 0 THEN first_value(o_orderkey) OVER w END) AS dst
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE dst IS NOT NULL AND src <> dst)"""
+COUPLING_SQL = "edge AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey)"
+NATION_SQL = """edge AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey)"""
 RANK_SQL = "CASE severity WHEN 'Info' THEN 0 WHEN 'Minor' THEN 1 WHEN 'Major' THEN 2 WHEN 'Critical' THEN 3 ELSE 4 END"

@@ -12,7 +12,7 @@ from quartzite.operators import clones, code, findings, fixpoints, flow, graphs,
 from quartzite.sources import python_source, reports, sinks
 from quartzite.streaming import policy_state
 from quartzite.plans.bindings import (
-    EDGES_SQL, FOUND_SQL, LINES_SQL, MARKER, RANK_SQL, found, function_lines, lines, nation_edges, q, table,
+    COUPLING_SQL, EDGES_SQL, FOUND_SQL, LINES_SQL, MARKER, NATION_SQL, RANK_SQL, RULES, couplings, found, function_lines, lines, nation_edges, order_edges, q, table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,15 +94,14 @@ def reliability_security(spark, d):
 
 
 def _totals(spark, d):
-    total = lines(spark, d).agg(F.count("*").alias("lines"))
-    t = findings.scan_totals(total, found(spark, d))
-    return t.withColumn("files", F.lit(None).cast("long"))
+    return findings.line_totals(lines(spark, d), RULES)
 
 
 TOTALS_SQL = FOUND_SQL + """, total AS (SELECT count(*) FILTER (NOT hotspot AND severity = 'Info') AS info, count(*) FILTER (NOT hotspot AND severity = 'Minor') AS minor,
   count(*) FILTER (NOT hotspot AND severity = 'Major') AS major, count(*) FILTER (NOT hotspot AND severity = 'Critical') AS critical,
   count(*) FILTER (NOT hotspot AND severity = 'Blocker') AS blocker, count(*) FILTER (hotspot) AS hotspots,
-  coalesce(sum(effort) FILTER (NOT hotspot), 0) AS minutes, (SELECT count(*) FROM line) AS lines FROM found)"""
+  coalesce(sum(effort) FILTER (NOT hotspot), 0) AS minutes, (SELECT count(*) FROM line) AS lines,
+  (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS files FROM found)"""
 HEALTH_SQL = "CAST(round(greatest(0, 100 - (10.0 * blocker + 5.0 * critical + major + 2.0 * hotspots) / greatest(lines / 1000.0, 1.0))) AS INTEGER)"
 RATIO_SQL = "CASE WHEN lines > 0 THEN minutes / (lines * 30.0) ELSE 0 END"
 DEBT_SQL = "CASE WHEN {r} <= 0.05 THEN 'A' WHEN {r} <= 0.1 THEN 'B' WHEN {r} <= 0.2 THEN 'C' WHEN {r} <= 0.5 THEN 'D' ELSE 'E' END"
@@ -124,15 +123,13 @@ def scan_health(spark, d):
 r AS (SELECT source, lines, coalesce(minutes, 0) AS minutes, coalesce(minutes, 0) / (lines * 30.0) AS ratio FROM size LEFT JOIN debt USING (source))
 SELECT source, CAST(lines AS BIGINT) AS lines, CAST(minutes AS BIGINT) AS minutes, round(ratio, 6) AS debt_ratio, {DEBT_SQL.format(r="ratio")} AS rating FROM r""")
 def debt_rating(spark, d):
-    size = lines(spark, d).groupBy("source").agg(F.count("*").alias("lines"))
-    debt = found(spark, d).where("not hotspot").groupBy("source").agg(F.sum(F.col("effort").cast("long")).alias("m"))
-    both = size.join(debt, "source", "left").withColumn("minutes", F.coalesce("m", F.lit(0)).cast("long"))
+    both = findings.line_totals(lines(spark, d), RULES, "source")
     ratio = S.debt_ratio(F.col("minutes"), F.col("lines"))
     return both.select("source", "lines", "minutes", F.round(ratio, 6).alias("debt_ratio"), S.debt_rating(ratio).alias("rating"))
 
 
-@query(f"""WITH {TOTALS_SQL} SELECT key, CAST(value AS DOUBLE) AS value FROM (SELECT blocker, critical, major, minor, info, hotspots, CAST(minutes AS BIGINT) AS minutes, lines FROM total)
-UNPIVOT (value FOR key IN (blocker, critical, major, minor, info, hotspots, minutes, lines))""")
+@query(f"""WITH {TOTALS_SQL} SELECT key, CAST(value AS DOUBLE) AS value FROM (SELECT blocker, critical, major, minor, info, hotspots, CAST(minutes AS BIGINT) AS minutes, lines, files FROM total)
+UNPIVOT (value FOR key IN (blocker, critical, major, minor, info, hotspots, minutes, lines, files))""")
 def measures_unpivot(spark, d):
     return findings.measures(_totals(spark, d), ["blocker", "critical", "major", "minor", "info", "hotspots", "minutes", "lines", "files"])
 
@@ -177,26 +174,28 @@ def profile_diff(spark, d):
     return history.profile_diff(side("p_size < 10"), side("p_size > 46"))
 
 
-EVENT_HALVES = "now AS (SELECT user_id, event_type, props FROM events WHERE event_id % 10 = 1), old AS (SELECT user_id, event_type, props FROM events WHERE event_id % 10 = 2)"
+#: Every event is either of now or of then.
+EVENT_HALVES = "now AS (SELECT user_id, event_type, props FROM events WHERE event_id % 2 = 1), old AS (SELECT user_id, event_type, props FROM events WHERE event_id % 2 = 0)"
+MARKS = [["user_id", "event_type", "props"], ["props", "user_id"]]
 
 
 def _halves(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "props")
-    return e.where("event_id % 10 = 1").drop("event_id"), e.where("event_id % 10 = 2").drop("event_id")
+    return e.where("event_id % 2 = 1").drop("event_id"), e.where("event_id % 2 = 0").drop("event_id")
 
 
-@query(f"""WITH {EVENT_HALVES} SELECT n.user_id, n.event_type, n.props FROM now n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.user_id = n.user_id AND o.event_type = n.event_type)
+@query(f"""WITH {EVENT_HALVES} SELECT n.user_id, n.event_type, n.props FROM now n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.user_id = n.user_id AND o.event_type = n.event_type AND o.props = n.props)
 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.user_id = n.user_id AND o.props = n.props)""")
 def new_issues(spark, d):
     now, then = _halves(spark, d)
-    return history.new_rows(now, then, [["user_id", "event_type"], ["user_id", "props"]]).select("user_id", "event_type", "props")
+    return history.new_rows(now, then, MARKS).select("user_id", "event_type", "props")
 
 
-@query(f"""WITH {EVENT_HALVES} SELECT o.user_id, o.event_type, o.props FROM old o WHERE NOT EXISTS (SELECT 1 FROM now n WHERE o.user_id = n.user_id AND o.event_type = n.event_type)
+@query(f"""WITH {EVENT_HALVES} SELECT o.user_id, o.event_type, o.props FROM old o WHERE NOT EXISTS (SELECT 1 FROM now n WHERE o.user_id = n.user_id AND o.event_type = n.event_type AND o.props = n.props)
 AND NOT EXISTS (SELECT 1 FROM now n WHERE o.user_id = n.user_id AND o.props = n.props) AND o.props IS NOT NULL""")
 def resolved_issues(spark, d):
     now, then = _halves(spark, d)
-    return history.new_rows(then, now, [["user_id", "event_type"], ["user_id", "props"]]).where("props is not null").select("user_id", "event_type", "props")
+    return history.new_rows(then, now, MARKS).where("props is not null").select("user_id", "event_type", "props")
 
 
 @query(f"WITH {EVENT_HALVES} SELECT user_id, event_type, count(*) AS n FROM (SELECT user_id, event_type FROM now EXCEPT ALL SELECT user_id, event_type FROM old) GROUP BY ALL")
@@ -391,23 +390,27 @@ def ledger_pending(spark, d):
 
 
 def _edges(spark, d):
-    return graphs.component_edges(nation_edges(spark, d))
+    return graphs.component_edges(order_edges(spark, d))
 
 
-@query(f"WITH {EDGES_SQL} SELECT src, dst FROM edge")
+def _couplings(spark, d):
+    return graphs.component_edges(couplings(spark, d))
+
+
+@query(f"WITH {COUPLING_SQL} SELECT src, dst FROM edge")
 def component_edges(spark, d):
-    return _edges(spark, d)
+    return _couplings(spark, d)
 
 
-CENSUS_SQL = "census AS (SELECT s_nationkey AS component, count(*) AS types, count(*) FILTER (s_acctbal < 3000) AS abstractions FROM supplier GROUP BY 1)"
-MARTIN_SQL = EDGES_SQL + ", " + CENSUS_SQL + """, m0 AS (SELECT component, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, coalesce(types, 0) AS types, coalesce(abstractions, 0) AS abstractions
+CENSUS_SQL = "census AS (SELECT o_custkey AS component, count(*) AS types, count(*) FILTER (o_orderstatus = 'F') AS abstractions FROM orders GROUP BY 1)"
+MARTIN_SQL = COUPLING_SQL + ", " + CENSUS_SQL + """, m0 AS (SELECT component, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, coalesce(types, 0) AS types, coalesce(abstractions, 0) AS abstractions
   FROM (SELECT src AS component, count(*) AS ce FROM edge GROUP BY 1) FULL JOIN (SELECT dst AS component, count(*) AS ca FROM edge GROUP BY 1) USING (component) FULL JOIN census USING (component)),
 martin AS (SELECT *, CASE WHEN ca + ce > 0 THEN ce / (ca + ce) ELSE 0.5 END AS instability, CASE WHEN types > 0 THEN abstractions / types ELSE 0 END AS abstractness FROM m0)"""
 
 
 def _martin(spark, d):
-    census = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("component")).agg(F.count("*").alias("types"), F.count_if(F.col("s_acctbal") < 3000).alias("abstractions"))
-    return graphs.martin(_edges(spark, d), census)
+    census = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("component")).agg(F.count("*").alias("types"), F.count_if(F.col("o_orderstatus") == "F").alias("abstractions"))
+    return graphs.martin(_couplings(spark, d), census)
 
 
 @query(f"""WITH {MARTIN_SQL} SELECT component, ca, ce, types, abstractions, round(instability, 6) AS instability, round(abstractness, 6) AS abstractness,
@@ -419,14 +422,14 @@ def martin_metrics(spark, d):
 @query(f"""WITH {MARTIN_SQL} SELECT src, dst, round(b.instability - a.instability, 6) AS gap FROM edge JOIN martin a ON src = a.component JOIN martin b ON dst = b.component
 WHERE b.instability - a.instability > 0.1""")
 def sdp_violations(spark, d):
-    v = graphs.unstable_dependencies(_edges(spark, d), _martin(spark, d), 0.1)
+    v = graphs.unstable_dependencies(_couplings(spark, d), _martin(spark, d), 0.1)
     return v.select("src", "dst", F.round(F.col("i_dst") - F.col("i_src"), 6).alias("gap"))
 
 
 NATIONS = "names AS (SELECT n_nationkey AS k, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
-@query(f"""WITH {EDGES_SQL}, {NATIONS}, e AS (SELECT a.path AS src, b.path AS dst FROM edge JOIN names a ON src = a.k JOIN names b ON dst = b.k),
+@query(f"""WITH {NATION_SQL}, {NATIONS}, e AS (SELECT a.path AS src, b.path AS dst FROM edge JOIN names a ON src = a.k JOIN names b ON dst = b.k),
 r(a, b) AS (SELECT min(r_name), max(r_name) FROM region), x(a, b) AS (SELECT max(r_name), min(r_name) FROM region), ok(a, b) AS (SELECT r_name, r_name FROM region)
 SELECT src, dst, CASE WHEN EXISTS (SELECT 1 FROM r WHERE starts_with(src, a || '/') AND starts_with(dst, b || '/')) THEN 'Forbidden' ELSE 'Undeclared' END AS kind FROM e
 WHERE NOT EXISTS (SELECT 1 FROM x WHERE starts_with(src, a || '/') AND starts_with(dst, b || '/'))
@@ -434,7 +437,7 @@ AND (EXISTS (SELECT 1 FROM r WHERE starts_with(src, a || '/') AND starts_with(ds
 def boundary_violations(spark, d):
     region = table(spark, d, "region")
     names = table(spark, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("k"), F.concat("r_name", F.lit("/"), "n_name").alias("p"))
-    e = _edges(spark, d).join(names.select(F.col("k").alias("src"), F.col("p").alias("sp")), "src").join(names.select(F.col("k").alias("dst"), F.col("p").alias("dp")), "dst")
+    e = graphs.component_edges(nation_edges(spark, d)).join(names.select(F.col("k").alias("src"), F.col("p").alias("sp")), "src").join(names.select(F.col("k").alias("dst"), F.col("p").alias("dp")), "dst")
     named = e.select(F.col("sp").alias("src"), F.col("dp").alias("dst"))
     ends = region.agg(F.min("r_name").alias("a"), F.max("r_name").alias("b"))
     return graphs.boundary_violations(named, ends.select(F.col("b").alias("a"), F.col("a").alias("b")), ends, region.select(F.col("r_name").alias("a"), F.col("r_name").alias("b")))
@@ -454,34 +457,33 @@ def reachability(spark, d):
     return graphs.reach(e, e.select(F.col("src").alias("node")).distinct(), DEPTH)
 
 
-@query(_reach_sql("SELECT DISTINCT src AS node FROM edge") + """ SELECT a.root AS node, least(min(a.node), a.root) AS scc FROM far a JOIN far b ON a.root = b.node AND a.node = b.root
-WHERE a.root <> a.node GROUP BY a.root""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT src AS root, dst AS node FROM edge UNION SELECT root, dst FROM walk JOIN edge ON node = src)
+SELECT a.root AS node, least(min(a.node), a.root) AS scc FROM walk a JOIN walk b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node GROUP BY a.root""")
 def scc_members(spark, d):
     return graphs.cycles(_edges(spark, d))
 
 
-@query(f"WITH {EDGES_SQL} SELECT n_nationkey AS node FROM nation WHERE NOT EXISTS (SELECT 1 FROM edge WHERE dst = n_nationkey)")
+@query(f"WITH {EDGES_SQL} SELECT o_orderkey AS node FROM orders WHERE NOT EXISTS (SELECT 1 FROM edge WHERE dst = o_orderkey)")
 def call_roots(spark, d):
-    return graphs.roots(table(spark, d, "nation").select(F.col("n_nationkey").alias("node")), _edges(spark, d))
-
-
-COVER_SQL = "cover AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey % 4 = 1 THEN 0.0 ELSE 50.0 END AS covered FROM nation)"
+    return graphs.roots(table(spark, d, "orders").select(F.col("o_orderkey").alias("node")), _edges(spark, d))
 
 
-@query(_reach_sql("SELECT n_nationkey AS node FROM nation WHERE NOT EXISTS (SELECT 1 FROM edge WHERE dst = n_nationkey) AND n_nationkey % 4 <> 1") + f""", {COVER_SQL}
-SELECT root, min(depth) AS hops, arg_min(node, (depth, node)) AS node FROM far JOIN cover USING (node) WHERE covered = 0 AND depth > 0 GROUP BY root""")
+#: No shortest way has more hops than its customer has orders.
+@query(_reach_sql("SELECT o_orderkey AS node FROM orders WHERE NOT EXISTS (SELECT 1 FROM edge WHERE dst = o_orderkey) AND o_orderkey % 4 <> 1").replace(
+    f"depth < {DEPTH}", "depth < (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey))") + """
+SELECT root, min(depth) AS hops, arg_min(node, (depth, node)) AS node FROM far WHERE node % 4 = 1 AND depth > 0 GROUP BY root""")
 def shortest_untested(spark, d):
-    cover = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") % 4 == 1, 0.0).otherwise(50.0).alias("covered"))
-    return graphs.shortest_untested(_edges(spark, d), cover, DEPTH)
+    cover = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") % 4 == 1, 0.0).otherwise(50.0).alias("covered"))
+    return graphs.shortest_untested(_edges(spark, d), cover)
 
 
 # --- report readers: reports are written from the tables and read back -----------------------------------------------------------
 
 
-def _hits(spark, d, reports: int = 40):
-    """``report, path, line, hits`` of orders dealt to reports."""
+def _hits(spark, d, orders: int = 1000):
+    """``report, path, line, hits`` of so many orders a report, so that reports grow in number and not in size."""
     f = function_lines(spark, d).groupBy("fn", "line").agg(F.max("hits").alias("hits"))
-    return f.select(F.concat(F.lit("r"), F.col("fn") % reports).alias("report"), F.concat(F.lit("src/f"), "fn", F.lit(".rs")).alias("path"), F.col("line").cast("long").alias("line"), "hits")
+    return f.select(F.concat(F.lit("r"), F.floor(F.col("fn") / orders)).alias("report"), F.concat(F.lit("src/f"), "fn", F.lit(".rs")).alias("path"), F.col("line").cast("long").alias("line"), "hits")
 
 
 def _report(rows: DataFrame, line, path, whole, joiner: str = "\n") -> DataFrame:
@@ -491,7 +493,7 @@ def _report(rows: DataFrame, line, path, whole, joiner: str = "\n") -> DataFrame
     return texts.select("report", whole(F.col("body")).alias("content"))
 
 
-HITS_SQL = """SELECT 'r' || CAST(l_orderkey % 40 AS VARCHAR) AS report, 'src/f' || CAST(l_orderkey AS VARCHAR) || '.rs' AS path, CAST(l_linenumber AS BIGINT) AS line,
+HITS_SQL = """SELECT 'r' || CAST(l_orderkey // 1000 AS VARCHAR) AS report, 'src/f' || CAST(l_orderkey AS VARCHAR) || '.rs' AS path, CAST(l_linenumber AS BIGINT) AS line,
 CAST(max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM lineitem GROUP BY ALL"""
 _text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
@@ -546,9 +548,14 @@ def src_istanbul(spark, d):
     return reports.istanbul(text)
 
 
-@query(f"WITH h AS ({HITS_SQL}) SELECT DISTINCT report, 'lcov' AS format FROM h")
+@query("SELECT o_orderkey AS report, [NULL, 'lcov', 'cobertura', 'jacoco', 'llvm-cov', 'istanbul'][o_orderkey % 6 + 1] AS format FROM orders")
 def src_cov_detect(spark, d):
-    return _lcov_reports(spark, d).select("report", reports.detect_format(F.col("content")).alias("format"))
+    key = F.col("o_orderkey")
+    texts = [
+        _text("report ", key), _text("TN:\nSF:src/f", key, ".rs\nDA:1,1\nend_of_record"), _text('<?xml version="1.0"?>\n<coverage><class filename="f', key, '"/></coverage>'),
+        _text('<report name="', key, '"><package/></report>'), _text('{"data":[{"files":[{"filename":"f', key, '"}]}]}'), _text('{"f', key, '":{"statementMap":{},"s":{}}}'),
+    ]
+    return table(spark, d, "orders").select(key.alias("report"), reports.detect_format(F.get(F.array(*texts), (key % 6).cast("int"))).alias("format"))
 
 
 @query("""SELECT 'u' || CAST(user_id AS VARCHAR) AS name, count(*) AS tests, count(*) FILTER (event_type = 'error') AS failures, CAST(0 AS BIGINT) AS errors,
@@ -556,33 +563,33 @@ count(*) FILTER (event_type = 'signup') AS skipped, count(*) FILTER (event_type
 def src_junit(spark, d):
     case = F.when(F.col("event_type") == "error", '<testcase name="a"><failure message="m">x</failure></testcase>').when(F.col("event_type") == "signup", '<testcase name="a"><skipped/></testcase>').otherwise('<testcase name="a"/>')
     suite = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.collect_list(case), "\n").alias("b"))
-    text = suite.groupBy((F.col("user_id") % 10).alias("report")).agg(F.array_join(F.collect_list(_text('<testsuite name="u', F.col("user_id"), '" time="1.5">', F.col("b"), "</testsuite>")), "\n").alias("b"))
+    text = suite.groupBy(F.floor(F.col("user_id") / 10).alias("report")).agg(F.array_join(F.collect_list(_text('<testsuite name="u', F.col("user_id"), '" time="1.5">', F.col("b"), "</testsuite>")), "\n").alias("b"))
     out = reports.junit(text.select("report", _text("<testsuites>", F.col("b"), "</testsuites>").alias("content")))
     return out.select("name", "tests", "failures", "errors", "skipped", "passed")
 
 
-@query("""SELECT 'm' || CAST(user_id % 20 AS VARCHAR) AS report, count(*) AS total, count(*) FILTER (event_type = 'click') AS killed, count(*) FILTER (event_type = 'error') AS survived,
+@query("""SELECT 'm' || CAST(user_id // 5 AS VARCHAR) AS report, count(*) AS total, count(*) FILTER (event_type = 'click') AS killed, count(*) FILTER (event_type = 'error') AS survived,
 round(100.0 * count(*) FILTER (event_type IN ('click', 'view')) / nullif(count(*) FILTER (event_type IN ('click', 'view', 'error', 'signup')), 0), 6) AS score FROM events GROUP BY ALL""")
 def src_mutation(spark, d):
     status = S.lookup(F.col("event_type"), {"click": "Killed", "view": "Timeout", "error": "Survived", "signup": "NoCoverage", "purchase": "Ignored"})
-    per = table(spark, d, "events").groupBy(_text("m", F.col("user_id") % 20).alias("report")).agg(F.collect_list(F.struct(status.alias("status"))).alias("mutants"))
+    per = table(spark, d, "events").groupBy(_text("m", F.floor(F.col("user_id") / 5)).alias("report")).agg(F.collect_list(F.struct(status.alias("status"))).alias("mutants"))
     text = per.select("report", F.to_json(F.struct(F.create_map(F.lit("a.ts"), F.struct("mutants")).alias("files"))).alias("content"))
     return reports.mutation(text).select("report", "total", "killed", "survived", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {FOUND_SQL} SELECT 's' || source AS report, rule_id, CASE severity WHEN 'Blocker' THEN 'Major' WHEN 'Critical' THEN 'Major' WHEN 'Major' THEN 'Minor' WHEN 'Minor' THEN 'Minor' ELSE 'Info' END AS severity,
+@query(f"""WITH {FOUND_SQL} SELECT 's' || CAST(path // 500 AS VARCHAR) AS report, rule_id, CASE severity WHEN 'Blocker' THEN 'Major' WHEN 'Critical' THEN 'Major' WHEN 'Major' THEN 'Minor' WHEN 'Minor' THEN 'Minor' ELSE 'Info' END AS severity,
 'docs/' || CAST(path AS VARCHAR) AS path, CAST(line AS BIGINT) AS line FROM found WHERE NOT hotspot""")
 def src_sarif(spark, d):
     level = S.lookup(F.col("severity"), {"Blocker": "error", "Critical": "error", "Major": "warning", "Minor": "warning"}, "note")
     place = F.array(F.struct(F.struct(F.struct(_text("file://./docs/", F.col("path")).alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation")))
     one = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("rule_id").alias("text")).alias("message"), place.alias("locations"),
                    F.when(F.col("hotspot"), F.array(F.struct(F.lit("accepted").alias("status")))).alias("suppressions"))
-    per = found(spark, d).groupBy(_text("s", F.col("source")).alias("report")).agg(F.collect_list(one).alias("results"))
+    per = found(spark, d).groupBy(_text("s", F.floor(F.col("path") / 500)).alias("report")).agg(F.collect_list(one).alias("results"))
     text = per.select("report", F.to_json(F.struct(F.array(F.struct("results")).alias("runs"))).alias("content"))
     return reports.sarif(text).select("report", "rule_id", "severity", "path", "line")
 
 
-@query("""SELECT 'd' || CAST(l_orderkey % 40 AS VARCHAR) AS report, 'src/f' || CAST(l_orderkey AS VARCHAR) || '.rs' AS path, CAST(n AS BIGINT) AS line
+@query("""SELECT 'd' || CAST(l_orderkey // 1000 AS VARCHAR) AS report, 'src/f' || CAST(l_orderkey AS VARCHAR) || '.rs' AS path, CAST(n AS BIGINT) AS line
 FROM (SELECT l_orderkey, h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS h FROM lineitem GROUP BY ALL)) WHERE h = 1""")
 def src_diff(spark, d):
     rows = _hits(spark, d).withColumn("report", F.regexp_replace("report", "^r", "d"))
@@ -596,13 +603,13 @@ def src_diff(spark, d):
 
 def _sources(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
-    body = F.when(F.col("l_quantity") > 25, _text("    if x > ", F.col("l_linenumber"), ":\n        f", F.col("l_orderkey") + 50, "(x)")).otherwise(_text("    for i in range(", F.col("l_linenumber"), "):\n        print(x)"))
+    body = F.when(F.col("l_quantity") > 25, _text("    if x > ", F.col("l_linenumber"), ":\n        f", F.col("l_orderkey") + 1, "(x)")).otherwise(_text("    for i in range(", F.col("l_linenumber"), "):\n        print(x)"))
     fns = li.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(body)), "\n").alias("b"))
-    files = fns.groupBy((F.col("l_orderkey") % 50).alias("g")).agg(F.array_join(F.sort_array(F.collect_list(_text("def f", F.col("l_orderkey"), "(x, y=[]):\n", F.col("b")))), "\n\n").alias("content"))
+    files = fns.groupBy(F.floor(F.col("l_orderkey") / 100).alias("g")).agg(F.array_join(F.sort_array(F.collect_list(_text("def f", F.col("l_orderkey"), "(x, y=[]):\n", F.col("b")))), "\n\n").alias("content"))
     return files.select(_text("src/m", F.col("g"), ".py").alias("path"), _text("import os\nfrom m import *\n\n", F.col("content"), "\n").alias("content"))
 
 
-PY_SQL = "py AS (SELECT 'src/m' || CAST(l_orderkey % 50 AS VARCHAR) || '.py' AS path, l_orderkey AS k, count(*) FILTER (l_quantity > 25) AS branches, count(*) FILTER (l_quantity <= 25) AS loops FROM lineitem GROUP BY l_orderkey)"
+PY_SQL = "py AS (SELECT 'src/m' || CAST(l_orderkey // 100 AS VARCHAR) || '.py' AS path, l_orderkey AS k, count(*) FILTER (l_quantity > 25) AS branches, count(*) FILTER (l_quantity <= 25) AS loops FROM lineitem GROUP BY l_orderkey)"
 
 
 @query(f"WITH {PY_SQL} SELECT path, 'f' || CAST(k AS VARCHAR) AS name, branches, loops, CAST(0 AS BIGINT) AS exceptions, 1 + branches + loops AS cyclomatic FROM py")
@@ -615,7 +622,7 @@ def agg_structural_file(spark, d):
     return code.structure(python_source.nodes(_sources(spark, d)))
 
 
-@query(f"""WITH {PY_SQL} SELECT a.path, 'f' || CAST(a.k AS VARCHAR) AS caller, 'f' || CAST(b.k AS VARCHAR) AS callee FROM py a JOIN py b ON b.k = a.k + 50 WHERE a.branches > 0""")
+@query(f"""WITH {PY_SQL} SELECT a.path, 'f' || CAST(a.k AS VARCHAR) AS caller, 'f' || CAST(b.k AS VARCHAR) AS callee FROM py a JOIN py b ON b.k = a.k + 1 AND a.path = b.path WHERE a.branches > 0""")
 def grf_call_graph(spark, d):
     n = python_source.nodes(_sources(spark, d))
     names = n.where("kind = 'FunctionDef'").select("path", "node_id", "name")
@@ -641,10 +648,10 @@ def unified_classes(spark, d):
     return fixpoints.equivalence(_edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT n_nationkey AS name FROM nation WHERE n_regionkey = 4 UNION SELECT dst FROM walk JOIN edge ON src = name) SELECT 'all' AS path, name FROM walk""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT o_orderkey AS name FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') UNION SELECT dst FROM walk JOIN edge ON src = name) SELECT 'all' AS path, name FROM walk""")
 def taint_reach(spark, d):
     assigns = _edges(spark, d).select(F.lit("all").alias("path"), F.col("dst").alias("target"), F.col("src").alias("source"))
-    sources = table(spark, d, "nation").where("n_regionkey = 4").select(F.lit("all").alias("path"), F.col("n_nationkey").alias("name"))
+    sources = table(spark, d, "orders").where("o_orderpriority in ('1-URGENT', '2-HIGH')").select(F.lit("all").alias("path"), F.col("o_orderkey").alias("name"))
     return fixpoints.tainted(assigns, sources)
 
 
@@ -655,9 +662,9 @@ def class_ancestors(spark, d):
     return fixpoints.ancestors(up)
 
 
-@query(f"""WITH {EDGES_SQL} SELECT 'flowchart LR' || chr(10) || string_agg(DISTINCT '  "' || src || '" --> "' || dst || '"', chr(10) ORDER BY '  "' || src || '" --> "' || dst || '"') AS chart FROM edge""")
+@query(f"""WITH {NATION_SQL} SELECT 'flowchart LR' || chr(10) || string_agg(DISTINCT '  "' || src || '" --> "' || dst || '"', chr(10) ORDER BY '  "' || src || '" --> "' || dst || '"') AS chart FROM edge""")
 def mermaid_chart(spark, d):
-    return sinks.mermaid(_edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
+    return sinks.mermaid(graphs.component_edges(nation_edges(spark, d)).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
 
 
 @query(f"""WITH {FOUND_SQL} SELECT printf('%s:%d [%s] %s: %s', CAST(path AS VARCHAR), line, severity, rule_id, issue_type) AS line FROM found""")
@@ -685,10 +692,10 @@ def repeated_lines(spark, d):
     return per.groupBy("line_key").agg(F.sum("k").alias("n"), F.count("*").alias("files")).where("n > 3")
 
 
-@query("""WITH o AS (SELECT user_id % 50 AS project, CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS scope, max(event_id) AS definition FROM events WHERE event_id % 7 = 0 GROUP BY ALL)
+@query("""WITH o AS (SELECT user_id % 50 AS project, CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS scope, max(event_id) AS definition FROM events GROUP BY ALL)
 SELECT project, arg_max(definition, scope) AS definition, max(scope) AS scope FROM o GROUP BY project""")
 def override_scope(spark, d):
-    e = table(spark, d, "events").where("event_id % 7 = 0")
+    e = table(spark, d, "events")
     scope = S.lookup(F.col("event_type"), {"click": 2, "view": 1}, 0)
     o = e.groupBy((F.col("user_id") % 50).alias("project"), scope.alias("scope")).agg(F.max("event_id").alias("definition"))
     return o.groupBy("project").agg(F.max_by("definition", "scope").alias("definition"), F.max("scope").alias("scope"))
@@ -717,12 +724,47 @@ def points_to(spark, d):
     return fixpoints.points_to(_edges(spark, d).select(kind.alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query()
+#: Issues are tens of events of a user, in order.
+@query("""WITH RECURSIVE step AS (SELECT user_id * 1000 + (event_id // 1000) % 1000 AS issue, row_number() OVER (PARTITION BY user_id * 1000 + (event_id // 1000) % 1000 ORDER BY event_id) AS n,
+  CASE event_type WHEN 'click' THEN 'confirm' WHEN 'view' THEN 'resolve' WHEN 'error' THEN 'reopen' WHEN 'signup' THEN 'resolve' ELSE 'close' END AS t,
+  CASE event_type WHEN 'view' THEN 'Fixed' ELSE 'WontFix' END AS r FROM events),
+walk AS (SELECT DISTINCT issue, CAST(0 AS BIGINT) AS n, 'Open' AS status, CAST(NULL AS VARCHAR) AS resolution, 0 AS errors FROM step
+  UNION ALL SELECT w.issue, s.n,
+    CASE WHEN status = 'Open' AND t = 'confirm' THEN 'Confirmed' WHEN status IN ('Open', 'Confirmed') AND t = 'resolve' THEN 'Resolved' WHEN status = 'Resolved' AND t = 'reopen' THEN 'Open'
+      WHEN status = 'Resolved' AND t = 'close' THEN 'Closed' ELSE status END,
+    CASE WHEN status IN ('Open', 'Confirmed') AND t = 'resolve' THEN r WHEN status = 'Resolved' AND t = 'reopen' OR status = 'Open' AND t = 'confirm' THEN NULL ELSE resolution END,
+    errors + CASE WHEN status = 'Open' AND t IN ('confirm', 'resolve') OR status = 'Confirmed' AND t = 'resolve' OR status = 'Resolved' AND t IN ('reopen', 'close') THEN 0 ELSE 1 END
+  FROM walk w JOIN step s ON s.issue = w.issue AND s.n = w.n + 1)
+SELECT issue, arg_max(status, n) AS status, arg_max(resolution, n) FILTER (n = (SELECT max(x.n) FROM step x WHERE x.issue = walk.issue)) AS resolution, max(errors) AS errors FROM walk GROUP BY issue""")
 def issue_workflow(spark, d):
-    t = S.lookup(F.col("event_type"), {"click": "confirm", "view": "resolve", "error": "reopen", "signup": "unconfirm", "purchase": "close"})
-    return policy_state.issue_states(table(spark, d, "events").select(F.col("user_id").alias("issue"), F.col("event_id").alias("seq"), t.alias("transition")))
+    t = S.lookup(F.col("event_type"), {"click": "confirm", "view": "resolve", "error": "reopen", "signup": "resolve", "purchase": "close"})
+    resolution = F.when(F.col("event_type") == "view", "Fixed").otherwise("WontFix")
+    issue = F.col("user_id") * 1000 + F.floor(F.col("event_id") / 1000) % 1000
+    return policy_state.issue_states(table(spark, d, "events").select(issue.cast("long").alias("issue"), F.col("event_id").alias("seq"), t.alias("transition"), resolution.alias("resolution")))
 
 
-@query()
+@query(f"WITH {PY_SQL} SELECT path, 'f' || CAST(k AS VARCHAR) AS name, 1 + branches + loops AS complexity FROM py")
 def control_flow_complexity(spark, d):
-    return flow.flow_complexity(flow.control_flow(python_source.nodes(_sources(spark, d))))
+    n = python_source.nodes(_sources(spark, d))
+    names = n.where("kind = 'FunctionDef'").select("path", F.col("node_id").alias("fn"), "name")
+    return flow.flow_complexity(flow.control_flow(n)).join(names, ["path", "fn"]).select("path", "name", F.col("complexity").cast("long").alias("complexity"))
+
+
+#: A key of each provider's format, planted in one line in fourteen by turns; one line has none.
+PLANTED = {
+    "secrets:aws-access-key-id": "id = AKIA{0}{0}", "secrets:aws-secret-access-key": "aws_secret_access_key = '{0}{0}{0}{0}{0}'", "secrets:gcp-api-key": "k: AIza{0}{0}{0}{0}abc",
+    "secrets:gcp-service-account-key": '"private_key": "-----BEGIN RSA PRIVATE KEY-----', "secrets:azure-storage-connection-string": "AccountKey={0}{0}{0}{0}{0}{0}==",
+    "secrets:azure-sas-token": "https://x.net/c?sv=2020-01-02&se=1&sig={0}{0}{0}", "secrets:stripe-live-key": "sk_live_{0}{0}{0}", "secrets:github-token": "ghp_{0}{0}{0}{0}{0}",
+    "secrets:slack-token": "xoxb-{0}{0}", "secrets:npm-token": "npm_{0}{0}{0}{0}{0}", "secrets:jwt-like-token": "eyJ{0}{0}.{0}{0}.{0}{0}",
+}
+_PLANTED_SQL = ", ".join(f"({i}, '{k}')" for i, k in enumerate(PLANTED))
+
+
+@query(f"""WITH kind(i, rule_id) AS (VALUES {_PLANTED_SQL}), hit AS (SELECT rule_id, event_id FROM events JOIN kind ON event_id % 13 = i
+  UNION ALL SELECT 'secrets:private-key-block', event_id FROM events WHERE event_id % 13 IN (3, 11)) SELECT rule_id, count(*) AS n FROM hit GROUP BY rule_id""")
+def planted_secrets(spark, d):
+    key = F.lpad(F.col("event_id").cast("string"), 8, "0")
+    texts = [F.replace(F.lit(t), F.lit("{0}"), key) for t in PLANTED.values()]
+    line = F.get(F.array(*texts, F.lit("-----BEGIN PRIVATE KEY-----"), F.lit("AKIA is a word and sk_live_ too")), (F.col("event_id") % 13).cast("int"))
+    found = rules.secret_findings(table(spark, d, "events").select(F.col("event_id").alias("path"), F.lit(1).alias("line"), line.alias("text")))
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"))

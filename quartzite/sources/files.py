@@ -9,12 +9,15 @@ from quartzite.functions import scalars as S
 
 #: File extensions by language.
 EXTENSIONS = {
-    "bash": ("sh", "bash"), "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp"), "csharp": ("cs",), "css": ("css",), "dart": ("dart",), "dockerfile": ("dockerfile",),
-    "elixir": ("ex", "exs"), "go": ("go",), "hcl": ("tf", "hcl"), "html": ("html", "htm"), "java": ("java",), "json": ("json",), "kotlin": ("kt", "kts"), "lua": ("lua",),
-    "php": ("php",), "python": ("py",), "ruby": ("rb",), "rust": ("rs",), "scala": ("scala",), "sql": ("sql",), "swift": ("swift",),
+    "bash": ("sh", "bash"), "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp", "hh"), "csharp": ("cs",), "css": ("css",), "dockerfile": ("dockerfile", "docker"),
+    "elixir": ("ex", "exs"), "go": ("go",), "groovy": ("groovy", "gvy", "gy", "gsh"), "hcl": ("tf", "hcl"), "html": ("html", "htm"), "java": ("java",), "json": ("json",),
+    "kotlin": ("kt", "kts"), "lua": ("lua",), "php": ("php",), "python": ("py",), "ruby": ("rb",), "rust": ("rs",), "scala": ("scala", "sc"), "swift": ("swift",),
     "typescript": ("ts", "tsx", "js", "jsx"), "xml": ("xml",), "yaml": ("yaml", "yml"),
 }
-VENDORED_DIRS = ("node_modules", "vendor", "third_party", "dist", "build", "target", ".git", "bower_components")
+#: Directories of other people's or built code, anywhere in a path.
+VENDORED_DIRS = (
+    "vendor", "vendors", "node_modules", "bower_components", "dist", "build", "third_party", "third-party", "3rdparty", "public/assets", "public/external", "public/demo",
+)
 
 
 def language_of(path: Column) -> Column:
@@ -25,7 +28,7 @@ def language_of(path: Column) -> Column:
 
 def is_vendored(path: Column) -> Column:
     p = F.lower(path)
-    return p.rlike("\\.(min\\.js|min\\.css|bundle\\.js)$") | F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, VENDORED_DIRS)))
+    return p.rlike("\\.(min\\.js|min\\.css|bundle\\.js)$") | F.concat(F.lit("/"), p).rlike(f"/({'|'.join(VENDORED_DIRS)})/")
 
 
 def source_files(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:

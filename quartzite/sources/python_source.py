@@ -125,9 +125,9 @@ def parse(path: str, content: str) -> list[tuple]:
         return "\n".join(part)
 
     post = 0
-    stack: list[tuple] = [(tree, None, 0, 0, None, None, None, False, False, None)]
+    stack: list[tuple] = [(tree, None, 0, 0, None, None, None, False, False, None, None)]
     while stack:  # children are pushed in reverse, a marker closes a node
-        node, parent, index, depth, fn, cls, loop, in_async, in_except, above = stack.pop()
+        node, parent, index, depth, fn, cls, loop, in_async, in_except, above, part = stack.pop()
         if isinstance(node, int):
             rows[node][2] = post
             post += 1
@@ -137,8 +137,8 @@ def parse(path: str, content: str) -> list[tuple]:
         at = (getattr(node, "lineno", 1), getattr(node, "col_offset", 0), getattr(node, "end_lineno", len(lines)) or 1, getattr(node, "end_col_offset", 0) or 0)
         text = "" if isinstance(node, ast.Module) else segment(*at) if hasattr(node, "lineno") else ""
         name = node.value if kind == "StringLiteral" else _name(node)
-        rows.append([path, me, 0, parent, index, depth, kind, name, text, at[0], at[1] + 1, at[2], at[3] + 1, fn, cls, loop, in_async, in_except, above, _flags(node)])
-        stack.append((me, *[None] * 9))
+        rows.append([path, me, 0, parent, index, depth, kind, name, text, at[0], at[1] + 1, at[2], at[3] + 1, fn, cls, loop, in_async, in_except, above, _flags(node) + ([f"in:{part}"] if part else [])])
+        stack.append((me, *[None] * 10))
         if isinstance(node, _FUNCTION):
             fn, loop, in_async, in_except = me, None, isinstance(node, ast.AsyncFunctionDef), False
         elif isinstance(node, ast.ClassDef):
@@ -148,8 +148,9 @@ def parse(path: str, content: str) -> list[tuple]:
         elif isinstance(node, ast.ExceptHandler):
             in_except = True
         children = [c for c in ast.iter_child_nodes(node) if not isinstance(c, (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop))]
+        arm = {id(c): part for part in ("orelse", "finalbody") if isinstance(getattr(node, part, None), list) for c in getattr(node, part)}
         for i in reversed(range(len(children))):
-            stack.append((children[i], me, i, depth + 1, fn, cls, loop, in_async, in_except, kind))
+            stack.append((children[i], me, i, depth + 1, fn, cls, loop, in_async, in_except, kind, arm.get(id(children[i]))))
     return [tuple(r) for r in rows]
 
 

@@ -45,11 +45,11 @@ def _most_hits(rows: DataFrame) -> DataFrame:
 
 def lcov(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (the last of repeats wins) and totals by path; declared LH and LF win over counted lines."""
-    own = _lines(reports).withColumn("path", F.last(F.when(F.col("text").startswith("SF:"), F.substring("text", 4, 100_000)), ignorenulls=True).over(_order()))
+    own = _lines(reports).withColumn("path", F.last(F.when(F.col("text").startswith("SF:"), F.expr("substring(text, 4)")), ignorenulls=True).over(_order()))
     own = own.withColumn("open", F.sum(F.when(F.col("text").startswith("SF:"), 1).otherwise(0)).over(_order())).where("path is not null")
-    da = F.split(F.substring("text", 4, 1000), ",")
+    da = F.split(F.expr("substring(text, 4)"), ",")
     data = own.where(F.col("text").startswith("DA:")).select("report", "path", "open", "pos", _number(da[0]).alias("line"), _number(da[1]).alias("hits")).where("line is not null and hits is not null")
-    declared = lambda key: F.max(F.when(F.col("text").startswith(f"{key}:"), _number(F.substring("text", len(key) + 2, 30))))
+    declared = lambda key: F.max(F.when(F.col("text").startswith(f"{key}:"), _number(F.expr(f"substring(text, {len(key) + 2})"))))
     counted = F.count_if(F.col("text").rlike("^DA:[0-9]+,[0-9]+")), F.count_if(F.col("text").rlike("^DA:[0-9]+,0*[1-9]"))
     totals = own.groupBy("report", "path", "open").agg(
         F.coalesce(declared("LH"), counted[1]).alias("covered_lines"), F.coalesce(declared("LF"), counted[0]).alias("coverable_lines"),

@@ -56,22 +56,25 @@ def loop_guard(events: DataFrame, trip: int = TRIP) -> DataFrame:
 
 #: The issue workflow, transition by state.
 TRANSITIONS = {
-    "Open": {"confirm": "Confirmed", "resolve": "Resolved", "falsepositive": "Resolved", "wontfix": "Resolved"},
-    "Confirmed": {"unconfirm": "Reopened", "resolve": "Resolved", "falsepositive": "Resolved", "wontfix": "Resolved"},
-    "Reopened": {"confirm": "Confirmed", "resolve": "Resolved", "falsepositive": "Resolved", "wontfix": "Resolved"},
-    "Resolved": {"reopen": "Reopened", "close": "Closed"},
+    "Open": {"confirm": "Confirmed", "resolve": "Resolved"},
+    "Confirmed": {"resolve": "Resolved"},
+    "Resolved": {"reopen": "Open", "close": "Closed"},
     "Closed": {},
 }
 
 
 def issue_states(events: DataFrame) -> DataFrame:
-    """``issue, status, errors`` after all transitions in order; an illegal one is an error and changes nothing. ``events``: issue, seq, transition."""
+    """``issue, status, resolution, errors`` after all transitions in order; an illegal one is an error and changes nothing. Resolving takes
+    the event's resolution, closing keeps it, reopening drops it. ``events``: issue, seq, transition, resolution."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        status, errors = "Open", 0
-        for t in pdf.sort_values("seq")["transition"]:
+        status, held, errors = "Open", None, 0
+        for t, resolution in pdf.sort_values("seq")[["transition", "resolution"]].itertuples(index=False):
             after = TRANSITIONS[status].get(t)
-            status, errors = (after, errors) if after else (status, errors + 1)
-        return pd.DataFrame({"issue": [pdf["issue"].iloc[0]], "status": [status], "errors": [errors]})
+            if after is None:
+                errors += 1
+                continue
+            status, held = after, resolution if t == "resolve" else held if t == "close" else None
+        return pd.DataFrame({"issue": [pdf["issue"].iloc[0]], "status": [status], "resolution": [held], "errors": [errors]})
 
-    return events.groupBy("issue").applyInPandas(run, "issue long, status string, errors int")
+    return events.groupBy("issue").applyInPandas(run, "issue long, status string, resolution string, errors int")

@@ -20,6 +20,32 @@ def test_control_flow(spark):
     assert {r.controller for r in flow.control_dependence(e).collect()}
 
 
+def test_control_flow_of_arms_and_jumps(spark):
+    """Complexity is one more than the decisions, whatever arm jumps; dead code makes no blocks."""
+    cases = {
+        "if x:\n  return 1\n else:\n  b()\n c()": (2, {"true", "false", "return", "join"}),
+        "if x:\n  a()\n elif y:\n  b()\n else:\n  c()": (3, {"true", "false", "join"}),
+        "while x:\n  if y:\n   break\n  if z:\n   continue\n  a()": (4, {"break", "continue", "back", "true", "false", "join"}),
+        "try:\n  a()\n except A:\n  b()\n except B:\n  return 2\n else:\n  c()\n finally:\n  d()": (3, {"except", "join", "return"}),
+        "match x:\n  case 1:\n   a()\n  case _:\n   b()": (2, {"case", "join"}),
+        "return 1\n if x:\n  a()": (1, {"return"}),
+        "for i in x:\n  return i\n else:\n  b()": (2, {"true", "false", "return", "join"}),
+    }
+    src = [(f"m{i}.py", f"def f(x, y, z):\n {body}\n") for i, body in enumerate(cases)]
+    e = flow.control_flow(python_source.nodes(spark.createDataFrame(src, "path string, content string"))).cache()
+    got = {r.path: r.complexity for r in flow.flow_complexity(e).collect()}
+    for i, (want, kinds) in enumerate(cases.values()):
+        rows = [r for r in e.collect() if r.path == f"m{i}.py"]
+        assert got[f"m{i}.py"] == want and {r.kind for r in rows} == kinds, (i, got, rows)
+        ways: dict[int, set[int]] = {}
+        for r in rows:
+            ways.setdefault(r.src, set()).add(r.dst)
+        seen, todo = {0}, [0]
+        while todo:
+            todo += [d for d in ways.get(todo.pop(), ()) if d not in seen and not seen.add(d)]
+        assert seen == {0} | {r.dst for r in rows}  # all is reached
+
+
 def test_tree_distance():
     t = lambda kinds, parents: flow.post_order(kinds, parents)
     a = t(list("fdace"), [None, 0, 1, 1, 0])

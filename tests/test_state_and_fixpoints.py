@@ -28,8 +28,9 @@ def test_breaker_keeps_state_between_batches(spark, tmp_path):
 
 
 def test_issue_workflow(spark):
-    e = spark.createDataFrame([(1, 1, "confirm"), (1, 2, "resolve"), (1, 3, "confirm"), (1, 4, "close"), (2, 1, "close")], "issue long, seq long, transition string")
-    assert {tuple(r) for r in policy_state.issue_states(e).collect()} == {(1, "Closed", 1), (2, "Open", 1)}
+    steps = [(1, "confirm"), (1, "resolve"), (1, "confirm"), (1, "close"), (2, "close"), (3, "resolve"), (3, "reopen"), (3, "reopen"), (4, "resolve"), (4, "resolve"), (4, "unconfirm")]
+    e = spark.createDataFrame([(i, n, t, "Fixed" if n != 9 else "WontFix") for n, (i, t) in enumerate(steps)], "issue long, seq long, transition string, resolution string")
+    assert {tuple(r) for r in policy_state.issue_states(e).collect()} == {(1, "Closed", "Fixed", 1), (2, "Open", None, 1), (3, "Open", None, 1), (4, "Resolved", "Fixed", 2)}
 
 
 def test_fixpoints(spark):
@@ -121,10 +122,35 @@ def test_sinks(spark):
 
 def test_unfinished_fixpoints_raise(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "type int, base int")
-    assert fixpoints.ancestors(chain, 6).count() == 21
+    assert fixpoints.ancestors(chain, 4).count() == 21
     with pytest.raises(RuntimeError):
-        fixpoints.ancestors(chain, 3)
+        fixpoints.ancestors(chain, 1)
     pairs = chain.toDF("a", "b")
     assert {r.root for r in fixpoints.equivalence(pairs, 7).collect()} == {0}
     with pytest.raises(RuntimeError):
-        fixpoints.equivalence(pairs, 3)
+        fixpoints.equivalence(pairs, 1)
+
+
+def test_lcom_of_a_long_chain(spark):
+    """Forty methods, each sharing a field with the next only, are one group."""
+    body = "".join(f"    def m{i}(self):\n        return self.f{i} + self.f{i + 1}\n" for i in range(40))
+    n = python_source.nodes(spark.createDataFrame([("m.py", "class C:\n" + body)], "path string, content string"))
+    assert [r.lcom for r in code.lcom(n).collect()] == [1]
+
+
+def test_points_to_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    for _ in range(2):
+        rows = [(rng.choice(["address", "copy", "copy", "load", "store"]), rng.randrange(8), rng.randrange(8)) for _ in range(14)]
+        facts = {(a, b) for k, a, b in rows if k == "address"}
+        while True:
+            new = {(a, t) for k, a, b in rows if k == "copy" for p, t in facts if p == b}
+            new |= {(a, t) for k, a, b in rows if k == "load" for p, q in facts if p == b for p2, t in facts if p2 == q}
+            new |= {(q, t) for k, a, b in rows if k == "store" for p, q in facts if p == a for p2, t in facts if p2 == b}
+            if new <= facts:
+                break
+            facts |= new
+        c = spark.createDataFrame([*rows, ("address", 99, 99)], "kind string, a int, b int")
+        assert {tuple(r) for r in fixpoints.points_to(c).collect()} == facts | {(99, 99)}
