@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
-from quartzite.operators import clones, code, findings, fixpoints, flow, graphs, history, rules
-from quartzite.sources import python_source, reports, sinks
+from quartzite.operators import clones, code, code_rules, findings, fixpoints, flow, graphs, history, rules
+from quartzite.rulesets import registry
+from quartzite.sources import code_source, python_source, reports, sinks
 from quartzite.streaming import policy_state
 from quartzite.plans.bindings import (
     COUPLING_SQL, EDGES_SQL, FOUND_SQL, LINES_SQL, MARKER, NATION_SQL, RANK_SQL, RULES, couplings, found, function_lines, lines, nation_edges, order_edges, q, table,
@@ -768,3 +769,59 @@ def planted_secrets(spark, d):
     line = F.get(F.array(*texts, F.lit("-----BEGIN PRIVATE KEY-----"), F.lit("AKIA is a word and sk_live_ too")), (F.col("event_id") % 13).cast("int"))
     found = rules.secret_findings(table(spark, d, "events").select(F.col("event_id").alias("path"), F.lit(1).alias("line"), line.alias("text")))
     return found.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+# --- rules on text and the shared tokeniser: orders are written as files -----------------------------------------------------------------
+
+SAMPLES = registry.samples()
+_SAMPLES_SQL = ", ".join(f"({i}, '{rule}', '{kind}')" for i, (rule, kind, *_) in enumerate(SAMPLES))
+
+
+@query(f"""WITH sample(i, rule_id, kind) AS (VALUES {_SAMPLES_SQL}) SELECT rule_id, kind, count(*) AS files, count(*) FILTER (kind = 'bad') AS found
+FROM orders JOIN sample ON o_orderkey % {len(SAMPLES)} = i GROUP BY rule_id, kind""")
+def source_rules(spark, d):
+    """Each order is a file: by turns a text that breaks a rule and one that keeps it."""
+    rows = [(i, *s) for i, s in enumerate(SAMPLES)]
+    known = F.broadcast(spark.createDataFrame(rows, "i long, rule_id string, kind string, language string, path string, content string"))  # the program's own texts
+    od = table(spark, d, "orders").select((F.col("o_orderkey") % len(SAMPLES)).alias("i"), F.col("o_orderkey").cast("string").alias("k"))
+    files = od.join(known, "i").withColumn("path", F.replace("path", F.lit("{}"), F.col("k"))).drop("i", "k")
+    hits = code_rules.code_findings(files.select("path", "language", "content"), registry.RULES).select("path", F.col("rule_id").alias("hit")).distinct()
+    own = files.join(hits, (files.path == hits.path) & (files.rule_id == hits.hit), "left")
+    return own.groupBy("rule_id", "kind").agg(F.count("*").alias("files"), F.count("hit").alias("found"))
+
+
+#: A function with a branch of two tests, a loop and a call, in each language; ``{}`` is its number. (calls by name, decisions)
+BODIES = {
+    "typescript": "export function f{}(a: number, b) {\n  if (a > 1 && b) { g{}(a); }\n  for (const i of b) { h(i); }\n  return a;\n}\n",
+    "rust": "pub fn f{}(a: u8, b: bool) -> u8 {\n    if a > 1 && b { g{}(a); }\n    for i in 0..3 { h(i); }\n    a\n}\n",
+    "go": "package m\n\nfunc (s *T) f{}(a int, b bool) int {\n\tif a > 1 && b { g{}(a) }\n\tfor i := 0; i < 3; i++ { h(i) }\n\treturn a\n}\n",
+    "java": "public class C{} {\n  int f{}(int a, boolean b) throws E {\n    if (a > 1 && b) { g{}(a); }\n    for (int i = 0; i < 3; i++) { h(i); }\n    return a;\n  }\n}\n",
+    "csharp": "class C{} {\n  int f{}(int a, bool b)\n  {\n    if (a > 1 && b) { g{}(a); }\n    foreach (var i in x) { h(i); }\n    return a;\n  }\n}\n",
+    "kotlin": "fun f{}(a: Int, b: Boolean): Int {\n  if (a > 1 && b) { g{}(a) }\n  for (i in 0..3) { h(i) }\n  return a\n}\n",
+    "scala": "object C{} {\n  def f{}(a: Int, b: Boolean): Int = {\n    if (a > 1 && b) { g{}(a) }\n    for (i <- 0 to 3) { h(i) }\n    a\n  }\n}\n",
+    "groovy": "class C{} {\n  int f{}(a, b) {\n    if (a > 1 && b) { g{}(a) }\n    for (i in x) { h(i) }\n    return a\n  }\n}\n",
+    "swift": "func f{}(a: Int, b: Bool) -> Int {\n  if a > 1 && b { g{}(a) }\n  for i in 0...3 { h(i) }\n  return a\n}\n",
+    "c": "int f{}(int a, int b)\n{\n  if (a > 1 && b) { g{}(a); }\n  for (int i = 0; i < 3; i++) { h(i); }\n  return a; /* if (x) */\n}\n",
+    "cpp": "int N::f{}(int a, bool b) const {\n  if (a > 1 && b) { g{}(a); }\n  for (auto i : x) { h(i); }\n  return a;\n}\n",
+    "php": "<?php\nfunction f{}($a, $b) {\n  if ($a > 1 && $b) { g{}($a); }\n  foreach ($x as $i) { h($i); }\n  return $a; # for\n}\n",
+    "lua": "local function f{}(a, b)\n  if a > 1 and b then g{}(a) end\n  for i = 1, 3 do h(i) end\n  return a -- if\nend\n",
+    "ruby": "def f{}(a, b)\n  if a > 1 && b\n    g{}(a)\n  end\n  while x do\n    h(a)\n  end\n  a # if\nend\n",
+    "elixir": "defmodule C{} do\n  def f{}(a, b) do\n    if a > 1 && b do\n      g{}(a)\n    end\n    for i <- a do\n      h(i)\n    end\n  end\nend\n",
+    "bash": "f{}() {\n  if [ $a ] && [ $b ]; then g{} a; fi\n  for i in 1 2; do h i; done\n}\n",
+}
+_LANGUAGES_SQL = ", ".join(f"({i}, '{k}')" for i, k in enumerate(BODIES))
+
+
+@query(f"""WITH kind(i, language) AS (VALUES {_LANGUAGES_SQL}) SELECT language, 'f' || CAST(o_orderkey AS VARCHAR) AS name, CAST(2 AS BIGINT) AS branches, CAST(1 AS BIGINT) AS loops, CAST(4 AS BIGINT) AS cyclomatic,
+'g' || CAST(o_orderkey AS VARCHAR) || ',h' AS calls FROM orders JOIN kind ON o_orderkey % {len(BODIES)} = i""")
+def source_functions(spark, d):
+    """Each order is a file in one of the languages; its function, decisions and calls come from the nodes."""
+    rows = [(i, language, body) for i, (language, body) in enumerate(BODIES.items())]
+    known = F.broadcast(spark.createDataFrame(rows, "i long, language string, body string"))
+    key = F.col("o_orderkey").cast("string")
+    files = table(spark, d, "orders").select((F.col("o_orderkey") % len(BODIES)).alias("i"), key.alias("k")).join(known, "i")
+    files = files.select(F.concat_ws("/", "language", "k").alias("path"), "language", F.replace("body", F.lit("{}"), F.col("k")).alias("content"))
+    n = code_source.nodes(files)
+    calls = n.where("kind = 'Call' and owner_fn_id is not null").groupBy("path", F.col("owner_fn_id").alias("fn")).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("calls"))
+    out = code.function_complexity(n).join(calls, ["path", "fn"], "left")
+    return out.select(F.substring_index("path", "/", 1).alias("language"), F.substring_index("name", "::", -1).alias("name"), "branches", "loops", "cyclomatic", "calls")
