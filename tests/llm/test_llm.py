@@ -253,12 +253,17 @@ def dice(a, b):
 def test_license_scan(spark, edge):
     mit = license_scan.TEMPLATES["MIT"][2]
     texts = ["some text\nLicensed under the  APACHE license, version 2.0!\nmore", mit.replace(" to deal", "\nto deal"), "all rights are not reserved", mit.replace("copy", "clone", 1), "nothing"]
+    texts += ["This package was written by the data team and is Licensed under the Apache License, Version 2.0. Please see the notes.", "one two\nthree Released\nunder the MIT\nLicense. four five\nsix seven"]
     found = {(r.doc_id, r.license) for r in license_scan.report(docs(spark, texts)).collect()}
     want = set()
     for i, t in enumerate(texts):
-        for unit in [*t.split("\n"), t]:
-            want |= {(i, name) for name, own in license_scan.TEMPLATES.items() for x in own if dice(unit, x) >= 0.8}
-    assert found == want and (0, "Apache-2.0") in found and (1, "MIT") in found
+        words = "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()
+        for name, own in license_scan.TEMPLATES.items():
+            for x in own:
+                n = len("".join(c if c.isascii() and c.isalnum() else " " for c in x.lower()).split())
+                inside = [" ".join(words[k : k + n]) for k in range(len(words)) if k + 1 < len(words) and (words[k], words[k + 1]) in bigrams(x)]
+                want |= {(i, name) for unit in [*t.split("\n"), t, *inside] if dice(unit, x) >= 0.8}
+    assert found == want and (0, "Apache-2.0") in found and (1, "MIT") in found and (5, "Apache-2.0") in found and (6, "MIT") in found
     assert license_scan.report(edge).count() == 0 and license_scan.report(edge.limit(0)).count() == 0
 
 
