@@ -2,11 +2,14 @@
 
 ``mux`` stores each payload as a single-program transport stream (PAT, PMT, then packetised elementary
 packets of a private stream, one access unit per 32 payload blocks); ``demux`` parses the program tables,
-checks continuity counters, reassembles the elementary packets and reports timestamps and random-access points.
+checks continuity counters, reassembles the elementary packets and reports timestamps and random-access points. It reads streams of
+others too: sections that go over several packets or follow each other in one, several programs (the first with streams is read) and
+new versions of its map, packets sent twice (dropped), signalled discontinuities (no error), packets marked as broken (left out),
+and lost or foreign bytes between packets (it finds the packets again).
 
 Defined results: null or empty text gives one block of padding; repeated rows give equal streams; extra columns are
-not read; an empty table gives an empty table; a damaged stream gives counts in ``n_cc_errors`` / ``n_sync_errors``
-and the bytes that could be reassembled.
+not read; an empty table gives an empty table; a damaged stream gives counts in ``n_cc_errors``, ``n_sync_errors``, ``n_table_errors``
+and ``n_damaged_units`` and the bytes that could be reassembled.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ FIRST_PTS = CLOCK
 STREAM_SCHEMA = "media binary"
 DEMUX_FIELDS = (
     "program_number int, pmt_pid int, es_pid int, stream_type int, n_packets long, n_units long, n_cc_errors long, "
-    "n_sync_errors long, n_table_errors long, first_pts long, last_pts long, random_access_units array<long>"
+    "n_sync_errors long, n_table_errors long, n_programs long, n_streams long, n_duplicates long, n_damaged_units long, first_pts long, last_pts long, random_access_units array<long>"
 )
 
 
@@ -123,61 +126,138 @@ def build_stream(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _read_section(packets: np.ndarray, rows: np.ndarray, table_id: int) -> bytes | None:
-    for r in rows:
-        p = packets[r].tobytes()
-        at = 4 + (p[4] + 1 if p[3] & 0x20 else 0)
-        at += p[at] + 1
-        if p[at] != table_id:
+def packets_of(media: bytes) -> tuple[np.ndarray, int]:
+    """The packets of a stream and how often they had to be looked for: a packet begins with the sync byte and another follows it, or the end."""
+    n, rest = divmod(len(media), PACKET)
+    if not rest:
+        whole = np.frombuffer(media, np.uint8).reshape(n, PACKET)
+        if (whole[:, 0] == 0x47).all():
+            return whole, 0
+    starts, at, lost = [], 0, 0
+    follows = lambda p: p + PACKET == len(media) or p + PACKET < len(media) and media[p + PACKET] == 0x47
+    while at + PACKET <= len(media):
+        if media[at] == 0x47 and follows(at):
+            starts.append(at)
+            at += PACKET
             continue
-        end = at + 3 + ((p[at + 1] & 0x0F) << 8 | p[at + 2])
-        if end <= PACKET and crc32_mpeg(p[at:end]) == 0:
-            return p[at + 8 : end - 4]
-    return None
+        lost += 1
+        if media[at] == 0x47 and starts and starts[-1] == at - PACKET:  # the last before a gap
+            starts.append(at)
+        at = media.find(b"\x47", at + 1)
+        while at >= 0 and at + PACKET <= len(media) and not follows(at):
+            at = media.find(b"\x47", at + 1)
+        if at < 0:
+            break
+    else:
+        lost += at < len(media)
+    return np.frombuffer(b"".join(media[p : p + PACKET] for p in starts), np.uint8).reshape(-1, PACKET), lost
+
+
+def _sections(packets: np.ndarray, table_id: int) -> tuple[list[bytes], int]:
+    """The bodies of a PID's sections of one table, put together over packets, that are in force and whole; and how many aren't whole."""
+    found, broken, held = [], 0, b""
+
+    def take(data: bytes) -> bytes:
+        """The sections at the start of ``data``; what is left is one that goes on."""
+        nonlocal broken
+        while len(data) >= 3 and data[0] != 0xFF:
+            end = 3 + ((data[1] & 0x0F) << 8 | data[2])
+            if len(data) < end:
+                return data
+            section, data = data[:end], data[end:]
+            if end < 12 or crc32_mpeg(section):
+                broken += 1
+            elif section[0] == table_id and section[5] & 1:
+                found.append(section[8:-4])
+        return b"" if not data or data[0] == 0xFF else data
+
+    last: bytes | None = None
+    for row in packets:
+        p = row.tobytes()
+        if not p[3] & 0x10 or p == last:
+            continue
+        last = p
+        data = p[4 + (p[4] + 1 if p[3] & 0x20 else 0) :]
+        if p[1] & 0x40:
+            if not data:
+                continue
+            pointer, data = data[0], data[1:]
+            if held:
+                broken += bool(take(held + data[:pointer]))
+            held = take(data[pointer:])
+        elif held:
+            held = take(held + data)
+    return found, broken + bool(held)
 
 
 def parse_stream(media: bytes) -> tuple[bytes, dict]:
-    """The elementary payload of the first program's first stream, and what the stream says of it."""
-    n = len(media) // PACKET
-    packets = np.frombuffer(media, np.uint8, n * PACKET).reshape(n, PACKET)
-    synced = packets[:, 0] == 0x47
+    """The elementary payload of the first stream of the first program that has one, and what the stream says of it."""
+    packets, lost = packets_of(media)
     info = {
-        "program_number": None, "pmt_pid": None, "es_pid": None, "stream_type": None, "n_packets": n, "n_units": 0, "n_cc_errors": 0,
-        "n_sync_errors": int(n - synced.sum()) + bool(len(media) % PACKET), "n_table_errors": 0, "first_pts": None, "last_pts": None,
-        "random_access_units": [],
+        "program_number": None, "pmt_pid": None, "es_pid": None, "stream_type": None, "n_packets": len(packets), "n_units": 0, "n_cc_errors": 0, "n_sync_errors": lost,
+        "n_table_errors": 0, "n_programs": 0, "n_streams": 0, "n_duplicates": 0, "n_damaged_units": 0, "first_pts": None, "last_pts": None, "random_access_units": [],
     }
+    broken = (packets[:, 1] & 0x80) > 0
+    info["n_sync_errors"] += int(broken.sum())
+    packets = packets[~broken]
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    starts = (packets[:, 1] & 0x40).astype(bool)
-    pat = _read_section(packets, np.flatnonzero(synced & (pids == 0) & starts), 0x00)
-    if pat is None or len(pat) < 4:
-        return b"", info | {"n_table_errors": 1}
-    info["program_number"] = int.from_bytes(pat[0:2], "big")
-    info["pmt_pid"] = pmt_pid = int.from_bytes(pat[2:4], "big") & 0x1FFF
-    pmt = _read_section(packets, np.flatnonzero(synced & (pids == pmt_pid) & starts), 0x02)
-    if pmt is None or len(pmt) < 9:
-        return b"", info | {"n_table_errors": 1}
-    at = 4 + (int.from_bytes(pmt[2:4], "big") & 0x0FFF)
-    info["stream_type"], info["es_pid"] = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-    own = packets[synced & (pids == info["es_pid"])]
+    tables, bad = _sections(packets[pids == 0], 0x00)
+    programs: dict[int, int] = {}
+    for body in tables:
+        for at in range(0, len(body) - 3, 4):
+            number = int.from_bytes(body[at : at + 2], "big")
+            if number:
+                programs[number] = int.from_bytes(body[at + 2 : at + 4], "big") & 0x1FFF
+    info["n_programs"], info["n_table_errors"] = len(programs), bad
+    es_pids: list[int] = []
+    for number, pmt_pid in programs.items():
+        maps, bad = _sections(packets[pids == pmt_pid], 0x02)
+        info["n_table_errors"] += bad
+        streams: dict[int, int] = {}
+        for body in maps:  # a later map takes the place of an earlier one; the first stream of each carries the payload
+            at = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
+            first = True
+            while at + 5 <= len(body):
+                pid = int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF
+                streams.setdefault(pid, body[at])
+                if first and not info["n_streams"] and pid not in es_pids:
+                    es_pids.append(pid)
+                first = False
+                at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0x0FFF)
+        if streams and not info["n_streams"]:
+            info |= {"program_number": number, "pmt_pid": pmt_pid, "es_pid": es_pids[0], "stream_type": streams[es_pids[0]], "n_streams": len(streams)}
+    if not es_pids:
+        return b"", info | {"n_table_errors": max(1, info["n_table_errors"])}
+    own = packets[np.isin(pids, es_pids)]
     if not len(own):
         return b"", info
+    if len(es_pids) == 1:  # a packet with a payload may come twice, byte for byte
+        same = (own[1:, 3] == own[:-1, 3]) & ((own[1:, 3] & 0x10) > 0)
+        same[same] = (own[1:][same] == own[:-1][same]).all(axis=1)
+        info["n_duplicates"] = int(same.sum())
+        own = own[np.r_[True, ~same]]
     control = own[:, 3]
     loaded = (control & 0x10).astype(bool)
-    counters = (control & 0x0F).astype(np.int16)
-    step = (counters[1:] - counters[:-1]) & 15
-    info["n_cc_errors"] = int((step != loaded[1:]).sum())
-    has_field = (control & 0x20).astype(bool)
-    first = np.where(has_field, 5 + own[:, 4].astype(np.int32), 4)
+    has_field = ((control & 0x20) > 0) & (own[:, 4] > 0)
+    own_pid = (own[:, 1].astype(np.int32) & 0x1F) << 8 | own[:, 2]
+    for pid in es_pids:
+        at = own_pid == pid
+        counters = (control[at] & 0x0F).astype(np.int16)
+        step = (counters[1:] - counters[:-1]) & 15
+        signalled = (has_field[at] & ((own[at, 5] & 0x80) > 0))[1:]
+        info["n_cc_errors"] += int(((step != loaded[at][1:]) & ~signalled).sum())
+    first = np.where((control & 0x20) > 0, 5 + own[:, 4].astype(np.int32), 4)
     first[~loaded] = PACKET
+    first = np.minimum(first, PACKET)
     begins = (own[:, 1] & 0x40).astype(bool) & loaded
-    access = has_field & (own[:, 4] > 0) & ((own[:, 5] & 0x40) > 0)
+    access = has_field & ((own[:, 5] & 0x40) > 0)
     data = own[np.arange(PACKET)[None, :] >= first[:, None]].tobytes()
     ends = np.cumsum(PACKET - first)
     begin_at = (ends - (PACKET - first))[begins].tolist()
     parts, units = [], 0
     for a, b, is_random in zip(begin_at, [*begin_at[1:], len(data)], access[begins].tolist(), strict=True):
         if data[a : a + 3] != b"\x00\x00\x01" or b - a < 9:
-            info["n_sync_errors"] += 1
+            info["n_damaged_units"] += 1
             continue
         size, flags, header = int.from_bytes(data[a + 4 : a + 6], "big"), data[a + 7], data[a + 8]
         if flags & 0x80:
@@ -187,6 +267,7 @@ def parse_stream(media: bytes) -> tuple[bytes, dict]:
             info["last_pts"] = pts
             if is_random:
                 info["random_access_units"].append(pts)
+        info["n_damaged_units"] += bool(size) and b < a + 6 + size
         parts.append(data[a + 9 + header : min(b, a + 6 + size) if size else b])
         units += 1
     info["n_units"] = units

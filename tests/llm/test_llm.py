@@ -54,6 +54,41 @@ def test_stream_damage_is_counted():
     assert media_ts.parse_stream(b"\x00" * 188)[1]["n_table_errors"] == 1
 
 
+def test_streams_of_others():
+    payload = media_ts.pad(random.Random(5).randbytes(60_000))
+    media = media_ts.build_stream(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    read = lambda ps: media_ts.parse_stream(b"".join(ps))
+    back, info = read([*packets[:9], packets[8], *packets[9:]])  # one comes twice
+    assert back == payload and (info["n_duplicates"], info["n_cc_errors"]) == (1, 0)
+    k = next(i for i in range(9, len(packets)) if packets[i][3] & 0x20 and packets[i][4] > 1)
+    jump = lambda p, flag: p[:3] + bytes([p[3] & 0xF0 | p[3] + 5 & 15]) + p[4:5] + bytes([p[5] | flag]) + p[6:] if p[3] & 0x20 else p[:3] + bytes([p[3] & 0xF0 | p[3] + 5 & 15]) + p[4:]
+    for flag, errors in ((0x80, 0), (0, 1)):  # a jump of the counter that is signalled, and one that isn't
+        back, info = read([*packets[:k], *(jump(p, flag if i == 0 else 0) for i, p in enumerate(packets[k:]))])
+        assert back == payload and info["n_cc_errors"] == errors
+    back, info = media_ts.parse_stream(b"junk" + b"".join(packets[:20]) + b"\x01\x47noise" + b"".join(packets[20:]) + b"tail")
+    assert back == payload and info["n_sync_errors"] == 3 and info["n_packets"] == len(packets)
+    lost = [*packets[:12], *packets[13:]]
+    back, info = read(lost)
+    assert len(back) < len(payload) and info["n_cc_errors"] == 1 and info["n_damaged_units"] == 1
+    bad = packets[12][:1] + bytes([packets[12][1] | 0x80]) + packets[12][2:]
+    assert read([*packets[:12], bad, *packets[13:]])[1]["n_sync_errors"] == 1
+    # a table of many programs goes over several packets, and only the last has streams
+    entries = b"".join((n).to_bytes(2, "big") + (0xE000 | 0x500 + n).to_bytes(2, "big") for n in range(1, 61)) + (99).to_bytes(2, "big") + (0xE000 | media_ts.PMT_PID).to_bytes(2, "big")
+    section = media_ts._section(0x00, 1, entries)
+    chunks = [b"\x00" + section[:183], section[183:]]
+    pat = [(bytes([0x47, 0x40 if i == 0 else 0, 0, 0x10 | i]) + c).ljust(188, b"\xff") for i, c in enumerate(chunks)]
+    back, info = read([*pat, *packets[1:]])
+    assert back == payload and (info["n_programs"], info["program_number"], info["n_table_errors"]) == (61, 99, 0)
+    assert read([packets[0][:20] + b"\x00" + packets[0][21:], *packets[1:]])[1]["n_table_errors"] >= 1
+    # a new version of the map moves the stream to another PID
+    moved = [p[:1] + bytes([p[1] & 0xE0 | 0x02, 0x22]) + p[3:] for p in packets[40:]]
+    pmt = media_ts._section(0x02, 1, (0xE222).to_bytes(2, "big") + b"\xf0\x00" + b"\x06" + (0xE222).to_bytes(2, "big") + b"\xf0\x00")
+    back, info = read([*packets[:40], media_ts._table_packet(media_ts.PMT_PID, pmt), *moved])
+    assert back == payload and info["n_streams"] == 2
+    assert media_ts.parse_stream(b"")[1]["n_packets"] == 0
+
+
 def test_op1(spark, edge):
     rows = media_ts.digests(edge).collect()
     assert len(rows) == 7
