@@ -34,6 +34,7 @@ CLASSES = 64
 SWEEPS = 6
 SLICES = 8
 BATCH_ROWS = 4096  # texts met at once
+BUCKET_WORDS = 2_000_000  # that share a bucket, about
 HELD_WORDS = 200_000  # of a task before it hands its counts on
 END = b""
 
@@ -47,8 +48,8 @@ def ending_unit(word: bytes, endings: int) -> int:
     return xxhash.xxh64_intdigest(word[-3:], 7) % endings
 
 
-def frequent_words(docs: DataFrame, count: int) -> list[bytes]:
-    """The commonest words of the training texts by their exact counts, at most ``count``."""
+def frequent_words(docs: DataFrame, count: int) -> tuple[list[bytes], int]:
+    """The commonest words of the training texts by their exact counts, at most ``count``, and the number of all words there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -65,8 +66,9 @@ def frequent_words(docs: DataFrame, count: int) -> list[bytes]:
         yield sums()
 
     found = docs.where("train").select("text").mapInArrow(run, "word binary, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(count)
-    return sorted(bytes(r.word) for r in top.collect())
+    counts = materialize(found.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(count).collect()
+    return sorted(bytes(r.word) for r in top), counts.agg(F.sum("n")).first()[0] or 0
 
 
 def _units(docs: DataFrame, kind: str, frequent: list[bytes], endings: int, buckets: int) -> DataFrame:
@@ -266,9 +268,9 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("key"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    own = frequent_words(source, frequent)
+    own, n_words = frequent_words(source, frequent)
     total = len(own) + endings + 1
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // BUCKET_WORDS)  # so that a bucket doesn't grow with the corpus
     parts = materialize(_units(source, kind, own, endings, buckets), "units")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -399,7 +399,7 @@ def test_class_lm_splits_frequent_and_rare_alike(spark):
 
 def test_class_lm_frequent_words_are_exact(spark):
     text = " ".join(["a"] * 400 + ["b"] * 30 + [f"x{i}" for i in range(100)])
-    assert class_lm.frequent_words(spark.createDataFrame([(text, True)], "text string, train boolean"), 2) == [b"a", b"b"]
+    assert class_lm.frequent_words(spark.createDataFrame([(text, True)], "text string, train boolean"), 2) == ([b"a", b"b"], 530)
 
 
 def test_class_lm_rare_words_get_classes_of_their_own(spark):
@@ -414,6 +414,67 @@ def test_class_lm_rare_words_get_classes_of_their_own(spark):
     assert math.isclose(total("zzz", "zzz"), total("aaa", "bbb"), rel_tol=0.005)
 
 
+def brute_scores(texts, train, frequent, endings, classes, sweeps=6):
+    """The scores of the model, by dictionaries and whole sequences."""
+    seqs = [(t or "").encode().lower().split() + [b""] for t in texts]
+    counts = Counter(w for s, on in zip(seqs, train, strict=True) if on for w in s)
+    own = sorted(sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:frequent])
+    total = len(own) + endings + 1
+    unit = lambda w: total - 1 if not w else own.index(w) if w in own else len(own) + class_lm.ending_unit(w, endings)
+    grams = np.zeros((total, total), np.int64)
+    for s, on in zip(seqs, train, strict=True):
+        for a, b in zip([b"", *s], s, strict=False):
+            grams[unit(a), unit(b)] += on
+    label = class_lm.exchange(grams, classes, sweeps)
+    table = np.zeros((classes, classes))
+    for a in range(total):
+        for b in range(total):
+            table[label[a], label[b]] += grams[a, b]
+    near, free = class_lm.affinity(table), classes - 1
+    around = {}
+    for s, on in zip(seqs, train, strict=True):
+        for i, w in enumerate(s):
+            if on and w and w not in own:
+                l, r = around.setdefault(w, (np.zeros(classes), np.zeros(classes)))
+                l[label[unit(s[i - 1] if i else b"")]] += 1
+                r[label[unit(s[i + 1])]] += 1
+    cls = lambda w: int(np.argmax(around[w][0] @ near[:, :free] + around[w][1] @ near[:free].T)) if w in around else int(label[unit(w)])
+    of = {w: cls(w) for s in seqs for w in s}
+    final, types = np.zeros((classes, classes)), Counter(of[w] for w in counts)
+    for s, on in zip(seqs, train, strict=True):
+        for a, b in zip([b"", *s], s, strict=False):
+            final[classes - 1 if not a else of[a], of[b]] += on
+    n = sum(counts.values())
+    share = (final.sum(0) + 0.5) / (n + 0.5 * classes)
+    out = []
+    for s in seqs:
+        score = 0.0
+        for a, b in zip([b"", *s], s, strict=False):
+            i, j = classes - 1 if not a else of[a], of[b]
+            score += math.log10((final[i, j] + 20 * share[j]) / (final[i].sum() + 20)) + math.log10((counts[b] + 0.5) / (final[:, j].sum() + 0.5 * (types[j] + 1)))
+        out.append(score)
+    return out
+
+
+def test_class_lm_scores_are_those_of_the_model_in_any_layout(spark):
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcdefg')}{i}{rng.choice(['ing', 'ed', 'er', 's'])}" for i in range(60)]
+    texts = [" ".join(rng.choice(words[: rng.choice((8, 60))]) for _ in range(rng.randint(0, 30))) for _ in range(70)] + [None, "unseen words", ""]
+    d = docs(spark, texts)
+    train = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
+    want = brute_scores(texts, train, 10, 8, 7)
+    layouts = []
+    for parts, rows in ((1, 10_000), (5, 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = class_lm.score(d.repartition(parts), F.crc32(F.col("doc_id").cast("string")) % 5 != 1, frequent=10, endings=8, classes=7)
+            layouts.append({r.key: r.score for r in got.collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, w in enumerate(want):
+        assert math.isclose(layouts[0][i], w, abs_tol=1e-6) and math.isclose(layouts[1][i], w, abs_tol=1e-6)
+
+
 def test_exchange_finds_alternating_classes():
     grams = np.zeros((9, 9), np.int64)
     for a in range(4):
