@@ -6,6 +6,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartzite.operators.shared import cut
+
+_TOKEN = r"""(?s)//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|\d[\w.]*+|[\p{L}_$][\p{L}\p{N}_$]*+|\n|[^\s]"""
+
+
+def token_statements(files: DataFrame, path: str = "path", content: str = "content", rename: bool = False) -> DataFrame:
+    """``path, line, stmt, tokens, literals``: the tokens of each line joined by one space, comments gone, strings and numbers (and names, if
+    ``rename``) by placeholders; a token stands on the line where it begins. Lines without tokens are left out."""
+    parts = files.select(F.col(path).alias("path"), F.explode(F.array(F.regexp_extract_all(F.col(content), F.lit(_TOKEN), F.lit(0)))).alias("parts"))
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    kind = lambda t: (
+        F.when(t.rlike("^(//|/\\*)"), F.regexp_replace(t, "[^\n]+", "")).when(t == "\n", t).when(t.rlike("^[\"'].*[\"']$"), F.lit("STR")).when(t.rlike("^\\d"), F.lit("NUM"))
+        .when(F.lit(rename) & t.rlike("^[\\p{L}_$]"), F.lit("ID")).otherwise(t)
+    )
+    lines = F.split(F.array_join(F.transform("parts", lambda t: F.when(breaks(kind(t)) > 0, kind(t)).otherwise(F.concat(kind(t), F.lit(" ")))), ""), "\n")
+    out = parts.select("path", F.posexplode(lines).alias("pos", "text")).select("path", (F.col("pos") + 1).cast("long").alias("line"), F.rtrim("text").alias("stmt")).where("stmt <> ''")
+    words = F.split("stmt", " ")
+    return out.withColumn("tokens", F.size(words)).withColumn("literals", F.size(F.filter(words, lambda w: w.isin("STR", "NUM"))))
+
 
 def statements(lines: DataFrame) -> DataFrame:
     """Trimmed lines that aren't blank: ``path, line, stmt``."""
@@ -59,3 +78,45 @@ def without_overlaps(regions: DataFrame, key: str = "set_id") -> DataFrame:
         return pdf.loc[kept]
 
     return regions.groupBy(key).applyInPandas(keep, regions.schema)
+
+
+def matched_regions(found: DataFrame, hot: int = 64) -> DataFrame:
+    """``key, path, start_line, end_line``: the regions that runs of equal blocks cover, by their content. Pairs of places are made for
+    blocks of at most ``hot`` places; along each diagonal (two files and their distance) that those give, all equal blocks count, so a
+    frequent block within a longer copy is no gap. A run of nothing but blocks at over ``hot`` places is not looked for."""
+    cold = shared(found).where(F.col("occurrences") <= hot)
+    side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in ("path", "idx")), "h1", "h2")
+    pairs = side(cold, "a").join(side(cold, "b"), ["h1", "h2"]).where("path_a < path_b or path_a = path_b and idx_a < idx_b")
+    lines = cut(pairs.select("path_a", "path_b", (F.col("idx_b") - F.col("idx_a")).alias("delta")).distinct())
+    a = found.select(F.col("path").alias("path_a"), F.col("idx").alias("idx_a"), F.col("first").alias("first_a"), F.col("last").alias("last_a"), "h1", "h2")
+    b = found.select(F.col("path").alias("path_b"), F.col("idx").alias("idx_b"), F.col("first").alias("first_b"), F.col("last").alias("last_b"), "h1", "h2")
+    along = lines.join(a, "path_a").withColumn("idx_b", F.col("idx_a") + F.col("delta")).join(b, ["path_b", "idx_b", "h1", "h2"])
+    w = Window.partitionBy("path_a", "path_b", "delta").orderBy("idx_b")
+    runs_ = along.withColumn("island", F.col("idx_b") - F.row_number().over(w)).groupBy("path_a", "path_b", "delta", "island").agg(
+        F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("idx_b", "h1"))), lambda x: x["h1"])).alias("key"),
+        *(f(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for s in "ab" for c, f in (("first", F.min), ("last", F.max))),
+    )
+    both = F.explode(F.array(*(F.struct(F.col(f"path_{s}").alias("path"), F.col(f"first_{s}").alias("start_line"), F.col(f"last_{s}").alias("end_line")) for s in "ab"))).alias("r")
+    return runs_.select("key", both).select("key", "r.*").distinct()
+
+
+def clone_sets(stmts: DataFrame, declarations: DataFrame | None = None, block: int = 5, min_lines: int = 10, max_places: int | None = 8, max_declarations: int = 1, max_literals: float | None = 0.25) -> DataFrame:
+    """``key, path, start_line, end_line, lines, places`` of reported clone sets: two places or more that don't overlap, long enough, not at
+    too many places (that's an interface, not a copy), spanning few declarations, and not mostly literals in their first place. The widest first.
+    ``stmts``: path, line, stmt and, for the last test, tokens and literals; ``declarations``: path, line."""
+    regions = matched_regions(blocks(collapse(stmts.select("path", "line", "stmt")), block))
+    if declarations is not None:
+        d = declarations.select("path", "line").distinct()
+        spans = regions.join(d, "path", "left").groupBy("key", "path", "start_line", "end_line").agg(F.count_if(F.col("line").between(F.col("start_line"), F.col("end_line"))).alias("n"))
+        regions = spans.where(F.col("n") <= max_declarations).drop("n")
+    kept = cut(without_overlaps(regions, "key"))
+    size = kept.groupBy("key").agg(F.count("*").alias("places"), F.max(F.col("end_line") - F.col("start_line") + 1).alias("lines"), F.min(F.struct("path", "start_line", "end_line")).alias("lead"))
+    size = size.where((F.col("places") >= 2) & (F.col("lines") >= min_lines))
+    if max_places is not None:
+        size = size.where(F.col("places") <= max_places)
+    if max_literals is not None and "literals" in stmts.columns:
+        lead = size.select("key", "lead.path", "lead.start_line", "lead.end_line").join(stmts.select("path", "line", "tokens", "literals"), "path").where("line between start_line and end_line")
+        plain = lead.groupBy("key").agg((F.sum("literals") / F.sum("tokens")).alias("share")).where(F.col("share") <= max_literals)
+        size = size.join(plain.select("key"), "key", "left_semi")
+    out = kept.join(size.select("key", "lines", "places", "lead"), "key")
+    return out.orderBy(F.desc(F.col("lines") * F.col("places")), "lead", "path", "start_line").drop("lead")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quartzite.plans import catalog
+from quartzite.plans import catalog, more  # noqa: F401 (more adds to the catalog)
 
 SF = "/root/testdata/sf0.001"
 
