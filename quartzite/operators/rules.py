@@ -95,6 +95,8 @@ PYTHON = [
     NodeRule("python:unused-loop-variable", "Minor", "CodeSmell", 2, "for_statement", _flag("unused_target")),
     NodeRule("python:wildcard-import", "Minor", "CodeSmell", 10, "import_from_statement", "text rlike 'import\\\\s+[*]'"),
     NodeRule("python:xml-xxe-hotspot", "Major", "Vulnerability", 15, "Call", "name rlike '^(xml[.]etree[.]ElementTree|ET|ElementTree|minidom)[.](parse|fromstring|parseString)$'", True, True),
+    NodeRule("python:django-queryset-evaluated-in-loop", "Major", "CodeSmell", 20, "Call", "owner_loop_id is not null and name like '%.objects.%'", False),
+    NodeRule("python:threading-mixed-with-asyncio", "Major", "CodeSmell", 20, "Call", "in_async and name like 'threading.%'"),
     NodeRule("python:tarfile-unsafe-extraction", "Critical", "Vulnerability", 10, "Call", f"name rlike '[.](extractall)$' and not {_keyword('filter=')}"),
 ]
 

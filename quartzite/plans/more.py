@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
 from quartzite.functions import strings as T
-from quartzite.operators import clones, graphs, layers, reviews
-from quartzite.plans.bindings import EDGES_SQL, FOUND_SQL, RANK_SQL, found, lines, order_edges, q, table
-from quartzite.plans.catalog import CPD_SQL, query
+from quartzite.operators import clones, graphs, layers, node_rules, reviews
+from quartzite.operators.shared import cut
+from quartzite.plans.bindings import EDGES_SQL, FOUND_SQL, RANK_SQL, couplings, found, lines, order_edges, q, table
+from quartzite.plans.catalog import CPD_SQL, MARTIN_SQL, query
+from quartzite.sources import code_source
 
 #: Literals by what they look like, and whether one could be a secret.
 LITERALS = [
@@ -198,3 +200,62 @@ def clone_report(spark, d):
     return clones.clone_sets(clones.token_statements(docs)).select(F.col("path").alias("doc_id"), "start_line", "end_line", "lines", "places")
 
 
+
+
+# --- rules on nodes ---------------------------------------------------------------------------------------------------------------------
+
+_IFS = "".join(f"  if (a > {i}) {{ b({i}); }}\n" for i in range(10))
+_DEEP = "".join("  " * i + f"if (a > {i}) {{\n" for i in range(1, 6)) + "b();" + "}" * 5 + "\n"
+#: (rule, language, a text that breaks it, one that keeps it)
+NODE_SAMPLES = [
+    ("smells:high-complexity", "typescript", "function f(a) {\n" + _IFS + "}\n", "function f(a) {\n" + _IFS[:-24] + "}\n"),
+    ("smells:high-complexity", "go", "func f(a int) {\n" + _IFS.replace("(a", "a").replace(") {", " {") + "}\n", "func f(a int) { }\n"),
+    ("smells:long-function", "rust", "fn f() {\n" + "    a();\n" * 49 + "}\n", "fn f() {\n" + "    a();\n" * 48 + "}\n"),
+    ("smells:long-function", "java", "class A {\n void f() {\n" + "    a();\n" * 49 + "}\n}\n", "class A {\n void f() {\n" + "    a();\n" * 48 + "}\n}\n"),
+    ("smells:cognitive-complexity", "typescript", "function f(a) {\n" + _DEEP + "  if (a && c) { d(); }\n}\n", "function f(a) {\n" + _DEEP + "}\n"),
+    ("typescript:max-function-nesting-depth", "typescript", "function a() { " * 5 + "}" * 5 + "\n", "function a() { " * 4 + "}" * 4 + "\n"),
+    ("typescript:async-function-without-await", "typescript", "async function f() { return g(); }\n", "async function f() { return await g(); }\n"),
+    ("typescript:json-parse-unguarded", "typescript", "function f(a) { return JSON.parse(a); }\n", "function f(a) { try { return JSON.parse(a); } catch (e) { throw e; } }\n"),
+    ("smells:db-call-in-loop", "typescript", "function f(a) { for (const b of a) { db.query(b); } }\n", "function f(a) { db.query(a); for (const b of a) { g(b); } }\n"),
+    ("architecture:functional-module", "typescript", "".join(f"export function f{i}() {{ }}\n" for i in range(26)), "".join(f"export function f{i}() {{ }}\n" for i in range(25))),
+    ("smells:god-class", "java", "class A {\n" + "".join(f"  void f{i}() {{ }}\n" for i in range(21)) + "}\n", "class A {\n" + "".join(f"  void f{i}() {{ }}\n" for i in range(20)) + "}\n"),
+    ("smells:ck-oo-metrics", "typescript", "class A {\n" + "".join(f"  f{i}(a) {{ if (a) {{ b(); }} }}\n" for i in range(13)) + "}\n", "class A {\n" + "".join(f"  f{i}(a) {{ if (a) {{ b(); }} }}\n" for i in range(12)) + "}\n"),
+    ("smells:low-cohesion", "typescript", "class A {\n  a() { return this.x; }\n  b() { return this.x; }\n  c() { return this.y; }\n  d() { return this.y; }\n}\n", "class A {\n  a() { return this.x; }\n  b() { return this.x + this.y; }\n  c() { return this.y; }\n  d() { return this.y; }\n}\n"),
+    ("smells:fat-interface", "rust", "trait T {\n" + "".join(f"    fn f{i}(&self);\n" for i in range(9)) + "}\n", "trait T {\n" + "".join(f"    fn f{i}(&self);\n" for i in range(8)) + "}\n"),
+]
+_NODE_ROWS = [(2 * i + k, f"{rule} {language}", ("bad", "good")[k], rule, language, (bad, good)[k]) for i, (rule, language, bad, good) in enumerate(NODE_SAMPLES) for k in (0, 1)]
+_NODE_SQL = ", ".join(f"({i}, '{name}', '{kind}')" for i, name, kind, *_ in _NODE_ROWS)
+
+
+@query(f"""WITH sample(i, name, kind) AS (VALUES {_NODE_SQL}) SELECT name, kind, count(*) AS files, count(*) FILTER (kind = 'bad') AS found FROM orders JOIN sample ON o_orderkey % {len(_NODE_ROWS)} = i GROUP BY ALL""")
+def node_smells(spark, d):
+    """Each order is a file: by turns a text that breaks a rule on functions or classes and one that just keeps it."""
+    known = F.broadcast(spark.createDataFrame(_NODE_ROWS, "i long, name string, kind string, rule string, language string, content string"))  # the program's own texts
+    od = table(spark, d, "orders").select((F.col("o_orderkey") % len(_NODE_ROWS)).alias("i"), F.col("o_orderkey").alias("k")).join(known, "i")
+    ending = S.lookup(F.col("language"), {"typescript": ".ts", "rust": ".rs", "go": ".go", "java": ".java"})
+    files = od.withColumn("path", F.concat(F.lit("src/f"), "k", ending))
+    n = cut(code_source.nodes(files))
+    hits = node_rules.function_findings(n).unionByName(node_rules.class_findings(n)).select("path", F.col("rule_id").alias("rule"), F.lit(True).alias("hit")).distinct()
+    return files.select("path", "name", "kind", "rule").join(hits, ["path", "rule"], "left").groupBy("name", "kind").agg(F.count("*").alias("files"), F.count("hit").alias("found"))
+
+
+@query(f"""WITH {EDGES_SQL.replace("edge AS", "chain AS")}, {MARTIN_SQL}, e AS (SELECT src, dst, CASE WHEN src % 5 = 0 AND src % 6 IN (5) THEN 2 ELSE {_DEPTH_SQL.format(k="src")} END AS x, CASE WHEN dst % 5 = 0 AND dst % 6 IN (5) THEN 2 ELSE {_DEPTH_SQL.format(k="dst")} END AS y FROM chain),
+far AS (SELECT component FROM martin WHERE abs(abstractness + instability - 1) > 0.7 AND types >= 5 AND ca + ce >= 3),
+lean AS (SELECT src FROM edge JOIN martin a ON src = a.component JOIN martin b ON dst = b.component WHERE b.instability - a.instability > 0.25 AND a.ca >= 2)
+SELECT 'architecture:dependency-cycle' AS rule_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey HAVING count(*) > 1)
+UNION ALL SELECT 'architecture:hexagonal-layer-violation', count(*) FROM e WHERE x < y UNION ALL SELECT 'architecture:main-sequence-deviation', count(*) FROM far HAVING count(*) > 0
+UNION ALL SELECT 'architecture:stable-dependency-violation', count(*) FROM lean HAVING count(*) > 0""")
+def architecture_rules(spark, d):
+    """Orders as files in rings, customers and suppliers as components."""
+    files = cut(graphs.component_edges(order_edges(spark, d)).select(_ring_path("src").alias("src"), _ring_path("dst").alias("dst")))
+    census = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("component")).agg(F.count("*").alias("types"), F.count_if(F.col("o_orderstatus") == "F").alias("abstractions"))
+    found_ = node_rules.graph_findings(files, census, cut(graphs.component_edges(couplings(spark, d))))
+    return found_.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE up AS (SELECT user_id AS type, user_id // 2 AS base FROM (SELECT DISTINCT user_id FROM events) WHERE user_id > 0), walk AS (SELECT type, base FROM up UNION SELECT w.type, u.base FROM walk w JOIN up u ON u.type = w.base)
+SELECT CAST(type AS VARCHAR) AS path, count(*) AS depth FROM walk GROUP BY type HAVING count(*) > 5""")
+def deep_inheritance(spark, d):
+    """Users as classes, each under the one of half its number."""
+    up = table(spark, d, "events").select(F.col("user_id").alias("type")).distinct().where("type > 0").select(F.col("type").cast("string").alias("path"), "type", F.floor(F.col("type") / 2).alias("base"), F.lit(1).alias("line"))
+    return node_rules.inheritance_findings(up).select("path", F.col("measure").cast("long").alias("depth"))

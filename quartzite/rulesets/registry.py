@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from quartzite.operators.code_rules import CodeRule
-from quartzite.rulesets import php, react, rust, security, typescript
+from quartzite.rulesets import php, python, react, rust, security, typescript
 
-RULES: list[CodeRule] = [*typescript.RULES, *react.RULES, *rust.RULES, *security.RULES, *php.RULES]
+RULES: list[CodeRule] = [*typescript.RULES, *react.RULES, *rust.RULES, *security.RULES, *php.RULES, *python.RULES]
 #: An ending by language, for samples.
 ENDING = {"typescript": "ts", "rust": "rs", "php": "php", "python": "py", "go": "go", "java": "java", "html": "html", "hcl": "tf", "dockerfile": "dockerfile"}
 

@@ -45,7 +45,7 @@ RULES = [
     _ts("promise-return-type-mismatch", "Major", "Bug", 5, r"\basync\b[^{=;\n]*\)\s*:\s*(?![^{=;\n]*Promise)[\w<>\[\]| .]+(\{|=>)", "async function f(a): string { return b; }", "async function f(a): Promise<string> { return b; }"),
     _ts("swallowed-exception", "Major", "Bug", 15, r"\bcatch\s*(\([^)\n]*\))?\s*\{\s*(console\.\w+\([^()]*\)\s*;?\s*)*\}", "try { a(); } catch (e) {\n}", "try { a(); } catch (e) {\n  throw e;\n}"),
     _ts("broad-catch-with-unknown-error-type", "Major", "Bug", 10, r"\bcatch\s*\(\s*(\w+)\s*\)\s*\{(?![^{}]*\b(?:instanceof|typeof)\b)[^{}]*\b\1\.(message|stack|name)\b", "try { a(); } catch (e) {\n  show(e.message);\n}", "try { a(); } catch (e) {\n  if (e instanceof Error) show(e.message);\n}"),
-    _ts("missing-exhaustive-switch", "Minor", "CodeSmell", 5, r"\bswitch\s*\([^{}\n]*\)\s*\{(?![^{}]*(?:\{[^{}]*\}[^{}]*)*\bdefault\s*:)", "switch (a) {\n  case 1: b();\n}", "switch (a) {\n  case 1: b(); break;\n  default: c();\n}"),
+    _ts("missing-exhaustive-switch", "Minor", "CodeSmell", 5, r"\bswitch\s*\([^{}\n]*\)\s*\{(?![^{}]*(?:\{[^{}]*\}[^{}]*){0,400}\bdefault\s*:)", "switch (a) {\n  case 1: b();\n}", "switch (a) {\n  case 1: b(); break;\n  default: c();\n}"),
     _ts("index-signature-overuse", "Minor", "CodeSmell", 10, r"\b(interface\s+\w+[^{;=\n]*|type\s+\w+\s*=\s*)\{(?=[^{}]*\[\s*\w+\s*:\s*(?:string|number|symbol)\s*\]\s*:)(?=[^{}]*(?:^|[;,{])\s*(?:readonly\s+)?\w+\??\s*:)", "interface A { [key: string]: B; name: C; }", "interface A { [key: string]: B; }"),
     _ts("enum-stringly-typed", "Minor", "CodeSmell", 10, r"\benum\s+\w+\s*\{\s*(?:(\w+)\s*=\s*[\"'`]\1[\"'`]\s*,?\s*)+\}", "enum A { B = \"B\", C = \"C\" }", "enum A { B = \"b\", C = \"C\" }", on="text"),
     _ts("unknown-not-narrowed-before-use", "Major", "Bug", 10, r"[(,]\s*(\w+)\s*:\s*unknown\b[^{;]*\{(?![^{}]*(?:instanceof|typeof| in ))[^{}]*\b\1\.\w+", "function f(a: unknown) { return a.b; }", "function f(a: unknown) { if (typeof a === 'string') return a.b; }"),

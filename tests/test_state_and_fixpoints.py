@@ -76,6 +76,9 @@ def f(x, y={}):
 def f2(z): return f2(z)
 async def g():
     time.sleep(1)
+    lock = threading.Lock()
+    for i in x:
+        M.objects.get(id=i)
 '''
 
 
@@ -83,9 +86,9 @@ def test_nodes_rules_and_metrics(spark):
     src = spark.createDataFrame([("m.py", SOURCE), ("bad.py", "def ("), ("empty.py", None)], "path string, content string")
     n = python_source.nodes(src).cache()
     cc = {r.name: r.cyclomatic for r in code.function_complexity(n).collect()}
-    assert cc == {"__init__": 1, "one": 1, "two": 2, "three": 1, "f": 4, "inner": 2, "f2": 1, "g": 1}
+    assert cc == {"__init__": 1, "one": 1, "two": 2, "three": 1, "f": 4, "inner": 2, "f2": 1, "g": 2}
     found = {r.rule_id for r in rules.node_findings(n).collect()}
-    want = "os-system-usage bare-except none-comparison-with-equality type-comparison open-without-encoding unclosed-open-file sql-injection-string-building requests-verify-false requests-missing-timeout mutable-default-argument mutable-class-attribute wildcard-import django-debug-true raise-without-from-in-except async-function-with-sync-blocking-call"
+    want = "os-system-usage bare-except none-comparison-with-equality type-comparison open-without-encoding unclosed-open-file sql-injection-string-building requests-verify-false requests-missing-timeout mutable-default-argument mutable-class-attribute wildcard-import django-debug-true raise-without-from-in-except async-function-with-sync-blocking-call threading-mixed-with-asyncio django-queryset-evaluated-in-loop"
     assert {f"python:{w}" for w in want.split()} <= found
     assert [(r.path, r.kind) for r in n.where("kind = 'ERROR'").collect()] == [("bad.py", "ERROR")]
     names = {(r.path, r.node_id): r.name for r in n.where("kind = 'FunctionDef'").collect()}
