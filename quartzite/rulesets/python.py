@@ -19,7 +19,7 @@ RULES = [
     _py("celery-task-missing-timeout", "Minor", "Bug", 10, r"^\s*@(?:\w+\.)*(?:shared_task|\w+\.task)\b(?![^\n]*(?:soft_)?time_limit\s*=)", "@app.task\ndef f(): pass", "@app.task(time_limit=9)\ndef f(): pass"),
     _py("global-mutable-singleton", "Major", "CodeSmell", 30, rf"^([A-Za-z_]\w*)\s*(?::[^=\n]+)?=\s*{_MUTABLE}(?=(?s:.)*^\s+global\s+(?:\w+\s*,\s*)*\1\b)", "cache = {}\ndef f():\n    global cache\n    cache = {}\n", "cache = {}\ndef f():\n    return cache\n"),
     _py("modern-type-syntax", "Minor", "CodeSmell", 5, r"\bfrom\s+typing\s+import\b[^\n]*\b(?:List|Dict|Optional|Union)\b|\btyping\.(?:List|Dict|Optional|Union)\b", "from typing import List", "from typing import Any"),
-    _py("mutable-default-in-dataclass-field", "Major", "Bug", 10, rf"@(?:\w+\.)*dataclass\b[^\n]*\n(?:@[^\n]*\n)*class\b[^\n]*:\s*\n(?:[ \t]+[^\n]*\n|[ \t]*\n){0,400}?[ \t]+\w+\s*:\s*[^=\n]+=\s*{_MUTABLE}", "@dataclass\nclass A:\n    b: list = []\n", "@dataclass\nclass A:\n    b: list = field(default_factory=list)\n"),
+    _py("mutable-default-in-dataclass-field", "Major", "Bug", 10, rf"@(?:\w+\.)*dataclass\b[^\n]*\n(?:@[^\n]*\n)*class\b[^\n]*:\s*\n(?:[ \t]+[^\n]*\n|[ \t]*\n){{0,400}}?[ \t]+\w+\s*:\s*[^=\n]+=\s*{_MUTABLE}", "@dataclass\nclass A:\n    b: list = []\n", "@dataclass\nclass A:\n    b: list = field(default_factory=list)\n"),
     _py("numpy-float-comparison-eq", "Major", "CodeSmell", 10, r"\b(?:np|numpy)\.float(?:32|64)\([^()\n]*\)\s*[=!]=|[=!]=\s*(?:np|numpy)\.float(?:32|64)\(|\b(?:np|numpy)\.(?:as)?array\([^\n]*(?:dtype[^\n)]*(?:float|f4|f8)|\d\.\d)[^\n]*\)\s*[=!]=", "if np.float64(a) == b: pass", "if np.isclose(a, b): pass"),
     _py("pandas-chained-assignment", "Major", "Bug", 10, r"^\s*[\w.]+\[[^\]\n]*\]\[\s*[\"'][^\n]*\]\s*=(?!=)", "import pandas as pd\ndf[a]['b'] = 1\n", "import pandas as pd\ndf.loc[a, 'b'] = 1\n", file="pandas", on="text"),
     _py("missing-context-manager-for-resource", "Major", "CodeSmell", 10, r"^\s*\w+\s*=\s*(?:socket\.socket|sqlite3\.connect|psycopg2\.connect|pymysql\.connect|MySQLdb\.connect)\(", "c = sqlite3.connect(a)", "with sqlite3.connect(a) as c: pass"),
