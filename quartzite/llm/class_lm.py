@@ -34,7 +34,7 @@ CLASSES = 64
 SWEEPS = 6
 SLICES = 8
 BATCH_ROWS = 4096  # texts met at once
-BUCKET_WORDS = 2_000_000  # that share a bucket, about
+BUCKET_WORDS = 250_000  # that share a bucket, about: many small buckets spread evenly over tasks
 HELD_WORDS = 200_000  # of a task before it hands its counts on
 END = b""
 
