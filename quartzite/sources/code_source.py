@@ -10,14 +10,12 @@ Defined results: a null content is an empty file; an unknown language gives the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzite.sources.python_source import SCHEMA
+from quartzite.sources.python_source import SCHEMA, frames
 
 _C = r"//[^\n]*|/\*.*?\*/"
 _HASH = r"\#[^\n]*"
@@ -384,14 +382,5 @@ def _finish(tree: _Tree) -> list[tuple]:
 
 def nodes(files: DataFrame, path: str = "path", language: str = "language", content: str = "content") -> DataFrame:
     """``ast_node`` rows of every file of a brace or keyword language."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split()[0] for c in SCHEMA.split(",")]
-        for b in batches:
-            for p, lang, c in zip(b["path"], b["language"], b["content"], strict=True):
-                out = pd.DataFrame(parse(p, lang or "", c or ""), columns=names)
-                for col in ("parent_id", "owner_fn_id", "owner_class_id", "owner_loop_id"):
-                    out[col] = out[col].astype("Int32")
-                yield out
-
-    return files.select(F.col(path).cast("string").alias("path"), F.col(language).alias("language"), F.col(content).alias("content")).mapInPandas(run, SCHEMA)
+    source = files.select(F.col(path).cast("string").alias("path"), F.col(language).alias("language"), F.col(content).alias("content"))
+    return source.mapInPandas(lambda batches: frames(batches, lambda f: parse(f.path, f.language or "", f.content or "")), SCHEMA)

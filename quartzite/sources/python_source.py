@@ -8,7 +8,7 @@ are plain filters. A file that doesn't parse gives one ERROR node. Columns are b
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -154,16 +154,31 @@ def parse(path: str, content: str) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def nodes(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """``ast_node`` rows of every file; a null content is an empty file."""
+FRAME_ROWS = 20_000  # of nodes that leave a task at once
+
+
+def frames(batches: Iterator[pd.DataFrame], rows_of: Callable[[object], list[tuple]]) -> Iterator[pd.DataFrame]:
+    """Frames of nodes, of many small files together."""
+    names = [c.strip().split()[0] for c in SCHEMA.split(",")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split()[0] for c in SCHEMA.split(",")]
-        for b in batches:
-            for p, c in zip(b["path"], b["content"], strict=True):
-                out = pd.DataFrame(parse(p, c or ""), columns=names)
-                for col in ("parent_id", "owner_fn_id", "owner_class_id", "owner_loop_id"):
-                    out[col] = out[col].astype("Int32")
-                yield out
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        for col in ("parent_id", "owner_fn_id", "owner_class_id", "owner_loop_id"):
+            out[col] = out[col].astype("Int32")
+        return out
 
-    return files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).mapInPandas(run, SCHEMA)
+    held: list[tuple] = []
+    for b in batches:
+        for file in b.itertuples(index=False):
+            held += rows_of(file)
+            if len(held) >= FRAME_ROWS:
+                yield frame(held)
+                held = []
+    if held:
+        yield frame(held)
+
+
+def nodes(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``ast_node`` rows of every file; a null content is an empty file."""
+    source = files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content"))
+    return source.mapInPandas(lambda batches: frames(batches, lambda f: parse(f.path, f.content or "")), SCHEMA)
