@@ -125,6 +125,14 @@ def gate(measured: DataFrame, conditions: DataFrame) -> DataFrame:
     )
 
 
+def protected(writes: DataFrame, globs: list[str]) -> DataFrame:
+    """``writes`` (path) with a verdict: a protected path is denied whatever was found in it."""
+    hit = F.lit(False)
+    for g in globs:
+        hit |= F.col("path").rlike(S.glob_to_regex(g))
+    return writes.withColumn("verdict", F.when(hit, "Deny"))
+
+
 def policy(findings: DataFrame, lists: DataFrame, threshold_rank: int) -> DataFrame:
     """Advisory warns, blocking denies, escalate escalates, else the severity threshold denies; a finding that trips nothing is dropped,
     an advisory one too unless another list or the threshold would have caught it."""

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
 from quartzite.functions import strings as T
-from quartzite.operators import clones, graphs, layers, node_rules, reviews
+from quartzite.operators import clones, findings, graphs, layers, node_rules, reviews
 from quartzite.operators.shared import cut
 from quartzite.plans.bindings import EDGES_SQL, FOUND_SQL, RANK_SQL, couplings, found, lines, order_edges, q, table
 from quartzite.plans.catalog import CPD_SQL, MARTIN_SQL, query
-from quartzite.sources import code_source
+from quartzite.sources import code_source, reports
 
 #: Literals by what they look like, and whether one could be a secret.
 LITERALS = [
@@ -259,3 +259,29 @@ def deep_inheritance(spark, d):
     """Users as classes, each under the one of half its number."""
     up = table(spark, d, "events").select(F.col("user_id").alias("type")).distinct().where("type > 0").select(F.col("type").cast("string").alias("path"), "type", F.floor(F.col("type") / 2).alias("base"), F.lit(1).alias("line"))
     return node_rules.inheritance_findings(up).select("path", F.col("measure").cast("long").alias("depth"))
+
+
+# --- readers and gates ------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS report, 'f' || CAST(o_orderkey AS VARCHAR) || '.rs' AS path, CAST(2 AS BIGINT) AS line, CAST(3 AS BIGINT) AS hits FROM orders")
+def coverage_of_any_format(spark, d):
+    """Each order is a report of one file and line, by turns in each format."""
+    k = F.col("o_orderkey").cast("string")
+    name = F.concat(F.lit("f"), k, F.lit(".rs"))
+    texts = [
+        F.concat(F.lit("TN:\nSF:"), name, F.lit("\nDA:2,3\nend_of_record")),
+        F.concat(F.lit('<?xml version="1.0"?><coverage><packages><class name="c" filename="'), name, F.lit('"><lines><line number="2" hits="3"/></lines></class></packages></coverage>')),
+        F.concat(F.lit('<report name="x"><package name=""><sourcefile name="'), name, F.lit('"><line nr="2" mi="0" ci="3" mb="0" cb="0"/></sourcefile></package></report>')),
+        F.concat(F.lit('{"data":[{"files":[{"filename":"'), name, F.lit('","segments":[[2,1,3,true,true]]}]}]}')),
+        F.concat(F.lit('{"'), name, F.lit('":{"statementMap":{"0":{"start":{"line":2}}},"s":{"0":3}}}')),
+    ]
+    r = table(spark, d, "orders").select(F.col("o_orderkey").alias("report"), F.get(F.array(*texts), (F.col("o_orderkey") % 5).cast("int")).alias("content"))
+    found_ = reports.coverage(cut(r))
+    return found_.select("report", F.regexp_replace("path", "^/", "").alias("path"), "line", F.when(F.col("hits") > 0, 3).cast("long").alias("hits"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '^https://[^/]*/[^/]*$') OR regexp_matches(url, '[.]html$') THEN 'Deny' END AS verdict FROM pages")
+def protected_paths(spark, d):
+    w = table(spark, d, "pages").select("page_id", F.col("url").alias("path"))
+    return findings.protected(w, ["https://*/*", "**.html"]).select("page_id", "verdict")

@@ -228,3 +228,17 @@ def scenario_claims(reports: DataFrame) -> DataFrame:
 
     kind = reports.schema["report"].dataType.simpleString()
     return reports.select("report", "content").mapInPandas(lambda it: (run(p) for p in it), f"report {kind}, glob string, credited boolean")
+
+
+def coverage(reports: DataFrame, declared: str | None = None) -> DataFrame:
+    """``report, path, line, hits`` of reports of any known format, declared or found by content; one of none of them is an error when it is read."""
+    known = F.lit(declared) if declared else detect_format(F.col("content"))
+    told = reports.withColumn("_format", F.coalesce(known, F.raise_error(F.concat(F.lit("no coverage format is known for report "), F.col("report").cast("string")))))
+    readers = {"lcov": lambda d: lcov(d)[0], "cobertura": cobertura, "jacoco": lambda d: jacoco(d)[0], "llvm-cov": llvm_cov, "istanbul": istanbul}
+    if declared:
+        return readers[declared](told.drop("_format"))
+    parts = [read(told.where(F.col("_format") == name).drop("_format")).select("report", "path", F.col("line").cast("long").alias("line"), F.col("hits").cast("long").alias("hits")) for name, read in readers.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sarif_log(findings: DataFrame, tool: str = "quartzite") -> DataFrame:
-    """One row ``sarif``. ``findings``: rule_id, severity, message, path, start_line."""
+LOG_FINDINGS = 20_000  # in one log, about
+
+
+def _shards(findings: DataFrame, most: int) -> DataFrame:
+    """``findings`` with a column that deals their files to as many logs as it takes, so that no task builds all of one text."""
+    n = max(1, -(-findings.count() // most))
+    return findings.withColumn("_log", F.pmod(F.xxhash64("path"), F.lit(n)) if n > 1 else F.lit(0).cast("long"))
+
+
+def sarif_log(findings: DataFrame, tool: str = "quartzite", most: int = LOG_FINDINGS) -> DataFrame:
+    """``sarif``: a log of about ``most`` findings a row, each whole by itself; an empty log for none. ``findings``: rule_id, severity,
+    message, path, start_line."""
     level = F.when(F.col("severity").isin("Blocker", "Critical"), "error").when(F.col("severity") == "Major", "warning").otherwise("note")
     region = F.struct(F.col("start_line").alias("startLine"))
     place = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
     result = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))
-    log = findings.agg(F.sort_array(F.collect_list(result)).alias("results"))
+    dealt = _shards(findings, most)
+    log = dealt.groupBy("_log").agg(F.sort_array(F.collect_list(result)).alias("results"))
+    empty = dealt.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(0).cast("long").alias("_log"), F.lit(None).cast(log.schema["results"].dataType).alias("results"))
+    log = log.unionByName(empty.withColumn("results", F.coalesce("results", F.array().cast(log.schema["results"].dataType))))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name")).alias("driver")).alias("tool"), F.col("results").alias("results"))
     return log.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 

@@ -134,3 +134,22 @@ def test_reviews(spark):
     spans = spark.createDataFrame([("p", 1, 600), ("p", 700, 701), ("q", 1, 2)], "path string, start_line long, end_line long")
     lines = spark.createDataFrame([("p", 1, 1), ("p", 600, 0), ("p", 601, 5), ("r", 1, 1)], "path string, line long, hits long")
     assert {(r.path, r.start_line): r.coverage for r in reviews.coverage_of_spans(spans, lines).collect()} == {("p", 1): 50.0, ("p", 700): None, ("q", 1): None}
+
+
+def test_logs_are_dealt_and_formats_found(spark):
+    import json
+
+    from quartzite.operators import findings
+    from quartzite.sources import reports, sinks
+
+    f = spark.createDataFrame([("r:x", "Blocker", "m", f"p{i}.py", i) for i in range(50)], "rule_id string, severity string, message string, path string, start_line int")
+    logs = [json.loads(r.sarif) for r in sinks.sarif_log(f, most=10).collect()]
+    assert 2 <= len(logs) <= 5 and sum(len(x["runs"][0]["results"]) for x in logs) == 50
+    assert [json.loads(r.sarif)["runs"][0]["results"] for r in sinks.sarif_log(f.limit(0)).collect()] == [[]]
+    one_report = lambda text: spark.createDataFrame([("r", text)], "report string, content string")
+    assert [tuple(r) for r in reports.coverage(one_report("SF:a\nDA:1,2")).collect()] == [("r", "a", 1, 2)]
+    assert [tuple(r) for r in reports.coverage(one_report("SF:a\nDA:1,2"), "lcov").collect()] == [("r", "a", 1, 2)]
+    with pytest.raises(Exception, match="no coverage format"):
+        reports.coverage(one_report("what is this")).collect()
+    w = spark.createDataFrame([("a/b.lock",), ("a/b.py",)], "path string")
+    assert [r.verdict for r in findings.protected(w, ["**/*.lock"]).orderBy("path").collect()] == ["Deny", None]
