@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzite.llm import class_lm, decontaminate, language_id, license_scan, line_dedup, media_ts, packing, quality, simhash_dedup, toxicity
+from quartzite.llm import class_lm, decontaminate, hard_negatives, language_id, license_scan, line_dedup, media_ts, packing, quality, simhash_dedup, toxicity
 from quartzite.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": lambda spark, d: simhash_dedup.report(table(spark, d, "documents")),
     "op9_class_lm": lambda spark, d: class_lm.report(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
+    "op13_hard_negatives": lambda spark, d: hard_negatives.report(table(spark, d, "embeddings")),
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op7_license_scan": license_scan.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op7_license_scan": license_scan.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
