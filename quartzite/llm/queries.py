@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzite.llm import class_lm, decontaminate, hard_negatives, language_id, license_scan, line_dedup, media_ts, packing, prefix_trie, quality, simhash_dedup, toxicity
+from quartzite.llm import class_lm, decontaminate, embedding_dedup, hard_negatives, language_id, license_scan, line_dedup, media_ts, packing, prefix_trie, quality, simhash_dedup, toxicity
 from quartzite.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": lambda spark, d: simhash_dedup.report(table(spark, d, "documents")),
     "op9_class_lm": lambda spark, d: class_lm.report(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
+    "op11_embedding_dedup": lambda spark, d: embedding_dedup.report(table(spark, d, "embeddings")),
     "op12_prefix_trie": lambda spark, d: prefix_trie.report(table(spark, d, "conversations")),
     "op13_hard_negatives": lambda spark, d: hard_negatives.report(table(spark, d, "embeddings")),
 }
