@@ -1,13 +1,13 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Texts and items are normalised to lower-case words and their hashed five-word shingles (fewer words: one shingle). Items of equal shingles
-are one item under several ids. A window is as many shingles of a document as an item has. Two facts bound the windows to look at: a window
-that starts at a shingle the item hasn't got loses nothing of the item by starting one later, so windows start at shingles of the item;
-and similarity t needs at least t of the item's weight within the window, so windows with less shared weight are passed over. Each
-remaining window gets a weighted SimHash of 64 bits; items are indexed by their fingerprint in ``BLOCKS`` blocks of 8 bits with every block
-value within ``radius // BLOCKS`` flips, so a window finds every item of its size within ``radius`` bits, and more beyond. The exact
-weighted Jaccard similarity of the shingle sets alone decides on what the index finds; the weight of a shingle is its inverse item
-frequency. Texts and shingle lists are told apart by 128 and 64 bits of hashes.
+are one item under several ids. A window is as many shingles of a document as some item has. Which windows to look at is told by the set of all
+items' shingles alone: a window that starts at a shingle that no item has gets no worse by starting one later, for what it drops weighs as much
+as a shingle can (unless the window holds that same shingle twice); and similarity t needs t of an item's weight in known shingles. Which item a window may hold is told by the index
+alone: each window gets a weighted SimHash of 64 bits, items are indexed by theirs in ``BLOCKS`` blocks of 8 bits with every block value within
+``radius // BLOCKS`` flips, so a window finds every item of its size within ``radius`` bits, and more beyond. The exact weighted Jaccard similarity
+of the shingle sets then decides; the weight of a shingle is its inverse item frequency. Texts and shingle lists are told apart by 128 and 64
+bits of hashes.
 
 Defined results: null and empty texts match nothing, and neither do empty items; rows equal in all columns read match once, equal texts
 under several ids under each; null keys and null item ids, of any type, are carried; extra columns are not read; an empty table or benchmark
@@ -86,48 +86,54 @@ def verified_windows(docs: DataFrame, benchmark: DataFrame, text: str, item: str
     n_items = items.count()
     sets = items.select("iid", "n", F.explode(F.array_distinct("hs")).alias("h"))
     weights = materialize(sets.groupBy("h").agg(F.round(WEIGHT_UNIT * F.log(1 + n_items / F.count("*"))).cast("long").alias("w")), "weights")
-    index = sets.join(weights, "h")
-    index = materialize(index.join(index.groupBy("iid").agg(F.sum("w").alias("need")), "iid"), "index")
-    n_index = index.count()
-    small = (lambda d: F.broadcast(d)) if n_index <= INDEX_ROWS else (lambda d: d)
+    small = (lambda d: F.broadcast(d)) if weights.count() <= INDEX_ROWS else (lambda d: d)
     unmet = round(WEIGHT_UNIT * math.log(1 + n_items)) if n_items else 1
+    # for each size of items the least weight of known shingles that a match has; there are no more sizes than the longest item has shingles
+    lightest = sets.join(weights, "h").groupBy("iid", "n").agg(F.sum("w").alias("need")).groupBy("n").agg(F.min("need").alias("need")).orderBy("n").collect()
+    sizes = F.array(*(F.struct(F.lit(r["n"]).alias("n"), F.lit(math.floor((similarity - 1e-9) * r["need"])).cast("long").alias("need")) for r in lightest))
+    if not lightest:
+        sizes = F.array().cast("array<struct<n:int,need:bigint>>")
 
     source = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text")).select("text", *_text_key("text"))
     placed = hashes_of(source, "text").select("t1", "t2", F.posexplode("hs").alias("pos", "h"))
-    hits = placed.join(small(index), "h").groupBy("t1", "t2", "iid", "n", "need", "pos").agg(F.max("w").alias("w"))  # copies of a text fold
-    # each hit starts a window; the running weight at its end less that at its start is the weight it shares, within one text and item
+    hits = placed.join(small(weights), "h").groupBy("t1", "t2", "pos").agg(F.max("w").alias("w"))  # copies of a text fold
+    held = hits.withColumn("held", F.sum("w").over(Window.partitionBy("t1", "t2")))
+    sized = held.select("t1", "t2", "pos", "w", F.explode(F.filter(sizes, lambda z: z["need"] <= F.col("held"))).alias("z")).select("t1", "t2", "pos", "w", "z.n", "z.need")
+    # each hit starts a window; the running weight at its end less that at its start is its known weight, within one text and size
     ends = F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("own"), "w"), F.struct((F.col("pos") + F.col("n")).alias("at"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("w")))).alias("e")
-    order = Window.partitionBy("t1", "t2", "iid").orderBy("e.at", "e.own").rowsBetween(Window.unboundedPreceding, 0)
-    running = hits.select("t1", "t2", "iid", "n", "need", "pos", ends).withColumn("c", F.sum("e.w").over(order))
-    shared = F.max(F.when(F.col("e.own") == 0, F.col("c"))) - F.max(F.when(F.col("e.own") == 1, F.col("c") - F.col("e.w")))
-    windows = running.groupBy("t1", "t2", "iid", "n", "need", F.col("pos").alias("start")).agg(shared.alias("shared"))
-    windows = materialize(windows.where(F.col("shared") >= (similarity - 1e-9) * F.col("need")).select("t1", "t2", "iid", "n", "start"), "windows")
-
-    # only texts with a window are read again
-    touched = materialize(windows.select("t1", "t2").distinct(), "touched")
+    order = Window.partitionBy("t1", "t2", "n").orderBy("e.at", "e.own").rowsBetween(Window.unboundedPreceding, 0)
+    running = sized.select("t1", "t2", "n", "need", "pos", ends).withColumn("c", F.sum("e.w").over(order))
+    known = F.max(F.when(F.col("e.own") == 0, F.col("c"))) - F.max(F.when(F.col("e.own") == 1, F.col("c") - F.col("e.w")))
+    windows = running.groupBy("t1", "t2", "n", "need", F.col("pos").alias("start")).agg(known.alias("known")).where("known >= need")
+    windows = materialize(windows.groupBy("t1", "t2").agg(F.collect_list(F.struct("n", "start")).alias("at")), "windows")  # a text's own, few times its length
+
+    # only texts with a window are read again; windows of equal shingles are one
+    touched = windows.select("t1", "t2")
     again = source.join(guarded(touched), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-    cut = windows.join(hashes_of(again, "text").select("t1", "t2", "hs"), ["t1", "t2"])
-    cut = cut.select("t1", "t2", "iid", "n", "start", F.array_distinct(F.slice("hs", F.col("start") + 1, F.col("n"))).alias("part"))
-    cut = materialize(cut.withColumn("id", F.xxhash64("n", "part")), "cut")
-    sides = cut.dropDuplicates(["id"]).select(F.lit(0).alias("side"), "id", "n", F.explode("part").alias("h")).unionByName(sets.select(F.lit(1).alias("side"), F.col("iid").alias("id"), "n", "h"))
-    weighed = sides.join(small(weights), "h", "left").select("side", "id", "n", "h", F.coalesce("w", F.lit(unmet).cast("long")).alias("w"))
+    again = materialize(hashes_of(again, "text").select("t1", "t2", "hs"), "shingled")
+    part = lambda n, start: F.array_distinct(F.slice("hs", start + 1, n))
+    marked = F.transform("at", lambda z: F.struct(z["n"].alias("n"), z["start"].alias("start"), F.xxhash64(z["n"], part(z["n"], z["start"])).alias("id")))
+    cut = materialize(windows.join(again, ["t1", "t2"]).select("t1", "t2", F.explode(marked).alias("z")).select("t1", "t2", "z.n", "z.start", "z.id"), "cut")
+    one = cut.groupBy("id", "n").agg(F.min(F.struct("t1", "t2", "start")).alias("o")).select("id", "n", "o.t1", "o.t2", "o.start")
+    parts = one.join(again, ["t1", "t2"]).select(F.lit(0).alias("side"), "id", "n", F.explode(part(F.col("n"), F.col("start"))).alias("h"))
+    both = parts.unionByName(sets.select(F.lit(1).alias("side"), F.col("iid").alias("id"), "n", "h"))
+    weighed = both.join(small(weights), "h", "left").select("side", "id", "n", "h", F.coalesce("w", F.lit(unmet).cast("long")).alias("w"))
     printed = materialize(fingerprints(materialize(weighed, "weighed"), "side", "id", "n"), "prints")
     a = printed.where("side = 0").select("id", F.col("fp").alias("fa"), F.col("total").alias("ta"), F.col("ws").alias("wa"))
     b = printed.where("side = 1").select(F.col("id").alias("iid"), F.col("fp").alias("fb"), F.col("total").alias("tb"), F.col("ws").alias("wb"))
     common = F.aggregate(F.array_intersect("wa", "wb"), F.lit(0).cast("long"), lambda s, x: s + x["w"])
-    asked = cut.select("id", "iid").distinct()
     verified = (
-        item_pairs(printed, radius).withColumnRenamed("item", "iid").join(asked, ["id", "iid"]).join(a, "id").join(b, "iid")
+        item_pairs(printed, radius).withColumnRenamed("item", "iid").join(a, "id").join(b, "iid")
         .withColumn("similarity", common / (F.col("ta") + F.col("tb") - common))
         .where(F.col("similarity") >= similarity - 1e-9)
         .select("id", "iid", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"), "similarity")
     )
-    found = cut.select("t1", "t2", "iid", "start", "id").join(verified, ["id", "iid"]).drop("id")
+    found = cut.select("t1", "t2", "start", "id").join(verified, "id").drop("id")
     return materialize(found, "found"), read.select("item", "iid").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """``key, item, start, distance, similarity``: the windows of documents that verify, by their first shingle."""
+    """``key, item, start, distance, similarity``: the windows of documents that verify, by their first shingle, which is one that some item has."""
     found, names = verified_windows(docs, benchmark, text, item, item_text, radius, similarity)
     texts = materialize(found.select("t1", "t2").distinct(), "texts")
     keyed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), *_text_key(F.col(text).cast("string")))
@@ -156,18 +162,20 @@ def _shingles_sql(table: str, key: str) -> str:
   FROM (SELECT {key}, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM {table} WHERE text IS NOT NULL) WHERE w[1] <> ''"""
 
 
-#: Every window that starts at a shingle of the item, by its exact similarity; the fingerprints only save work.
+#: All windows of the items' sizes by their exact similarity; where the best is reached, the first window that starts at a known shingle.
 ORACLE_SQL = f"""
 WITH named AS ({_shingles_sql("benchmark", "item_id")}), item AS (SELECT hs, len(hs) AS n, row_number() OVER () AS iid FROM (SELECT DISTINCT hs FROM named)),
 bag AS (SELECT DISTINCT iid, n, unnest(hs) AS h FROM item), total AS (SELECT count(*) AS items FROM item),
 weight AS (SELECT h, CAST(round({WEIGHT_UNIT} * ln(1 + (SELECT items FROM total) / count(*))) AS BIGINT) AS w FROM bag GROUP BY h),
-need AS (SELECT iid, sum(w) AS tb FROM bag JOIN weight USING (h) GROUP BY iid),
+need AS (SELECT iid, sum(w) AS tb FROM bag JOIN weight USING (h) GROUP BY iid), size AS (SELECT DISTINCT n FROM item),
 placed AS (SELECT doc_id, generate_subscripts(hs, 1) - 1 AS pos, unnest(hs) AS h FROM ({_shingles_sql("documents", "doc_id")})),
-hit AS (SELECT doc_id, iid, n, pos FROM placed JOIN bag USING (h)),
-win AS (SELECT DISTINCT s.doc_id, s.iid, s.pos AS start, p.h FROM hit s JOIN placed p ON p.doc_id = s.doc_id AND p.pos >= s.pos AND p.pos < s.pos + s.n),
-sim AS (SELECT doc_id, iid, start, CAST(sum(coalesce(w, round({WEIGHT_UNIT} * ln(1 + (SELECT items FROM total))))) AS BIGINT) AS ta, CAST(sum(CASE WHEN b.h IS NOT NULL THEN w ELSE 0 END) AS BIGINT) AS common
-  FROM win LEFT JOIN weight USING (h) LEFT JOIN bag b USING (iid, h) GROUP BY doc_id, iid, start),
-good AS (SELECT doc_id, iid, start, common / (ta + tb - common) AS similarity FROM sim JOIN need USING (iid) WHERE common / (ta + tb - common) >= {SIMILARITY} - 1e-9)
-SELECT doc_id, item_id, max(round(similarity, 6)) AS similarity, CAST(arg_min(start, (-round(similarity, 6), start)) AS BIGINT) AS start_shingle, count(DISTINCT start) AS n_windows
+hit AS (SELECT doc_id, pos, h FROM placed SEMI JOIN weight USING (h)),
+win AS (SELECT DISTINCT doc_id, n, unnest(range(greatest(pos - n + 1, 0), pos + 1)) AS start FROM hit, size),
+held AS (SELECT DISTINCT win.doc_id, win.n, start, h FROM win JOIN placed p ON p.doc_id = win.doc_id AND p.pos >= start AND p.pos < start + win.n),
+mass AS (SELECT doc_id, n, start, CAST(sum(coalesce(w, round({WEIGHT_UNIT} * ln(1 + (SELECT items FROM total))))) AS BIGINT) AS ta FROM held LEFT JOIN weight USING (h) GROUP BY ALL),
+met AS (SELECT doc_id, n, start, iid, CAST(sum(w) AS BIGINT) AS common FROM held JOIN bag USING (n, h) JOIN weight USING (h) GROUP BY ALL),
+good AS (SELECT doc_id, iid, start, common / (ta + tb - common) AS similarity, EXISTS (FROM hit WHERE hit.doc_id = met.doc_id AND hit.pos = met.start) AS known
+  FROM met JOIN mass USING (doc_id, n, start) JOIN need USING (iid) WHERE common / (ta + tb - common) >= {SIMILARITY} - 1e-9)
+SELECT doc_id, item_id, max(round(similarity, 6)) AS similarity, CAST(arg_min(start, (-round(similarity, 6), NOT known, start)) AS BIGINT) AS start_shingle, count(DISTINCT start) FILTER (WHERE known) AS n_windows
 FROM good JOIN item USING (iid) JOIN named USING (hs) GROUP BY doc_id, item_id
 """

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import byte_values, materialize, signed
+from quartzite.llm.common import byte_values, fresh, materialize, signed
 from quartzite.llm.components import components
 
 SEED = 42
@@ -202,10 +202,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the least key; of rows that repeat a key, one. Null keys are kept."""
-    d = near_duplicates(docs, key, text)
+    """The rows of ``docs`` that stand for their component: the least by key (null last) and then by a hash of the text, so texts that share an id
+    are rows of their own. Of rows equal in both one stays."""
+    (row,) = fresh(docs, "_row")
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    marked = docs.withColumn(row, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.lit(15), t).alias("t1"), F.xxhash64(F.lit(16), t).alias("t2")))
+    d = near_duplicates(marked, row, text)
     keep = materialize(d.where(F.col("key") == F.col("component")).groupBy("key").count(), "keep")
-    kept = docs.join(keep.select(F.col("key").alias(key)), key, "left_semi").select(*docs.columns)
+    kept = marked.join(keep.select(F.col("key").alias(row)), row, "left_semi")
     if keep.where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+        kept = kept.dropDuplicates([row])
+    return kept.select(*docs.columns)
