@@ -3,11 +3,15 @@ the SQL states the result from the same numbers without reading any text."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quartzite.operators import interproc, scopes
-from quartzite.plans.bindings import table
+from quartzite.operators import findings, incremental, interproc, scopes
+from quartzite.operators.shared import folder
+from quartzite.plans.bindings import FOUND_SQL, RULES, table
 from quartzite.plans.catalog import query
 
 
@@ -89,3 +93,21 @@ def free_variables(spark, d):
     free = scopes.free_names(s, scopes.resolved(s)).where("name rlike '^x[0-9]$'")
     lines = s.functions.select("path", "body", F.col("line").cast("long").alias("line"))
     return free.join(lines, ["path", "body"]).groupBy("path", "line").agg(F.count("*").alias("free"))
+
+
+def line_analysis(lacking: DataFrame) -> DataFrame:
+    """What the line rules find in each content."""
+    hits = findings.line_findings(findings.source_lines(lacking, "content_key", "content"), RULES)
+    return hits.groupBy(F.col("path").alias("content_key")).agg(F.collect_list(F.struct("rule_id", "line")).alias("results"))
+
+
+@query(f"""WITH {FOUND_SQL}, before AS (SELECT DISTINCT CASE WHEN n_chars % 2 = 1 THEN regexp_replace(coalesce(text, ''), '\n[^\n]*$', '') ELSE coalesce(text, '') END AS text FROM documents)
+SELECT doc_id AS path, coalesce(text, '') IN (SELECT text FROM before) AS hit, coalesce(n, 0) AS findings FROM documents LEFT JOIN (SELECT path, count(*) AS n FROM found GROUP BY path) f ON f.path = doc_id""")
+def incremental_findings(spark, d):
+    """The documents analysed after an earlier state of them, in which every other one lacked its last line: what didn't change is taken from the store."""
+    store = incremental.Store(spark, f"{folder(spark)}/analysis-{uuid.uuid4().hex}", T.ArrayType(T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("line", T.LongType())])))
+    now = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"), "n_chars")
+    before = now.withColumn("content", F.when(F.col("n_chars") % 2 == 1, F.regexp_replace(F.coalesce("content", F.lit("")), "\n[^\n]*$", "")).otherwise(F.col("content")))
+    incremental.analyse(before, store, "line-rules", line_analysis)
+    out = incremental.analyse(now, store, "line-rules", line_analysis)
+    return out.select("path", "hit", F.size("results").cast("long").alias("findings"))
