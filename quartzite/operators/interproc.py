@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.operators import token_structure as ts
@@ -31,7 +31,15 @@ CROSS_FILE = Config(
     ("eval", "exec", "execSync", "spawn", "spawnSync", "system", "popen", "query", "Command::new"),
     ("escape", "escapeShellArg"),
 )
-INJECTION = Config(("process.argv", "req.query", "req.body", "req.params"), ("eval", "Function", "exec", "execSync", "query"), ("escape", "escapeShellArg"))
+_WEB = ("process.argv", "req.query", "req.body", "req.params")
+INJECTION = Config(_WEB, ("eval", "Function", "exec", "execSync", "query"), ("escape", "escapeShellArg"))
+#: Rules on flows within a file of TypeScript; all are blocking vulnerabilities of 10 minutes.
+SOURCE_SINK = {
+    "owasp:injection": INJECTION,
+    "owasp:path-traversal": Config(_WEB, ("readFile", "readFileSync", "writeFile", "writeFileSync", "unlink", "unlinkSync", "open", "openSync", "createReadStream", "createWriteStream"), ("basename", "sanitize")),
+    "owasp:ssrf": Config(_WEB, ("fetch", "request", "axios.get", "axios.post", "http.get", "http.request", "https.get", "https.request", "got", "superagent"), ("sanitize", "isAllowedHost")),
+    "owasp:xss": Config((*_WEB, "location.hash", "location.search"), ("write", "insertAdjacentHTML", "html"), ("sanitize", "escapeHtml", "encodeURIComponent")),
+}
 
 
 @dataclass(frozen=True)
@@ -47,29 +55,40 @@ class Facts:
     regions: DataFrame
 
 
-def facts(files: DataFrame, config: Config) -> Facts:
-    """The facts of ``files`` (path, language, content), languages with braces."""
+@dataclass(frozen=True)
+class Parsed:
+    """What the facts of any rule are made from: tokens, brackets, functions, calls with their resolved callees, brackets around each, regions."""
+
+    placed: DataFrame
+    brackets: DataFrame
+    functions: DataFrame
+    calls: DataFrame
+    up: DataFrame
+    within: DataFrame
+    regions: DataFrame
+
+
+def _region(path: str | Column, at: Column) -> Column:
+    return F.concat_ws("#", path, at.cast("string"))
+
+
+def parse(files: DataFrame) -> Parsed:
+    """``files``: path, language, content; languages with braces."""
     p = cut(ts.placed(ts.tokens(files)))
     b = cut(ts.brackets(p))
     fns = cut(ts.functions(b))
     calls = cut(ts.calls(b, fns))
     up = cut(ts.chains(b))
-    fits = lambda words: F.col("callee").isin(*words) | F.col("whole").isin(*words)
-    # the depth of the innermost sanitizer's bracket around each bracket
-    clean = calls.where(fits(config.sanitizers)).select("path", F.col("b").alias("above")).join(b.select("path", F.col("b").alias("above"), "depth"), ["path", "above"])
-    clean = up.join(clean, ["path", "above"]).groupBy("path", "b").agg(F.max("depth").alias("clean"))
-
-    bodies = fns.where("name is not null").select("path", F.col("body").alias("above"), "name")
-    region = lambda path, at: F.concat_ws("#", path, at.cast("string"))
     key = lambda path, name: F.concat(path, F.lit("#"), name)
-    within = up.join(bodies, ["path", "above"]).select("path", "b", region(F.col("path"), F.col("above")).alias("region"))
-    every = up.select("path", "b").distinct().select("path", "b", region(F.col("path"), F.lit(ts.FILE)).alias("region"))
-    within = cut(within.unionByName(every))  # the regions that each bracket lies in
-    names = bodies.select(region(F.col("path"), F.col("above")).alias("region"), "path", key(F.col("path"), F.col("name")).alias("key"))
-    regions = names.unionByName(files.select(F.col("path").cast("string").alias("path")).distinct().select(region(F.col("path"), F.lit(ts.FILE)).alias("region"), "path", F.lit(None).cast("string").alias("key")))
+    paths = files.select(F.col("path").cast("string").alias("path")).distinct()
+    bodies = fns.where("name is not null").select("path", F.col("body").alias("above"), "name")
+    within = up.join(bodies, ["path", "above"]).select("path", "b", _region("path", F.col("above")).alias("region"))
+    within = cut(within.unionByName(up.select("path", "b").distinct().select("path", "b", _region("path", F.lit(ts.FILE)).alias("region"))))  # the regions that each bracket lies in
+    names = bodies.select(_region("path", F.col("above")).alias("region"), "path", key(F.col("path"), F.col("name")).alias("key"))
+    regions = cut(names.unionByName(paths.select(_region("path", F.lit(ts.FILE)).alias("region"), "path", F.lit(None).cast("string").alias("key"))))
 
     # callees: what an import names, else a function of the file, else, where a file imports nothing, the first of that name anywhere
-    bound, importing = ts.import_bindings(p, files.select(F.col("path").cast("string").alias("path")))
+    bound, importing = ts.import_bindings(p, paths)
     own = bodies.select("path", F.col("name").alias("callee"), key(F.col("path"), F.col("name")).alias("own")).distinct()
     first = bodies.groupBy(F.col("name").alias("callee")).agg(F.min_by(key(F.col("path"), F.col("name")), F.struct("path", "above")).alias("first"))
     resolved = (
@@ -77,7 +96,18 @@ def facts(files: DataFrame, config: Config) -> Facts:
         .join(own, ["path", "callee"], "left").join(importing.withColumn("imports", F.lit(True)), "path", "left").join(first, "callee", "left")
         .withColumn("key", F.coalesce("bound", "own", F.when(F.col("imports").isNull(), F.col("first"))))
     )
-    resolved = cut(resolved.select("path", "b", "callee", "whole", "line", "enc", "seg", "key"))
+    return Parsed(p, b, fns, cut(resolved.select("path", "b", "callee", "whole", "line", "enc", "seg", "key")), up, within, regions)
+
+
+def facts(files: DataFrame | Parsed, config: Config) -> Facts:
+    """The facts of ``files`` (path, language, content), or of what ``parse`` made of them, under the names of a rule."""
+    parsed = files if isinstance(files, Parsed) else parse(files)
+    p, b, fns, resolved, up, within = parsed.placed, parsed.brackets, parsed.functions, parsed.calls, parsed.up, parsed.within
+    calls = resolved
+    fits = lambda words: F.col("callee").isin(*words) | F.col("whole").isin(*words)
+    # the depth of the innermost sanitizer's bracket around each bracket
+    clean = calls.where(fits(config.sanitizers)).select("path", F.col("b").alias("above")).join(b.select("path", F.col("b").alias("above"), "depth"), ["path", "above"])
+    clean = up.join(clean, ["path", "above"]).groupBy("path", "b").agg(F.max("depth").alias("clean"))
 
     # what can hold taint: names, markers, calls of functions at hand
     word = p.where(ts.is_name(F.col("text"), F.col("kind")))
@@ -109,8 +139,8 @@ def facts(files: DataFrame, config: Config) -> Facts:
         here(args.where("key is not null"), F.col("enc").alias("site"), "line", "callee", "key", "pos", "name"),
         here(args.where(fits(config.sinks)), "line", F.col("callee").alias("sink"), "name"),
         here(given, "name"),
-        cut(ts.parameters(p, fns).select(region(F.col("path"), F.col("body")).alias("region"), "pos", "name")),
-        cut(regions),
+        cut(ts.parameters(p, fns).select(_region("path", F.col("body")).alias("region"), "pos", "name")),
+        parsed.regions,
     )
 
 
@@ -163,3 +193,14 @@ def injections(f: Facts) -> DataFrame:
     start = seen.select("region", "name", F.substring("name", 2, 1000).alias("source"))
     t = close(start, lambda new, _: new.join(flow, ["region", "name"]).select("region", F.col("target").alias("name"), "source"))
     return t.join(f.sunk, ["region", "name"]).join(whole, "region").select("path", "line", "source", "sink").distinct()
+
+
+def source_sink_findings(files: DataFrame) -> DataFrame:
+    """``rule_id, path, line, source, sink, severity, issue_type, effort`` of the rules in SOURCE_SINK on files of TypeScript (path, language, content).
+    Text is cut into tokens once for all."""
+    parsed = parse(files.where("language = 'typescript'"))
+    out = None
+    for rule, config in SOURCE_SINK.items():
+        one = injections(facts(parsed, config)).withColumn("rule_id", F.lit(rule))
+        out = one if out is None else out.unionByName(one)
+    return out.select("rule_id", "path", "line", "source", "sink", F.lit("Blocker").alias("severity"), F.lit("Vulnerability").alias("issue_type"), F.lit(10).alias("effort"))

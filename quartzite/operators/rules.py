@@ -12,18 +12,18 @@ from quartzite.operators.findings import LineRule, line_findings
 
 #: Credential formats of well-known providers.
 PROVIDERS = [
-    LineRule("secrets:aws-access-key-id", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:aws-secret-access-key", r"(?i)aws_secret_access_key\s*[:=]\s*['\"]?[A-Za-z0-9/+=]{40}['\"]?", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:gcp-api-key", r"\bAIza[0-9A-Za-z_\-]{35}\b", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:gcp-service-account-key", r'"private_key"\s*:\s*"-----BEGIN (RSA )?PRIVATE KEY', "Blocker", "Vulnerability", 30),
-    LineRule("secrets:azure-storage-connection-string", r"AccountKey=[A-Za-z0-9+/]{40,}={0,2}", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:azure-sas-token", r"[?&]sv=\d{4}-\d{2}-\d{2}[^\s\x22\x27]*[?&]sig=[A-Za-z0-9%]{20,}", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:stripe-live-key", r"\b(?:sk|pk|rk)_live_[0-9a-zA-Z]{24,}\b", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:private-key-block", r"-----BEGIN ((RSA|EC|DSA|OPENSSH|PGP) )?PRIVATE KEY-----", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:github-token", r"\bgh[oprsu]_[A-Za-z0-9]{36,}\b|\bgithub_pat_[A-Za-z0-9_]{22,}\b", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:slack-token", r"\bxox[baprs]-[0-9A-Za-z-]{10,}\b", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:npm-token", r"\bnpm_[A-Za-z0-9]{36,}\b", "Blocker", "Vulnerability", 30),
-    LineRule("secrets:jwt-like-token", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", "Blocker", "Vulnerability", 30),
+    LineRule("secrets:aws-access-key-id", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:aws-secret-access-key", r"(?i)aws_secret_access_key\s*[:=]\s*['\"]?[A-Za-z0-9/+=]{40}['\"]?", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:gcp-api-key", r"\bAIza[0-9A-Za-z_\-]{35}\b", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:gcp-service-account-key", r'"private_key"\s*:\s*"-----BEGIN (RSA )?PRIVATE KEY', "Blocker", "Vulnerability", 10),
+    LineRule("secrets:azure-storage-connection-string", r"AccountKey=[A-Za-z0-9+/]{40,}={0,2}", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:azure-sas-token", r"[?&]sv=\d{4}-\d{2}-\d{2}[^\s\x22\x27]*[?&]sig=[A-Za-z0-9%]{20,}", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:stripe-live-key", r"\b(?:sk|pk|rk)_live_[0-9a-zA-Z]{24,}\b", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:private-key-block", r"-----BEGIN ((RSA|EC|DSA|OPENSSH|PGP) )?PRIVATE KEY-----", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:github-token", r"\bgh[oprsu]_[A-Za-z0-9]{36,}\b|\bgithub_pat_[A-Za-z0-9_]{22,}\b", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:slack-token", r"\bxox[baprs]-[0-9A-Za-z-]{10,}\b", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:npm-token", r"\bnpm_[A-Za-z0-9]{36,}\b", "Blocker", "Vulnerability", 10),
+    LineRule("secrets:jwt-like-token", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", "Blocker", "Vulnerability", 10),
 ]
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartzite.operators import findings, incremental, interproc, scopes
-from quartzite.operators.shared import folder
+from quartzite.operators import dataflow, findings, incremental, interproc, scopes
+from quartzite.operators.shared import cut, folder
 from quartzite.plans.bindings import FOUND_SQL, RULES, table
 from quartzite.plans.catalog import query
 
@@ -32,7 +32,7 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda col, *options: F.get(F.array(*(F.lit(o) if isinstance(o, str) else o for o in options)), (F.col(col) % len(options)).cast("int"))
     has = F.col("c") > 0
     read = F.when(F.col("total") % 5 == 0, F.lit("req.body.x")).when(has, text("read", up, "()")).otherwise(F.lit("'x'"))
-    start = pick("shortest", text("const q = req.query.id; run", c, "(q, 'safe');"), text("run", c, "(read", c, "(), 'safe');"), text("const q = process.argv[2]; const w = q; cp.execSync(w, escape(q));"))
+    start = pick("shortest", text("const q = req.query.id; run", c, "(q, 'safe');"), text("run", c, "(read", c, "(), 'safe');"), text("const q = process.argv[2]; const w = q; ", pick("n", "cp.execSync(w, escape(q));", "fs.readFile(w, basename(q));", "fetch(w + isAllowedHost(q));", "document.write(w);")))
     body = text(
         if_(has, text("import { run", up, ", read", up, " } from './m", up, "';")), "\n", start, "\nexport function run", c, "(a: string, b: string) {\n  const v = ", pick("total", "a", "b", "escape(a)", "`x ${a} y`"), ";\n",
         if_(F.col("n") % 3 == 0, F.lit("  cp.execSync(v);\n")), if_(has, text("  run", up, "(v, ", pick("longest", "b", "a"), ");\n")), "}\nexport function read", c, "() {\n  return ", read, ";\n}\n",
@@ -55,11 +55,17 @@ def cross_file_taint(spark, d):
     return interproc.cross_file_flows(interproc.facts(modules(spark, d), interproc.CROSS_FILE))
 
 
-@query(f"WITH {_SHAPE_SQL} SELECT 'm' || c || '.ts' AS path, 2 AS line, 'process.argv' AS source, 'execSync' AS sink FROM m WHERE shortest % 3 = 2")
+@query(f"WITH {_SHAPE_SQL} SELECT 'm' || c || '.ts' AS path, 2 AS line, 'process.argv' AS source, 'execSync' AS sink FROM m WHERE shortest % 3 = 2 AND n % 4 = 0")
 def injection_flows(spark, d):
     return interproc.injections(interproc.facts(modules(spark, d), interproc.INJECTION))
 
 
+@query(f"""WITH {_SHAPE_SQL} SELECT ['owasp:injection', 'owasp:path-traversal', 'owasp:ssrf', 'owasp:xss'][n % 4 + 1] AS rule_id, 'm' || c || '.ts' AS path, 2 AS line, 'process.argv' AS source,
+['execSync', 'readFile', 'fetch', 'write'][n % 4 + 1] AS sink, 'Blocker' AS severity, 'Vulnerability' AS issue_type, 10 AS effort FROM m WHERE shortest % 3 = 2""")
+def source_sink_rules(spark, d):
+    return interproc.source_sink_findings(modules(spark, d))
+
+
 def nested(spark: SparkSession, d: str) -> DataFrame:
     """A function for each conversation, in which each turn opens a block, or a closure, within the one before, declares a name and uses all."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -95,6 +101,80 @@ def free_variables(spark, d):
     return free.join(lines, ["path", "body"]).groupBy("path", "line").agg(F.count("*").alias("free"))
 
 
+def control_flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each conversation as a function: turn p goes on to 2p and 2p + 1, to the exit 0 where there are none, back to p / 2 or over to p + 1 as
+    its text's length decides; it defines one of three names. Edges ``g, src, dst`` and blocks ``g, block, name, text``."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    t = table(spark, d, "conversations").where("conv_id is not null").select(F.col("conv_id").alias("g"), F.row_number().over(order).cast("long").alias("block"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    t = t.withColumn("last", F.count("*").over(Window.partitionBy("g")))
+    p, leaf = F.col("block"), 2 * F.col("block") > F.col("last")
+    to = [F.when(2 * p <= F.col("last"), 2 * p), F.when(2 * p + 1 <= F.col("last"), 2 * p + 1), F.when(leaf, 0), F.when(leaf & (F.col("n") % 5 == 0) & (p > 1), F.floor(p / 2)), F.when((F.col("n") % 7 == 0) & (p < F.col("last")), p + 1)]
+    edges = t.select("g", p.alias("src"), F.explode(F.array_compact(F.array(*(x.cast("long") for x in to)))).alias("dst")).distinct()
+    blocks = t.select("g", "block", F.concat(F.lit("v"), (F.col("n") % 3).cast("string")).alias("name"), F.concat(F.lit("v"), (F.col("n") % 3).cast("string"), F.lit(" = v"), (F.col("n") % 2).cast("string"), F.when(F.col("n") % 4 == 0, "_propagated").otherwise("")).alias("text"), "last")
+    return edges, blocks
+
+
+_CFG_SQL = """t AS (SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p, coalesce(length(text), 0) AS n, count(*) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE conv_id IS NOT NULL),
+edge AS (SELECT g, p AS src, 2 * p AS dst FROM t WHERE 2 * p <= last UNION SELECT g, p, 2 * p + 1 FROM t WHERE 2 * p + 1 <= last UNION SELECT g, p, 0 FROM t WHERE 2 * p > last UNION SELECT g, p, p // 2 FROM t WHERE 2 * p > last AND n % 5 = 0 AND p > 1
+  UNION SELECT g, p, p + 1 FROM t WHERE n % 7 = 0 AND p < last),
+def AS (SELECT g, p AS block, 'v' || (n % 3) AS name FROM t)"""
+#: Dominance by what can be reached without a block.
+_DOM_SQL = """node AS (SELECT g, p AS b FROM t UNION SELECT g, 0 FROM t),
+avoid(g, d, b) AS (SELECT g, b, 1 FROM node WHERE b <> 1 UNION SELECT a.g, a.d, e.dst FROM avoid a JOIN edge e ON e.g = a.g AND e.src = a.b AND e.dst <> a.d),
+dom AS (SELECT x.g, x.b, y.b AS d FROM node x JOIN node y USING (g) WHERE x.b = y.b OR NOT EXISTS (FROM avoid a WHERE a.g = x.g AND a.d = y.b AND a.b = x.b)),
+frontier AS (SELECT DISTINCT e.g, dom.d AS x, e.dst AS y FROM edge e JOIN dom ON dom.g = e.g AND dom.b = e.src WHERE NOT EXISTS (FROM dom s WHERE s.g = e.g AND s.b = e.dst AND s.d = dom.d AND s.d <> s.b))"""
+_CONTROL_SQL = """node AS (SELECT g, p AS b FROM t UNION SELECT g, 0 FROM t),
+avoid(g, d, b) AS (SELECT g, b, 0 FROM node WHERE b <> 0 UNION SELECT a.g, a.d, e.src FROM avoid a JOIN edge e ON e.g = a.g AND e.dst = a.b AND e.src <> a.d),
+post AS (SELECT x.g, x.b, y.b AS d FROM node x JOIN node y USING (g) WHERE x.b = y.b OR NOT EXISTS (FROM avoid a WHERE a.g = x.g AND a.d = y.b AND a.b = x.b)),
+control AS (SELECT DISTINCT e.g, d AS dependent, e.src AS controller FROM edge e JOIN post ON post.g = e.g AND post.b = e.dst WHERE NOT EXISTS (FROM post s WHERE s.g = e.g AND s.b = e.src AND s.d = post.d AND s.d <> s.b))"""
+
+
+@query(f"""WITH RECURSIVE {_CFG_SQL},
+held(g, block, name, origin) AS (SELECT edge.g, dst, name, src FROM edge JOIN def ON def.g = edge.g AND def.block = edge.src
+  UNION SELECT h.g, e.dst, h.name, h.origin FROM held h JOIN edge e ON e.g = h.g AND e.src = h.block WHERE NOT EXISTS (FROM def WHERE def.g = h.g AND def.block = h.block AND def.name = h.name))
+SELECT g, block, name, origin FROM held""")
+def reaching_definitions(spark, d):
+    edges, blocks = control_flow(spark, d)
+    return dataflow.reaching_definitions(edges, blocks)
+
+
+@query(f"""WITH RECURSIVE {_CFG_SQL}, {_DOM_SQL}, size AS (SELECT g, b, count(*) AS n FROM dom GROUP BY ALL)
+SELECT dom.g, dom.b AS block, arg_max(dom.d, n) AS idom FROM dom JOIN size ON size.g = dom.g AND size.b = dom.d WHERE dom.d <> dom.b GROUP BY ALL""")
+def immediate_dominators(spark, d):
+    edges, blocks = control_flow(spark, d)
+    return dataflow.immediate(dataflow.dominators(edges, blocks.where("block = 1")))
+
+
+@query(f"""WITH RECURSIVE {_CFG_SQL}, {_DOM_SQL},
+phi(g, block, name) AS (SELECT f.g, y, name FROM frontier f JOIN def ON def.g = f.g AND def.block = f.x UNION SELECT p.g, f.y, p.name FROM phi p JOIN frontier f ON f.g = p.g AND f.x = p.block)
+SELECT g, block, name FROM phi""")
+def phi_nodes(spark, d):
+    edges, blocks = control_flow(spark, d)
+    doms = dataflow.dominators(edges, blocks.where("block = 1"))
+    return dataflow.phi_nodes(cut(dataflow.frontiers(edges, doms)), blocks)
+
+
+@query(f"""WITH RECURSIVE {_CFG_SQL}, {_CONTROL_SQL},
+slice(g, criterion, block) AS (SELECT g, last, last FROM t WHERE p = 1 UNION SELECT s.g, s.criterion, x.b FROM slice s JOIN (SELECT edge.g, dst AS a, src AS b FROM edge JOIN def ON def.g = edge.g AND def.block = edge.src AND name = 'v0' UNION SELECT g, dependent, controller FROM control) x ON x.g = s.g AND x.a = s.block)
+SELECT g, criterion, 'v0' AS name, block FROM slice""")
+def program_slices(spark, d):
+    """The slice of name v0 at the last block of each function."""
+    edges, blocks = control_flow(spark, d)
+    control = cut(dataflow.control_dependence(edges, blocks.select("g", F.lit(0).cast("long").alias("block")).distinct()))
+    criteria = blocks.where("block = last").select("g", F.col("block").alias("criterion"), F.lit("v0").alias("name"))
+    return dataflow.backward_slices(edges, control, blocks, criteria)
+
+
+@query(f"""WITH RECURSIVE {_CFG_SQL}, body AS (SELECT g, p AS block, 'v' || (n % 3) || ' = v' || (n % 2) || CASE WHEN n % 4 = 0 THEN '_propagated' ELSE '' END AS text FROM t),
+reach(g, block, fact) AS (SELECT g, CAST(1 AS BIGINT), unnest([NULL, 'v0', 'v1']) FROM t WHERE p = 1
+  UNION SELECT r.g, e.dst, CASE WHEN k = 0 THEN fact ELSE fact || '_propagated' END FROM reach r JOIN edge e ON e.g = r.g AND e.src = r.block LEFT JOIN body b ON b.g = r.g AND b.block = r.block, range(2) z(k) WHERE k = 0 OR contains(b.text, fact))
+SELECT g, block, fact FROM reach""")
+def exploded_facts(spark, d):
+    edges, blocks = control_flow(spark, d)
+    seeds = blocks.where("block = 1").select("g", "block", F.explode(F.array(F.lit("v0"), F.lit("v1"))).alias("fact"))
+    return dataflow.exploded_reach(edges, blocks, seeds)
+
+
 def line_analysis(lacking: DataFrame) -> DataFrame:
     """What the line rules find in each content."""
     hits = findings.line_findings(findings.source_lines(lacking, "content_key", "content"), RULES)
