@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,18 +73,71 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
     return seen
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """The edges that are left when nodes without a way in or a way out go, again and again."""
-    n = edges.count()
-    while n:
+LOCAL_EDGES = 200_000  # what one task settles, a few MB; beyond that nodes are coloured over the cluster
+
+
+def _trimmed(edges: DataFrame, times: int = 2) -> DataFrame:
+    """The edges that are left when nodes without a way in or a way out go, a few times over: long tails fall to the colouring."""
+    for _ in range(times):
         ends = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
         edges = cut(edges.join(ends[0], "dst", "left_semi").join(ends[1], "src", "left_semi").select("src", "dst"))
-        before, n = n, edges.count()
-        if n == before:
-            break
     return edges
 
 
+def components_of(edges: list[tuple]) -> dict:
+    """Node to a number of its strongly connected component, by one depth-first walk with the least entry point that a node reaches."""
+    out: dict = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    entered: dict = {}
+    low: dict = {}
+    group: dict = {}
+    open_: list = []
+    for root in out:
+        if root in entered:
+            continue
+        walk = [(root, iter(out[root]))]
+        entered[root] = low[root] = len(entered)
+        open_.append(root)
+        while walk:
+            node, ways = walk[-1]
+            for to in ways:
+                if to not in entered:
+                    entered[to] = low[to] = len(entered)
+                    open_.append(to)
+                    walk.append((to, iter(out[to])))
+                    break
+                if to not in group:
+                    low[node] = min(low[node], entered[to])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == entered[node]:
+                    while True:
+                        member = open_.pop()
+                        group[member] = entered[node]
+                        if member == node:
+                            break
+    return group
+
+
+def _settled_here(edges: DataFrame) -> DataFrame:
+    """``node, scc`` of a graph of at most LOCAL_EDGES edges, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = components_of([pair for b in batches for pair in zip(b["src"].tolist(), b["dst"].tolist(), strict=True)])
+        members: dict = {}
+        for node, g in group.items():
+            members.setdefault(g, []).append(node)
+        rows = [(node, min(m)) for m in members.values() if len(m) > 1 for node in m]
+        yield pd.DataFrame(rows, columns=["node", "scc"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.select("src", "dst").coalesce(1).mapInPandas(run, f"node {kind}, scc {kind}")
+
+
 def _least_above(edges: DataFrame) -> DataFrame:
     """``node, root``: the least node that reaches each, itself included. A node takes the least root of those before it and, as that
     root is reached too, the root of its root: so long chains take few rounds."""
@@ -97,28 +152,34 @@ def _least_above(edges: DataFrame) -> DataFrame:
             return label
 
 
-def cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+def cycles(edges: DataFrame, max_depth: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``node, scc`` of nodes on a cycle; scc is the least member. Whole strongly connected components, or with ``max_depth`` mutual
-    reachability within so many hops. Nodes are coloured by the least node that reaches them; those that reach it in turn are its
-    component and go, and edges between colours with them, until no edge is left. All relations grow with the edges only."""
+    reachability within so many hops. While more than ``local_edges`` are left, nodes are coloured by the node of least random rank that reaches
+    them; those that reach it in turn are its component and go, and edges between colours with them. Ranks are new each round, so long chains
+    of components part into many pieces at once. All relations grow with the edges only."""
     if max_depth is not None:
         far = reach(edges, edges.select(F.col("src").alias("node")).distinct(), max_depth)
         pairs = far.select("root", "node").where("root <> node")
         mutual = pairs.join(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"])
         return mutual.groupBy(F.col("root").alias("node")).agg(F.least(F.min("node"), F.col("root")).alias("scc"))
-    left = _trimmed(cut(component_edges(edges)))
+    left = cut(component_edges(edges))
     found = left.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
-    while left.limit(1).count():
-        color = _least_above(left)
+    for turn in count(1):
+        if left.limit(local_edges + 1).count() <= local_edges:
+            return found.unionByName(_settled_here(left))
+        left = _trimmed(left)
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("rank"), F.col(c).alias("node")).alias(c)  # noqa: B023, E731
+        ranked = cut(left.select(rank("src"), rank("dst")))
+        color = _least_above(ranked)
         ends = [color.select(F.col("node").alias(end), F.col("root").alias(f"r_{end}")) for end in ("src", "dst")]
-        same = cut(left.join(ends[0], "src").join(ends[1], "dst").where("r_src = r_dst").select("src", "dst", F.col("r_src").alias("scc")))
+        same = cut(ranked.join(ends[0], "src").join(ends[1], "dst").where("r_src = r_dst").select("src", "dst", F.col("r_src").alias("scc")))
         # a node of a colour reaches the colour's node, the least of all, if that is the least that it reaches at all
         back = _least_above(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        members = cut(back.join(color.withColumnRenamed("root", "scc"), "node").where("root = scc").select("node", "scc"))
-        found = found.unionByName(members.join(members.where("node <> scc").select("scc").distinct(), "scc", "left_semi").select("node", "scc"))
-        rest = same.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
-        left = _trimmed(cut(rest.select("src", "dst")))
-    return found
+        members = cut(back.join(color.withColumnRenamed("root", "scc"), "node").where("root = scc").select("node.node", F.col("scc.node").alias("scc")))
+        size = members.groupBy("scc").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+        found = cut(found.unionByName(members.join(size, "scc").select("node", F.col("least").alias("scc"))))
+        rest = same.select("src.node", F.col("dst.node").alias("to")).join(members.select("node"), "node", "left_anti").withColumnRenamed("node", "src")
+        left = cut(rest.join(members.select(F.col("node").alias("to")), "to", "left_anti").select("src", F.col("to").alias("dst")))
 
 
 def shortest_untested(edges: DataFrame, coverage: DataFrame, max_depth: int | None = None) -> DataFrame:
