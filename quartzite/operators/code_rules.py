@@ -67,44 +67,51 @@ def masked(content: Column, family: str) -> Column:
     return F.array_join(F.transform(parts, blank), "")
 
 
-def positions(text: Column, pattern: str) -> Column:
-    """The lines, from 1, on which matches of a pattern begin."""
-    marked = F.split(F.regexp_replace(text, f"(?m){pattern}", f"{MARK}$0"), "\n")
-    lines = F.filter(F.transform(marked, lambda line, i: F.when(line.contains(MARK), i + 1)), lambda i: i.isNotNull())
-    return F.when(text.rlike(f"(?m){pattern}"), lines).otherwise(F.array().cast("array<int>"))
-
-
-def _lines_of(rule: CodeRule) -> Column:
-    found = positions(F.col(rule.on), rule.pattern)
+def _text(value: str) -> str:
+    """A literal of SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def _lines_of(rule: CodeRule, k: int) -> str:
+    """SQL of the lines, from 1, on which matches of rule ``k`` begin, as (k, line). As text, hundreds of rules are parsed at once; built from columns,
+    each of their parts is a call to the driver's JVM."""
+    pattern = _text(f"(?m){rule.pattern}")
+    wanted = [f"{rule.on} rlike {pattern}"]
+    if rule.languages:
+        wanted.append(f"language in ({', '.join(map(_text, rule.languages))})")
+    for column, regex, has in (("text", rule.file, True), ("text", rule.absent, False), ("path", rule.path, True), ("path", rule.off_path, False)):
+        if regex:
+            wanted.append(f"{'' if has else 'not '}{column} rlike {_text(f'(?m){regex}')}")
+    if not rule.tests:
+        wanted.append("not in_test")
+    marked = f"split(regexp_replace({rule.on}, {pattern}, {_text(MARK + '$0')}), '\\n')"
+    hit = f"contains(line, {_text(MARK)})"
     unless = rule.unless or (_COMMENT_LINE if rule.on == "text" else None)
     if unless:
-        found = F.filter(found, lambda i: ~F.get(F.split(rule.on, "\n"), i - 1).rlike(unless))
-    wanted = F.lit(True)
-    for column, pattern, has in (("text", rule.file, True), ("text", rule.absent, False), ("path", rule.path, True), ("path", rule.off_path, False)):
-        if pattern:
-            hit = F.col(column).rlike(f"(?m){pattern}")
-            wanted &= hit if has else ~hit
-    if not rule.tests:
-        wanted &= ~S.is_test_path(F.col("path"))
-    made = F.struct(*(F.lit(v).alias(n) for n, v in (("rule_id", rule.rule_id), ("severity", rule.severity), ("issue_type", rule.issue_type), ("effort", rule.effort), ("hotspot", rule.hotspot))))
-    return F.when(wanted, F.transform(found, lambda i: F.struct(made.alias("rule"), i.cast("long").alias("line")))).otherwise(F.array().cast("array<struct<rule:struct<rule_id:string,severity:string,issue_type:string,effort:int,hotspot:boolean>,line:bigint>>"))
+        hit += f" and not replace(line, {_text(MARK)}, '') rlike {_text(unless)}"
+    lines = f"filter(transform({marked}, (line, i) -> if({hit}, i + 1, null)), i -> i is not null)"
+    return f"if({' and '.join(f'({w})' for w in wanted)}, transform({lines}, i -> struct({k} as k, i as line)), null)"
 
 
 def code_findings(files: DataFrame, rules: list[CodeRule]) -> DataFrame:
     """``path, rule_id, severity, issue_type, effort, hotspot, line``. ``files``: path, language, content."""
     source = files.where(F.col("content").isNotNull()).select("path", F.coalesce("language", F.lit("")).alias("language"), F.col("content").alias("text"))
+    source = source.withColumn("in_test", S.is_test_path(F.col("path")))
+    names = "k int, rule_id string, severity string, issue_type string, effort int, hotspot boolean"
+    known = [(k, r.rule_id, r.severity, r.issue_type, r.effort, r.hotspot) for k, r in enumerate(rules)]
+    table = F.broadcast(files.sparkSession.createDataFrame(known, names))  # a constant of the program
     out = []
     for family in FAMILIES:
         own = [lang for lang, f in FAMILY.items() if f == family]
         here = F.col("language").isin(own) if family != "c" else ~F.col("language").isin(list(FAMILY))
-        fitting = [r for r in rules if not r.languages or (set(r.languages) & set(own) if family != "c" else set(r.languages) - set(FAMILY))]
+        fitting = [(k, r) for k, r in enumerate(rules) if not r.languages or (set(r.languages) & set(own) if family != "c" else set(r.languages) - set(FAMILY))]
         if not fitting:
             continue
         # a generator keeps the text without comments from being computed for every rule
         code = source.where(here).withColumn("code", F.explode(F.array(masked(F.col("text"), family))))
-        hits = [F.when(F.col("language").isin(list(r.languages)) if r.languages else F.lit(True), _lines_of(r)) for r in fitting]
-        out.append(code.select("path", F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("f")))
+        hits = F.expr(f"flatten(array_compact(array({', '.join(_lines_of(r, k) for k, r in fitting)})))")
+        out.append(code.select("path", F.explode(hits).alias("f")).select("path", "f.k", F.col("f.line").cast("long").alias("line")))
     found = out[0]
     for d in out[1:]:
         found = found.unionByName(d)
-    return found.select("path", "f.rule.*", "f.line")
+    return found.join(table, "k").select("path", "rule_id", "severity", "issue_type", "effort", "hotspot", "line")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartzite.operators import dataflow, findings, incremental, interproc, scopes
+from quartzite.operators import dataflow, findings, incremental, interproc, judge, scopes
 from quartzite.operators.shared import cut, folder
 from quartzite.plans.bindings import FOUND_SQL, RULES, table
 from quartzite.plans.catalog import query
@@ -191,3 +191,16 @@ def incremental_findings(spark, d):
     incremental.analyse(before, store, "line-rules", line_analysis)
     out = incremental.analyse(now, store, "line-rules", line_analysis)
     return out.select("path", "hit", F.size("results").cast("long").alias("findings"))
+
+
+@query("""WITH e AS (SELECT *, user_id || '/' || CAST(floor(value) AS BIGINT) % 2 AS token, event_type IN ('click', 'purchase') AS soft, event_type = 'error' OR (event_type = 'purchase' AND value >= 50) AS hard FROM events),
+a AS (SELECT *, lag(event_type) OVER (PARTITION BY token ORDER BY ts, event_type <> 'signup', event_id) AS last FROM e WHERE event_type = 'signup' OR (soft AND NOT hard))
+SELECT e.event_id AS write, CASE WHEN e.hard THEN 'deny' WHEN NOT e.soft THEN 'allow' WHEN a.last = 'signup' THEN 'approved' ELSE 'escalate' END AS verdict FROM e LEFT JOIN a USING (event_id) WHERE e.event_type <> 'signup'""")
+def judged_writes(spark, d):
+    """Events as writes; signups as approvals. Purchases break a denying rule, unless their old content did already (value under 50)."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("write"), F.col("ts").alias("seq"), F.concat(F.col("user_id").cast("string"), F.lit("/"), (F.floor("value") % 2).cast("string")).alias("token"), "event_type", "value")
+    kinds = F.when(F.col("event_type") == "error", F.array(F.lit("Deny"))).when(F.col("event_type") == "click", F.array(F.lit("Escalate"))).when(F.col("event_type") == "purchase", F.array(F.lit("Deny"), F.lit("Escalate"))).otherwise(F.array(F.lit("Warn")))
+    found = e.select("write", F.explode(kinds).alias("enforcement"), "event_type", "value").withColumn("rule_id", F.concat(F.lit("policy:"), F.lower("enforcement"))).withColumn("message", F.col("event_type"))
+    before = found.where("event_type = 'purchase' and enforcement = 'Deny' and value < 50")
+    new = judge.new_violations(found.select("write", "rule_id", "message", "enforcement"), before)
+    return judge.verdicts(e.where("event_type <> 'signup'"), new, e.where("event_type = 'signup'"))

@@ -35,7 +35,7 @@ RULES = [
     _owasp("post-message-wildcard", "Critical", 10, TS, r"\bpostMessage\([^,\n]+,\s*[\"'`]\*[\"'`]", "w.postMessage(a, '*');", "w.postMessage(a, origin);", on="text", tests=False),
     _owasp("prototype-pollution", "Critical", 10, TS, r"(?:Object\.assign|merge\(|extend\(|deepMerge)[^\n]*(?:__proto__|constructor\.prototype)|(?:__proto__|constructor\.prototype)[^\n]*(?:Object\.assign|merge\(|extend\(|deepMerge)", "Object.assign(a.__proto__, b);", "Object.assign(a, b);", on="text"),
     _owasp("sql-injection-concat", "Critical", 10, (), rf"(?i)[\"'`][^\"'`\n]*{_SQL}[^\n]*(?:[\"']\s*\+|\$\{{)|(?<![\w])f[\"'][^\n]*{_SQL}[^\n]*\{{|(?i:sprintf|format!)\([^\n]*{_SQL}[^\n]*(?:%[sd]|\{{\}})", "q = \"SELECT a FROM b WHERE c = \" + d;", "q = \"SELECT a FROM b WHERE c = ?\";", on="text", tests=False),
-    _owasp("timing-attack-comparison", "Major", 10, TS, r"\b\w*(?:token|apiKey|api_key|secret|hash|signature)\w*\s*={2,3}|={2,3}\s*[\w.]*(?:token|apiKey|api_key|secret|hash|signature)\b", "if (req.signature === expected) { a(); }", "if (crypto.timingSafeEqual(signature, b)) { a(); }", unless="timingSafeEqual|constant_time"),
+    _owasp("timing-attack-comparison", "Major", 10, (*TS, *PY, "rust"), r"\b\w*(?:token|apiKey|api_key|secret|hash|signature)\w*\s*={2,3}|={2,3}\s*[\w.]*(?:token|apiKey|api_key|secret|hash|signature)\b", "if (req.signature === expected) { a(); }", "if (crypto.timingSafeEqual(signature, b)) { a(); }", unless="timingSafeEqual|constant_time"),
     _owasp("unverified-jwt", "Critical", 10, ("python", "typescript"), r"\bjwt\.(?:decode|verify)\([^\n]*(?:verify\s*=\s*False|verify_signature[\"']?\s*:\s*False|ignoreExpiration\s*:\s*true)|\bjwt\.decode\([^,)\n]*\)", "const a = jwt.decode(b);", "const a = jwt.verify(b, key);", tests=False),
     _owasp("weak-crypto", "Critical", 10, ("rust",), r"\b(?:Md5|MD5|md5|Sha1|SHA1|sha1|RC4|Rc4)(?:::|\()", "fn f() { let a = Md5::new(); }", "fn f() { let a = Sha256::new(); }", tests=False),
     _owasp("weak-crypto-hash", "Critical", 10, ("python", "typescript", "rust"), r"(?i)createhash\(\s*[\"'](?:md5|sha-?1)[\"']|hashlib\.(?:md5|sha1)\b|cryptojs\.(?:md5|sha1)\b", "const a = crypto.createHash(\"md5\");", "const a = crypto.createHash(\"sha256\");", on="text", tests=False),

@@ -54,6 +54,23 @@ def loop_guard(events: DataFrame, trip: int = TRIP) -> DataFrame:
     )
 
 
+def approvals(events: DataFrame) -> DataFrame:
+    """``token, seq, approved`` of each write that asks: whether an approval of its token was pending, which it spends. Approving twice is approving
+    once. Spark commits state with output, so a restart spends no token twice. ``events``: token, seq, kind (approve or ask)."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending = bool(state.get[0]) if state.exists else False
+        out = []
+        for r in pd.concat(list(frames)).sort_values(["seq", "kind"]).itertuples():
+            if r.kind == "ask":
+                out.append((key[0], r.seq, pending))
+            pending = r.kind == "approve"
+        state.update((pending,))
+        yield pd.DataFrame(out, columns=["token", "seq", "approved"])
+
+    return events.groupBy("token").applyInPandasWithState(run, "token string, seq long, approved boolean", "pending boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 #: The issue workflow, transition by state.
 TRANSITIONS = {
     "Open": {"confirm": "Confirmed", "resolve": "Resolved"},
