@@ -1,8 +1,9 @@
 """Lexical scopes as relations: bindings, the nearest enclosing binding of every reference, free names and captures.
 
 A scope is a bracket: a block, a function's body (which its parameters belong to), the parentheses around an arrow function without a block, or the file.
-The brackets around a reference are numbered by distance, so the innermost binding is the least of a join, and a name is free in a function
-if its binding lies farther out than the function's body. Nothing walks a tree.
+Scopes nest, so the innermost of those that bind a name is found as brackets are matched: over the scopes that open and close and the references
+in between, in order, the running depth of a place tells which opened last and is still open. That is two windows a name, whatever the depth;
+nothing walks a tree or lists the scopes around a place. A name is free in a function if its binding opens before the function's body.
 
 For languages with braces (see ``token_structure``). Defined results: names that nothing binds have no scope; a name bound twice in a scope is bound
 by its first site; type positions, keys of object literals and members are no references.
@@ -12,38 +13,56 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.operators import token_structure as ts
 from quartzite.operators.shared import cut
 
-FAR = 1_000_000  # hops to the file's own scope
+END = 2**31 - 1  # where brackets that nothing closes end
 
 
 @dataclass(frozen=True)
 class Structure:
-    """Tokens with their places, brackets, functions, and the brackets around each bracket, the file's among them."""
+    """Tokens with their places, brackets, and functions."""
 
     placed: DataFrame
     brackets: DataFrame
     functions: DataFrame
-    around: DataFrame
 
 
 def structure(files: DataFrame) -> Structure:
     p = cut(ts.placed(ts.tokens(files)))
     b = cut(ts.brackets(p))
-    up = ts.chains(b)
-    up = up.unionByName(up.where(F.col("b") != ts.FILE).select("path", "b").distinct().select("path", "b", F.lit(ts.FILE).alias("above"), F.lit(FAR).alias("hops")))
-    top = p.select("path").distinct().select("path", F.lit(ts.FILE).alias("b"), F.lit(ts.FILE).alias("above"), F.lit(FAR).alias("hops"))
-    return Structure(p, b, cut(ts.functions(b)), cut(up.where(F.col("b") != ts.FILE).unionByName(top)))
+    return Structure(p, b, cut(ts.functions(b)))
+
+
+def innermost(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` (keys, pos, more) with ``span``, where the innermost of the nested ``spans`` (keys, open, close) around it opens, or null. A point at a
+    span's opening is within. Spans repeated count once."""
+    spans = spans.select(*keys, "open", "close").distinct()
+    ends = spans.select(*keys, F.explode(F.array(F.struct(F.col("open").alias("pos"), F.lit(0).alias("role")), F.struct(F.col("close").alias("pos"), F.lit(2).alias("role")))).alias("e"))
+    rest = [c for c in points.columns if c not in (*keys, "pos")]
+    rows = points.select(*keys, "pos", F.lit(1).alias("role"), F.struct(F.lit(0).alias("point"), *rest).alias("more"))
+    rows = rows.unionByName(ends.select(*keys, "e.pos", "e.role", F.lit(None).cast(rows.schema["more"].dataType).alias("more")))
+    order = Window.partitionBy(*keys).orderBy("pos", "role")
+    rows = rows.withColumn("depth", F.sum(1 - F.col("role")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    level = Window.partitionBy(*keys, "depth").orderBy("pos", "role")
+    rows = rows.withColumn("span", F.last(F.when(F.col("role") == 0, F.col("pos")), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("role = 1").select(*keys, "pos", *(F.col(f"more.{c}").alias(c) for c in rest), F.when(F.col("depth") > 0, F.col("span")).alias("span"))
+
+
+def _spans(s: Structure) -> DataFrame:
+    """``path, open, close`` of every bracket and of every file."""
+    b = s.brackets.select("path", F.col("b").alias("open"), F.coalesce("close", F.lit(END)).alias("close"))
+    return b.unionByName(s.placed.select("path").distinct().select("path", F.lit(ts.FILE).alias("open"), F.lit(END).alias("close")))
 
 
 def scope_of_function(s: Structure) -> DataFrame:
     """``path, b, owner``: the nearest function body around each bracket, itself included, or the file."""
-    bodies = s.functions.select("path", F.col("body").alias("above")).union(s.placed.select("path", F.lit(ts.FILE)).distinct()).distinct()
-    return s.around.join(bodies, ["path", "above"]).groupBy("path", "b").agg(F.min_by("above", "hops").alias("owner"))
+    bodies = s.functions.select("path", F.col("body").alias("open")).join(_spans(s), ["path", "open"])
+    every = _spans(s).select("path", F.col("open").alias("pos"), F.col("open").alias("b"))
+    return innermost(every, bodies, ["path"]).select("path", "b", F.coalesce("span", F.lit(ts.FILE)).alias("owner"))
 
 
 def bindings(s: Structure) -> DataFrame:
@@ -70,8 +89,10 @@ def bindings(s: Structure) -> DataFrame:
     arrows = s.brackets.where("shape = '(' and after = '=>' and after2 <> '{'").select("path", F.col("b").alias("enc"), F.col("enc").alias("scope"))
     heads_of = given.unionByName(arrows).withColumn("how", F.lit("parameter")).unionByName(caught)
     inside = opened.where("p1 in ('(', ',')").join(heads_of, ["path", "enc"]).select("path", F.col("b").alias("above"), "scope", "how")
-    leaves = p.where("own and n1 <> ':' and p1 in ('{', '[', ',', ':', '...')").select("path", F.col("enc").alias("b"), "i", "text", "line")
-    out = out.unionByName(site(leaves.join(s.around.drop("hops"), ["path", "b"]).join(after.unionByName(inside), ["path", "above"]), "scope", F.col("how")))
+    patterns = after.unionByName(inside).withColumnRenamed("above", "open").join(_spans(s), ["path", "open"])
+    leaves = p.where("own and n1 <> ':' and p1 in ('{', '[', ',', ':', '...')").select("path", F.col("i").alias("pos"), "i", "text", "line")
+    leaves = innermost(leaves, patterns, ["path"]).withColumnRenamed("span", "open").join(patterns, ["path", "open"])
+    out = out.unionByName(site(leaves, "scope", F.col("how")))
     params = p.where("own and p1 in ('(', ',', '...', 'public', 'private', 'protected', 'readonly')").join(heads_of, ["path", "enc"])
     out = out.unionByName(site(params, "scope", F.col("how")))
     # x => ... without parentheses: of the block that follows, else of the bracket around it
@@ -102,28 +123,31 @@ def references(s: Structure, bound: DataFrame) -> DataFrame:
     p = p.join(sites, ["path", "i"], "left_anti").join(heads, ["path", "i"], "left_anti")
     # what stands in a function's head belongs to its body
     inner = s.functions.select("path", F.col("params").alias("enc"), F.col("body").alias("inner"))
-    return p.join(inner, ["path", "enc"], "left").select("path", "i", "line", F.col("text").alias("name"), F.coalesce("inner", "enc").alias("b"))
+    p = p.join(inner, ["path", "enc"], "left")
+    return p.select("path", "i", "line", F.col("text").alias("name"), F.coalesce("inner", "enc").alias("b"), F.coalesce("inner", "i").alias("pos"))
 
 
 def resolved(s: Structure, bound: DataFrame | None = None) -> DataFrame:
-    """References with ``scope``, ``bound_line`` and ``hops`` of the innermost binding (null if there is none), and ``captured``: it belongs to another
-    function than the reference."""
+    """References with ``scope``, ``bound_line`` and ``how`` of the innermost binding (null if there is none), ``owner``, the function they stand in, and
+    ``captured``: the binding belongs to another function than the reference."""
     bound = cut(bindings(s)) if bound is None else bound
-    refs = cut(references(s, bound))
-    sites = bound.groupBy("path", F.col("scope").alias("above"), "name").agg(F.min_by(F.struct("i", "line", "how"), "i").alias("site"))
-    met = refs.join(s.around, ["path", "b"]).join(sites, ["path", "above", "name"])
-    best = met.groupBy("path", "i").agg(F.min_by(F.struct(F.col("above").alias("scope"), F.col("site.line").alias("bound_line"), F.col("site.how").alias("how"), "hops"), "hops").alias("x"))
-    owner = scope_of_function(s)
-    out = refs.join(best, ["path", "i"], "left").select("path", "i", "line", "name", "b", "x.scope", "x.bound_line", "x.how", "x.hops")
-    out = out.join(owner.withColumnRenamed("owner", "here"), ["path", "b"], "left").join(owner.select("path", F.col("b").alias("scope"), F.col("owner").alias("there")), ["path", "scope"], "left")
-    return out.withColumn("captured", F.col("here") != F.col("there")).drop("here", "there")
+    sites = cut(bound.groupBy("path", "scope", "name").agg(F.min_by(F.struct("i", "line", "how"), "i").alias("site")))
+    spans = sites.select("path", "name", F.col("scope").alias("open")).join(_spans(s), ["path", "open"])
+    met = innermost(references(s, bound), spans, ["path", "name"]).withColumnRenamed("span", "scope")
+    owner = cut(scope_of_function(s))
+    out = met.join(sites, ["path", "scope", "name"], "left").select("path", "i", "line", "name", "b", "scope", F.col("site.line").alias("bound_line"), F.col("site.how").alias("how"))
+    out = out.join(owner, ["path", "b"], "left").join(owner.select("path", F.col("b").alias("scope"), F.col("owner").alias("there")), ["path", "scope"], "left")
+    return out.withColumn("captured", F.col("owner") != F.col("there")).drop("there")
 
 
 def free_names(s: Structure, refs: DataFrame) -> DataFrame:
-    """``path, body, name``: names that a function reads, at any depth, but binds nowhere within. ``refs``: from ``resolved``."""
-    bodies = s.functions.select("path", F.col("body").alias("above")).distinct()
-    inside = refs.select("path", "b", "name", F.coalesce("hops", F.lit(FAR + 1)).alias("out")).join(s.around, ["path", "b"]).join(bodies, ["path", "above"])
-    return inside.where("out > hops").select("path", F.col("above").alias("body"), "name").distinct()
+    """``path, body, name``: names that a function reads, at any depth, but binds nowhere within. ``refs``: from ``resolved``. A function's least
+    binding of a name counts for it and for all functions around it that it opens before."""
+    least = refs.where(F.col("owner") != ts.FILE).groupBy("path", "owner", "name").agg(F.min(F.coalesce("scope", F.lit(ts.FILE - 1))).alias("scope"))
+    above = scope_of_function(s).join(s.brackets.select("path", F.col("b"), "enc"), ["path", "b"])
+    outer = above.where("b = owner").select("path", "b", "enc").join(scope_of_function(s).select("path", F.col("b").alias("enc"), F.col("owner").alias("up")), ["path", "enc"])
+    chain = ts.chains(outer.select("path", "b", F.col("up").alias("enc"))).select("path", F.col("b").alias("owner"), F.col("above").alias("body"))
+    return least.join(chain, ["path", "owner"]).where("scope < body and body <> -1").select("path", "body", "name").distinct()
 
 
 def own_bindings(s: Structure, bound: DataFrame) -> DataFrame:
