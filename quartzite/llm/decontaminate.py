@@ -119,13 +119,18 @@ def verified_windows(docs: DataFrame, benchmark: DataFrame, text: str, item: str
     both = parts.unionByName(sets.select(F.lit(1).alias("side"), F.col("iid").alias("id"), "n", "h"))
     weighed = both.join(small(weights), "h", "left").select("side", "id", "n", "h", F.coalesce("w", F.lit(unmet).cast("long")).alias("w"))
     printed = materialize(fingerprints(materialize(weighed, "weighed"), "side", "id", "n"), "prints")
-    a = printed.where("side = 0").select("id", F.col("fp").alias("fa"), F.col("total").alias("ta"), F.col("ws").alias("wa"), F.transform("ws", lambda x: x["h"]).alias("ha"))
-    b = printed.where("side = 1").select(F.col("id").alias("iid"), F.col("fp").alias("fb"), F.col("total").alias("tb"), F.col("ws").alias("wb"), F.transform("ws", lambda x: x["h"]).alias("hb"))
+    a = printed.where("side = 0").select("id", F.col("fp").alias("fa"), F.col("total").alias("ta"), F.col("ws").alias("wa"))
+    b = printed.where("side = 1").select(F.col("id").alias("iid"), F.col("fp").alias("fb"), F.col("total").alias("tb"), F.col("ws").alias("wb"))
     # what two sets share weighs at most as much as their shingles can: most pairs end here, by hashes alone
+    hashes = F.transform("ws", lambda x: x["h"])
+    left = printed.where("side = 0").select("id", F.col("total").alias("ta"), hashes.alias("ha"))
+    right = printed.where("side = 1").select(F.col("id").alias("iid"), F.col("total").alias("tb"), hashes.alias("hb"))
+    right = F.broadcast(right) if sets.count() <= INDEX_ROWS else right
     may = F.size(F.array_intersect("ha", "hb")) * F.lit(unmet).cast("long") >= similarity / (1 + similarity) * (F.col("ta") + F.col("tb")) - 1
+    near = item_pairs(printed, radius).withColumnRenamed("item", "iid").join(left, "id").join(right, "iid").where(may).select("id", "iid")
     common = F.aggregate(F.array_intersect("wa", "wb"), F.lit(0).cast("long"), lambda s, x: s + x["w"])
     verified = (
-        item_pairs(printed, radius).withColumnRenamed("item", "iid").join(a, "id").join(b, "iid").where(may)
+        materialize(near, "near").join(a, "id").join(b, "iid")
         .withColumn("similarity", common / (F.col("ta") + F.col("tb") - common))
         .where(F.col("similarity") >= similarity - 1e-9)
         .select("id", "iid", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"), "similarity")
