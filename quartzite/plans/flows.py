@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartzite.operators import dataflow, findings, incremental, interproc, judge, scopes
+from quartzite.operators import dataflow, findings, incremental, interproc, judge, registered_flows, scopes
 from quartzite.operators.shared import cut, folder
-from quartzite.plans.bindings import FOUND_SQL, RULES, table
+from quartzite.plans.bindings import FOUND_SQL, RULES, function_lines, table
 from quartzite.plans.catalog import query
 
 
@@ -204,3 +204,17 @@ def judged_writes(spark, d):
     before = found.where("event_type = 'purchase' and enforcement = 'Deny' and value < 50")
     new = judge.new_violations(found.select("write", "rule_id", "message", "enforcement"), before)
     return judge.verdicts(e.where("event_type <> 'signup'"), new, e.where("event_type = 'signup'"))
+
+
+@query("""WITH step AS (SELECT o_custkey AS flow, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS step, o_orderkey AS path, o_orderstatus FROM orders),
+ran AS (SELECT l_orderkey AS path, max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS any_hit FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey),
+bad AS (SELECT flow, step, path, CASE WHEN o_orderstatus = 'P' THEN 'missing' ELSE 'found' END AS status FROM step LEFT JOIN ran USING (path) WHERE o_orderstatus = 'P' OR any_hit = 0)
+SELECT flow, min(step) AS step, arg_min(path, step) AS path, 'main' AS function, arg_min(status, step) AS status FROM bad GROUP BY flow""")
+def registered_flow_gaps(spark, d):
+    """Each customer's orders as the steps of a flow; pending orders have lost their function; the first two lines of an order are its span."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, d, "orders")
+    steps = o.select(F.col("o_custkey").alias("flow"), F.row_number().over(order).cast("long").alias("step"), F.col("o_orderkey").alias("path"), F.lit("main").alias("function"))
+    index = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("path"), F.lit("main").alias("function"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+    covered = function_lines(spark, d).select(F.col("fn").alias("path"), "line", "hits")
+    return registered_flows.first_gaps(registered_flows.evaluated(steps, index, covered))
