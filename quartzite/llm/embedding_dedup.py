@@ -430,3 +430,13 @@ def report(embeddings: DataFrame) -> DataFrame:
     """The result of query op11."""
     d = near_duplicates(embeddings)
     return d.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+#: All pairs of a label, and what links reach; for ids that occur once.
+ORACLE_SQL = f"""
+WITH RECURSIVE able AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= {COSINE}),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT r.a AS vec_id, coalesce(any_value(n), 0) AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = r.a GROUP BY r.a
+"""

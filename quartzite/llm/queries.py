@@ -24,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_prefix_trie": lambda spark, d: prefix_trie.report(table(spark, d, "conversations")),
     "op13_hard_negatives": lambda spark, d: hard_negatives.report(table(spark, d, "embeddings")),
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op7_license_scan": license_scan.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op7_license_scan": license_scan.ORACLE_SQL, "op11_embedding_dedup": embedding_dedup.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
