@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.operators.shared import cut
@@ -66,38 +66,75 @@ def duplicated_lines(regions: DataFrame) -> DataFrame:
 
 
 def without_overlaps(regions: DataFrame, key: str = "set_id") -> DataFrame:
-    """Of each set, in order of file, start and end, the regions that overlap none kept before."""
+    """Of each set and file, in order of start and end, the regions that overlap none kept before. A group is one file's part of a set."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["path", "start_line", "end_line"])
-        kept, path, end = [], None, 0
-        for r in pdf.itertuples():
-            if r.path != path or r.start_line > end:
+        kept, end = [], None
+        for r in pdf.sort_values(["start_line", "end_line"]).itertuples():
+            if end is None or r.start_line > end:
                 kept.append(r.Index)
-                path, end = r.path, r.end_line
+                end = r.end_line
         return pdf.loc[kept]
 
-    return regions.groupBy(key).applyInPandas(keep, regions.schema)
-
-
-def matched_regions(found: DataFrame, hot: int = 64) -> DataFrame:
-    """``key, path, start_line, end_line``: the regions that runs of equal blocks cover, by their content. Pairs of places are made for
-    blocks of at most ``hot`` places; along each diagonal (two files and their distance) that those give, all equal blocks count, so a
-    frequent block within a longer copy is no gap. A run of nothing but blocks at over ``hot`` places is not looked for."""
-    cold = shared(found).where(F.col("occurrences") <= hot)
-    side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in ("path", "idx")), "h1", "h2")
-    pairs = side(cold, "a").join(side(cold, "b"), ["h1", "h2"]).where("path_a < path_b or path_a = path_b and idx_a < idx_b")
-    lines = cut(pairs.select("path_a", "path_b", (F.col("idx_b") - F.col("idx_a")).alias("delta")).distinct())
-    a = found.select(F.col("path").alias("path_a"), F.col("idx").alias("idx_a"), F.col("first").alias("first_a"), F.col("last").alias("last_a"), "h1", "h2")
-    b = found.select(F.col("path").alias("path_b"), F.col("idx").alias("idx_b"), F.col("first").alias("first_b"), F.col("last").alias("last_b"), "h1", "h2")
-    along = lines.join(a, "path_a").withColumn("idx_b", F.col("idx_a") + F.col("delta")).join(b, ["path_b", "idx_b", "h1", "h2"])
-    w = Window.partitionBy("path_a", "path_b", "delta").orderBy("idx_b")
-    runs_ = along.withColumn("island", F.col("idx_b") - F.row_number().over(w)).groupBy("path_a", "path_b", "delta", "island").agg(
-        F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("idx_b", "h1"))), lambda x: x["h1"])).alias("key"),
-        *(f(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for s in "ab" for c, f in (("first", F.min), ("last", F.max))),
-    )
-    both = F.explode(F.array(*(F.struct(F.col(f"path_{s}").alias("path"), F.col(f"first_{s}").alias("start_line"), F.col(f"last_{s}").alias("end_line")) for s in "ab"))).alias("r")
-    return runs_.select("key", both).select("key", "r.*").distinct()
+    return regions.groupBy(key, "path").applyInPandas(keep, regions.schema)
+
+
+def _mix(*parts: Column) -> Column:
+    """128 bits of hash."""
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+def _branchings(places: DataFrame, levels: int) -> DataFrame:
+    """``path, idx, size, cls, n``: for each place the lengths at which the runs of blocks that begin there alike part (or one of them ends), with the
+    class of equal runs of that length and how many there are.
+
+    How many places share a run of some length falls as the length grows; the lengths where it falls are searched by halving intervals for all
+    places at once. An interval whose ends have equal counts is dropped, for all places of its class alike. So rounds are the logarithm of the
+    longest run, and a class is a counted hash however many places it has: no pair is made.
+    """
+    now = places.select("path", "idx", F.lit(0).cast("long").alias("size"), _mix(F.lit(0)).alias("cls"), F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("beyond"))
+    for level in reversed(range(levels)):
+        ahead = places.select("path", F.col("idx").alias("at"), F.col(f"g{level}").alias("g"))
+        met = now.withColumn("at", F.col("idx") + F.col("size")).join(ahead, ["path", "at"], "left").drop("at")
+        met = cut(met.withColumn("longer", F.when(F.col("g").isNotNull(), _mix("cls", "g", F.lit(level)))).drop("g"))
+        # the counts are a table of their own, so that a hot class may be split when they are joined
+        often = cut(met.where("longer is not null").groupBy("longer").agg(F.count("*").alias("m")).where("m > 1"))
+        met = met.join(often, "longer", "left").withColumn("m", F.when(F.col("longer").isNull(), 0).otherwise(F.coalesce("m", F.lit(1))))
+        halves = F.array(
+            F.struct("size", "cls", "n", F.col("m").alias("beyond")),
+            F.struct((F.col("size") + (1 << level)).alias("size"), F.col("longer").alias("cls"), F.col("m").alias("n"), "beyond"),
+        )
+        now = met.select("path", "idx", F.explode(halves).alias("h")).select("path", "idx", "h.*").where("cls is not null and (n is null or n > 1 and n > beyond)")
+    return now.where("size > 0").drop("beyond")
+
+
+def matched_regions(found: DataFrame) -> DataFrame:
+    """``key, path, start_line, end_line``: the regions that two places have in common and that can't be extended at either end in both, by their content.
+
+    A place counts if another one of the same run has a different block (or none) before it and after it, which three counts of the run's neighbours
+    tell. Runs of blocks at any number of places are found; no blocks, no rows.
+    """
+    w = Window.partitionBy("path").orderBy("idx")
+    s = Window.partitionBy("path", "island").orderBy("idx")
+    own = shared(found).withColumn("island", F.col("idx") - F.row_number().over(w)).withColumn("g0", _mix("h1", "h2"))
+    longest = own.groupBy("path", "island").count().agg(F.max("count")).first()[0] or 0
+    levels = longest.bit_length()
+    for k in range(1, levels):
+        far = F.lead(f"g{k - 1}", 1 << (k - 1)).over(s)
+        own = own.withColumn(f"g{k}", F.when(far.isNotNull(), _mix(f"g{k - 1}", far)))
+    places = cut(own.withColumn("before", F.lag("g0").over(s)).withColumn("after", F.lead("g0").over(s)).drop("h1", "h2", "occurrences", "island"))
+    r = _branchings(places, levels).join(places.select("path", "idx", "before", F.col("first").alias("start_line")), ["path", "idx"])
+    ends = places.select("path", F.col("idx").alias("to"), "after", F.col("last").alias("end_line"))
+    r = cut(r.withColumn("to", F.col("idx") + F.col("size") - 1).join(ends, ["path", "to"]).select("cls", "n", "path", "start_line", "end_line", "before", "after"))
+    kinds = cut(r.groupBy("cls", "n", "before", "after").agg(F.count("*").alias("both")))
+    alike = lambda side: kinds.where(F.col(side).isNotNull()).groupBy("cls", side).agg(F.sum("both").alias(f"same_{side}"))
+    kinds = kinds.join(alike("before"), ["cls", "before"], "left").join(alike("after"), ["cls", "after"], "left")
+    open_ = F.col("before").isNull() | F.col("after").isNull()
+    itself = (F.col("before").isNull() & F.col("after").isNull()).cast("long")
+    others = F.col("n") - F.coalesce("same_before", F.lit(0)) - F.coalesce("same_after", F.lit(0)) + F.when(open_, 0).otherwise(F.col("both")) - itself
+    good = cut(kinds.where(others > 0).select("cls", "before", "after"))
+    same = (r["cls"] == good["cls"]) & r["before"].eqNullSafe(good["before"]) & r["after"].eqNullSafe(good["after"])
+    return r.join(good, same, "left_semi").select(F.xxhash64("cls").alias("key"), "path", "start_line", "end_line")
 
 
 def clone_sets(stmts: DataFrame, declarations: DataFrame | None = None, block: int = 5, min_lines: int = 10, max_places: int | None = 8, max_declarations: int = 1, max_literals: float | None = 0.25) -> DataFrame:

@@ -177,8 +177,8 @@ def profile_copy(spark, d):
 
 # --- clone regions ----------------------------------------------------------------------------------------------------------------------
 
-REGIONS_SQL = CPD_SQL + """, cold AS (SELECT path, idx, txt FROM shared WHERE occurrences <= 64),
-diagonal AS (SELECT DISTINCT a.path AS pa, b.path AS pb, b.idx - a.idx AS delta FROM cold a JOIN cold b USING (txt) WHERE a.path < b.path OR a.path = b.path AND a.idx < b.idx),
+REGIONS_SQL = CPD_SQL + """, place AS (SELECT path, idx, txt FROM shared),
+diagonal AS (SELECT DISTINCT a.path AS pa, b.path AS pb, b.idx - a.idx AS delta FROM place a JOIN place b USING (txt) WHERE a.path < b.path OR a.path = b.path AND a.idx < b.idx),
 full_block AS (SELECT * FROM block WHERE n = 5),
 along AS (SELECT pa, pb, delta, b.idx, a.first AS fa, a.last AS la, b.first AS fb, b.last AS lb, a.txt FROM diagonal JOIN full_block a ON a.path = pa JOIN full_block b ON b.path = pb AND b.idx = a.idx + delta AND a.txt = b.txt),
 matched AS (SELECT pa, pb, min(fa) AS fa, max(la) AS la, min(fb) AS fb, max(lb) AS lb, string_agg(txt, chr(1) ORDER BY idx) AS content FROM
