@@ -16,11 +16,13 @@ def token_statements(files: DataFrame, path: str = "path", content: str = "conte
     ``rename``) by placeholders; a token stands on the line where it begins. Lines without tokens are left out."""
     parts = files.select(F.col(path).alias("path"), F.explode(F.array(F.regexp_extract_all(F.col(content), F.lit(_TOKEN), F.lit(0)))).alias("parts"))
     breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    ends = lambda t: F.regexp_replace(t, "[^\n]+", "")
     kind = lambda t: (
-        F.when(t.rlike("^(//|/\\*)"), F.regexp_replace(t, "[^\n]+", "")).when(t == "\n", t).when(t.rlike("^[\"'].*[\"']$"), F.lit("STR")).when(t.rlike("^\\d"), F.lit("NUM"))
+        F.when(t.rlike("^(//|/\\*)"), ends(t)).when(t == "\n", t).when(t.rlike("^[\"']") & (F.length(t) > 1), F.concat(F.lit("STR"), ends(t))).when(t.rlike("^\\d"), F.lit("NUM"))
         .when(F.lit(rename) & t.rlike("^[\\p{L}_$]"), F.lit("ID")).otherwise(t)
     )
-    lines = F.split(F.array_join(F.transform("parts", lambda t: F.when(breaks(kind(t)) > 0, kind(t)).otherwise(F.concat(kind(t), F.lit(" ")))), ""), "\n")
+    spaced = lambda t: F.when((breaks(t) > 0) | (t == ""), t).otherwise(F.concat(t, F.lit(" ")))
+    lines = F.split(F.array_join(F.transform(F.transform("parts", kind), spaced), ""), "\n")
     out = parts.select("path", F.posexplode(lines).alias("pos", "text")).select("path", (F.col("pos") + 1).cast("long").alias("line"), F.rtrim("text").alias("stmt")).where("stmt <> ''")
     words = F.split("stmt", " ")
     return out.withColumn("tokens", F.size(words)).withColumn("literals", F.size(F.filter(words, lambda w: w.isin("STR", "NUM"))))

@@ -194,7 +194,23 @@ def clone_regions(spark, d):
     return r.select(F.col("path").alias("doc_id"), "start_line", "end_line", F.count("*").over(Window.partitionBy("key")).alias("places"))
 
 
-@query()
+_TOKEN_SQL = r'''(?s)//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|\d[\w.]*|[\p{L}_$][\p{L}\p{N}_$]*|\n|[^\s\x0B]'''
+_KIND_SQL = r"""CASE WHEN x LIKE '//%' OR x LIKE '/*%' THEN regexp_replace(x, '[^\n]+', '', 'g') WHEN x = chr(10) THEN x
+  WHEN length(x) > 1 AND x[1] IN ('"', '''') THEN 'STR' || regexp_replace(x, '[^\n]+', '', 'g') WHEN regexp_matches(x, '^\d') THEN 'NUM' ELSE x END"""
+REPORT_SQL = f"""WITH RECURSIVE token AS (SELECT doc_id AS path, list_transform(regexp_extract_all(text, '{_TOKEN_SQL}'), lambda x: {_KIND_SQL}) AS kinds FROM documents),
+texts AS (SELECT path, string_split(array_to_string(list_transform(kinds, lambda k: CASE WHEN k = '' OR contains(k, chr(10)) THEN k ELSE k || ' ' END), ''), chr(10)) AS l FROM token),
+stmt AS (SELECT path, line, stmt, len(string_split(stmt, ' ')) AS tokens, len(list_filter(string_split(stmt, ' '), lambda v: v IN ('STR', 'NUM'))) AS literals
+  FROM (SELECT path, unnest(range(1, len(l) + 1)) AS line, rtrim(unnest(l), ' ') AS stmt FROM texts) WHERE stmt <> ''),
+{REGIONS_SQL[REGIONS_SQL.index("ends AS"):]}, region AS (SELECT content, pa AS path, fa AS a, la AS b FROM matched UNION SELECT content, pb, fb, lb FROM matched),
+follow AS (SELECT r.content, r.path, r.a, r.b, min({{'a': n.a, 'b': n.b}}) AS nx FROM region r JOIN region n ON n.content = r.content AND n.path = r.path AND n.a > r.b GROUP BY r.content, r.path, r.a, r.b),
+start AS (SELECT content, path, min({{'a': a, 'b': b}}) AS f FROM region GROUP BY content, path),
+keep AS (SELECT content, path, f.a AS a, f.b AS b FROM start UNION ALL SELECT k.content, k.path, w.nx.a, w.nx.b FROM keep k JOIN follow w ON w.content = k.content AND w.path = k.path AND w.a = k.a AND w.b = k.b),
+size AS (SELECT content, count(*) AS places, max(b - a + 1) AS lines, min({{'path': path, 'a': a, 'b': b}}) AS lead FROM keep GROUP BY content),
+plain AS (SELECT content, places, lines FROM size s JOIN stmt t ON t.path = s.lead.path AND t.line BETWEEN s.lead.a AND s.lead.b WHERE places BETWEEN 2 AND 8 AND lines >= 10
+  GROUP BY ALL HAVING sum(literals) <= 0.25 * sum(tokens))"""
+
+
+@query(f"{REPORT_SQL} SELECT path AS doc_id, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line, CAST(lines AS BIGINT) AS lines, places FROM keep JOIN plain USING (content)")
 def clone_report(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     return clones.clone_sets(clones.token_statements(docs)).select(F.col("path").alias("doc_id"), "start_line", "end_line", "lines", "places")

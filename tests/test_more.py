@@ -87,6 +87,8 @@ def test_token_statements(spark):
     rows = [(r.line, r.stmt, r.tokens, r.literals) for r in clones.token_statements(df).collect()]
     assert rows == [(1, "a = STR + NUM ;", 6, 2), (3, "d ( STR )", 4, 1), (5, "name = STR + other", 5, 1)]
     assert [r.stmt for r in clones.token_statements(df, rename=True).collect()][2] == "ID = STR + ID"
+    df = spark.createDataFrame([("p", '/* a */ b /* c */ = "d\\\ne"\nf')], "path string, content string")
+    assert [(r.line, r.stmt) for r in clones.token_statements(df).collect()] == [(1, "b = STR"), (3, "f")]
 
 
 def test_clones_of_declarations_and_tables_are_left_out(spark):
