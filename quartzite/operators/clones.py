@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzite.operators.shared import cut
+from quartzite.operators.shared import stored
 
 _TOKEN = r"""(?s)//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|\d[\w.]*+|[\p{L}_$][\p{L}\p{N}_$]*+|\n|[^\s]"""
 
@@ -98,9 +98,9 @@ def _branchings(places: DataFrame, levels: int) -> DataFrame:
     for level in reversed(range(levels)):
         ahead = places.select("path", F.col("idx").alias("at"), F.col(f"g{level}").alias("g"))
         met = now.withColumn("at", F.col("idx") + F.col("size")).join(ahead, ["path", "at"], "left").drop("at")
-        met = cut(met.withColumn("longer", F.when(F.col("g").isNotNull(), _mix("cls", "g", F.lit(level)))).drop("g"))
+        met = stored(met.withColumn("longer", F.when(F.col("g").isNotNull(), _mix("cls", "g", F.lit(level)))).drop("g"))
         # the counts are a table of their own, so that a hot class may be split when they are joined
-        often = cut(met.where("longer is not null").groupBy("longer").agg(F.count("*").alias("m")).where("m > 1"))
+        often = stored(met.where("longer is not null").groupBy("longer").agg(F.count("*").alias("m")).where("m > 1"))
         met = met.join(often, "longer", "left").withColumn("m", F.when(F.col("longer").isNull(), 0).otherwise(F.coalesce("m", F.lit(1))))
         halves = F.array(
             F.struct("size", "cls", "n", F.col("m").alias("beyond")),
@@ -118,23 +118,23 @@ def matched_regions(found: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("path").orderBy("idx")
     s = Window.partitionBy("path", "island").orderBy("idx")
-    own = shared(found).withColumn("island", F.col("idx") - F.row_number().over(w)).withColumn("g0", _mix("h1", "h2"))
+    own = stored(shared(stored(found))).withColumn("island", F.col("idx") - F.row_number().over(w)).withColumn("g0", _mix("h1", "h2"))
     longest = own.groupBy("path", "island").count().agg(F.max("count")).first()[0] or 0
     levels = longest.bit_length()
     for k in range(1, levels):
         far = F.lead(f"g{k - 1}", 1 << (k - 1)).over(s)
         own = own.withColumn(f"g{k}", F.when(far.isNotNull(), _mix(f"g{k - 1}", far)))
-    places = cut(own.withColumn("before", F.lag("g0").over(s)).withColumn("after", F.lead("g0").over(s)).drop("h1", "h2", "occurrences", "island"))
+    places = stored(own.withColumn("before", F.lag("g0").over(s)).withColumn("after", F.lead("g0").over(s)).drop("h1", "h2", "occurrences", "island"))
     r = _branchings(places, levels).join(places.select("path", "idx", "before", F.col("first").alias("start_line")), ["path", "idx"])
     ends = places.select("path", F.col("idx").alias("to"), "after", F.col("last").alias("end_line"))
-    r = cut(r.withColumn("to", F.col("idx") + F.col("size") - 1).join(ends, ["path", "to"]).select("cls", "n", "path", "start_line", "end_line", "before", "after"))
-    kinds = cut(r.groupBy("cls", "n", "before", "after").agg(F.count("*").alias("both")))
+    r = stored(r.withColumn("to", F.col("idx") + F.col("size") - 1).join(ends, ["path", "to"]).select("cls", "n", "path", "start_line", "end_line", "before", "after"))
+    kinds = stored(r.groupBy("cls", "n", "before", "after").agg(F.count("*").alias("both")))
     alike = lambda side: kinds.where(F.col(side).isNotNull()).groupBy("cls", side).agg(F.sum("both").alias(f"same_{side}"))
     kinds = kinds.join(alike("before"), ["cls", "before"], "left").join(alike("after"), ["cls", "after"], "left")
     open_ = F.col("before").isNull() | F.col("after").isNull()
     itself = (F.col("before").isNull() & F.col("after").isNull()).cast("long")
     others = F.col("n") - F.coalesce("same_before", F.lit(0)) - F.coalesce("same_after", F.lit(0)) + F.when(open_, 0).otherwise(F.col("both")) - itself
-    good = cut(kinds.where(others > 0).select("cls", "before", "after"))
+    good = stored(kinds.where(others > 0).select("cls", "before", "after"))
     same = (r["cls"] == good["cls"]) & r["before"].eqNullSafe(good["before"]) & r["after"].eqNullSafe(good["after"])
     return r.join(good, same, "left_semi").select(F.xxhash64("cls").alias("key"), "path", "start_line", "end_line")
 
@@ -143,12 +143,13 @@ def clone_sets(stmts: DataFrame, declarations: DataFrame | None = None, block: i
     """``key, path, start_line, end_line, lines, places`` of reported clone sets: two places or more that don't overlap, long enough, not at
     too many places (that's an interface, not a copy), spanning few declarations, and not mostly literals in their first place. The widest first.
     ``stmts``: path, line, stmt and, for the last test, tokens and literals; ``declarations``: path, line."""
+    stmts = stored(stmts)  # they come from cutting texts into tokens, which is done once
     regions = matched_regions(blocks(collapse(stmts.select("path", "line", "stmt")), block))
     if declarations is not None:
         d = declarations.select("path", "line").distinct()
         spans = regions.join(d, "path", "left").groupBy("key", "path", "start_line", "end_line").agg(F.count_if(F.col("line").between(F.col("start_line"), F.col("end_line"))).alias("n"))
         regions = spans.where(F.col("n") <= max_declarations).drop("n")
-    kept = cut(without_overlaps(regions, "key"))
+    kept = stored(without_overlaps(regions, "key"))
     size = kept.groupBy("key").agg(F.count("*").alias("places"), F.max(F.col("end_line") - F.col("start_line") + 1).alias("lines"), F.min(F.struct("path", "start_line", "end_line")).alias("lead"))
     size = size.where((F.col("places") >= 2) & (F.col("lines") >= min_lines))
     if max_places is not None:
