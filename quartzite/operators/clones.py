@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +68,12 @@ def duplicated_lines(regions: DataFrame) -> DataFrame:
 
 def without_overlaps(regions: DataFrame, key: str = "set_id") -> DataFrame:
     """Of each set and file, in order of start and end, the regions that overlap none kept before. A group is one file's part of a set."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, end = [], None
-        for r in pdf.sort_values(["start_line", "end_line"]).itertuples():
-            if end is None or r.start_line > end:
-                kept.append(r.Index)
-                end = r.end_line
-        return pdf.loc[kept]
-
-    return regions.groupBy(key, "path").applyInPandas(keep, regions.schema)
+    rest = ["start_line", "end_line", *(c for c in regions.columns if c not in (key, "path", "start_line", "end_line"))]
+    row = F.struct(*rest)
+    apart = lambda kept, r: F.when(F.coalesce(r["start_line"] > F.element_at(kept, -1)["end_line"], F.lit(True)), F.concat(kept, F.array(r))).otherwise(kept)
+    grouped = regions.groupBy(key, "path").agg(F.array_sort(F.collect_list(row)).alias("regions"))
+    kept = F.aggregate(F.slice("regions", 2, F.size("regions")), F.slice("regions", 1, 1), apart)
+    return grouped.select(key, "path", F.explode(kept).alias("r")).select(key, "path", "r.*").select(*regions.columns)
 
 
 def _mix(*parts: Column) -> Column:
