@@ -57,19 +57,32 @@ def points_to(constraints: DataFrame) -> DataFrame:
 
 
 def equivalence(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``node, root``: unification classes, named by their least member. A node takes the least root beside it, then its root's root."""
-    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
+    """``node, root``: unification classes, named by their least member. Each round a node goes over to that of itself and its neighbours which has the
+    least random rank; pairs within what it went over to are done, and the others, about half, go on between those. So all relations together
+    are a few times the pairs, however long the chains; ranks are new each round."""
+    ends = cut(pairs.select("a", "b").where("a is not null and b is not null"))
+    left = cut(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moves: list[DataFrame] = []
     for turn in count(1):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("r"))
-        step = cut(label.join(near, "node").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")))
-        above = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = cut(step.join(above, "root").select("node", F.least("root", "top").alias("root"), (F.col("moved") | (F.col("top") < F.col("root"))).alias("moved")))
-        label = after.select("node", "root")
-        if not after.where("moved").limit(1).count():
-            return label
-        if turn == rounds:
+        if not left.limit(1).count():
+            break
+        if rounds is not None and turn > rounds:
             raise RuntimeError("the classes did not settle")
+        rank = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: B023, E731
+        beside = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
+        near = beside.groupBy(F.col("a").alias("node")).agg(F.min_by("b", rank("b")).alias("near"))
+        move = cut(near.select("node", F.when(rank("near") < rank("node"), F.col("near")).otherwise(F.col("node")).alias("to")))
+        moves.append(move)
+        over = left.join(move.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(move.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        left = cut(over.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    alone = ends.where("a = b").select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    if not moves:
+        return alone
+    group = moves[-1].withColumnRenamed("to", "top")
+    for move in reversed(moves[:-1]):  # from the last round back: where each went that others had gone over to
+        group = cut(move.join(group.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("top", "to").alias("top")))
+    least = group.groupBy("top").agg(F.min("node").alias("root"))
+    return group.join(least, "top").select("node", "root").unionByName(alone.join(group, "node", "left_anti"))
 
 
 def datalog(facts: DataFrame, rules: list[tuple[str, str]], rounds: int | None = None) -> DataFrame:

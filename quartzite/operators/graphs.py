@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
+from quartzite.operators.fixpoints import equivalence
 from quartzite.operators.shared import cut
 
 
@@ -123,19 +124,33 @@ def components_of(edges: list[tuple]) -> dict:
     return group
 
 
-def _settled_here(edges: DataFrame) -> DataFrame:
-    """``node, scc`` of a graph of at most LOCAL_EDGES edges, in one task."""
+def _settle(pieces: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    group = components_of([pair for b in pieces for pair in zip(b["src"].tolist(), b["dst"].tolist(), strict=True)])
+    members: dict = {}
+    for node, g in group.items():
+        members.setdefault(g, []).append(node)
+    return pd.DataFrame([(node, least) for m in members.values() if len(m) > 1 for least in (min(m),) for node in m], columns=["node", "scc"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group = components_of([pair for b in batches for pair in zip(b["src"].tolist(), b["dst"].tolist(), strict=True)])
-        members: dict = {}
-        for node, g in group.items():
-            members.setdefault(g, []).append(node)
-        rows = [(node, min(m)) for m in members.values() if len(m) > 1 for node in m]
-        yield pd.DataFrame(rows, columns=["node", "scc"])
 
+def _settled_here(edges: DataFrame) -> DataFrame:
+    """``node, scc`` of a graph of at most LOCAL_EDGES edges, in one task."""
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.select("src", "dst").coalesce(1).mapInPandas(lambda batches: iter([_settle(batches)]), f"node {kind}, scc {kind}")
+
+
+def _settled_apart(edges: DataFrame, local_edges: int) -> tuple[DataFrame, DataFrame]:
+    """``node, scc`` of the pieces, connected either way, that have at most ``local_edges`` edges, many pieces a task; and the edges of the others."""
+    piece = equivalence(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    placed = cut(edges.join(piece.withColumnRenamed("node", "src"), "src").select("src", "dst", "root"))
+    large = cut(placed.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > local_edges).select("root"))
+    if large.limit(1).count():
+        few, rest = cut(placed.join(large, "root", "left_anti")), cut(placed.join(large, "root", "left_semi").select("src", "dst"))
+    else:
+        few, rest = placed, edges.limit(0)
+    bins = 4 * few.count() // local_edges + 1  # of a quarter of what a task settles, and one whole piece at most
     kind = edges.schema["src"].dataType.simpleString()
-    return edges.select("src", "dst").coalesce(1).mapInPandas(run, f"node {kind}, scc {kind}")
+    dealt = few.select("src", "dst", F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"))
+    return dealt.groupBy("bin").applyInPandas(lambda pdf: _settle(iter([pdf])), f"node {kind}, scc {kind}"), rest
 
 
 def _least_above(edges: DataFrame) -> DataFrame:
@@ -154,8 +169,8 @@ def _least_above(edges: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame, max_depth: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``node, scc`` of nodes on a cycle; scc is the least member. Whole strongly connected components, or with ``max_depth`` mutual
-    reachability within so many hops. While more than ``local_edges`` are left, nodes are coloured by the node of least random rank that reaches
-    them; those that reach it in turn are its component and go, and edges between colours with them. Ranks are new each round, so long chains
+    reachability within so many hops. Pieces of at most ``local_edges`` edges that nothing links are settled side by side. In larger ones nodes are
+    coloured by the node of least random rank that reaches them; those that reach it in turn are its component and go, and edges between colours with them. Ranks are new each round, so long chains
     of components part into many pieces at once. All relations grow with the edges only."""
     if max_depth is not None:
         far = reach(edges, edges.select(F.col("src").alias("node")).distinct(), max_depth)
@@ -167,6 +182,10 @@ def cycles(edges: DataFrame, max_depth: int | None = None, local_edges: int = LO
     for turn in count(1):
         if left.limit(local_edges + 1).count() <= local_edges:
             return found.unionByName(_settled_here(left))
+        settled, left = _settled_apart(left, local_edges)
+        found = cut(found.unionByName(settled))
+        if not left.limit(1).count():
+            return found
         left = _trimmed(left)
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("rank"), F.col(c).alias("node")).alias(c)  # noqa: B023, E731
         ranked = cut(left.select(rank("src"), rank("dst")))

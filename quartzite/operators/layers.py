@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,17 +61,32 @@ def cycle_paths(edges: DataFrame, members: DataFrame) -> DataFrame:
     """``scc, path``: a walk through each component from its least member, always to the first neighbour in order that closes it or is new."""
     inner = edges.join(members.select(F.col("node").alias("src"), "scc"), "src").join(members.select(F.col("node").alias("dst"), F.col("scc").alias("to")), "dst").where("scc = to").select("scc", "src", "dst").distinct()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ways = pdf.sort_values(["src", "dst"]).groupby("src")["dst"].apply(list).to_dict()
+    def walk(ways: dict) -> str:
         start = at = min(ways)
-        path = [start]
+        path, seen = [start], {start}
         while at is not None:
-            at = next((x for x in ways.get(at, ()) if x == start or x not in path), None)
+            at = next((x for x in ways.get(at, ()) if x == start or x not in seen), None)
             if at is not None:
                 path.append(at)
+                seen.add(at)
             if at == start:
                 break
-        return pd.DataFrame({"scc": [pdf["scc"].iloc[0]], "path": [" -> ".join(map(str, path))]})
+        return " -> ".join(map(str, path))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Components stand one after the other, however the batches part them."""
+        now, ways = None, {}
+        for b in batches:
+            out = []
+            for scc, src, dst in zip(b["scc"].tolist(), b["src"].tolist(), b["dst"].tolist(), strict=True):
+                if ways and scc != now:
+                    out.append((now, walk(ways)))
+                    ways = {}
+                now = scc
+                ways.setdefault(src, []).append(dst)
+            yield pd.DataFrame(out, columns=["scc", "path"])
+        if ways:
+            yield pd.DataFrame([(now, walk(ways))], columns=["scc", "path"])
 
     kind = members.schema["scc"].dataType.simpleString()
-    return inner.groupBy("scc").applyInPandas(run, f"scc {kind}, path string")
+    return inner.repartition("scc").sortWithinPartitions("scc", "src", "dst").mapInPandas(run, f"scc {kind}, path string")

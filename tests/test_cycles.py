@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quartzite.operators import graphs
+from quartzite.operators import fixpoints, graphs, layers
 
 
 def mutual(edges):
@@ -53,3 +53,42 @@ def test_long_chains_and_many_linked_pairs_take_one_task(spark):
     edges = [(i, i + 1) for i in range(10_000)] + [(20_000 + 2 * i + a, 20_000 + 2 * i + b) for i in range(1000) for a, b in ((0, 1), (1, 0), (1, 2))]
     got = {tuple(r) for r in graphs.cycles(spark.createDataFrame([(f"n{a:06}", f"n{b:06}") for a, b in edges], "src string, dst string")).collect()}
     assert got == {(f"n{20_000 + 2 * i + k:06}", f"n{20_000 + 2 * i:06}") for i in range(1000) for k in (0, 1)}
+
+
+def test_pieces_beyond_one_task_are_settled_without_colouring(spark, monkeypatch):
+    """More edges than a task settles, in small pieces: none is coloured, and the classes of long chains are whole."""
+    monkeypatch.setattr(graphs, "_least_above", lambda edges: pytest.fail("coloured"))
+    rings = {(100 * k + i, 100 * k + (i + 1) % 7) for k in range(40) for i in range(7)}
+    tails = {(100 * k + i, 100 * k + i + 1) for k in range(40) for i in range(6, 20)}
+    df = spark.createDataFrame(sorted(rings | tails), "src long, dst long")
+    assert {tuple(r) for r in graphs.cycles(df, local_edges=50).collect()} == {(100 * k + i, 100 * k) for k in range(40) for i in range(7)}
+
+
+def test_classes_by_contraction(spark):
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000 + rng.randrange(400), 1000 + rng.randrange(400)) for _ in range(260)] + [(5000, 5000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    for kind, of in (("long", int), ("string", lambda x: f"n{x:05}")):
+        df = spark.createDataFrame([(of(a), of(b)) for a, b in pairs], f"a {kind}, b {kind}")
+        assert {tuple(r) for r in fixpoints.equivalence(df).collect()} == {(of(x), of(find(x))) for p in pairs for x in p}
+
+
+def test_walks_over_many_components(spark):
+    """Components that batches part are walked whole."""
+    e = [(1000 * k + i, 1000 * k + (i + 1) % 30) for k in range(20) for i in range(30)]
+    df = spark.createDataFrame(e, "src long, dst long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.scc: r.path for r in layers.cycle_paths(df, graphs.cycles(df)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {1000 * k: " -> ".join(str(1000 * k + i % 30) for i in range(31)) for k in range(20)}
