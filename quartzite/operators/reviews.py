@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartzite.operators.shared import folded
+
 #: The triage label that follows, by label and event.
 TRIAGE = {
     ("New", "start"): "Reproducing", ("Reproduced", "start"): "Diagnosing", ("Diagnosed", "start"): "Fixing", ("GateRejected", "start"): "Fixing",
@@ -22,14 +23,12 @@ def repro_event(exit_code: Column) -> Column:
 def triage(events: DataFrame) -> DataFrame:
     """``issue, label, errors`` after all events in order; one that doesn't fit is an error and changes nothing. ``events``: issue, seq, event."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        label, errors = "New", 0
-        for e in pdf.sort_values("seq")["event"]:
-            after = TRIAGE.get((label, e))
-            label, errors = (after, errors) if after else (label, errors + 1)
-        return pd.DataFrame({"issue": [pdf["issue"].iloc[0]], "label": [label], "errors": [errors]})
+    def step(state: tuple, row: tuple) -> tuple:
+        after = TRIAGE.get((state[0], row[0]))
+        return (after, state[1]) if after else (state[0], state[1] + 1)
 
-    return events.groupBy("issue").applyInPandas(run, "issue long, label string, errors int")
+    steps = events.select(F.col("issue").cast("long").alias("issue"), "event", "seq")
+    return folded(steps, "issue", [F.asc_nulls_last("seq")], ("New", 0), step, "issue long, label string, errors int")
 
 
 def completion(before: DataFrame, now: DataFrame, target: str | None, keys: list[str]) -> DataFrame:

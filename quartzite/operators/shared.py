@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,3 +32,30 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folded(rows: DataFrame, key: str, order: list[Column], start: tuple, step: Callable[[tuple, tuple], tuple], schema: str) -> DataFrame:
+    """The last state of each key: ``step`` takes the state and the other columns of a row, row by row in order. Keys stand one after the other in
+    sorted partitions, so a task holds one state and one batch, however many keys there are or rows of one."""
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+        types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[k]) for i, k in enumerate(kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, state = False, None, start
+        for b in batches:
+            out = []
+            for at, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if begun and at != now:
+                    out.append((now, *state))
+                    state = start
+                begun, now = True, at
+                state = step(state, row)
+            yield made(out)
+        if begun:
+            yield made([(now, *state)])
+
+    others = [c for c in rows.columns if c != key]
+    return rows.repartition(key).sortWithinPartitions(key, *order).select(key, *others).mapInArrow(run, schema)

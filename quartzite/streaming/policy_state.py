@@ -10,8 +10,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quartzite.operators.shared import folded
+
 TRIP = 3
 
 
@@ -84,14 +87,12 @@ def issue_states(events: DataFrame) -> DataFrame:
     """``issue, status, resolution, errors`` after all transitions in order; an illegal one is an error and changes nothing. Resolving takes
     the event's resolution, closing keeps it, reopening drops it. ``events``: issue, seq, transition, resolution."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        status, held, errors = "Open", None, 0
-        for t, resolution in pdf.sort_values("seq")[["transition", "resolution"]].itertuples(index=False):
-            after = TRANSITIONS[status].get(t)
-            if after is None:
-                errors += 1
-                continue
-            status, held = after, resolution if t == "resolve" else held if t == "close" else None
-        return pd.DataFrame({"issue": [pdf["issue"].iloc[0]], "status": [status], "resolution": [held], "errors": [errors]})
-
-    return events.groupBy("issue").applyInPandas(run, "issue long, status string, resolution string, errors int")
+    def step(state: tuple, row: tuple) -> tuple:
+        (status, held, errors), (t, resolution) = state, row
+        after = TRANSITIONS[status].get(t)
+        if after is None:
+            return status, held, errors + 1
+        return after, resolution if t == "resolve" else held if t == "close" else None, errors
+
+    steps = events.select(F.col("issue").cast("long").alias("issue"), "transition", "resolution", "seq")
+    return folded(steps, "issue", [F.asc_nulls_last("seq")], ("Open", None, 0), lambda state, row: step(state, row[:2]), "issue long, status string, resolution string, errors int")

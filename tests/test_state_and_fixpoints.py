@@ -157,3 +157,17 @@ def test_points_to_against_brute_force(spark):
             facts |= new
         c = spark.createDataFrame([*rows, ("address", 99, 99)], "kind string, a int, b int")
         assert {tuple(r) for r in fixpoints.points_to(c).collect()} == facts | {(99, 99)}
+
+
+def test_issues_that_batches_part(spark):
+    """States go on from batch to batch; the null issue is one too; no task holds an issue whole."""
+    steps = [(i, n, t) for i in (*range(40), None) for n, t in enumerate(["confirm", "resolve", "close", "reopen", "confirm"][: 3 + (i or 0) % 3])]
+    e = spark.createDataFrame([(i, n, t, "Fixed") for i, n, t in reversed(steps)], "issue long, seq long, transition string, resolution string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = policy_state.issue_states(e)
+        got = {tuple(r) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(i, "Closed", "Fixed", (i or 0) % 3) for i in (*range(40), None)}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
