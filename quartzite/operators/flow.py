@@ -1,13 +1,16 @@
 """Control flow and trees of single functions: blocks, dominators, control dependence, tree edit distance, structural patterns.
 
-A function is one group and bounded by its source, so these run per group in Python; what they return are relations again.
+A function is bounded by its source, so these run function by function in Python; what they return are relations again.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +18,21 @@ _LOOPS = ("for_statement", "while_statement")
 _ENDS = {"return_statement": "return", "raise_statement": "raise"}
 
 
-def _body(pdf: pd.DataFrame) -> tuple[dict[int, list[int]], dict[int, object]]:
-    rows = {r.node_id: r for r in pdf.sort_values("node_id").itertuples()}
+class _Node(NamedTuple):
+    node_id: int
+    parent_id: int | None
+    kind: str
+    flags: list[str]
+    text: str | None
+
+
+def _body(nodes: list[_Node]) -> tuple[dict[int, list[int]], dict[int, _Node]]:
+    """Children by their parent, and the nodes by number; they come in order."""
+    rows = {r.node_id: r for r in nodes}
     below: dict[int, list[int]] = {}
     for r in rows.values():
-        if r.parent_id is not None and not pd.isna(r.parent_id):
-            below.setdefault(int(r.parent_id), []).append(r.node_id)
+        if r.parent_id is not None:
+            below.setdefault(r.parent_id, []).append(r.node_id)
     return below, rows
 
 
@@ -120,16 +132,34 @@ def control_flow(nodes: DataFrame) -> DataFrame:
     """``path, fn, src, dst, kind`` of edges between basic blocks 0 (entry), 1 (exit) and on. Forks have an edge to each arm (true, false,
     except, case), loops a head with a back edge; break and continue leave for the loop's end and head, returns and raises for the exit."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        below, rows = _body(pdf)
-        fn = int(pdf["fn"].iloc[0])
+    def edges_of(path: str, fn: int, held: list[_Node]) -> list[tuple]:
+        below, rows = _body(held)
         b = _Blocks(below, rows)
         b.go(b.walk(below.get(fn, []), 0, None), 1, "join")
-        return pd.DataFrame([(pdf["path"].iloc[0], fn, *e) for e in b.edges], columns=["path", "fn", "src", "dst", "kind"])
+        return [(path, fn, *e) for e in b.edges]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["path", "fn", "src", "dst", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Functions stand one after the other, however the batches part them."""
+        now, held = None, []
+        for b in batches:
+            out: list[tuple] = []
+            for path, fn, *node in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (path, fn) != now:
+                    out += edges_of(*now, held)
+                    held = []
+                now = (path, fn)
+                held.append(_Node(*node))
+            yield made(out)
+        if held:
+            yield made(edges_of(*now, held))
 
     own = nodes.withColumn("fn", F.coalesce("owner_fn_id", F.when(F.col("kind") == "FunctionDef", F.col("node_id")))).where("fn is not null")
     text = F.when(F.col("kind") == "MatchAs", F.col("text")).alias("text")
-    return own.select("path", "fn", "node_id", "parent_id", "kind", "flags", text).groupBy("path", "fn").applyInPandas(run, "path string, fn int, src int, dst int, kind string")
+    dealt = own.select("path", "fn", "node_id", "parent_id", "kind", "flags", text).repartition("path", "fn").sortWithinPartitions("path", "fn", "node_id")
+    return dealt.mapInArrow(run, "path string, fn int, src int, dst int, kind string")
 
 
 def flow_complexity(edges: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ SEQUENCE_DISTANCE, SEQUENCE_TYPES, SEQUENCE_COUPLINGS, STABILITY_MARGIN, STABILI
 NESTING = ("if_statement", "while_statement", "for_statement", "loop_expression", "repeat_statement", "catch_clause", "except_clause", "conditional_expression", "switch_statement", "match_statement")
 FLAT = ("elif_clause",)
 QUERIES = ("query", "execute", "find", "findOne", "findMany", "findAll", "fetchAll", "fetchone", "fetchall", "select")
+#: What the rules read of a node.
+COLUMNS = ("path", "node_id", "post", "parent_id", "kind", "name", "start_line", "end_line", "owner_fn_id", "owner_class_id", "owner_loop_id", "parent_kind", "flags")
 
 
 def _finding(df: DataFrame, rule_id: str, severity: str, effort: int, line: str, measure, issue_type: str = "CodeSmell") -> DataFrame:  # noqa: ANN001

@@ -100,6 +100,9 @@ PYTHON = [
     NodeRule("python:tarfile-unsafe-extraction", "Critical", "Vulnerability", 10, "Call", f"name rlike '[.](extractall)$' and not {_keyword('filter=')}"),
 ]
 
+#: What their conditions read.
+PYTHON_COLUMNS = ("path", "kind", "name", "text", "start_line", "end_line", "owner_fn_id", "owner_loop_id", "in_async", "in_except", "parent_kind", "flags")
+
 
 def secret_findings(lines: DataFrame) -> DataFrame:
     """Provider credentials on any line of any file."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quartzite.functions import scalars as S
 from quartzite.functions import strings as T
 from quartzite.operators import clones, findings, graphs, layers, node_rules, reviews
-from quartzite.operators.shared import cut
+from quartzite.operators.shared import cut, stored
 from quartzite.plans.bindings import EDGES_SQL, FOUND_SQL, RANK_SQL, couplings, found, lines, order_edges, q, table
 from quartzite.plans.catalog import CPD_SQL, MARTIN_SQL, query
 from quartzite.sources import code_source, reports
@@ -250,7 +250,7 @@ def node_smells(spark, d):
     od = table(spark, d, "orders").select((F.col("o_orderkey") % len(_NODE_ROWS)).alias("i"), F.col("o_orderkey").alias("k")).join(known, "i")
     ending = S.lookup(F.col("language"), {"typescript": ".ts", "rust": ".rs", "go": ".go", "java": ".java"})
     files = od.withColumn("path", F.concat(F.lit("src/f"), "k", ending))
-    n = cut(code_source.nodes(files))
+    n = stored(code_source.nodes(files, columns=node_rules.COLUMNS))
     hits = node_rules.function_findings(n).unionByName(node_rules.class_findings(n)).select("path", F.col("rule_id").alias("rule"), F.lit(True).alias("hit")).distinct()
     return files.select("path", "name", "kind", "rule").join(hits, ["path", "rule"], "left").groupBy("name", "kind").agg(F.count("*").alias("files"), F.count("hit").alias("found"))
 

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quartzite.operators import flow
-from quartzite.sources import python_source
+from quartzite.sources import code_source, python_source
 
 
 def test_control_flow(spark):
@@ -70,3 +71,33 @@ def test_patterns(spark):
     for bad in ("", "(Call", "Call)", "(Call (#foo? @a \"x\"))"):
         with pytest.raises(ValueError):
             flow.pattern_plan(bad)
+
+
+def test_functions_that_batches_part_and_nodes_left_out(spark):
+    """Edges and metrics are the same from statements only, from the columns asked for, and over batches that part a function."""
+    from quartzite.operators import code
+
+    src = "".join(f"def f{i}(x):\n    for a in x:\n        if a > {i} and x[a]:\n            continue\n        try:\n            g(a)\n        except E as e:\n            raise\n    match x:\n        case 1:\n            return\n        case _:\n            pass\n\n" for i in range(5))
+    files = spark.createDataFrame([("a.py", src), ("b.py", src.replace("continue", "break")), ("c.py", "def f(:"), ("d.py", None)], "path string, content string")
+    whole = python_source.nodes(files)
+    some = python_source.nodes(files, columns=("path", "node_id", "parent_id", "kind", "name", "text", "owner_fn_id", "flags"), expressions=False)
+    want = sorted(tuple(r) for r in flow.control_flow(whole).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        out = flow.control_flow(some)
+        assert sorted(tuple(r) for r in out.collect()) == want and len({r[:2] for r in want}) == 10
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    cc = python_source.nodes(files, columns=code.COMPLEXITY_COLUMNS, kinds=code.COMPLEXITY_KINDS)
+    assert sorted(map(tuple, code.function_complexity(cc).collect())) == sorted(map(tuple, code.function_complexity(whole).collect()))
+    assert code.function_complexity(whole)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    st = python_source.nodes(files, columns=("path", "kind"), kinds=code.STRUCTURE_KINDS)
+    assert sorted(map(tuple, code.structure(st).collect())) == sorted(map(tuple, code.structure(whole).collect())) and code.structure(st).count() == 4
+
+
+def test_files_are_dealt_over_all_tasks(spark):
+    """Small sources that a shuffle made aren't parsed in one task."""
+    src = spark.range(64).groupBy("id").agg(F.concat(F.lit("f"), F.max("id")).alias("path"), F.lit("x = 1").alias("content"))
+    assert python_source.nodes(src).select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    assert code_source.nodes(src.withColumn("language", F.lit("go"))).select(F.spark_partition_id().alias("p")).distinct().count() == 4
