@@ -45,11 +45,11 @@ def guarded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quartzite/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,9 @@
 
 Anchors and rows are dealt into blocks by the hash of their id, and each block into chunks of dimensions. Anchor chunk (i, k) meets row chunk
 (j, k) and makes a partial tile of 64-bit scores; the partial tiles of (i, j) are shuffled together and added into the score tile, which is
-written. From the tiles each anchor's positives are reduced, then, for the window that every (anchor, positive) sets, its negatives: a tile keeps
-the first few of each, ranking over the tiles decides. Memory is two tiles a task, whatever the dimensions, rows or labels.
+written. A tile travels in strips of a few anchors, as 32-bit numbers where they fit: writers and readers of Parquet hold a hundred rows or more at once,
+which would be a GB of whole tiles. From the tiles each anchor's positives are reduced, then, for the window that every (anchor, positive) sets, its negatives: a tile keeps
+the first few of each, ranking over the tiles decides. Memory is two tiles and some hundred strips a task, whatever the dimensions, rows or labels.
 
 Defined results: rows with a null id, null label, null vector or a null or non-finite component take no part; components become
 floor(256 * x), held within 64 bits, and scores are 64-bit sums, which wrap beyond that. Vectors of several lengths are padded with zeros. Of
@@ -26,6 +27,8 @@ from quartzite.llm.common import BROADCAST_ROWS, materialize
 ANCHORS = 256  # of a tile
 ROWS = 4096
 DIMENSIONS = 32  # of a chunk
+STRIPS = 16  # of a tile: what is shuffled, written and read as one row, a quarter of a MB
+ROW_GROUP = {"parquet.block.size": str(1 << 24)}  # a writer holds a hundred rows at least, a reader a whole group
 SCALE = 256
 POSITIVES = 5
 NEGATIVES = 10
@@ -74,8 +77,19 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def packed(tile: np.ndarray) -> bytes:
+    """The bytes of whole numbers, 32 bits each where all fit."""
+    near = tile.size and -(2**31) <= tile.min() and tile.max() < 2**31
+    return (tile.astype(np.int32) if near else tile).tobytes()
+
+
+def unpacked(data: pa.Buffer, count: int) -> np.ndarray:
+    """``count`` numbers of 64 bits from ``packed`` ones."""
+    return np.frombuffer(data, np.int32 if data.size == 4 * count else np.int64).astype(np.int64)
+
+
 def score_tiles(rows: DataFrame, n_anchors: int, n_rows: int) -> DataFrame:
-    """``i, j, ids, labels, others, kinds, tile``: the scores of anchor block i (ids, labels) against row block j (others, kinds)."""
+    """``i, j, ids, labels, others, kinds, tile``: the scores of anchor strip i (ids, labels), of STRIPS a block, against row block j (others, kinds)."""
     spark = rows.sparkSession
     n_i, n_j = -(-n_anchors // ANCHORS), -(-n_rows // ROWS)
     left = chunks(rows.where("anchor"), n_i, DIMENSIONS).select(F.col("block").alias("i"), "k", "ids", "labels", F.col("part").alias("a"))
@@ -92,8 +106,11 @@ def score_tiles(rows: DataFrame, n_anchors: int, n_rows: int) -> DataFrame:
                 ids, others = (np.frombuffer(one.column(c)[0].as_buffer(), np.int64) for c in (2, 4))
                 a, b = (np.frombuffer(one.column(c)[0].as_buffer(), np.int64).reshape(len(x), -1) for c, x in ((6, ids), (7, others)))
                 w = min(a.shape[1], b.shape[1])
-                tile = pa.array([product(a[:, :w], b[:, :w]).tobytes()])
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in (0, 1, 2, 3, 4, 5)), tile], names=["i", "j", "ids", "labels", "others", "kinds", "tile"])
+                tile, labels, block = product(a[:, :w], b[:, :w]), np.frombuffer(one.column(3)[0].as_buffer(), np.int64), one.column(0)[0].as_py()
+                for strip, at in enumerate(np.array_split(np.arange(len(ids)), STRIPS)):
+                    if len(at):
+                        own = [pa.array([block * STRIPS + strip], pa.int32()), one.column(1), pa.array([ids[at].tobytes()]), pa.array([labels[at].tobytes()]), one.column(4), one.column(5)]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array([packed(tile[at])])], names=["i", "j", "ids", "labels", "others", "kinds", "tile"])
 
     shape = "i int, j int, ids binary, labels binary, others binary, kinds binary, tile binary"
     partial = met.select("i", "j", "ids", "labels", "others", "kinds", "a", "b").mapInArrow(multiply, shape)
@@ -104,15 +121,15 @@ def score_tiles(rows: DataFrame, n_anchors: int, n_rows: int) -> DataFrame:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 key = (one.column(0)[0].as_py(), one.column(1)[0].as_py())
-                tile = np.frombuffer(one.column(6)[0].as_buffer(), np.int64)
+                tile = unpacked(one.column(6)[0].as_buffer(), one.column(2)[0].as_buffer().size // 8 * (one.column(4)[0].as_buffer().size // 8))
                 if key == at:
                     total += tile
                     continue
                 if at is not None:
-                    yield pa.RecordBatch.from_arrays([*held, pa.array([total.tobytes()])], names=batch.schema.names)
-                at, held, total = key, [pa.array(c.to_pylist(), c.type) for c in one.columns[:6]], tile.copy()
+                    yield pa.RecordBatch.from_arrays([*held, pa.array([packed(total)])], names=batch.schema.names)
+                at, held, total = key, [pa.array(c.to_pylist(), c.type) for c in one.columns[:6]], tile
         if at is not None:
-            yield pa.RecordBatch.from_arrays([*held, pa.array([total.tobytes()])], names=shape.replace(",", "").split()[::2])
+            yield pa.RecordBatch.from_arrays([*held, pa.array([packed(total)])], names=shape.replace(",", "").split()[::2])
 
     return partial.repartition(n, "i", "j").sortWithinPartitions("i", "j").mapInArrow(add, shape)
 
@@ -120,7 +137,7 @@ def score_tiles(rows: DataFrame, n_anchors: int, n_rows: int) -> DataFrame:
 def _opened(row: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """ids, labels, others, kinds and scores of one tile."""
     ids, labels, others, kinds = (np.frombuffer(row.column(c)[0].as_buffer(), np.int64) for c in ("ids", "labels", "others", "kinds"))
-    return ids, labels, others, kinds, np.frombuffer(row.column("tile")[0].as_buffer(), np.int64).reshape(len(ids), len(others))
+    return ids, labels, others, kinds, unpacked(row.column("tile")[0].as_buffer(), len(ids) * len(others)).reshape(len(ids), len(others))
 
 
 def positives_of(tiles: DataFrame, count: int) -> DataFrame:
@@ -171,14 +188,14 @@ def mine(df: DataFrame, anchor: Column, label: Column | None = None, key: str =
     shape = T.StructType([T.StructField(c, T.IntegerType() if c == "rank" else T.LongType()) for c in names])
     if not n_anchors:
         return df.sparkSession.createDataFrame([], shape)
-    tiles = materialize(score_tiles(rows, n_anchors, n_rows), "tiles")
+    tiles = materialize(score_tiles(rows, n_anchors, n_rows), "tiles", **ROW_GROUP)
     wanted = materialize(positives_of(tiles, positives), "positives")
 
     def pack(t: pa.Table) -> pa.Table:
         x = np.stack([t.column(c).to_numpy() for c in ("anchor", "positive", "score")], axis=1)
         return pa.table({"i": t.column("i").slice(0, 1), "want": [np.ascontiguousarray(x, np.int64).tobytes()]})
 
-    windows = wanted.groupBy("i").applyInArrow(pack, "i int, want binary")  # a block of anchors has ANCHORS * positives at most, about
+    windows = wanted.groupBy("i").applyInArrow(pack, "i int, want binary")  # a strip of anchors has ANCHORS / STRIPS * positives at most, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quartzite.llm import embedding_dedup, hard_negatives, prefix_trie
@@ -217,3 +218,15 @@ def test_hard_negatives(spark, monkeypatch):
 def test_products_beyond_53_bits_stay_whole():
     a = np.array([[2**31 + 1, 3]], np.int64)
     assert hard_negatives.product(a, a)[0, 0] == (2**31 + 1) ** 2 + 9
+
+
+def test_tiles_travel_in_small_rows(spark):
+    """No row of tiles is larger than a strip, and sums beyond 32 bits stay whole."""
+    rng = np.random.default_rng(3)
+    near, far = rng.integers(-9, 9, (40, 6)), rng.integers(-(2**40), 2**40, (40, 6))
+    for x in (near, far):
+        assert (hard_negatives.unpacked(pa.py_buffer(hard_negatives.packed(x)), x.size).reshape(x.shape) == x).all()
+    rows = spark.createDataFrame([(i, i % 3, True, [int(v) for v in rng.integers(-256, 256, 40)]) for i in range(600)], "id long, label long, anchor boolean, q array<long>")
+    tiles = hard_negatives.score_tiles(rows, 600, 600).selectExpr("length(ids) / 8 as n", "length(tile) as bytes", "length(others) / 8 as m").collect()
+    assert max(r.n for r in tiles) <= 2 * hard_negatives.ANCHORS / hard_negatives.STRIPS and all(r.bytes == 4 * r.n * r.m for r in tiles)
+    assert sum(r.n * r.m for r in tiles) == 600 * 600
