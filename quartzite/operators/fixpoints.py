@@ -1,5 +1,6 @@
 """Fixpoints over small relations of facts: taint, points-to, equivalence, datalog, ancestors. Each round joins what is new with the
-facts, drops what is known by an anti-join, and cuts its lineage, until nothing is new; with a bound on the rounds, more of them raise."""
+facts, drops what is known by an anti-join, and writes what is left as one more part of the facts, until nothing is new; with a bound on the rounds, more
+of them raise. Relations that rounds read are written before the first."""
 
 from __future__ import annotations
 
@@ -9,25 +10,27 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzite.operators.shared import cut
+from quartzite.operators.shared import Grown, cut
 
 
 def close(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], rounds: int | None = None) -> DataFrame:
     """The least relation that holds ``start`` and, with every row, what ``step(new, all)`` derives from it."""
-    known = cut(start.distinct())
-    new = known
+    start = start.distinct()
+    known = Grown(start.schema, start.sparkSession)
+    new = known.add(start)
     for turn in count(1):
-        new = cut(step(new, known).distinct().join(known, known.columns, "left_anti"))
-        if not new.limit(1).count():
-            return known
+        made = cut(step(new, known.all()).distinct())
+        again = known.all().join(made, made.columns, "left_semi")  # few, if few were made
+        new = known.add(made.join(again, made.columns, "left_anti"))
+        if new.isEmpty():
+            return known.all()
         if turn == rounds:
             raise RuntimeError("the closure did not settle")
-        known = cut(known.unionByName(new))
 
 
 def tainted(assigns: DataFrame, sources: DataFrame) -> DataFrame:
     """``path, name``: names that a source reaches through assignments of a file, in any order. ``assigns``: path, target, source."""
-    step = assigns.select("path", F.col("source").alias("name"), "target")
+    step = cut(assigns.select("path", F.col("source").alias("name"), "target"))
     return close(sources.select("path", "name"), lambda new, _: new.join(step, ["path", "name"]).select("path", F.col("target").alias("name")))
 
 
@@ -40,6 +43,7 @@ def taint_flows(assigns: DataFrame, sources: DataFrame, sinks: DataFrame) -> Dat
 def points_to(constraints: DataFrame) -> DataFrame:
     """Inclusion-based points-to sets ``pointer, target``. ``constraints``: kind (address, copy, load, store), a, b: a = &b, a = b, a = *b, *a = b."""
     of = lambda k: constraints.where(F.col("kind") == k).select("a", "b")
+    constraints = cut(constraints.select("kind", "a", "b"))
     copy, load, store = of("copy"), of("load"), of("store")
 
     def step(new: DataFrame, known: DataFrame) -> DataFrame:
@@ -91,12 +95,35 @@ def datalog(facts: DataFrame, rules: list[tuple[str, str]], rounds: int | None =
     return close(facts.select("relation", "terms"), lambda new, _: new.join(F.broadcast(table.withColumnRenamed("body", "relation")), "relation").select(F.col("head").alias("relation"), "terms"), rounds)
 
 
-def ancestors(parents: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``type, ancestor`` of superclass chains, safe on cycles. Chains are joined to chains, so their length doubles each round.
-    ``parents``: type, base."""
+LISTED = 6  # doublings in which a type holds its ancestors as a list, of 64 at most; longer ways go on as pairs
 
-    def step(new: DataFrame, known: DataFrame) -> DataFrame:
-        join = lambda a, b: a.join(b.select(F.col("type").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("type", F.col("above").alias("ancestor"))
-        return join(new, known).union(join(known, new))
 
-    return close(parents.select("type", F.col("base").alias("ancestor")), step, rounds).where("type <> ancestor")
+def ancestors(parents: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``type, ancestor`` of superclass chains, safe on cycles. The ways of 2^k hops are joined to all that are no longer, so their length doubles each
+    round and a way is made once. Where a type has one base, it holds its ancestors as a list at first. ``parents``: type, base."""
+    up = cut(parents.select("type", F.col("base").alias("ancestor")).where("type is not null and ancestor is not null").distinct())
+    jump, turn = up, 0
+    if up.groupBy("type").count().where("count > 1").isEmpty():
+        lists = cut(up.select("type", F.array("ancestor").alias("up"), F.col("ancestor").alias("top")))
+        while turn < LISTED and not lists.where("top is not null").isEmpty():
+            turn += 1
+            if rounds is not None and turn > rounds:
+                raise RuntimeError("the closure did not settle")
+            more = lists.select(F.col("type").alias("top"), F.col("up").alias("over"), F.col("top").alias("next"), F.size("up").alias("n"))
+            both = lists.join(more, "top", "left").select("type", F.when(F.col("over").isNull(), F.col("up")).otherwise(F.array_distinct(F.concat("up", "over"))).alias("all"), "next", F.size("up") + F.col("n")).toDF("type", "up", "top", "n")
+            lists = cut(both.select("type", "up", F.when(F.size("up") == F.col("n"), F.col("top")).alias("top")))  # a list that meets itself is a whole cycle
+        up = lists.select("type", F.explode("up").alias("ancestor"))
+        jump = lists.where("top is not null").select("type", F.col("top").alias("ancestor"))
+        if jump.isEmpty():
+            return up.where("type <> ancestor")
+    known = Grown(up.schema, up.sparkSession)
+    known.add(up)
+    over = lambda a, b: a.join(b.select(F.col("type").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("type", F.col("above").alias("ancestor")).distinct()
+    while True:
+        turn += 1
+        new = known.add(cut(over(jump, known.all())).join(known.all(), ["type", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return known.all().where("type <> ancestor")
+        if turn == rounds:
+            raise RuntimeError("the closure did not settle")
+        jump = cut(over(jump, jump))

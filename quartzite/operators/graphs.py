@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
 from quartzite.operators.fixpoints import equivalence
-from quartzite.operators.shared import cut
+from quartzite.operators.shared import Grown, cut
 
 
 def component_edges(edges: DataFrame) -> DataFrame:
@@ -60,18 +60,18 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``root, node, depth``: the least number of hops from each start, to the end or within ``max_depth``. Each round keeps only what
-    is new and is cut off by a checkpoint, so plans stay short."""
-    edges = edges.select("src", "dst").distinct()
-    seen = start.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    front = seen
+    is new, written as a part of what is seen, so plans stay short."""
+    edges = cut(edges.select("src", "dst").distinct())
+    start = start.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
+    seen = Grown(start.schema, start.sparkSession)
+    front = seen.add(start)
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        step = step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        front = cut(step)
-        if not front.limit(1).count():
+        step = cut(front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct())
+        again = seen.all().join(step, ["root", "node"], "left_semi")  # few, if the step is
+        front = seen.add(step.join(again, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+    return seen.all()
 
 
 LOCAL_EDGES = 200_000  # what one task settles, a few MB; beyond that nodes are coloured over the cluster
@@ -204,7 +204,7 @@ def cycles(edges: DataFrame, max_depth: int | None = None, local_edges: int = LO
 def shortest_untested(edges: DataFrame, coverage: DataFrame, max_depth: int | None = None) -> DataFrame:
     """For each covered root the least hops to a node of coverage exactly 0, ties to the least node; one finding a root. A root that has
     found one goes no further."""
-    edges = edges.select("src", "dst").distinct()
+    edges, coverage = cut(edges.select("src", "dst").distinct()), cut(coverage.select("node", "covered"))
     nodes = coverage.select("node")
     bare = coverage.where("covered = 0").select("node")
     seen = front = cut(roots(nodes, edges).join(coverage, "node").where("covered > 0").select(F.col("node").alias("root"), "node"))

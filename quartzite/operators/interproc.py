@@ -1,5 +1,5 @@
-"""Taint through calls and files: every function is summed up by which parameters reach a sink and whether it returns data from a source; the
-summaries are closed over the call graph together with the taint of names, as one relation, and calls that hand such data on are the findings.
+"""Taint through calls and files: every function is summed up by which parameters reach a sink and whether it returns data from a source. What names of a
+region hold is closed within it first; then each summary is closed over the call graph by a join a round, and calls that hand such data on are the findings.
 
 Facts are keyed by region: a function's body, or a whole file. A name in a region stands for itself; what comes from a source marker, or from a call
 of a function at hand, stands for itself under a name of its own (``@marker``, ``$file#function``), so an assignment, an argument and a
@@ -9,6 +9,7 @@ return value are all "x holds y". A call of a sanitizer cleans what stands withi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,8 +100,9 @@ def parse(files: DataFrame) -> Parsed:
     return Parsed(p, b, fns, cut(resolved.select("path", "b", "callee", "whole", "line", "enc", "seg", "key")), up, within, regions)
 
 
-def facts(files: DataFrame | Parsed, config: Config) -> Facts:
-    """The facts of ``files`` (path, language, content), or of what ``parse`` made of them, under the names of a rule."""
+def facts(files: DataFrame | Parsed, config: Config, whole: bool = False) -> Facts:
+    """The facts of ``files`` (path, language, content), or of what ``parse`` made of them, under the names of a rule. With ``whole`` only those of whole files
+    are made, flow and sunk; the other relations are left unwritten."""
     parsed = files if isinstance(files, Parsed) else parse(files)
     p, b, fns, resolved, up, within = parsed.placed, parsed.brackets, parsed.functions, parsed.calls, parsed.up, parsed.within
     calls = resolved
@@ -133,45 +135,50 @@ def facts(files: DataFrame | Parsed, config: Config) -> Facts:
     given = held.join(returns, ["path", "enc", "seg"]).where("i > at").select("path", "enc", "name")
     args = resolved.select("path", F.col("b").alias("enc"), "callee", "whole", "line", "key", F.col("enc").alias("outer"))
     args = held.join(args, ["path", "enc"]).select("path", "enc", F.col("seg").cast("int").alias("pos"), "callee", "whole", "line", "key", "name")
-    here = lambda df, *cols: cut(df.join(within.withColumnRenamed("b", "enc"), ["path", "enc"]).select("region", *cols).distinct())
+    of_file = lambda df, *cols: df.select(_region("path", F.lit(ts.FILE)).alias("region"), *cols).distinct()
+    of_all = lambda df, *cols: df.join(within.withColumnRenamed("b", "enc"), ["path", "enc"]).select("region", *cols).distinct()
+    here = (lambda *a: cut(of_file(*a))) if whole else (lambda *a: cut(of_all(*a)))
+    more = of_all if whole else here
+    params = ts.parameters(p, fns).select(_region("path", F.col("body")).alias("region"), "pos", "name")
     return Facts(
         here(flow, "target", "name"),
-        here(args.where("key is not null"), F.col("enc").alias("site"), "line", "callee", "key", "pos", "name"),
+        more(args.where("key is not null"), F.col("enc").alias("site"), "line", "callee", "key", "pos", "name"),
         here(args.where(fits(config.sinks)), "line", F.col("callee").alias("sink"), "name"),
-        here(given, "name"),
-        cut(ts.parameters(p, fns).select(_region("path", F.col("body")).alias("region"), "pos", "name")),
+        more(given, "name"),
+        params if whole else cut(params),
         parsed.regions,
     )
 
 
-SUMMARY = ["kind", "region", "origin", "name"]
-
-
 def summaries(f: Facts) -> DataFrame:
     """``kind, region, origin, name`` closed over calls. taint: the name holds the origin; sink: the origin, a parameter, reaches the sink ``name``;
-    returns: the region returns the origin. An origin is ``p<place>`` or a source. Every rule reads what is new with what is known."""
-    row = lambda df, kind, origin, name: df.select(F.lit(kind).alias("kind"), "region", F.col(origin).alias("origin") if isinstance(origin, str) else origin.alias("origin"), name.alias("name"))
+    returns: the region returns the origin. An origin is ``p<place>`` or a source. First what each name may hold, calls as they are (``via``: the key of
+    the function); then which functions return a source, so which calls are one; then which parameters reach a sink, from callee to caller."""
     seen = f.flow.select("region", "name").union(f.handed.select("region", "name")).union(f.sunk.select("region", "name")).union(f.given).distinct()
-    sources = seen.where(F.col("name").startswith("@")).withColumn("source", F.substring("name", 2, 1000))
-    start = row(f.params, "taint", F.concat(F.lit("p"), F.col("pos")), F.col("name")).union(row(sources, "taint", "source", F.col("name")))
     keyed = f.regions.where("key is not null").select(F.col("region").alias("of"), "key")
-    handed = cut(f.handed.join(keyed, "key").select("region", "of", F.concat(F.lit("p"), F.col("pos")).alias("place"), "name").distinct())
-    used = cut(seen.where(F.col("name").startswith("$")).withColumn("key", F.substring("name", 2, 10_000)).join(keyed, "key").select("region", "of", "name", "key").distinct())
+    row = lambda df, origin, via=F.lit(""): df.select("region", origin.alias("origin"), via.alias("via"), "name")
+    called = F.substring("name", 2, 10_000)
+    start = row(f.params, F.concat(F.lit("p"), F.col("pos"))).union(row(seen.where(F.col("name").startswith("@")), F.substring("name", 2, 1000)))
+    start = start.union(row(seen.where(F.col("name").startswith("$")), F.concat(F.substring_index(called, "#", -1), F.lit("()")), called))
+    flow = f.flow.select("region", "name", "target")
+    held = close(start, lambda new, _: new.join(flow, ["region", "name"]).select("region", "origin", "via", F.col("target").alias("name")))
     param = F.col("origin").rlike("^p[0-9]+$")
 
-    def step(new: DataFrame, known: DataFrame) -> DataFrame:
-        taint, sink = (lambda d: d.where("kind = 'taint'").drop("kind")), (lambda d: d.where("kind = 'sink'").select(F.col("region").alias("of"), F.col("origin").alias("place"), F.col("name").alias("sink")))
-        t = taint(new)
-        out = row(t.join(f.flow, ["region", "name"]), "taint", "origin", F.col("target"))
-        out = out.union(row(t.join(f.given, ["region", "name"]), "returns", "origin", F.lit("")))
-        out = out.union(row(t.where(param).join(f.sunk, ["region", "name"]), "sink", "origin", F.concat_ws(" in ", F.concat(F.lit("`"), "sink", F.lit("`")), F.substring_index("region", "#", 1))))
-        for a, s in ((t, sink(known)), (t, sink(new)), (taint(known), sink(new))):
-            through = a.where(param).join(handed, ["region", "name"]).join(s, ["of", "place"])
-            out = out.union(row(through, "sink", "origin", F.col("sink")))
-        back = new.where("kind = 'returns'").where(~param).select(F.col("region").alias("of")).distinct()
-        return out.union(row(used.join(back, "of"), "taint", F.concat(F.substring_index("key", "#", -1), F.lit("()")), F.col("name")))
+    gave = cut(held.join(f.given, ["region", "name"]).select("region", "origin", "via").distinct())
+    passed = cut(gave.where("via <> ''").join(keyed.withColumnRenamed("key", "via"), "via").select("of", "region").distinct())
+    first = gave.where(F.col("via") == "").where(~param).select(F.col("region").alias("of"))
+    back = close(first, lambda new, _: new.join(passed, "of").select(F.col("region").alias("of")))
+    alive = cut(keyed.join(back, "of", "left_semi").select(F.col("key").alias("via")).distinct().union(keyed.sparkSession.createDataFrame([("",)], "via string")))
+
+    mine = cut(held.where(param).select("region", "origin", "name").distinct())
+    sunk = mine.join(f.sunk, ["region", "name"]).select("region", "origin", F.concat_ws(" in ", F.concat(F.lit("`"), "sink", F.lit("`")), F.substring_index("region", "#", 1)).alias("name"))
+    handed = f.handed.join(keyed, "key").select("region", "of", F.concat(F.lit("p"), F.col("pos")).alias("place"), "name").distinct()
+    through = cut(mine.join(handed, ["region", "name"]).select("region", "origin", "of", "place").distinct())
+    sinks = close(sunk, lambda new, _: new.select(F.col("region").alias("of"), F.col("origin").alias("place"), "name").join(through, ["of", "place"]).select("region", "origin", "name"))
 
-    return close(start, step)
+    kind = lambda k, df, name: df.select(F.lit(k).alias("kind"), "region", "origin", name.alias("name"))
+    taint = kind("taint", held.join(alive, "via", "left_semi"), F.col("name")).distinct()
+    return taint.union(kind("sink", sinks, F.col("name"))).union(kind("returns", gave.join(alive, "via", "left_semi"), F.lit("")).distinct())
 
 
 def cross_file_flows(f: Facts, closed: DataFrame | None = None) -> DataFrame:
@@ -185,22 +192,30 @@ def cross_file_flows(f: Facts, closed: DataFrame | None = None) -> DataFrame:
     return t.join(asked, ["region", "name"]).join(sink, ["of", "place"]).select("path", "line", "source", "callee", "sink").distinct()
 
 
+def _within_files(flow: DataFrame, sunk: DataFrame, *by: str) -> DataFrame:
+    """``by, region, line, source, sink``: data from a source that reaches a sink through assignments of a file. ``by`` tells apart facts of several rules."""
+    seen = flow.select(*by, "region", "name").union(sunk.select(*by, "region", "name")).where(F.col("name").startswith("@")).distinct()
+    start = seen.select(*by, "region", "name", F.substring("name", 2, 1000).alias("source"))
+    t = close(start, lambda new, _: new.join(flow, [*by, "region", "name"]).select(*by, "region", F.col("target").alias("name"), "source"))
+    return t.join(sunk, [*by, "region", "name"]).select(*by, "region", "line", "source", "sink").distinct()
+
+
 def injections(f: Facts) -> DataFrame:
     """``path, line, source, sink``: data from a source that reaches a sink within a file, through assignments only."""
     whole = f.regions.where("key is null").select("region", "path")
-    flow = f.flow.join(whole, "region", "left_semi")
-    seen = flow.select("region", "name").union(f.sunk.join(whole, "region", "left_semi").select("region", "name")).where(F.col("name").startswith("@")).distinct()
-    start = seen.select("region", "name", F.substring("name", 2, 1000).alias("source"))
-    t = close(start, lambda new, _: new.join(flow, ["region", "name"]).select("region", F.col("target").alias("name"), "source"))
-    return t.join(f.sunk, ["region", "name"]).join(whole, "region").select("path", "line", "source", "sink").distinct()
+    found = _within_files(f.flow.join(whole, "region", "left_semi"), f.sunk.join(whole, "region", "left_semi"))
+    return found.join(whole, "region").select("path", "line", "source", "sink").distinct()
 
 
 def source_sink_findings(files: DataFrame) -> DataFrame:
     """``rule_id, path, line, source, sink, severity, issue_type, effort`` of the rules in SOURCE_SINK on files of TypeScript (path, language, content).
-    Text is cut into tokens once for all."""
+    Text is cut into tokens once for all, and the facts of all rules are closed together."""
     parsed = parse(files.where("language = 'typescript'"))
-    out = None
+    flows, sunks = [], []
     for rule, config in SOURCE_SINK.items():
-        one = injections(facts(parsed, config)).withColumn("rule_id", F.lit(rule))
-        out = one if out is None else out.unionByName(one)
-    return out.select("rule_id", "path", "line", "source", "sink", F.lit("Blocker").alias("severity"), F.lit("Vulnerability").alias("issue_type"), F.lit(10).alias("effort"))
+        f = facts(parsed, config, whole=True)
+        flows.append(f.flow.withColumn("rule_id", F.lit(rule)))
+        sunks.append(f.sunk.withColumn("rule_id", F.lit(rule)))
+    out = _within_files(reduce(DataFrame.unionByName, flows), reduce(DataFrame.unionByName, sunks), "rule_id")
+    out = out.join(parsed.regions.where("key is null").select("region", "path"), "region")
+    return out.select("rule_id", "path", "line", "source", "sink", F.lit("Blocker").alias("severity"), F.lit("Vulnerability").alias("issue_type"), F.lit(10).alias("effort")).distinct()

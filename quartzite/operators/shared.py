@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,17 +23,41 @@ def folder(spark: SparkSession) -> str:
     return (shared or context.getCheckpointDir()).rstrip("/")
 
 
+def _written(df: DataFrame) -> str:
+    path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder."""
-    folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder as a table, which computes it once where a checkpoint computes its last stage twice; how large it is, is
+    known to the joins after it, and many small parts are read by few tasks."""
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a table, which computes it once where a checkpoint computes its last stage twice."""
-    path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+stored = cut
+
+
+class Grown:
+    """A table that grows part by part: each part is written once, and all are read as one."""
+
+    FOLDERS = 24  # more folders than that are read and written as one
+
+    def __init__(self, schema: T.StructType, spark: SparkSession) -> None:
+        self.schema, self.spark, self.paths = schema, spark, []
+
+    def add(self, part: DataFrame) -> DataFrame:
+        """``part``, by names, as written."""
+        if len(self.paths) == self.FOLDERS:
+            self.paths = [_written(self.all())]
+        self.paths.append(_written(part.select(*(F.col(f.name).cast(f.dataType) for f in self.schema))))
+        return self._read(self.paths[-1:])
+
+    def all(self) -> DataFrame:
+        return self._read(self.paths)
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
 
 def folded(rows: DataFrame, key: str, order: list[Column], start: tuple, step: Callable[[tuple, tuple], tuple], schema: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quartzite.operators.shared import cut
 from quartzite.sources import code_source
+from quartzite.sources.python_source import dealt
 
 FILE = -1  # the bracket around everything
 TOKEN = "path string, i int, kind string, text string, line int, fresh boolean"
@@ -57,7 +58,7 @@ def tokens(files: DataFrame, path: str = "path", language: str = "language", con
                     held = []
             yield pd.DataFrame(held, columns=names)
 
-    return files.select(F.col(path).cast("string").alias("path"), F.col(language).alias("language"), F.col(content).alias("content")).mapInPandas(run, TOKEN)
+    return files.select(F.col(path).cast("string").alias("path"), F.col(language).alias("language"), F.col(content).alias("content")).transform(dealt).mapInPandas(run, TOKEN)
 
 
 def is_name(text: Column, kind: Column) -> Column:

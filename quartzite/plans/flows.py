@@ -57,7 +57,7 @@ def cross_file_taint(spark, d):
 
 @query(f"WITH {_SHAPE_SQL} SELECT 'm' || c || '.ts' AS path, 2 AS line, 'process.argv' AS source, 'execSync' AS sink FROM m WHERE shortest % 3 = 2 AND n % 4 = 0")
 def injection_flows(spark, d):
-    return interproc.injections(interproc.facts(modules(spark, d), interproc.INJECTION))
+    return interproc.injections(interproc.facts(modules(spark, d), interproc.INJECTION, whole=True))
 
 
 @query(f"""WITH {_SHAPE_SQL} SELECT ['owasp:injection', 'owasp:path-traversal', 'owasp:ssrf', 'owasp:xss'][n % 4 + 1] AS rule_id, 'm' || c || '.ts' AS path, 2 AS line, 'process.argv' AS source,
