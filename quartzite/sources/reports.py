@@ -1,7 +1,8 @@
 """Readers of coverage, test, mutation, issue, diff, blame and scenario reports.
 
-Each takes a relation ``report, content`` (one row a file) and returns rows; nothing is collected. Reports are text files of
-a project, so one report is one group of a window.
+Each takes a relation ``report, content`` (one row a file) and returns rows; nothing is collected. Coverage reports and diffs are split where a file's
+part begins, and a part into its lines, so no rows are put in order; where reports are dealt by ``report`` already, nothing is shuffled. For the others one
+report is one group of a window.
 """
 
 from __future__ import annotations
@@ -24,6 +25,17 @@ def _tags(reports: DataFrame) -> DataFrame:
     return tags.withColumn("name", F.regexp_extract("tag", "^</?([A-Za-z:_-]+)", 1))
 
 
+def _parts(reports: DataFrame, begin: str) -> DataFrame:
+    """The parts of reports that begin where the pattern does: ``report, at, part``; what stands before the first is no part."""
+    return reports.select("report", F.posexplode(F.split("content", f"(?={begin})")).alias("at", "part")).where(F.col("part").rlike(f"^(?:{begin})"))
+
+
+def _in_parts(parts: DataFrame, found: Column, name: str) -> DataFrame:
+    """``parts`` with each of what is found in a part, and its place in the report as a number."""
+    each = parts.select("*", F.posexplode(found).alias("k", name))
+    return each.withColumn("pos", F.col("at") * F.lit(1 << 32) + F.col("k"))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """NULL where the tag doesn't have it."""
     found = F.regexp_extract(tag, f'[\\s]{name}\\s*=\\s*"([^"]*)"', 1)
@@ -45,8 +57,8 @@ def _most_hits(rows: DataFrame) -> DataFrame:
 
 def lcov(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (the last of repeats wins) and totals by path; declared LH and LF win over counted lines."""
-    own = _lines(reports).withColumn("path", F.last(F.when(F.col("text").startswith("SF:"), F.expr("substring(text, 4)")), ignorenulls=True).over(_order()))
-    own = own.withColumn("open", F.sum(F.when(F.col("text").startswith("SF:"), 1).otherwise(0)).over(_order())).where("path is not null")
+    files = _parts(reports, "(?<![^\\n])SF:").withColumn("path", F.regexp_extract("part", "^SF:([^\\n]*?)\\r?(?:\\n|$)", 1))
+    own = _in_parts(files.withColumnRenamed("part", "_part"), F.split("_part", "\r?\n"), "text").withColumn("open", F.col("at")).drop("_part")
     da = F.split(F.expr("substring(text, 4)"), ",")
     data = own.where(F.col("text").startswith("DA:")).select("report", "path", "open", "pos", _number(da[0]).alias("line"), _number(da[1]).alias("hits")).where("line is not null and hits is not null")
     declared = lambda key: F.max(F.when(F.col("text").startswith(f"{key}:"), _number(F.expr(f"substring(text, {len(key) + 2})"))))
@@ -59,17 +71,22 @@ def lcov(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _last_hits(data), totals.drop("open")
 
 
+def _file_lines(reports: DataFrame, name: str, key: str) -> DataFrame:
+    """The line tags that follow a tag of that name with the attribute ``key``, its ``path``: ``report, path, pos, tag``."""
+    files = _parts(reports, f"<{name}(?![A-Za-z:_-])[^>!?]*[\\s]{key}\\s*=[^>!?]*>")
+    files = files.withColumn("path", attribute(F.regexp_extract("part", "^(<[^>!?]+>)", 1), key))
+    return _in_parts(files, F.regexp_extract_all("part", F.lit("(<line(?![A-Za-z:_-])[^>!?]*>)"), F.lit(1)), "tag").select("report", "path", "pos", "tag")
+
+
 def cobertura(reports: DataFrame) -> DataFrame:
-    tags = _tags(reports).withColumn("path", F.last(F.when(F.col("name") == "class", attribute(F.col("tag"), "filename")), ignorenulls=True).over(_order()))
-    rows = tags.where((F.col("name") == "line") & F.col("path").isNotNull() & ~F.col("tag").startswith("</"))
+    rows = _file_lines(reports, "class", "filename")
     return _last_hits(rows.select("report", "path", "pos", _number(attribute(F.col("tag"), "number")).alias("line"), _number(attribute(F.col("tag"), "hits")).alias("hits")).where("line is not null"))
 
 
 def jacoco(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (covered if an instruction is), and the totals of LINE and BRANCH counters at every level of nesting together."""
     tags = _tags(reports)
-    files = tags.withColumn("path", F.last(F.when((F.col("name") == "sourcefile") & ~F.col("tag").startswith("</"), attribute(F.col("tag"), "name")), ignorenulls=True).over(_order()))
-    rows = files.where((F.col("name") == "line") & F.col("path").isNotNull())
+    rows = _file_lines(reports, "sourcefile", "name")
     covered = F.when(_number(attribute(F.col("tag"), "ci")) > 0, 1).otherwise(0).cast("long")
     lines = _last_hits(rows.select("report", "path", "pos", _number(attribute(F.col("tag"), "nr")).alias("line"), covered.alias("hits")))
     kind = attribute(F.col("tag"), "type")
@@ -166,15 +183,16 @@ def sarif(reports: DataFrame) -> DataFrame:
 
 def changed_lines(reports: DataFrame) -> DataFrame:
     """New-side lines that unified diffs add: ``report, path, line``."""
-    own = _lines(reports)
-    head = F.regexp_extract("text", "^@@ -[0-9,]+ \\+([0-9]+)", 1)
-    own = own.withColumn("path", F.last(F.when(F.col("text").startswith("+++ "), F.regexp_extract("text", "^\\+\\+\\+ (?:b/)?([^\t]*)", 1)), ignorenulls=True).over(_order()))
-    own = own.withColumn("hunk", F.sum(F.when(F.col("text").startswith("@@"), 1).otherwise(0)).over(_order())).withColumn(
-        "first", F.last(F.when(F.col("text").startswith("@@"), _number(head)), ignorenulls=True).over(_order())
-    )
-    body = own.where(F.col("text").rlike("^[+ ]") & ~F.col("text").startswith("+++ ") & (F.col("hunk") > 0))
-    at = F.row_number().over(Window.partitionBy("report", "path", "hunk").orderBy("pos"))
-    return body.withColumn("line", F.col("first") + at - 1).where(F.col("text").startswith("+") & (F.col("path") != "/dev/null")).select("report", "path", "line").distinct()
+    old_side = "--- [^\\n]*\\n\\+\\+\\+ "  # an added line may look like a new side, but not with an old side before it
+    begins = F.col("content").rlike(f"(?<![^\\n]){old_side}")
+    files = F.when(begins, F.split("content", f"(?<![^\\n])(?={old_side})")).otherwise(F.split("content", "(?<![^\\n])(?=\\+\\+\\+ )"))
+    path = F.regexp_extract("part", "(?<![^\\n])\\+\\+\\+ (?:b/)?([^\\t\\r\\n]*)", 1)
+    files = reports.select("report", F.explode(files).alias("part")).where(F.col("part").rlike("(?<![^\\n])\\+\\+\\+ ")).select("report", path.alias("path"), "part")
+    hunks = files.select("report", "path", F.explode(F.split("part", "(?<![^\\n])(?=@@)")).alias("hunk")).where(F.col("hunk").startswith("@@"))
+    body = F.filter(F.split("hunk", "\r?\n"), lambda x: x.startswith("+") | x.startswith(" "))
+    first = _number(F.regexp_extract("hunk", "^@@ -[0-9,]+ \\+([0-9]+)", 1))
+    own = hunks.select("report", "path", first.alias("first"), F.posexplode(body).alias("at", "text"))
+    return own.where(F.col("text").startswith("+") & (F.col("path") != "/dev/null")).select("report", "path", (F.col("first") + F.col("at")).alias("line")).distinct()
 
 
 def blame(reports: DataFrame) -> DataFrame:
