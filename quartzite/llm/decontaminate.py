@@ -29,6 +29,7 @@ RADIUS = 23  # 8 blocks within 2 flips each: of 8 * 3 - 1 differing bits some bl
 BLOCKS = 8
 SIMILARITY = 0.8
 WEIGHT_UNIT = 1_000_000
+SHUFFLED = "merge"  # of tables that grow with the corpus: written, they look small, for they compress well, and the driver would hold them whole to broadcast them
 INDEX_ROWS = 100_000  # shingles of items to broadcast, four longs each: under 5 MB
 
 
@@ -55,7 +56,7 @@ def fingerprints(weighed: DataFrame, *by: str) -> DataFrame:
     for b in bits[1:]:
         fp = fp.bitwiseOR(b.cast("long"))
     lists = weighed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("ws"))
-    return sums.select(*by, fp.alias("fp"), "total").join(lists, list(by))
+    return sums.select(*by, fp.alias("fp"), "total").join(lists.hint(SHUFFLED), list(by))
 
 
 def _block(fp: Column | str, k: int) -> Column:
@@ -113,9 +114,9 @@ def verified_windows(docs: DataFrame, benchmark: DataFrame, text: str, item: str
     again = materialize(hashes_of(again, "text").select("t1", "t2", "hs"), "shingled")
     part = lambda n, start: F.array_distinct(F.slice("hs", start + 1, n))
     marked = F.transform("at", lambda z: F.struct(z["n"].alias("n"), z["start"].alias("start"), F.xxhash64(z["n"], part(z["n"], z["start"])).alias("id")))
-    cut = materialize(windows.join(again, ["t1", "t2"]).select("t1", "t2", F.explode(marked).alias("z")).select("t1", "t2", "z.n", "z.start", "z.id"), "cut")
+    cut = materialize(windows.join(again.hint(SHUFFLED), ["t1", "t2"]).select("t1", "t2", F.explode(marked).alias("z")).select("t1", "t2", "z.n", "z.start", "z.id"), "cut")
     one = cut.groupBy("id", "n").agg(F.min(F.struct("t1", "t2", "start")).alias("o")).select("id", "n", "o.t1", "o.t2", "o.start")
-    parts = one.join(again, ["t1", "t2"]).select(F.lit(0).alias("side"), "id", "n", F.explode(part(F.col("n"), F.col("start"))).alias("h"))
+    parts = one.join(again.hint(SHUFFLED), ["t1", "t2"]).select(F.lit(0).alias("side"), "id", "n", F.explode(part(F.col("n"), F.col("start"))).alias("h"))
     both = parts.unionByName(sets.select(F.lit(1).alias("side"), F.col("iid").alias("id"), "n", "h"))
     weighed = both.join(small(weights), "h", "left").select("side", "id", "n", "h", F.coalesce("w", F.lit(unmet).cast("long")).alias("w"))
     printed = materialize(fingerprints(materialize(weighed, "weighed"), "side", "id", "n"), "prints")
@@ -127,15 +128,15 @@ def verified_windows(docs: DataFrame, benchmark: DataFrame, text: str, item: str
     right = printed.where("side = 1").select(F.col("id").alias("iid"), F.col("total").alias("tb"), hashes.alias("hb"))
     right = F.broadcast(right) if sets.count() <= INDEX_ROWS else right
     may = F.size(F.array_intersect("ha", "hb")) * F.lit(unmet).cast("long") >= similarity / (1 + similarity) * (F.col("ta") + F.col("tb")) - 1
-    near = item_pairs(printed, radius).withColumnRenamed("item", "iid").join(left, "id").join(right, "iid").where(may).select("id", "iid")
+    near = item_pairs(printed, radius).withColumnRenamed("item", "iid").join(left.hint(SHUFFLED), "id").join(right, "iid").where(may).select("id", "iid")
     common = F.aggregate(F.array_intersect("wa", "wb"), F.lit(0).cast("long"), lambda s, x: s + x["w"])
     verified = (
-        materialize(near, "near").join(a, "id").join(b, "iid")
+        materialize(near, "near").join(a.hint(SHUFFLED), "id").join(b, "iid")
         .withColumn("similarity", common / (F.col("ta") + F.col("tb") - common))
         .where(F.col("similarity") >= similarity - 1e-9)
         .select("id", "iid", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"), "similarity")
     )
-    found = cut.select("t1", "t2", "start", "id").join(verified, "id").drop("id")
+    found = cut.select("t1", "t2", "start", "id").join(verified.hint(SHUFFLED), "id").drop("id")
     return materialize(found, "found"), read.select("item", "iid").distinct()
 
 
@@ -145,7 +146,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     texts = materialize(found.select("t1", "t2").distinct(), "texts")
     keyed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), *_text_key(F.col(text).cast("string")))
     keyed = keyed.join(guarded(texts), ["t1", "t2"], "left_semi").distinct()
-    return keyed.join(found, ["t1", "t2"]).join(names, "iid").select("key", "item", "start", "distance", "similarity")
+    return keyed.join(found.hint(SHUFFLED), ["t1", "t2"]).join(names, "iid").select("key", "item", "start", "distance", "similarity")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
