@@ -4,11 +4,13 @@ of them raise. Relations that rounds read are written before the first."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quartzite.operators.shared import Grown, cut
 
@@ -60,11 +62,62 @@ def points_to(constraints: DataFrame) -> DataFrame:
     return close(of("address").select(F.col("a").alias("pointer"), F.col("b").alias("target")), step)
 
 
-def equivalence(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``node, root``: unification classes, named by their least member. Each round a node goes over to that of itself and its neighbours which has the
+TOGETHER = 200_000  # pairs that a task joins at once, a few MB
+
+
+def _together(batches: Iterator[pd.DataFrame], together: int) -> Iterator[pd.DataFrame]:
+    """``node, root`` within each run of so many pairs as they come: a node and the least member of what the run joins it to."""
+
+    def joined(run: list[pd.DataFrame]) -> pd.DataFrame:
+        codes, names = pd.factorize(pd.concat([b[c] for c in ("a", "b") for b in run], ignore_index=True), sort=True)
+        up, half = list(range(len(names))), len(codes) // 2
+        for x, y in zip(codes[:half].tolist(), codes[half:].tolist(), strict=True):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        for k, over in enumerate(up):  # none goes over to a greater one, so the root of the one before is known
+            up[k] = up[over]
+        return pd.DataFrame({"node": names, "root": names.take(up)})
+
+    run, size = [], 0
+    for b in batches:
+        run.append(b)
+        size += len(b)
+        if size >= together:
+            yield joined(run)
+            run, size = [], 0
+    if size:
+        yield joined(run)
+
+
+def equivalence(pairs: DataFrame, rounds: int | None = None, together: int = TOGETHER) -> DataFrame:
+    """``node, root``: unification classes, named by their least member. Pairs that stand near each other are joined where they stand; what is
+    left are links between the roots of a node that several runs hold, few where classes stand together: up to ``together`` of them are one more run, and
+    more are contracted. With a bound on the rounds, all pairs take them."""
+    ends = pairs.select("a", "b").where("a is not null and b is not null")
+    kind = ends.schema["a"].dataType
+    if rounds is not None or kind != ends.schema["b"].dataType or not isinstance(kind, (T.IntegralType, T.StringType)):
+        return _contracted(ends, rounds)
+    joined = lambda pairs: pairs.mapInPandas(lambda batches: _together(batches, together), T.StructType([T.StructField("node", kind), T.StructField("root", kind)]))
+    placed = cut(joined(ends))
+    met = cut(placed.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("far")))
+    several = cut(met.where("root <> far").select("node", F.col("root").alias("least")))
+    if several.isEmpty():
+        return met.select("node", "root")
+    links = cut(placed.join(several, "node").where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")))
+    group = joined(links.coalesce(1)) if links.limit(together + 1).count() <= together else _contracted(links)
+    over = cut(group.select(F.col("node").alias("root"), F.col("root").alias("top")))
+    return met.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
+def _contracted(ends: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``node, root`` of pairs without nulls. Each round a node goes over to that of itself and its neighbours which has the
     least random rank; pairs within what it went over to are done, and the others, about half, go on between those. So all relations together
     are a few times the pairs, however long the chains; ranks are new each round."""
-    ends = cut(pairs.select("a", "b").where("a is not null and b is not null"))
+    ends = cut(ends)
     left = cut(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     moves: list[DataFrame] = []
     for turn in count(1):

@@ -177,7 +177,7 @@ def cycles(edges: DataFrame, max_depth: int | None = None, local_edges: int = LO
         pairs = far.select("root", "node").where("root <> node")
         mutual = pairs.join(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"])
         return mutual.groupBy(F.col("root").alias("node")).agg(F.least(F.min("node"), F.col("root")).alias("scc"))
-    left = cut(component_edges(edges))
+    left = cut(edges.select("src", "dst").where("src <> dst"))
     found = left.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
     for turn in count(1):
         if left.limit(local_edges + 1).count() <= local_edges:

@@ -82,6 +82,38 @@ def test_classes_by_contraction(spark):
         assert {tuple(r) for r in fixpoints.equivalence(df).collect()} == {(of(x), of(find(x))) for p in pairs for x in p}
 
 
+def classes_of(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {(x, find(x)) for p in pairs for x in p}
+
+
+def test_classes_that_stand_together_take_no_round(spark, monkeypatch):
+    """Pairs of a class in one partition are joined there: no pair goes over the cluster."""
+    monkeypatch.setattr(fixpoints, "_contracted", lambda *_: pytest.fail("contracted"))
+    pairs = [(100 * k + i, 100 * k + i + 1) for k in range(30) for i in range(k % 9 + 1)] + [(9000, 9000)]
+    df = spark.createDataFrame(pairs, "a long, b long").coalesce(1)
+    assert sorted(tuple(r) for r in fixpoints.equivalence(df).collect()) == sorted(classes_of(pairs))
+
+
+@pytest.mark.parametrize(("together", "kind", "of"), [(3, "long", int), (500, "string", lambda x: f"n{x:05}")])
+def test_classes_over_many_runs(spark, together, kind, of):
+    """A node that very many runs hold, a chain over all of them, nulls and self pairs: whole classes whatever a run holds."""
+    pairs = [(0, 10 + i) for i in range(30)] + [(1000 + i, 1001 + i) for i in range(12)] + [(5000, 5000)]
+    random.Random(8).shuffle(pairs)
+    df = spark.createDataFrame([(of(a), of(b)) for a, b in pairs] + [(None, of(7)), (of(8), None)], f"a {kind}, b {kind}")
+    got = [tuple(r) for r in fixpoints.equivalence(df, together=together).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(of(x), of(y)) for x, y in classes_of(pairs)}
+
+
 def test_walks_over_many_components(spark):
     """Components that batches part are walked whole."""
     e = [(1000 * k + i, 1000 * k + (i + 1) % 30) for k in range(20) for i in range(30)]
