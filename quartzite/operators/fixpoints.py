@@ -5,10 +5,11 @@ of them raise. Relations that rounds read are written before the first."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,10 +31,45 @@ def close(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], r
             raise RuntimeError("the closure did not settle")
 
 
+def spread(steps: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``start`` and all that steps lead to from it, with the round that reaches a name first (``depth``, 0: start) and the least ``value`` brought then, if
+    there are values. ``steps``: name, target and columns that both ends share; ``start``: those, name, perhaps value. A step into what is reached is done:
+    steps are written anew without those whenever a quarter or more of them may go, so all rounds together read a few times the steps."""
+    on = [c for c in steps.columns if c != "target"]
+    least = [F.min(c).alias(c) for c in start.columns if c not in on]
+    one = lambda rows, depth: (rows.groupBy(*on).agg(*least) if least else rows.select(*on).distinct()).withColumn("depth", F.lit(depth))
+
+    def met(rows: DataFrame, name: str, facts: DataFrame, how: str = "left_anti") -> DataFrame:
+        same = [F.col(f"rows.{c}") == F.col(f"facts.{c}") for c in on if c != "name"] + [F.col(f"rows.{name}").eqNullSafe(F.col("facts.name"))]
+        return rows.alias("rows").join(facts.select(*on).alias("facts"), reduce(Column.__and__, same), how)
+
+    first = one(start, 0)
+    known, recent = Grown(first.schema, first.sparkSession), Grown(first.schema, first.sparkSession)
+    new = known.add(first)
+    left = cut(met(steps, "target", new))
+    size, since = left.count(), 0
+    for depth in count(1) if rounds is None else range(1, rounds + 1):
+        made = one(new.join(left, on).drop("name", "depth").withColumnRenamed("target", "name"), depth)
+        if recent.paths:  # steps into these are left
+            made = cut(made)
+            made = met(made, "name", met(recent.all(), "name", made, "left_semi"))  # few, if few were made
+        new = known.add(made)
+        found = new.count()
+        if not found:
+            break
+        recent.take(known)
+        since += found
+        if 4 * since >= size:
+            left = cut(met(left, "target", recent.all()))
+            size, since, recent.paths = left.count(), 0, []
+        if not size:
+            break
+    return known.all()
+
+
 def tainted(assigns: DataFrame, sources: DataFrame) -> DataFrame:
     """``path, name``: names that a source reaches through assignments of a file, in any order. ``assigns``: path, target, source."""
-    step = cut(assigns.select("path", F.col("source").alias("name"), "target"))
-    return close(sources.select("path", "name"), lambda new, _: new.join(step, ["path", "name"]).select("path", F.col("target").alias("name")))
+    return spread(assigns.select("path", F.col("source").alias("name"), "target"), sources.select("path", "name")).select("path", "name")
 
 
 def taint_flows(assigns: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:

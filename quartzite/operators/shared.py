@@ -53,6 +53,12 @@ class Grown:
         self.paths.append(_written(part.select(*(F.col(f.name).cast(f.dataType) for f in self.schema))))
         return self._read(self.paths[-1:])
 
+    def take(self, other: Grown) -> None:
+        """The last part of another table, where that wrote it."""
+        if len(self.paths) == self.FOLDERS:
+            self.paths = [_written(self.all())]
+        self.paths.append(other.paths[-1])
+
     def all(self) -> DataFrame:
         return self._read(self.paths)
 

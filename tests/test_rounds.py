@@ -45,6 +45,47 @@ def test_edges_are_made_once(spark, run):
     assert made.value <= 8  # a copy for the plan's filter at most
 
 
+def _written_rows(monkeypatch, columns):
+    """Counts of the tables of these columns, as they are cut."""
+    sizes, once = [], fixpoints.cut
+
+    def counted(df):
+        out = once(df)
+        if set(columns) <= set(out.columns):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(fixpoints, "cut", counted)
+    return sizes
+
+
+def test_steps_into_what_is_tainted_are_dropped(spark, monkeypatch):
+    """Every round reads the steps that are left, which shrink with what is reached; long ways from one source don't write them anew each round."""
+    df = lambda rows, shape: spark.createDataFrame(rows, shape).coalesce(1)
+    sizes = _written_rows(monkeypatch, ["path", "name", "target"])
+    wide = [("f", 10 * k + i, 10 * k + i + 1) for k in range(20) for i in range(2)]
+    got = fixpoints.tainted(df(wide, "path string, source long, target long"), df([("f", 10 * k) for k in range(20)] + [("g", 11)], "path string, name long"))
+    assert sorted(map(tuple, got.collect())) == sorted([("f", 10 * k + i) for k in range(20) for i in range(3)] + [("g", 11)])
+    assert sizes[0] == 40 and sizes[-1] <= 20
+    sizes.clear()
+    ring = [("f", i, (i + 1) % 7) for i in range(7)] + [("f", 3, None), ("f", 4, None), ("f", 6, 2), ("h", 0, 1)] + [("f", 100 + i, 200 + i) for i in range(60)]
+    got = fixpoints.tainted(df(ring, "path string, source long, target long"), df([("f", 0), ("f", 0)], "path string, name long"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted([str(("f", i)) for i in range(7)] + ["('f', None)"])
+    assert sizes == [70]  # no quarter of them was done
+
+
+def test_untested_ways_don_t_grow_with_roots(spark, monkeypatch):
+    """Thirty roots share one way: it is gone once, and least nodes, bounds, rings and uncovered roots count as before."""
+    parts, add = [], shared.Grown.add
+    monkeypatch.setattr(shared.Grown, "add", lambda self, part: parts.append(add(self, part)) or parts[-1])
+    way = [(100 + r, 0) for r in range(30)] + [(i, i + 1) for i in range(5)] + [(5, 6), (5, 7), (6, 0), (200, 7), (201, 200)]
+    cover = [(n, 1.0) for n in [*range(100, 130), *range(6), 201]] + [(6, 0.0), (7, 0.0), (200, None)]
+    run = lambda depth: {tuple(r) for r in graphs.shortest_untested(spark.createDataFrame(way, "src long, dst long").coalesce(1), spark.createDataFrame(cover, "node long, covered double").coalesce(1), depth).collect()}
+    assert run(None) == {(100 + r, 7, 6) for r in range(30)} | {(201, 2, 7)}
+    assert sum(p.count() for p in parts) == 40  # a row a node
+    assert run(3) == {(201, 2, 7)}
+
+
 @pytest.mark.parametrize(("listed", "several"), [(6, False), (1, False), (6, True)])
 def test_ancestors_as_lists_and_as_pairs(spark, monkeypatch, listed, several):
     monkeypatch.setattr(fixpoints, "LISTED", listed)
