@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
-from quartzite.operators.fixpoints import equivalence
+from quartzite.operators.fixpoints import equivalence, spread
 from quartzite.operators.shared import Grown, cut
 
 
@@ -202,20 +202,12 @@ def cycles(edges: DataFrame, max_depth: int | None = None, local_edges: int = LO
 
 
 def shortest_untested(edges: DataFrame, coverage: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """For each covered root the least hops to a node of coverage exactly 0, ties to the least node; one finding a root. A root that has
-    found one goes no further."""
-    edges, coverage = cut(edges.select("src", "dst").distinct()), cut(coverage.select("node", "covered"))
-    nodes = coverage.select("node")
-    bare = coverage.where("covered = 0").select("node")
-    seen = front = cut(roots(nodes, edges).join(coverage, "node").where("covered > 0").select(F.col("node").alias("root"), "node"))
-    found = front.select("root", F.lit(0).alias("hops"), "node").limit(0)
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        step = cut(step.join(seen, ["root", "node"], "left_anti"))
-        if not step.limit(1).count():
-            break
-        hit = cut(step.join(bare, "node", "left_semi").groupBy("root").agg(F.min("node").alias("node")).select("root", F.lit(depth).alias("hops"), "node"))
-        found = found.unionByName(hit)
-        front = cut(step.join(hit, "root", "left_anti"))
-        seen = cut(seen.join(hit, "root", "left_anti").unionByName(front))
-    return found
+    """For each covered root the least hops to a node of coverage exactly 0, ties to the least node. Hops are counted from those nodes back, so
+    each node is reached once, however many roots lead to it."""
+    edges = cut(edges.select("src", "dst"))
+    entered = edges.select(F.col("dst").alias("node")).distinct().withColumn("entered", F.lit(True))
+    ends = cut(coverage.select("node", "covered").join(entered, "node", "left").where("entered and covered = 0 or entered is null and covered > 0"))
+    bare = ends.where("entered").select(F.col("node").alias("name"), F.col("node").alias("value"))
+    far = spread(edges.select(F.col("dst").alias("name"), F.col("src").alias("target")), bare, max_depth)
+    start = ends.where("entered is null").select(F.col("node").alias("root")).distinct()
+    return start.join(far.withColumnRenamed("name", "root"), "root").select("root", F.col("depth").alias("hops"), F.col("value").alias("node"))
