@@ -102,6 +102,11 @@ PYTHON = [
 
 #: What their conditions read.
 PYTHON_COLUMNS = ("path", "kind", "name", "text", "start_line", "end_line", "owner_fn_id", "owner_loop_id", "in_async", "in_except", "parent_kind", "flags")
+#: What is left of them where findings are only counted.
+PYTHON_COUNTED = tuple(c for c in PYTHON_COLUMNS if c not in ("start_line", "end_line"))
+#: Kinds of which no condition holds without a flag, and kinds of which one reads the text.
+PYTHON_FLAGGED = tuple(sorted({r.kind for r in PYTHON} - {r.kind for r in PYTHON if r.condition.split("'")[::2] != ["array_contains(flags, ", ")"]}))
+PYTHON_TEXT_KINDS = tuple(sorted({r.kind for r in PYTHON if "text" in r.condition}))
 
 
 def secret_findings(lines: DataFrame) -> DataFrame:
@@ -112,9 +117,22 @@ def secret_findings(lines: DataFrame) -> DataFrame:
 def node_findings(nodes: DataFrame, rules: list[NodeRule] = PYTHON, active: dict[str, str] | None = None) -> DataFrame:
     """``path, rule_id, severity, issue_type, effort, hotspot, start_line, end_line``: all rules in one scan of the nodes. ``active``: the
     rules of a profile with their severity there; all, with their own, if not given."""
+    return _met(nodes, rules, active, "start_line", "end_line").select("path", "f.*", "start_line", "end_line")
+
+
+def node_counts(nodes: DataFrame, rules: list[NodeRule] = PYTHON, active: dict[str, str] | None = None) -> DataFrame:
+    """``path, rule_id, n``: how many findings of a rule a file has, from nodes that came ``counted``."""
+    return _met(nodes, rules, active, "n").groupBy("path", "f.rule_id").agg(F.sum("n").alias("n"))
+
+
+def _met(nodes: DataFrame, rules: list[NodeRule], active: dict[str, str] | None, *kept: str) -> DataFrame:
+    """The path of each node, each rule that it breaks as ``f``, and the columns that are ``kept``."""
     chosen = [r for r in rules if active is None or r.rule_id in active]
     test = S.is_test_path(F.col("path"))
-    hit = lambda r: (F.col("kind") == r.kind) & F.expr(r.condition) & (F.lit(r.tests) | ~test)
+    hit = lambda r: F.expr(r.condition) & (F.lit(r.tests) | ~test)
     made = lambda r: F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit((active or {}).get(r.rule_id, r.severity)).alias("severity"), F.lit(r.issue_type).alias("issue_type"), F.lit(r.effort).alias("effort"), F.lit(r.hotspot).alias("hotspot"))
-    found = F.explode(F.array_compact(F.array(*(F.when(hit(r), made(r)) for r in chosen)))).alias("f")
-    return nodes.where(F.col("kind").isin(*{r.kind for r in chosen})).select("path", found, "start_line", "end_line").select("path", "f.*", "start_line", "end_line")
+    kinds = sorted({r.kind for r in chosen})
+    found = F.lit(None)
+    for k in kinds:  # a node meets the rules of its kind only
+        found = F.when(F.col("kind") == k, F.array_compact(F.array(*(F.when(hit(r), made(r)) for r in chosen if r.kind == k)))).otherwise(found)
+    return nodes.where(F.col("kind").isin(*kinds)).select("path", F.explode(found).alias("f"), *kept)
