@@ -44,3 +44,26 @@ def test_shared_nodes_feed_the_metrics(spark):
     assert {(names[r.caller], names[r.callee]) for r in code.call_edges(n).collect()} == {("f", "g"), ("g", "f")}
     assert [tuple(r) for r in code.structure(n).where("path = 'a.ts'").select("functions", "classes").collect()] == [(4, 1)]
     assert "async" in n.where("name = 'f' and kind = 'FunctionDef'").first().flags and n.where("kind = 'await_expression' and in_async").count() == 1
+
+
+def test_functions_are_summed_up_where_files_are_read(spark, monkeypatch):
+    """As by aggregation of the nodes; files that differ in numbered names are read once, with their own names."""
+    from quartzite.plans import catalog, more
+
+    texts = [(language, body.replace("{}", str(k))) for language, body in catalog.BODIES.items() for k in (7, 8, 9, 10, 11)]
+    texts += [(s[1], t) for s in more.NODE_SAMPLES for t in s[2:]] + [(s[2], s[4]) for s in registry.samples()]
+    texts += [("rust", f"fn a{k}() {{ b{k}('x', '\\u{{{k}}}'); let s = r#\"c{k}\"#; d{k + k % 2}(1.5e{k}); // e{k}\n f{k}::g{k}(a{k}) }}\n") for k in range(10, 20)]
+    texts += [("typescript", f"const a{k} = async (b) => {{ c{k}(`x${{d{k}}}`, 'é'); }}; class K{k} {{ m{k}() {{ this.x{k}.y(); }} }}\n") for k in range(10, 20)] + [("unknown", "f1()"), (None, "f1()"), ("go", None)]
+    files = spark.createDataFrame([(f"p{i}", *t) for i, t in enumerate(texts)], "path string, language string, content string")
+    n = code_source.nodes(files).cache()
+    whole = [r for i, (language, t) in enumerate(texts) for r in code_source.parse(f"p{i}", language or "", t or "")]
+    assert sorted(map(repr, map(tuple, n.collect()))) == sorted(map(repr, whole))
+    calls = n.where("kind = 'Call' and owner_fn_id is not null").groupBy("path", F.col("owner_fn_id").alias("fn")).agg(F.sort_array(F.collect_set("name")).alias("calls"))
+    want = code.function_complexity(n).join(calls, ["path", "fn"], "left")
+    got = code.functions(files).withColumn("calls", F.when(F.size("calls") > 0, F.sort_array("calls")))
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    seen, parse = [], code_source.parse
+    monkeypatch.setattr(code_source, "parse", lambda *a: seen.append(a) or parse(*a))
+    read = code_source.reader(("name", "text"))
+    assert [read("go", f"func f{k}() {{ g{k}(h{k}) }}")[0] for k in range(100, 200)] == [[r[7] for r in parse("", "go", f"func f{k}() {{ g{k}(h{k}) }}")] for k in range(100, 200)] and len(seen) == 2
