@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from quartzite.functions import scalars as S
 from quartzite.operators import code, graphs, layers
+from quartzite.operators.shared import stored
+from quartzite.sources import code_source
 
 #: Limits, severities and minutes of the rules; kinds that nest, that stay flat, that jump.
 COMPLEXITY, COGNITIVE, FUNCTION_LINES, JSX_LINES, METHODS, FIELDS, WMC, NESTED_FUNCTIONS, EXPORTS, INTERFACE = 10, 15, 50, 80, 20, 15, 25, 4, 25, 8
@@ -99,6 +101,21 @@ def class_findings(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def alike(files: DataFrame) -> DataFrame:
+    """``files`` with ``same``, a path for all files of one language and text whose paths are one to the rules here: by their ending, and by whether they are tests."""
+    text = F.concat(F.coalesce("language", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
+    place = F.when(S.is_test_path(F.col("path")), "tests/").otherwise("src/")
+    return files.withColumn("same", F.concat(place, F.sha2(text, 256), F.regexp_extract("path", r"\.\w*$", 0)))
+
+
+def alike_findings(files: DataFrame) -> DataFrame:
+    """Findings on functions and classes by ``same`` instead of ``path``: of files that are ``alike``, one is read. Joined with them on ``same``, they are
+    what ``function_findings`` and ``class_findings`` find in each."""
+    one = files.select("same", F.coalesce("language", F.lit("")).alias("language"), F.coalesce("content", F.lit("")).alias("content")).distinct()
+    n = stored(code_source.nodes(one, path="same", columns=COLUMNS))
+    return stored(function_findings(n).unionByName(class_findings(n)).withColumnRenamed("path", "same"))
+
+
 def graph_findings(edges: DataFrame, census: DataFrame, component_edges: DataFrame) -> DataFrame:
     """Findings of the architecture rules: files in a cycle, dependencies that point outward (``edges``: src, dst paths), components far from
     the main sequence, and stable ones that lean on less stable ones (``census``: component, types, abstractions)."""

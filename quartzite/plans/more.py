@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from quartzite.functions import scalars as S
 from quartzite.functions import strings as T
 from quartzite.operators import clones, findings, graphs, layers, node_rules, reviews
-from quartzite.operators.shared import cut, stored
+from quartzite.operators.shared import cut
 from quartzite.plans.bindings import EDGES_SQL, FOUND_SQL, RANK_SQL, couplings, found, lines, order_edges, q, table
 from quartzite.plans.catalog import CPD_SQL, MARTIN_SQL, query
-from quartzite.sources import code_source, reports
+from quartzite.sources import reports
 
 #: Literals by what they look like, and whether one could be a secret.
 LITERALS = [
@@ -249,10 +249,9 @@ def node_smells(spark, d):
     known = F.broadcast(spark.createDataFrame(_NODE_ROWS, "i long, name string, kind string, rule string, language string, content string"))  # the program's own texts
     od = table(spark, d, "orders").select((F.col("o_orderkey") % len(_NODE_ROWS)).alias("i"), F.col("o_orderkey").alias("k")).join(known, "i")
     ending = S.lookup(F.col("language"), {"typescript": ".ts", "rust": ".rs", "go": ".go", "java": ".java"})
-    files = od.withColumn("path", F.concat(F.lit("src/f"), "k", ending))
-    n = stored(code_source.nodes(files, columns=node_rules.COLUMNS))
-    hits = node_rules.function_findings(n).unionByName(node_rules.class_findings(n)).select("path", F.col("rule_id").alias("rule"), F.lit(True).alias("hit")).distinct()
-    return files.select("path", "name", "kind", "rule").join(hits, ["path", "rule"], "left").groupBy("name", "kind").agg(F.count("*").alias("files"), F.count("hit").alias("found"))
+    files = node_rules.alike(od.withColumn("path", F.concat(F.lit("src/f"), "k", ending)))
+    hits = node_rules.alike_findings(files).select("same", F.col("rule_id").alias("rule"), F.lit(True).alias("hit")).distinct()
+    return files.select("same", "name", "kind", "rule").join(hits, ["same", "rule"], "left").groupBy("name", "kind").agg(F.count("*").alias("files"), F.count("hit").alias("found"))
 
 
 @query(f"""WITH {EDGES_SQL.replace("edge AS", "chain AS")}, {MARTIN_SQL}, e AS (SELECT src, dst, CASE WHEN src % 5 = 0 AND src % 6 IN (5) THEN 2 ELSE {_DEPTH_SQL.format(k="src")} END AS x, CASE WHEN dst % 5 = 0 AND dst % 6 IN (5) THEN 2 ELSE {_DEPTH_SQL.format(k="dst")} END AS y FROM chain),
