@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartzite.sources import python_source
+from quartzite.sources.shapes import frames
+
 _LOOPS = ("for_statement", "while_statement")
 _ENDS = {"return_statement": "return", "raise_statement": "raise"}
 
@@ -128,15 +131,50 @@ class _Blocks:
         return block if any(e[1] == block for e in self.edges) else None
 
 
+def _edges(fn: int, held: list[_Node]) -> list[tuple[int, int, str]]:
+    """The edges of one function."""
+    b = _Blocks(*_body(held))
+    b.go(b.walk(b.below.get(fn, []), 0, None), 1, "join")
+    return b.edges
+
+
+def _measure(edges: list[tuple[int, int, str]]) -> int:
+    """What ``flow_complexity`` tells of a function's edges."""
+    return max(1, len(edges) - len({b for e in edges for b in e[:2]}) + 2)
+
+
+def source_complexity(files: DataFrame, deal: bool = True) -> DataFrame:
+    """``path, name, line, complexity`` of each function of Python files (path, content): ``flow_complexity`` of their control flow. A function is in
+    one file, so it is measured where the file is read, and neither nodes nor edges travel."""
+    fields = [("path", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("complexity", pa.int32())]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = python_source.Reader(("node_id", "parent_id", "kind", "flags", "text", "owner_fn_id", "name", "start_line"), None, False, frozenset(("MatchAs",)))
+
+        def columns_of(content: str | None) -> list[list]:
+            held: dict[int, list[_Node]] = {}
+            names: dict[int, tuple[str, int]] = {}
+            for *node, fn, name, line in zip(*reader.columns(content), strict=True):
+                if node[2] == "FunctionDef":
+                    names[node[0]] = name, line
+                    fn = node[0] if fn is None else fn
+                if fn is not None:
+                    held.setdefault(fn, []).append(_Node._make(node))
+            out = [(*names[fn], _measure(e)) for fn, own in held.items() if fn in names and (e := _edges(fn, own))]
+            return [list(c) for c in zip(*out, strict=True)] or [[], [], []]
+
+        return frames(batches, columns_of, fields)
+
+    source = files.select("path", "content")
+    return (python_source.dealt(source) if deal else source).mapInArrow(read, "path string, name string, line int, complexity int")
+
+
 def control_flow(nodes: DataFrame) -> DataFrame:
     """``path, fn, src, dst, kind`` of edges between basic blocks 0 (entry), 1 (exit) and on. Forks have an edge to each arm (true, false,
     except, case), loops a head with a back edge; break and continue leave for the loop's end and head, returns and raises for the exit."""
 
     def edges_of(path: str, fn: int, held: list[_Node]) -> list[tuple]:
-        below, rows = _body(held)
-        b = _Blocks(below, rows)
-        b.go(b.walk(below.get(fn, []), 0, None), 1, "join")
-        return [(path, fn, *e) for e in b.edges]
+        return [(path, fn, *e) for e in _edges(fn, held)]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["path", "fn", "src", "dst", "kind"])

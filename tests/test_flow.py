@@ -101,3 +101,18 @@ def test_files_are_dealt_over_all_tasks(spark):
     src = spark.range(64).groupBy("id").agg(F.concat(F.lit("f"), F.max("id")).alias("path"), F.lit("x = 1").alias("content"))
     assert python_source.nodes(src).select(F.spark_partition_id().alias("p")).distinct().count() == 4
     assert code_source.nodes(src.withColumn("language", F.lit("go"))).select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_complexity_where_files_are_read(spark):
+    """As from nodes and edges, for functions of any form; no rows travel."""
+    body = "    for a in x:\n        if a > {0} and x[a]:\n            continue\n        try:\n            g{0}(a)\n        except E as e:\n            raise\n    match x:\n        case 1:\n            return\n        case _:\n            pass\n"
+    odd = "class C:\n  @p\n  async def m(self):\n    def n1(a, b={}):\n      while a: break\n      else: return\n    return 1\n    if x: y\n@d\ndef f(x) -> int:\n  '''doc'''\n  with x: return (yield)\ndef f(x): return 1 if x else 2\ndef empty(): ...\nlambda: 0\nif x:\n  def g1():\n    while x: pass\n"
+    files = [(f"m{k}.py", "".join(f"def f{i}(x):\n" + body.format(i + 1) * (1 + i % 3) for i in range(k, k + 9)) + (odd if k % 2 else "")) for k in range(8, 13)] + [("e.py", "def f(:"), ("n.py", None)]
+    df = spark.createDataFrame(files, "path string, content string")
+    n = python_source.nodes(df).cache()
+    names = n.where("kind = 'FunctionDef'").select("path", F.col("node_id").alias("fn"), "name", F.col("start_line").alias("line"))
+    want = flow.flow_complexity(flow.control_flow(n)).join(names, ["path", "fn"]).select("path", "name", "line", "complexity")
+    out = flow.source_complexity(df)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 45 + 2 * 6
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
